@@ -9,7 +9,7 @@ from importlib.util import find_spec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, common, decontaminate, exactdedup, sentencepiece_codec, sharding, urlfilter
+from . import chatformat, common, decontaminate, exactdedup, jaccard, linededup, quality, sentencepiece_codec, sharding, substring, urlfilter
 
 #: The rules of op4 as (action, host, path prefix), and the added conversation of op7.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -35,6 +35,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")).drop("runs")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.summarise(common.read(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables label documents, not pages; labels of the document with a page's number stand in for its outcome."""
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
@@ -42,6 +46,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(common.read(spark, sf_dir, "pages"), outcomes, URL_RULES).drop("bound")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.groups(common.read(spark, sf_dir, "documents")).drop("uid")
 
@@ -56,6 +64,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("trained").cast("bigint").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(common.read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(common.read(spark, sf_dir, "documents"), length=50)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(common.read(spark, sf_dir, "documents"), tokenizer_file(spark))
 
@@ -138,10 +154,34 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+_OP8 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({low}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, to_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.y FROM r JOIN both_ways b ON b.x = r.to_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(to_id) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+""".replace("{low}", _LOWER)
+
+_OP9 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 48, 1))) AS s, w FROM d),
+h AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 49], ' ')) AS h FROM win),
+f AS (SELECT h, min(doc_id) AS first_id FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM h JOIN f USING (h) WHERE doc_id > first_id),
+g AS (SELECT doc_id, list(i) AS out FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(out), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN out IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(out, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     owners = ",".join(map(str, sharding.fill(sharding.SHARDS)))
-    out = {"op1_sharding": _OP1.replace("{owners}", owners), "op2_decontamination": _OP2, "op4_url_filter": _OP4, "op6_exact_dedup": _OP6, "op7_chat_format": _OP7}
+    out = {"op1_sharding": _OP1.replace("{owners}", owners), "op2_decontamination": _OP2, "op4_url_filter": _OP4, "op6_exact_dedup": _OP6, "op7_chat_format": _OP7, "op8_ngram_jaccard": _OP8, "op9_substring_dedup": _OP9}
     if "corpus_pipeline" in sys.modules and sys.modules["corpus_pipeline"].ORACLE_SQL:
         out["pipeline"] = sys.modules["corpus_pipeline"].ORACLE_SQL
     return out
