@@ -207,6 +207,24 @@ def _near(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "line_x", "line_y").mapInArrow(compare, "x bigint, y bigint")
 
 
+def matcher(edits: int):
+    """Columns: key, block, node, size, comp, line, query."""
+    def of(queries: pa.RecordBatch):
+        lines, sizes, comps = queries.column(5).to_pylist(), queries.column(3).to_numpy(), queries.column(4).to_numpy()
+
+        def match(members: pa.RecordBatch) -> np.ndarray:
+            own, comp = members.column(3).to_numpy(), members.column(4).to_numpy()
+            out = (np.abs(own[:, None] - sizes[None, :]) <= edits) & (comp[:, None] != comps[None, :])
+            texts = members.column(5)
+            for i, j in zip(*map(np.ndarray.tolist, np.nonzero(out))):
+                out[i, j] = distance_within(texts[i].as_py(), lines[j], edits)
+            return out
+
+        return match
+
+    return of
+
+
 def near_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(node, comp) of lines with a near-duplicate."""
     spark = docs.sparkSession
@@ -214,12 +232,16 @@ def near_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     def compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.abs(a - b) <= edits
 
-    def prepare(nodes: DataFrame):
-        lines, _ = common.stage(spark, _lines(docs).join(nodes, "node").dropDuplicates(["node"]), "line-texts")
-        return lambda pairs: _near(pairs, lines, edits)
-
     rows = _keys(docs, edits, max(min_chars, edits + 1)).withColumn("salts", F.lit(1))
-    return linking.link(spark, rows, compatible, f"abs(size_x - size_y) <= {edits}", prepare)
+    pairs, members, found_path = linking.first_round(spark, rows, compatible)
+    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).union(members.select("node")).distinct()
+    lines, lines_path = common.stage(spark, _lines(docs).join(nodes, "node").dropDuplicates(["node"]), "line-texts")
+    links, links_path = common.stage(spark, _near(pairs, lines, edits), "links")
+    comps, comps_paths = linking.components_of(spark, links)
+    rest = linking.open_members(members, comps)
+    comps = linking.join_components(spark, comps, comps_paths, linking.against_outsiders(rest.join(lines, "node"), ["line"], matcher(edits)))
+    common.drop(spark, found_path, lines_path, links_path)
+    return comps
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:

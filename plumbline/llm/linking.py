@@ -3,8 +3,9 @@
 Rows (key, node, size) say that a node carries a key; two nodes can only be linked if they share one. Small buckets give
 all their pairs. Larger ones first give each member's neighbours in size order and one head, a number of pairs in
 proportion to the bucket; pairs are verified and their components found. Only where a bucket still holds more than one
-component are the pairs between different components made and verified too. Every pair that shares a key is thus either
-verified or already inside one component: no link is lost.
+component are its members outside the main one compared, in blocks, with all members that stream past; what leaves a task
+are links that join components, never pairs. Every pair that shares a key is thus either verified or already inside one
+component: no link is lost.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from . import common
 
 #: Members up to which a bucket gives all its pairs, neighbours given in larger ones, and rows of one bucket held at once.
 SMALL, NEAR, BLOCK = 8, 3, 1 << 16
+#: Members outside the main component that a task holds while the bucket streams past.
+OUTSIDERS = 1500
 Compatible = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -97,7 +100,7 @@ def components_of(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, lis
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
 
-    current, path = common.stage(spark, edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "edges")
+    current, path = common.stage(spark, edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "edges", free=False)
     paths, last = [path], state(current)
     while True:
         e = both(current)
@@ -105,7 +108,7 @@ def components_of(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, lis
         down = large.select(F.col("y").alias("u"), F.col("x").alias("v"))  # u > v
         hung = down.join(smallest(down), "u")
         small = hung.select(F.col("m").alias("x"), F.col("v").alias("y")).union(hung.select(F.col("m").alias("x"), F.col("u").alias("y"))).where("x <> y").distinct()
-        current, path = common.stage(spark, small, "edges")
+        current, path = common.stage(spark, small, "edges", free=False)
         common.drop(spark, *paths)
         paths, now = [path], state(current)
         if now == last:
@@ -115,13 +118,11 @@ def components_of(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, lis
     return leaves.union(current.select(F.col("x").alias("node"), F.col("x").alias("comp")).distinct()), paths
 
 
-def link(spark: SparkSession, rows: DataFrame, compatible: Compatible, compatible_sql: str, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], admissible: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, comp) of every linked node.
+def first_round(spark: SparkSession, rows: DataFrame, compatible: Compatible) -> tuple[DataFrame, DataFrame, str]:
+    """(pairs (x, y), members (key, node, size) of large buckets, path of the table that holds both).
 
     rows: (key, node, size), in any number of copies, and `salts`, parts that a bucket known to be hot is dealt to.
-    compatible, compatible_sql: whether two sizes may link, on arrays and over size_x and size_y.
-    prepare: from the table of nodes that may link (node), gives the function from pairs (x, y) to those that link.
-    admissible: drops pairs (x, y) that another filter rules out, before verification.
+    compatible: whether two sizes may link, on arrays.
     """
     salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("key", "node"), "salts")).otherwise(F.lit(0)).cast("int").alias("salt")
     salted = rows.select("key", "node", F.col("size").cast("int").alias("size"), "salts", salt)
@@ -130,29 +131,91 @@ def link(spark: SparkSession, rows: DataFrame, compatible: Compatible, compatibl
     part = F.when(F.col("salts") > 1, F.xxhash64("key", "salt")).otherwise(F.col("key"))
     dealt = salted.select(part.alias("part"), "node", "size", F.when(F.col("salts") > 1, F.col("key")).otherwise(F.lit(0)).cast("bigint").alias("key"))
     buckets = dealt.repartition("part").sortWithinPartitions("part", "size", "node").mapInArrow(_bucket_pairs(compatible), "kind byte, key bigint, x bigint, y bigint")
-    found, found_path = common.stage(spark, buckets, "buckets")
+    found, path = common.stage(spark, buckets, "buckets")
     pairs = found.where("kind = 0").select("x", "y").distinct()
-    members = found.where("kind = 1").select("key", F.col("x").alias("node"), F.col("y").cast("int").alias("size"))
-    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).union(members.select("node")).distinct()
-    verify = prepare(nodes)
-    admit = admissible or (lambda p: p)
-    links, links_path = common.stage(spark, verify(admit(pairs)), "links")
-    comps, paths = components_of(spark, links)
-    # what the first round left open
-    placed = members.join(comps, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
-    placed, placed_path = common.stage(spark, placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    mixed = placed.join(open_keys, "key")
-    left = mixed.select("key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("comp").alias("comp_x"))
-    right = mixed.select("key", F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("comp").alias("comp_y"))
-    across = left.join(right, "key").where(F.expr(f"comp_x < comp_y AND ({compatible_sql})"))
-    across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
-    more, more_path = common.stage(spark, verify(admit(across)), "links")
-    common.drop(spark, placed_path)
+    return pairs, found.where("kind = 1").select("key", F.col("x").alias("node"), F.col("y").cast("int").alias("size")), path
+
+
+def open_members(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, node, size, comp, main) of buckets that hold more than one component; main is the one with most members."""
+    placed = members.distinct().join(comps, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
+    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mains = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
+    return placed.join(mains, "key")
+
+
+def against_outsiders(rows: DataFrame, carried: list[str], matcher, what: str = "links") -> DataFrame:
+    """Compares the members of open buckets; rows as of open_members, and the `carried` columns.
+
+    Members outside a bucket's main component are a query set: in blocks of OUTSIDERS they are held by a task, and all
+    members of the bucket stream past. matcher(queries) gives a function from a batch of members to a boolean matrix
+    members x queries. Result, by `what`: "links" (x, y), only those that join components which the task has not joined
+    yet; or "members" (key, node) with a match in another component.
+    """
+    outside = F.col("comp") != F.col("main")
+    blocks = rows.groupBy("key").agg(F.ceil(F.count_if(outside) / OUTSIDERS).cast("int").alias("blocks"))
+    wide = rows.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")) == F.col("block")
+    dealt = wide.select("key", "block", "node", "size", "comp", *carried, (outside & own).cast("int").alias("query")).repartition("key", "block").sortWithinPartitions("key", "block", F.desc("query"), "node")
+
+    def out(a: list, b: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, queries, match, parent, nodes, comps = None, [], None, {}, None, None
+
+        def root(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        for whole in batches:
+            keys = np.stack([whole.column(0).to_numpy(), whole.column(1).to_numpy().astype(np.int64)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if current != (now := tuple(keys[a].tolist())):
+                    current, queries, match, parent = now, [], None, {}
+                part = whole.slice(a, b - a)
+                n = int(part.column(part.num_columns - 1).to_numpy().sum())  # queries come first
+                if n or match is None:  # and meet those of an earlier batch as they stream past
+                    queries.append(part.slice(0, n))
+                    held = pa.Table.from_batches(queries).combine_chunks().to_batches()
+                    held = held[0] if held else queries[0]
+                    match, nodes, comps = matcher(held), held.column(2).to_numpy(), held.column(4).to_numpy()
+                xs, ys = [], []
+                for piece in (part.slice(i, 512) for i in range(0, part.num_rows, 512)):
+                    member, comp = piece.column(2).to_numpy(), piece.column(4).to_numpy()
+                    hit = match(piece) & (comp[:, None] != comps[None, :])
+                    if what == "members":
+                        found = np.concatenate((member[hit.any(axis=1)], nodes[hit.any(axis=0)]))
+                        xs += [current[0]] * len(found)
+                        ys += found.tolist()
+                        continue
+                    i, j = np.nonzero(hit)
+                    if len(i):
+                        _, first = np.unique(np.stack([comp[i], comps[j]]), axis=1, return_index=True)
+                        for k in first.tolist():
+                            p, q = root(int(comp[i[k]])), root(int(comps[j[k]]))
+                            if p != q:
+                                parent[p] = q
+                                xs.append(member[i[k]])
+                                ys.append(nodes[j[k]])
+                if xs:
+                    yield out(xs, ys)
+
+    found = dealt.mapInArrow(run, "x bigint, y bigint")
+    return found if what == "links" else found.select(F.col("x").alias("key"), F.col("y").alias("node")).distinct()
+
+
+def join_components(spark: SparkSession, comps: DataFrame, paths: list[str], links: DataFrame) -> DataFrame:
+    """(node, comp) with more links (x, y) between components."""
+    more, path = common.stage(spark, links, "links")
     if more.isEmpty():
-        common.drop(spark, found_path, links_path, more_path)
+        common.drop(spark, path)
         return comps
     out, _ = components_of(spark, comps.where("node <> comp").select(F.col("node").alias("x"), F.col("comp").alias("y")).union(more.select("x", "y")))
-    out, _ = common.stage(spark, out, "components")
-    common.drop(spark, found_path, links_path, more_path, *paths)
+    common.drop(spark, path, *paths)
     return out
