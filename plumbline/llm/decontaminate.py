@@ -15,7 +15,6 @@ no hits; extra columns pass through `remove` untouched and are ignored by `judge
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -91,7 +90,7 @@ def _collect(block: DataFrame) -> list[tuple[str, str | None]]:
     return [(r["item"], r["text"]) for r in block.toLocalIterator()]
 
 
-_SCANNED = "n_words bigint, runs array<struct<s:bigint,e:bigint>>, items array<string>"
+_SCANNED = "n_words bigint, runs array<struct<s:bigint,e:bigint>>, items array<string>, fp bigint"
 
 
 def _scanned(docs: DataFrame, block: DataFrame, n: int) -> DataFrame:
@@ -106,27 +105,26 @@ def _scanned(docs: DataFrame, block: DataFrame, n: int) -> DataFrame:
                 words.append(count)
                 runs.append([{"s": s, "e": e} for s, e in hit.tolist()])
                 items.append(sorted(found))
-            yield pa.record_batch([batch.column(0), pa.array(words, pa.int64()), pa.array(runs, run_type), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "runs", "items"])
+            yield pa.record_batch([batch.column(0), pa.array(words, pa.int64()), pa.array(runs, run_type), pa.array(items, pa.list_(pa.string())), batch.column(2)], names=["doc_id", "n_words", "runs", "items", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, {_SCANNED}")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(scan, f"doc_id {kind}, {_SCANNED}")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, runs (hit word runs)."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, runs (hit word runs), fp (hash of the text)."""
     scans = [_scanned(docs, b, n) for b in _blocks(benchmark)]
     out = scans[0]
-    if len(scans) > 1:  # rows are told apart by their place in the input, which is the same in each pass
-        tagged = [s.withColumn("_row", F.monotonically_increasing_id()) for s in scans]
-        every = tagged[0]
-        for t in tagged[1:]:
-            every = every.unionByName(t)
-        merged = every.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        out = merged.drop("_row").withColumn("runs", _merged_runs("runs"))
+    if len(scans) > 1:  # equal rows have equal hits: they are merged as one and given out as often as they came
+        every = scans[0].withColumn("first", F.lit(1))
+        for t in scans[1:]:
+            every = every.unionByName(t.withColumn("first", F.lit(0)))
+        merged = every.groupBy("doc_id", "fp").agg(F.sum("first").alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        out = merged.withColumn("runs", _merged_runs("runs")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     hits = F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + r["e"] - r["s"])
     out = out.withColumn("n_hit", hits).withColumn("n_items", F.size("items").cast("bigint"))
     out = out.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "runs")
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "runs", "fp")
 
 
 def _merged_runs(column: str):
@@ -145,27 +143,24 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: in
     """docs without contaminated documents, or (what="spans") with their hit word runs cut out of the text."""
     if what not in ("documents", "spans"):
         raise ValueError(f"what: documents or spans, not {what}")
-    names = [f.name for f in docs.schema.fields]
-    blocks = [docs.sparkSession.sparkContext.broadcast(Grams(_collect(b), n)) for b in _blocks(benchmark)]
-    at = names.index("text")
+    judged = judge(docs, benchmark, n, share).where("contaminated").select(_id("doc_id").alias("_pl_id"), F.col("fp").alias("_pl_fp"), F.col("runs").alias("_pl_runs")).dropDuplicates(["_pl_id", "_pl_fp"])
+    rows = docs.withColumn("_pl_id", _id("doc_id")).withColumn("_pl_fp", F.xxhash64("text"))
+    if what == "documents":
+        return rows.join(judged, ["_pl_id", "_pl_fp"], "left_anti").select(*docs.columns)
+    joined = rows.join(judged, ["_pl_id", "_pl_fp"], "left").select(*docs.columns, "_pl_runs")
+    at = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, texts = [], []
-            for text in batch.column(at):
-                text, runs, words = text.as_py(), [], 0
-                for grams in blocks:
-                    words, more, _ = grams.value.scan(text)
-                    runs += more.tolist()
-                merged = _merge([r[0] for r in runs], [r[1] for r in runs])
-                hit = int((merged[:, 1] - merged[:, 0]).sum())
-                bad = hit > 0 and share * hit >= words
-                keep.append(not bad or what == "spans")
-                texts.append(cut_words(text, merged) if bad and what == "spans" else text)
-            out = batch if what == "documents" else batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield out.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(cut, docs.schema)
+            runs = batch.column(batch.num_columns - 1)
+            texts = [cut_words(t.as_py(), np.array([(x["s"], x["e"]) for x in r.as_py()], np.int64)) if r.is_valid else t.as_py() for t, r in zip(batch.column(at), runs)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string())).select(range(batch.num_columns - 1))
+
+    return joined.mapInArrow(cut, docs.schema)
+
+
+def _id(column: str):
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
 def cut_words(text: str, runs: np.ndarray) -> str:
@@ -178,7 +173,3 @@ def cut_words(text: str, runs: np.ndarray) -> str:
         out.append(raw[at : starts[s]])
         at = int(ends[e - 1])
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -22,7 +22,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -115,11 +115,10 @@ def _owners(entries: DataFrame) -> DataFrame:
     return entries.mapInArrow(compare, "uid bigint, chain bigint")
 
 
-def groups(docs: DataFrame, row_ids: str | None = None) -> DataFrame:
-    """Per row: uid, doc_id, keep_id, group_size, kept, text_sha256. row_ids: a column of unique numbers, else made here."""
+def groups(docs: DataFrame) -> DataFrame:
+    """Per row: uid (its place in the input), doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
-    uid = F.col(row_ids) if row_ids else F.monotonically_increasing_id()
-    entries, _ = common.stage(spark, _segments(docs.select(uid.alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")), "dedup-segments")
+    entries, _ = common.stage(spark, _segments(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")), "dedup-segments")
     keyed = entries.where("body is not null")
     prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
     counts = {r["p"]: r["n"] for r in keyed.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}  # at most 2^MAX_DEPTH rows
@@ -136,7 +135,13 @@ def groups(docs: DataFrame, row_ids: str | None = None) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, all columns kept."""
-    numbered = docs.withColumn("_uid", F.monotonically_increasing_id())
-    kept = groups(numbered, "_uid").where("kept").select(F.col("uid").alias("_uid"))
-    return numbered.join(kept, "_uid", "left_semi").drop("_uid")
+    """docs with one row of each group of equal texts, all columns kept; of rows that share an id too, the first by text."""
+    kept = groups(docs).where("kept").select(_id(F.col("doc_id")).alias("_pl_id"), F.col("text_sha256").alias("_pl_sha"))
+    body = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    rows = docs.withColumn("_pl_id", _id(F.col("doc_id"))).withColumn("_pl_sha", F.sha2(body, 256)).join(kept, ["_pl_id", "_pl_sha"], "left_semi")
+    again = F.row_number().over(Window.partitionBy("_pl_id", "_pl_sha").orderBy("text"))  # the join has dealt and sorted them
+    return rows.withColumn("_pl_n", again).where("_pl_n = 1").select(*docs.columns)
+
+
+def _id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit(""))

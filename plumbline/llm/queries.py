@@ -32,7 +32,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.judge(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")).drop("runs")
+    return decontaminate.judge(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")).drop("runs", "fp")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
