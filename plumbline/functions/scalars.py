@@ -102,10 +102,12 @@ def exported_type_names(type_text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda n: ~n.isin(*BUILTIN_TYPES)))
 
 
-def call_arguments(signature: Column) -> Column:
-    """First word of each parameter of a rendered signature."""
-    inside = F.regexp_extract(signature, r"^func\s+(?:\([^)]*\)\s*)?\w+(?:\[[^\]]*\])?\(([^)]*)\)", 1)
-    return F.filter(F.transform(F.split(inside, ","), lambda p: F.split_part(F.trim(p), F.lit(" "), F.lit(1))), lambda p: p != "")
+def call_arguments(parameters: Column) -> Column:
+    """(first word of each parameter) of a text that starts with a parameter list in brackets."""
+    end = F.instr(parameters, ")")
+    inside = F.substr(parameters, F.lit(2), F.greatest(end - 2, F.lit(0)))
+    words = F.filter(F.transform(F.split(inside, ","), lambda p: F.split_part(F.regexp_replace(F.trim(p), r"\s+", " "), F.lit(" "), F.lit(1))), lambda p: p != "")
+    return F.when(end < 1, "()").otherwise(F.concat(F.lit("("), F.array_join(words, ", "), F.lit(")")))
 
 
 # --- text --------------------------------------------------------------------------------------------------------------
@@ -153,7 +155,7 @@ def without_blank_lines(text: Column) -> Column:
 
 def strip_code_fence(text: Column) -> Column:
     trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(trimmed, r"^```\w*\s*", ""), r"\s*```$", ""), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(trimmed, r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""), r"^\s+|\s+$", "")
 
 
 def test_file_path(path: Column) -> Column:
@@ -165,9 +167,9 @@ def join_path(folder: Column, sub: Column) -> Column:
 
 
 def build_tag(source: Column) -> Column:
-    """First //go:build or // +build expression before the package clause, else empty."""
+    """Expression of the first //go:build or // +build line before the package clause, else empty."""
     head = F.split(source, r"(?m)^\s*package\s", 2)[0]
-    return F.coalesce(F.nullif(F.regexp_extract(head, r"(?m)^\s*(//go:build\s.*|// \+build\s.*)$", 1), F.lit("")), F.lit(""))
+    return F.rtrim(F.regexp_extract(head, r"(?m)^\s*(?://go:build|// \+build) (.*)$", 1))
 
 
 def escape_latex(text: Column) -> Column:
@@ -175,21 +177,20 @@ def escape_latex(text: Column) -> Column:
 
 
 def duration_text(millis: Column) -> Column:
-    """123ms, 4.5s or 2m3s."""
-    seconds = millis / 1000
-    whole = F.floor(seconds).cast("bigint")
-    return (F.when(seconds < 1, F.concat(millis.cast("bigint").cast("string"), F.lit("ms")))
-            .when(seconds < 60, F.concat(F.format_number(seconds, "0.0"), F.lit("s")))
-            .otherwise(F.concat((whole / 60).cast("bigint").cast("string"), F.lit("m"), (whole % 60).cast("string"), F.lit("s"))))
+    """123ms, 4.5s or 2m 3s."""
+    whole = F.floor(millis / 1000).cast("bigint")
+    return (F.when(millis < 1000, F.concat(millis.cast("bigint").cast("string"), F.lit("ms")))
+            .when(millis < 60_000, F.concat(F.format_number(millis / 1000, "0.0"), F.lit("s")))
+            .otherwise(F.concat(F.floor(whole / 60).cast("string"), F.lit("m "), (whole % 60).cast("string"), F.lit("s"))))
 
 
 def bar_width(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), value))
+    return F.concat(F.format_number(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)), "0.0"), F.lit("%"))
 
 
-#: Marks and colours of a file's status.
-STATUS_MARKS = {"success": "✅", "partial": "⚠️", "failed": "❌"}
-STATUS_COLOURS = {"success": "#28a745", "partial": "#ffc107", "failed": "#dc3545"}
+#: Marks and colours of a file's status, with those of any other.
+STATUS_MARKS, NO_MARK = {"success": "✅", "partial": "⚠️", "failed": "❌"}, "❓"
+STATUS_COLOURS, NO_COLOUR = {"success": "#22c55e", "partial": "#f59e0b", "failed": "#ef4444"}, "#6b7280"
 
 
 def lookup(table: dict[str, str], key: Column, default: str) -> Column:
@@ -199,12 +200,12 @@ def lookup(table: dict[str, str], key: Column, default: str) -> Column:
 
 # --- failure messages --------------------------------------------------------------------------------------------------
 
-#: How failure messages name what was expected and what came, quoted forms first.
+#: How failure messages name what was expected and what came (pattern, group of expected, group of got), quoted forms first.
 _PAIRS = (
-    (r"(?i)(?:expected|want)[:\s]+[\"'`]([^\"'`]*)[\"'`].*?(?:got|actual|but)[:\s]+[\"'`]([^\"'`]*)[\"'`]", 1, 2),
-    (r"(?i)(?:got|actual)[:\s]+[\"'`]([^\"'`]*)[\"'`].*?(?:want|expected)[:\s]+[\"'`]([^\"'`]*)[\"'`]", 2, 1),
-    (r"(?i)(?:expected|want)[:\s]+(\S+?)[,;\s]+(?:got|actual|but got)[:\s]+(\S+)", 1, 2),
-    (r"(?i)(?:got|actual)[:\s]+(\S+?)[,;\s]+(?:want|expected)[:\s]+(\S+)", 2, 1),
+    (r'(?i)(?:expected|want)\s+"([^"]*)",?\s+(?:got|but got)\s+"([^"]*)"', 1, 2),
+    (r'(?i)got\s+"([^"]*)",?\s+want\s+"([^"]*)"', 2, 1),
+    (r"(?i)(?:expected|want)\s+([^\s,]+),?\s+(?:got|but got)\s+([^\s,]+)", 1, 2),
+    (r"(?i)got\s+([^\s,]+),?\s+want\s+([^\s,]+)", 2, 1),
 )
 
 

@@ -48,7 +48,7 @@ def total_coverage(by_file: DataFrame, total: str = "total", hit: str = "hit") -
 
 
 def summary_line(total: Column, covered: Column, pct: Column) -> Column:
-    return F.concat(F.lit("Diff coverage: "), F.format_number(pct, "0.0"), F.lit("% ("), covered.cast("string"), F.lit("/"), total.cast("string"), F.lit(" lines)"))
+    return F.concat(F.lit("Diff coverage: "), F.format_number(pct, "0.0"), F.lit("% ("), covered.cast("string"), F.lit("/"), total.cast("string"), F.lit(" changed lines covered)"))
 
 
 def branch_coverage(branches: DataFrame, covered: DataFrame, by: list[str] = ("file",)) -> DataFrame:
@@ -85,22 +85,30 @@ def executable_changed_lines(changed: DataFrame, executable: DataFrame, source:
     return changed.join(known, "file", "left_semi").join(keep, ["file", "line"], "left_semi").unionByName(changed.join(known, "file", "left_anti"))
 
 
-def text_executable_lines(source: DataFrame) -> DataFrame:
-    """(file, line) of source lines that text alone shows to be code: not blank, brace, comment, package clause or import.
+#: Whole lines that are never code.
+_NEVER_CODE = ("", "{", "}", "})", "),", ")")
 
-    Comment and import blocks are runs between markers, found by running counts over the lines of a file.
+
+def text_executable_lines(changed: DataFrame, source: DataFrame) -> DataFrame:
+    """(file, line) of changed lines that text alone shows to be code, for sources that cannot be parsed.
+
+    Comment and import blocks are followed through the changed lines of a file only, in one fold over them. Lines that the
+    source does not have stay. changed: (file, line); source: (file, line, text).
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("file").orderBy("line")
-    t = source.withColumn("t", F.regexp_replace("text", r"^\s+|\s+$", ""))
-    opened = (F.col("t").startswith("/*") & ~F.col("t").contains("*/")).cast("int")
-    closed = (F.col("t").contains("*/") & ~F.col("t").startswith("/*")).cast("int")
-    t = t.withColumn("in_comment", F.sum(opened).over(w) > F.coalesce(F.sum(closed).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    start = F.col("t").rlike(r"^import\s*\(") & ~F.col("in_comment")
-    t = t.withColumn("imports", F.sum(start.cast("int")).over(w))
-    block = Window.partitionBy("file", "imports").orderBy("line")
-    t = t.withColumn("closed", F.coalesce(F.sum((F.col("t") == ")").cast("int")).over(block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    in_import = (F.col("imports") > 0) & (F.col("closed") == 0)
-    code = (F.col("t") != "") & ~F.col("t").isin("{", "}", ")", "(") & ~F.col("t").rlike(r"^(//|/\*|package\s|import\s)")
-    return t.where(code & ~F.col("in_comment") & ~in_import).select("file", "line")
+    rows = changed.select("file", "line").distinct().join(source.select("file", "line", F.regexp_replace("text", r"^\s+|\s+$", "").alias("t")), ["file", "line"], "left")
+    by_file = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "t"))).alias("lines"))
+    start = F.expr("named_struct('comment', false, 'imports', false, 'out', cast(array() as array<int>))")
+
+    def step(acc: Column, x: Column) -> Column:
+        t = x["t"]
+        opens, closes = t.startswith("/*"), t.contains("*/")
+        begins = t.startswith("import (")
+        plain = t.isin(*_NEVER_CODE) | t.startswith("//") | t.startswith("package ") | t.startswith('import "')
+        skipped = acc["comment"] | opens | acc["imports"] | begins | plain
+        comment = F.when(acc["comment"], ~closes).otherwise(opens & ~closes)
+        free = ~acc["comment"] & ~opens
+        imports = F.when(free & acc["imports"], t != ")").when(free, begins).otherwise(acc["imports"])
+        out = F.when(F.coalesce(skipped, F.lit(False)), acc["out"]).otherwise(F.concat(acc["out"], F.array(x["line"].cast("int"))))
+        return F.struct(F.coalesce(comment, acc["comment"]).alias("comment"), F.coalesce(imports, acc["imports"]).alias("imports"), out.alias("out"))
+
+    return by_file.select("file", F.explode(F.aggregate("lines", start, step, lambda acc: acc["out"])).alias("line"))

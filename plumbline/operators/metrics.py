@@ -66,15 +66,15 @@ def build_totals(files: DataFrame) -> DataFrame:
             .withColumn("token_efficiency_tokens_per_test", F.when((tokens > 0) & (F.col("tests_validated") > 0), tokens / F.col("tests_validated"))))
 
 
-def file_status(passed: Column, total: Column) -> Column:
-    """success if all passed, failed if none, else partial; failed without any."""
-    return F.when((total > 0) & (passed == total), "success").when(passed > 0, "partial").otherwise("failed")
+def file_status(success: Column, diff_coverage: Column, target: Column) -> Column:
+    """failed without success; partial below the coverage target if any was measured; else success."""
+    return F.when(~success, "failed").when((diff_coverage < target) & (diff_coverage > 0), "partial").otherwise("success")
 
 
-def file_report(files: DataFrame) -> DataFrame:
-    """status and tokens per validated test (0 if none) of each file."""
+def file_report(files: DataFrame, target: float = 80.0) -> DataFrame:
+    """status, and tokens per validated test (0 if none), of each file."""
     spent = F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))
-    return (files.withColumn("status", file_status(F.col("tests_passed"), F.col("tests_total")))
+    return (files.withColumn("status", file_status(F.col("tests_passed") > 0, F.col("diff_coverage_pct"), F.lit(target)))
             .withColumn("token_efficiency_tokens_per_test", F.coalesce(F.try_divide(spent.cast("double"), F.col("tests_passed").cast("double")), F.lit(0.0))))
 
 

@@ -10,7 +10,7 @@ from ..functions.scalars import percent
 #: Operators and what replaces them, by kind of mutation, and literals of return statements.
 SWAPS = {"arithmetic": {"+": "-", "-": "+", "*": "/", "/": "*"}, "comparison": {"<": "<=", "<=": "<", ">": ">=", ">=": ">", "==": "!=", "!=": "=="}, "logical": {"&&": "||", "||": "&&"}}
 RETURNS = {"nil": 'fmt.Errorf("mutant")', "true": "false", "false": "true", "0": "1", "1": "0", '""': '"mutant"'}
-KINDS = ("arithmetic", "comparison", "logical", "condition_negate", "return_value")
+KINDS = ("arithmetic", "comparison", "logical", "cond_negate", "return")
 
 
 def by_type(mutants: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def replacement(kind: Column, original: Column) -> Column:
     """What a mutation puts in place of an operator or literal; null if there is none."""
     table = F.create_map(*[F.lit(x) for swaps in SWAPS.values() for kv in swaps.items() for x in kv])
     literals = F.create_map(*[F.lit(x) for kv in RETURNS.items() for x in kv])
-    return F.when(kind == "return_value", F.try_element_at(literals, original)).when(kind == "condition_negate", F.lit("")).otherwise(F.try_element_at(table, original))
+    return F.when(kind == "return", F.try_element_at(literals, original)).when(kind == "cond_negate", F.lit("")).otherwise(F.try_element_at(table, original))
 
 
 def kind_of(operator: Column) -> Column:

@@ -28,7 +28,7 @@ def fold_events(events: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 def text_results(logs: DataFrame) -> DataFrame:
     """(path, name, passed, place) of text logs: all passes first, then all failures. logs: (path, value)."""
     def named(status: str) -> Column:
-        return F.regexp_extract_all("value", F.lit(rf"--- {status}: (\S+)"), F.lit(1))
+        return F.regexp_extract_all("value", F.lit(rf"--- {status}: (\S+)\s"), F.lit(1))
 
     mark = lambda names, passed: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(passed).alias("passed")))
     rows = logs.select("path", F.posexplode(F.concat(mark(named("PASS"), True), mark(named("FAIL"), False))).alias("place", "r"))
@@ -123,10 +123,15 @@ def feedback_from_text(logs: DataFrame) -> DataFrame:
     return r.select("path", "name", "passed", *[F.when(F.col("passed"), F.lit("")).otherwise(F.col(c)).alias(c) for c in blank], "place").fillna(blank)
 
 
-def informative_lines(text: Column, limit: int = 30) -> Column:
-    """Failure lines of a text log: results, source lines, panics and mismatches."""
-    kept = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"--- FAIL|FAIL\s|_test\.go:\d+|panic:|expected|got|want|Error"))
-    return F.array_join(F.slice(kept, 1, limit), "\n")
+def informative_lines(text: Column) -> Column:
+    """Lines of a text log that tell of failures, one for each reason to list them; the whole text if there are none."""
+    def told(x: Column) -> Column:
+        located = x.contains(": ") & (x.contains(".go:") | x.contains("cannot") | x.contains("undefined"))
+        reasons = (located, x.startswith("--- FAIL:"), x.contains("Error Trace:") | x.contains("Error:"), x.startswith("FAIL"))
+        return F.array_compact(F.array(*[F.when(r, x) for r in reasons]))
+
+    lines = F.flatten(F.transform(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), told))
+    return F.when(F.size(lines) == 0, text).otherwise(F.array_join(lines, "\n"))
 
 
 def race_details(logs: DataFrame, limit: int = 30) -> DataFrame:
