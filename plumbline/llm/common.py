@@ -5,15 +5,15 @@ from __future__ import annotations
 import gc
 import hashlib
 import tempfile
+import time
 import uuid
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space, which separates words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-#: Words kept by a worker's hash table before it is emptied; a bound on memory, without effect on results.
-WORD_CACHE = 1_000_000
 _WORD_MULT = np.uint64(0x9E3779B97F4A7C15)
 _SHORT_DATA = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -32,18 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stage(spark: SparkSession, df: DataFrame, name: str, free: bool = True) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    free_shuffles(spark)
+    if free:
+        free_shuffles(spark)
     return spark.read.parquet(path), path
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Ask Spark's context cleaner to drop shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have Spark's context cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    It learns of them from the garbage collector, which finds the last of them on its second run.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
@@ -62,17 +68,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """bytes word -> 64-bit hash, the same in every process; emptied when it holds WORD_CACHE words."""
+#: 64 random bits for each byte value, and an odd multiplier with its inverse modulo 2^64.
+_BYTES = np.frombuffer(hashlib.shake_128(b"plumbline word hashes").digest(2048), np.uint64)
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+_IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, np.uint8))
+#: Bytes hashed at once, and the length from which a word is hashed on its own.
+PIECE, LONG_WORD = 1 << 18, 512
+
+
+@cache
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.empty(n, np.uint64)
+    out[0] = 1
+    done = 1
+    while done < n:  # doubling: the next `done` powers are the first ones times base^done
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
+        done += more
+    return out
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a UTF-8 text, the same in every process, in a few vector steps over its bytes.
+
+    A word's hash is the sum of table[byte] * step^place, taken from running sums over the text, then mixed with its length.
+    """
+    if len(raw) > PIECE:
+        parts, at = [], 0
+        while at < len(raw):
+            cut = len(raw) if len(raw) - at <= PIECE else max(raw.rfind(bytes([s]), at, at + PIECE) for s in SPACES)
+            if cut < 0:  # a word longer than a piece
+                cut = next((i for i in range(at + PIECE, len(raw)) if raw[i] in SPACES), len(raw))
+            piece = raw[at:cut]
+            parts.append(word_hashes(piece) if len(piece) <= PIECE else np.array([_long_word(w) for w in piece.split()], np.uint64))
+            at = cut + 1
+        return np.concatenate(parts)
+    codes = np.frombuffer(raw, np.uint8)
+    word = np.concatenate(([False], ~_IS_SPACE[codes], [False]))
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[0::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_BYTES[codes] * _powers(_STEP, PIECE)[: len(codes)], out=sums[1:])
+    out = mix64((sums[ends] - sums[starts]) * _powers(_BACK, PIECE)[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts >= LONG_WORD):
+        out[i] = _long_word(raw[starts[i] : ends[i]])
+    return out
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _long_word(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:

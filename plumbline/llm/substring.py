@@ -52,8 +52,12 @@ def smallest_halves(h: np.ndarray, length: int) -> np.ndarray:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """doc (null ids last), fp (tells apart rows that share an id), text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.hash("text").alias("fp"), "text")
+    """doc (null ids last), fp (16 bits that tell apart rows that share an id), text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), _fp(F.col("text")).alias("fp"), "text")
+
+
+def _fp(text: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int")
 
 
 def _halves(rows: DataFrame, length: int) -> DataFrame:
@@ -70,13 +74,13 @@ def _halves(rows: DataFrame, length: int) -> DataFrame:
         return pa.record_batch([pa.array(c) for c in columns], names=["kind", "k", "doc", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ks, docs, fps, held = common.WordHashes(), [], [], [], 0
+        ks, docs, fps, held = [], [], [], 0
         for batch in batches:
             for doc, fp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                found = common.words_of(text.as_py())
-                if len(found) < length:
+                hashes = common.word_hashes((text.as_py() or "").encode("utf-8", "surrogatepass"))
+                if len(hashes) < length:
                     continue
-                k = np.unique(smallest_halves(words.of(found), length)).view(np.int64)
+                k = np.unique(smallest_halves(hashes, length)).view(np.int64)
                 ks.append(k)
                 docs.append(np.full(len(k), doc, np.int64))
                 fps.append(np.full(len(k), fp, np.int32))
@@ -124,30 +128,25 @@ def _answered(asked: DataFrame) -> DataFrame:
     return asked.select("kind", "k", "doc", "fp").repartition("k").sortWithinPartitions("k").mapInArrow(run, "doc bigint, fp int, k bigint")
 
 
-def _runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Disjoint [start, end) word runs covered by windows at ascending starts."""
-    if not len(starts):
-        return starts, starts
-    new = np.concatenate(([True], starts[1:] > starts[:-1] + length))
-    first = np.flatnonzero(new)
-    last = np.concatenate((first[1:] - 1, [len(starts) - 1]))
-    return starts[first], starts[last] + length
-
-
 def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """kind 2: words [s, e) of the document go; 0: ask for window (h, g) at s. rows: doc, fp, text, ks."""
+    """e > 0: words [s, e) of the document go; e = 0: ask for the window at s. rows: doc, fp, text, ks.
+
+    A window is named by 80 bits, h and the upper 16 of x; x holds fp and s below them. Few and packed columns, as these are
+    the operator's most rows.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, waiting, held = common.WordHashes(), [], 0
+        waiting, held = [], 0
         for batch in batches:
             for doc, fp, text, ks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                hashes = words.of(common.words_of(text.as_py()))
+                hashes = common.word_hashes((text.as_py() or "").encode("utf-8", "surrogatepass"))
                 half = smallest_halves(hashes, length).view(np.int64)
                 at = np.flatnonzero(np.isin(half, ks.values.to_numpy()))
                 if not len(at):
                     continue
                 h = common.window_hashes(hashes, length)[at].view(np.int64)
-                g = (common.window_hashes(common.mix64(hashes ^ _SECOND), length)[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                waiting.append((h, g, np.full(len(at), doc, np.int64), np.full(len(at), fp, np.int32), at.astype(np.int32)))
+                g = common.window_hashes(common.mix64(hashes ^ _SECOND), length)[at] >> np.uint64(48)
+                x = (g << np.uint64(48) | np.uint64(fp << 32) | at.astype(np.uint64)).view(np.int64)
+                waiting.append((h, np.full(len(at), doc, np.int64), x))
                 held += len(at)
                 if held > ROWS:
                     yield from settle([np.concatenate(c) for c in zip(*waiting)])
@@ -156,47 +155,52 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
             yield from settle([np.concatenate(c) for c in zip(*waiting)])
 
     def settle(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((columns[2], columns[1], columns[0]))
-        h, g, doc, fp, at = (c[order] for c in columns)
+        h, doc, x = columns
+        order = np.lexsort((doc, x >> 48, h))
+        h, doc, x = h[order], doc[order], x[order]
+        g = x >> 48
         starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
-        lengths = np.diff(np.concatenate((starts, [len(h)])))
-        gone = doc > np.repeat(doc[starts], lengths)
+        gone = doc > np.repeat(doc[starts], np.diff(np.concatenate((starts, [len(h)]))))
         ask = ~gone
-        yield made(0, h[ask], g[ask], doc[ask], fp[ask], at[ask], at[ask] + np.int32(length))
-        doc, fp, at = doc[gone], fp[gone], at[gone]
-        order = np.lexsort((at, fp, doc))
-        doc, fp, at = doc[order], fp[order], at[order]
+        yield made(h[ask], doc[ask], x[ask], np.zeros(int(ask.sum()), np.int32))
+        doc, at = doc[gone], x[gone] & 0xFFFFFFFFFFFF  # fp and place
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
         if len(doc):
-            cuts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1]) | (at[1:] > at[:-1] + length))))
+            cuts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + length))))
             last = np.concatenate((cuts[1:] - 1, [len(doc) - 1]))
-            none = np.zeros(len(cuts), np.int64)
-            yield made(2, none, none.astype(np.int32), doc[cuts], fp[cuts], at[cuts], at[last] + np.int32(length))
+            spread = common.mix64(doc[cuts].view(np.uint64) + at[cuts].view(np.uint64)).view(np.int64)  # any partition will do
+            yield made(spread, doc[cuts], at[cuts], ((at[last] & 0xFFFFFFFF) + length).astype(np.int32))
 
-    def made(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.full(len(columns[0]), kind, np.int8)), *(pa.array(c) for c in columns)], names=["kind", "h", "g", "doc", "fp", "s", "e"])
+    def made(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c) for c in columns], names=["h", "doc", "x", "e"])
 
-    return rows.mapInArrow(run, "kind byte, h bigint, g int, doc bigint, fp int, s int, e int")
+    return rows.mapInArrow(run, "h bigint, doc bigint, x bigint, e int")
 
 
-def _later(asked: DataFrame) -> DataFrame:
-    """(doc, fp, s, e) of windows that a smaller document has: all rows of a window but its smallest document's."""
+def _later(windows: DataFrame, length: int) -> DataFrame:
+    """(doc, fp, s, e): runs that are known to go, and of every window that was asked for all rows but its smallest document's."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # window and smallest document where the batch before ended
         for batch in batches:
-            h, g, doc, fp, s, e = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            if not len(h):
-                continue
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
-            starts = np.flatnonzero(new)
-            smallest = doc[starts]
-            if last is not None and last[:2] == (h[0], g[0]):
-                smallest = np.concatenate(([last[2]], smallest[1:]))
-            ok = doc > np.repeat(smallest, np.diff(np.concatenate((starts, [len(h)]))))
-            last = (h[-1], g[-1], smallest[-1])
-            yield pa.record_batch([pa.array(c[ok]) for c in (doc, fp, s, e)], names=["doc", "fp", "s", "e"])
-
-    sorted_rows = asked.select("h", "g", "doc", "fp", "s", "e").repartition("h").sortWithinPartitions("h", "g", "doc")
-    return sorted_rows.mapInArrow(run, "doc bigint, fp int, s int, e int")
+            h, doc, x, e = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            known, asked = e > 0, e == 0
+            out = [(doc[known], x[known], e[known])]
+            h, doc, x = h[asked], doc[asked], x[asked]
+            if len(h):
+                g = x >> 48
+                starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
+                smallest = doc[starts]
+                if last is not None and last[:2] == (h[0], g[0]):
+                    smallest = np.concatenate(([last[2]], smallest[1:]))
+                ok = doc > np.repeat(smallest, np.diff(np.concatenate((starts, [len(h)]))))
+                last = (h[-1], g[-1], smallest[-1])
+                out.append((doc[ok], x[ok], ((x[ok] & 0xFFFFFFFF) + length).astype(np.int32)))
+            doc, x, e = (np.concatenate(c) for c in zip(*out))
+            yield pa.record_batch([pa.array(doc), pa.array((x >> 32 & 0xFFFF).astype(np.int32)), pa.array((x & 0xFFFFFFFF).astype(np.int32)), pa.array(e)], names=["doc", "fp", "s", "e"])
+
+    ordered = windows.repartition("h").sortWithinPartitions("h", F.shiftright("x", 48), "doc")
+    return ordered.select("h", "doc", "x", "e").mapInArrow(run, "doc bigint, fp int, s int, e int")
 
 
 def _covered(docs: DataFrame, length: int) -> DataFrame:
@@ -206,11 +210,9 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
     halves, halves_path = common.stage(spark, _halves(rows, length), "substring-halves")
     known = halves.where("kind = 2").select("doc", "fp", "k").union(_answered(halves.where("kind < 2")))
     lists = known.groupBy("doc", "fp").agg(F.collect_list("k").alias("ks"))
-    windows, windows_path = common.stage(spark, _windows(rows.join(lists, ["doc", "fp"]).select("doc", "fp", "text", "ks"), length), "substring-windows")
-    common.drop(spark, halves_path)
-    gone = windows.where("kind = 2").select("doc", "fp", "s", "e").union(_later(windows.where("kind = 0")))
+    gone = _later(_windows(rows.join(lists, ["doc", "fp"]).select("doc", "fp", "text", "ks"), length), length)
     covered, _ = common.stage(spark, gone.groupBy("doc", "fp").agg(F.collect_list(F.struct("s", "e")).alias("runs")), "substring-runs")
-    common.drop(spark, windows_path)
+    common.drop(spark, halves_path)
     return covered
 
 
@@ -247,7 +249,7 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs whose text is what stays, its words joined by a space where any word went; all other columns as they are."""
     covered = _covered(docs, length).withColumnsRenamed({"doc": "_doc", "fp": "_fp", "runs": "_runs"})
     key = F.coalesce(docs["doc_id"].cast("bigint"), F.lit(_LAST))
-    rows = docs.join(covered, (key == F.col("_doc")) & (F.hash(docs["text"]) == F.col("_fp")), "left").drop("_doc", "_fp")
+    rows = docs.join(covered, (key == F.col("_doc")) & (_fp(docs["text"]) == F.col("_fp")), "left").drop("_doc", "_fp")
     at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
