@@ -434,9 +434,11 @@ class Source:
         return out
 
     def executable_ranges(self) -> list[tuple[int, int]]:
-        """(start, end) lines of statements in function bodies."""
+        """(start, end) lines of function heads and of statements in bodies, each with all its blocks."""
         out = []
         for f in self.functions:
+            if f.last > f.first or self.tokens[f.first - 1].text == "{":
+                out.append((f.start_line, self.tokens[f.first - 1].line))
             self._statements(f.first, f.last, out)
         return out
 
@@ -444,22 +446,36 @@ class Source:
         i = a
         while i < b:
             t = self.tokens[i]
-            if t.kind == "end":
+            if t.kind == "end" or t.text == "}":
                 i += 1
-                continue
-            j, inner = i, []
-            while j < b and self.tokens[j].kind != "end":
-                if self.tokens[j].text == "{" and self.tokens[j].kind == "op" and j in self.close:
-                    inner.append((j + 1, self.close[j]))
-                j = self.skip(j) if self.tokens[j].text in _CLOSE and self.tokens[j].kind == "op" else j + 1
-            nested = t.kind == "word" and t.text in ("if", "for", "switch", "select")
-            last = self.tokens[inner[0][0] - 1].line if nested and inner else self.tokens[min(j, b) - 1].line
-            if t.text not in ("{", "}"):
-                out.append((t.line, max(t.line, last)))
-            for x, y in inner:
-                if nested or self.tokens[x - 2].text == ")" or t.text == "{":
-                    self._statements(x, y, out)
-            i = j + 1
+            elif t.kind == "word" and t.text in ("if", "for", "switch", "select"):
+                block = self.block_start(i + 1)
+                if block not in self.close:
+                    return
+                self._statements(block + 1, self.close[block], out)
+                i = self.close[block] + 1
+                while i + 1 < b and self.tokens[i].text == "else":
+                    block = self.block_start(i + 1)
+                    if block not in self.close:
+                        return
+                    self._statements(block + 1, self.close[block], out)
+                    i = self.close[block] + 1
+                out.append((t.line, self.tokens[i - 1].line))
+            elif t.kind == "word" and t.text in ("case", "default"):
+                while i < b and self.tokens[i].text != ":":
+                    i = self.skip(i) if self.tokens[i].text in _CLOSE and self.tokens[i].kind == "op" else i + 1
+                i += 1
+            elif t.text == "{" and i in self.close:
+                self._statements(i + 1, self.close[i], out)
+                i = self.close[i] + 1
+            else:
+                j = i
+                while j < b and self.tokens[j].kind != "end":
+                    if self.tokens[j].text == "{" and self.tokens[j - 1].text == ")" and j in self.close:  # a function literal
+                        self._statements(j + 1, self.close[j], out)
+                    j = self.skip(j) if self.tokens[j].text in _CLOSE and self.tokens[j].kind == "op" else j + 1
+                out.append((t.line, self.tokens[min(j, b) - 1].line))
+                i = j + 1
 
     def mutants(self, f: Function) -> list[tuple[str, int, str, str]]:
         """(kind, line, original, replacement) in source order."""

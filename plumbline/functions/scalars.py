@@ -180,12 +180,12 @@ def duration_text(millis: Column) -> Column:
     """123ms, 4.5s or 2m 3s."""
     whole = F.floor(millis / 1000).cast("bigint")
     return (F.when(millis < 1000, F.concat(millis.cast("bigint").cast("string"), F.lit("ms")))
-            .when(millis < 60_000, F.concat(F.format_number(millis / 1000, "0.0"), F.lit("s")))
+            .when(millis < 60_000, F.concat(F.format_string("%.1f", millis / 1000), F.lit("s")))
             .otherwise(F.concat(F.floor(whole / 60).cast("string"), F.lit("m "), (whole % 60).cast("string"), F.lit("s"))))
 
 
 def bar_width(value: Column) -> Column:
-    return F.concat(F.format_number(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)), "0.0"), F.lit("%"))
+    return F.concat(F.format_string("%.1f", F.greatest(F.lit(0.0), F.least(F.lit(100.0), value))), F.lit("%"))
 
 
 #: Marks and colours of a file's status, with those of any other.
