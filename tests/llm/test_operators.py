@@ -480,12 +480,13 @@ def double_array(entries):
             node = node.setdefault(b, {})
         node[None] = offsets[k]
     units = {0: 0}
-    used = {0}
+    used, bases = {0}, set()
 
     def place(node, at):
         labels = [b for b in node if b is not None]
         keys = labels + ([0] if None in node else [])
-        base = next(b for b in range(1, 100000) if all((b ^ c) not in used for c in keys))
+        base = next(b for b in range(1, 100000) if b not in bases and all((b ^ c) not in used for c in keys))
+        bases.add(base)
         used.update(base ^ c for c in keys)
         offset = at ^ base
         assert offset < 1 << 21
