@@ -4,8 +4,8 @@ A document's set holds the hashes of its distinct k-word shingles (the whole wor
 two sets reach the similarity, each shares a token with the other inside its prefix, the first n - ceil(t n) + 1 tokens,
 under *every* total order of tokens. Three orders are used. All put frequent tokens last, as told by a sketch of counts
 over all documents, so prefixes hold rare tokens and buckets stay small; below that each order is a different hash.
-Candidates share a prefix token under the first order; the prefixes under the second and third are intersected before the
-texts are read and the sets compared exactly.
+Candidates share a prefix token under the first order; the second and third, with longer prefixes of which more must be
+shared, are intersected with that before the texts are read and the sets compared exactly.
 
 Documents with equal sets are one node from the start, and `linking` finds components without making all pairs of a bucket.
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,9 @@ from . import common, linking
 
 #: Words of a shingle and the similarity in hundredths, where no contract says otherwise.
 WORDS, PERCENT = 5, 80
-#: Counters of the frequency sketch: a power of two, the broadcast is one byte for each. Results don't depend on it.
-CELLS, CHUNK = 1 << 22, 1 << 16
+#: Bytes of text for each counter of the frequency sketch, whose number is a power of two up to MAX_CELLS; the broadcast is
+#: one byte for each. Results don't depend on it; with fewer, tokens that few documents share are told from unique ones worse.
+BYTES_A_CELL, MIN_CELLS, MAX_CELLS, CHUNK = 96, 1 << 16, 1 << 27, 1 << 18
 #: A token counted over 2^HOT_LEVEL times is dealt to parts of about that size.
 HOT_LEVEL = 14
 #: Different sets that a map task remembers, so that it gives out a repeated set's tokens once.
@@ -39,12 +41,12 @@ REMEMBERED = 500_000
 _ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A5A5A55A5A5A5B))
 
 
-def tokens(text: str | None, k: int, words: common.WordHashes) -> np.ndarray:
+def tokens(text: str | None, k: int) -> np.ndarray:
     """Ascending distinct 64-bit shingle hashes of a text; words are lower-cased (A-Z)."""
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not found:
+    words = common.word_hashes(text.encode("utf-8", "surrogatepass").lower()) if text else ()
+    if not len(words):
         return np.empty(0, np.uint64)
-    return np.unique(common.window_hashes(words.of(found), min(k, len(found))))
+    return np.unique(common.window_hashes(words, min(k, len(words))))
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -61,18 +63,10 @@ def _sketch(spark: SparkSession, docs: DataFrame, k: int, cells: int) -> np.ndar
     shift = np.uint64(65 - cells.bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = common.WordHashes(), np.zeros(cells, np.uint32)
+        sums = np.zeros(cells, np.uint32)
         for batch in batches:
-            waiting, held = [], 0
             for text in batch.column(0):
-                found = tokens(text.as_py(), k, words)
-                waiting.append(found >> shift)
-                held += len(found)
-                if held > cells:
-                    sums += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=cells).astype(np.uint32)
-                    waiting, held = [], 0
-            if held:
-                sums += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=cells).astype(np.uint32)
+                np.add.at(sums, (tokens(text.as_py(), k) >> shift).astype(np.int64), np.uint32(1))
         yield from chunks({i: sums[i * CHUNK : (i + 1) * CHUNK] for i in range(-(-cells // CHUNK))})
 
     def chunks(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -99,58 +93,112 @@ def _sketch(spark: SparkSession, docs: DataFrame, k: int, cells: int) -> np.ndar
     return out
 
 
-def _signatures(docs: DataFrame, k: int, percent: int, levels, cells: int) -> DataFrame:
-    """Per document: doc_id, node, n, and where the task meets the set first its prefixes under the three orders (a with
-    its tokens' levels, b and c as 32 bits each)."""
-    shift = np.uint64(65 - cells.bit_length())
-    low = np.uint64(8)
+def prefix(found: np.ndarray, levels: np.ndarray, size: int, order: int) -> np.ndarray:
+    """Places of a set's first tokens under one of the three orders: rare tokens first, then by the order's own hash."""
+    own = found if order == 0 else common.mix64(found ^ _ORDERS[order - 1])
+    return np.argpartition(levels.astype(np.uint64) << np.uint64(56) | own >> np.uint64(8), size - 1)[:size]
+
+
+def _levels(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return levels[found >> np.uint64(65 - len(levels).bit_length())]
 
+
+def _signatures(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
+    """Per document: doc_id, node, n, and where the task meets the set first its prefix under the first order with its
+    tokens' levels."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, level_of = common.WordHashes(), OrderedDict(), levels.value
+        seen = OrderedDict()
         for whole in batches:
             for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                nodes, sizes, a, hot, b, c = [], [], [], [], [], []
+                nodes, sizes, a, hot = [], [], [], []
                 for text in batch.column(1):
-                    found = tokens(text.as_py(), k, words)
+                    found = tokens(text.as_py(), k)
                     n = len(found)
                     sizes.append(n)
                     node = node_of(found) if n else None
                     nodes.append(node)
                     if not n or node in seen:
-                        for column in (a, hot, b, c):
-                            column.append(None)
+                        a.append(None)
+                        hot.append(None)
                         continue
                     seen[node] = None
                     if len(seen) > REMEMBERED:
                         seen.popitem(last=False)
-                    p = prefix_size(n, percent)
-                    level = level_of[found >> shift]
-                    high = level.astype(np.uint64) << np.uint64(56)
-                    first = np.argpartition(high | found >> low, p - 1)[:p]
+                    level = _levels(found, levels.value)
+                    first = prefix(found, level, prefix_size(n, percent), 0)
                     a.append(found[first].view(np.int64))
                     hot.append(level[first].view(np.int8))
-                    for column, order in zip((b, c), _ORDERS):
-                        other = common.mix64(found ^ order)
-                        at = np.argpartition(high | other >> low, p - 1)[:p]
-                        column.append((other[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-                lists = [pa.array(x, pa.list_(kind)) for x, kind in ((a, pa.int64()), (hot, pa.int8()), (b, pa.int32()), (c, pa.int32()))]
-                yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *lists], names=["doc_id", "node", "n", "a", "hot", "b", "c"])
+                yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(a, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int8()))], names=["doc_id", "node", "n", "a", "hot"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node bigint, n int, a array<bigint>, hot array<tinyint>, b array<int>, c array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node bigint, n int, a array<bigint>, hot array<tinyint>")
+
 
+def _texts(docs: DataFrame, wanted: DataFrame, k: int, percent: int, levels) -> DataFrame:
+    """(node, text, b, lb, c, lc) of the wanted (node, rep): what the second and third order need.
 
-def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, text) of the wanted (node, doc_id), one row a node."""
+    If sets reach the similarity, their first n - ceil(t n) + l tokens share l or more, whatever the order. With l the size of
+    a plain prefix that is about half of them, a far stronger condition than one shared token. b and c are such longer
+    prefixes, 32 bits a token, lb and lc the number that must be shared (less what 32 bits make equal).
+    A node has two rows only if rows repeat its doc_id, which repeats links and nothing else.
+    """
     rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = common.WordHashes()
-        for batch in batches:  # another row may have the same doc_id and another text
-            right = [node_of(tokens(t.as_py(), k, words)) == node for node, t in zip(batch.column(0).to_pylist(), batch.column(1))]
-            yield batch.filter(pa.array(right, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                nodes, texts, others, least = [], [], ([], []), ([], [])
+                for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    found = tokens(text, k)
+                    if node_of(found) != node:  # another row with this doc_id
+                        continue
+                    nodes.append(node)
+                    texts.append(text)
+                    level, p = _levels(found, levels.value), prefix_size(len(found), percent)
+                    for i in (0, 1):
+                        size = min(len(found), 2 * p - 1)
+                        own = common.mix64(found ^ _ORDERS[i])[prefix(found, level, size, i + 1)]
+                        own = np.unique((own & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                        others[i].append(own)
+                        least[i].append(size - p + 1 - (size - len(own)))
+                columns = [pa.array(x, pa.list_(pa.int32())) for x in others], [pa.array(x, pa.int32()) for x in least]
+                yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(texts, pa.string()), columns[0][0], columns[1][0], columns[0][1], columns[1][1]], names=["node", "text", "b", "lb", "c", "lc"])
+
+    return rows.mapInArrow(run, "node bigint, text string, b array<int>, lb int, c array<int>, lc int")
+
+
+def _admissible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs that share enough prefix tokens under the second and under the third order too."""
+    def side(name: str) -> DataFrame:
+        return texts.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("b", "lb", "c", "lc")])
+
+    def enough(c: str) -> F.Column:
+        return F.size(F.array_intersect(f"{c}_x", f"{c}_y")) >= F.least(f"l{c}_x", f"l{c}_y")
+
+    return pairs.join(side("y"), "y").join(side("x"), "x").where(enough("b") & enough("c")).select("x", "y")
+
+
+def prefix_matcher(queries: pa.RecordBatch):
+    """The second order's condition between members of a bucket. Columns: key, block, node, size, comp, b, lb, query."""
+    count, need = _shared_with(queries.column(5)), queries.column(6).to_numpy()
+    return lambda members: count(members.column(5)) >= np.minimum(members.column(6).to_numpy()[:, None], need[None, :])
+
+
+def _shared_with(column: pa.Array):
+    """Function from a column of arrays to the matrix of numbers of values that each shares with each of this column's."""
+    token, place, _ = _flat(column)
+    order = np.argsort(token, kind="stable")
+    token, place, n = token[order], place[order], len(column)
+
+    def count(other: pa.Array) -> np.ndarray:
+        t, at, _ = _flat(other)
+        low = np.searchsorted(token, t, "left")
+        hits = np.searchsorted(token, t, "right") - low
+        rows = np.repeat(at, hits)
+        offsets = np.arange(len(rows)) - np.repeat(np.cumsum(hits) - hits, hits)
+        return np.bincount(rows * n + place[np.repeat(low, hits) + offsets], minlength=len(other) * n).reshape(len(other), n)
 
-    return rows.mapInArrow(check, "node bigint, text string").dropDuplicates(["node"])
+    return count
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -161,14 +209,14 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     rows = pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "text_x", "text_y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known, held = common.WordHashes(), OrderedDict(), 0
+        known, held = OrderedDict(), 0
         for batch in batches:
             keep, xs, ys = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, (x, y) in enumerate(zip(xs, ys)):
                 sets = []
                 for node, column in ((x, 2), (y, 3)):
                     if node not in known:
-                        known[node] = tokens(batch.column(column)[i].as_py(), k, words)
+                        known[node] = tokens(batch.column(column)[i].as_py(), k)
                         held += len(known[node])
                         while held > 2_000_000 and len(known) > 2:
                             held -= len(known.popitem(last=False)[1])
@@ -181,11 +229,61 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return rows.mapInArrow(compare, "x bigint, y bigint")
 
 
-def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cells: int = CELLS) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
+def _differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(node, main, delta): tokens in just one of the two sets, of pairs (node, main)."""
+    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
+    rows = pairs.join(side("main"), "main").join(side("node"), "node").select("node", "main", "text_node", "text_main")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        main, base = None, np.empty(0, np.uint64)
+        for whole in batches:
+            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                out = []
+                for i, m in enumerate(batch.column(1).to_pylist()):
+                    if m != main:
+                        main, base = m, tokens(batch.column(3)[i].as_py(), k)
+                    out.append(np.setxor1d(tokens(batch.column(2)[i].as_py(), k), base, assume_unique=True).view(np.int64))
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["node", "main", "delta"])
+
+    return rows.mapInArrow(run, "node bigint, main bigint, delta array<bigint>")
+
+
+def matcher(percent: int):
+    """Compares sets by their differences from one and the same set: what two sets differ in is the difference of those.
+
+    Differences of near copies are short, so an index of the queries' tokens and counts of what members share with them
+    give every intersection exactly. Columns: key, block, node, size, comp, delta, query.
+    """
+    def of(queries: pa.RecordBatch):
+        count, size = _shared_with(queries.column(5)), queries.column(3).to_numpy().astype(np.int64)
+        length = np.asarray(pa.compute.list_value_length(queries.column(5))).astype(np.int64)
+
+        def match(members: pa.RecordBatch) -> np.ndarray:
+            own = np.asarray(pa.compute.list_value_length(members.column(5))).astype(np.int64)
+            differ = own[:, None] + length[None, :] - 2 * count(members.column(5))
+            total = members.column(3).to_numpy().astype(np.int64)[:, None] + size[None, :]
+            both = (total - differ) // 2
+            return 100 * both >= percent * (total - both)
+
+        return match
+
+    return of
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, the row of each, and the number in each row."""
+    length = np.asarray(pa.compute.list_value_length(column)).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(length)), length), length
+
+
+def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cells: int | None = None) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id. cells: counters of the sketch, else as the size of the texts asks."""
+    spark = common.bounded(docs).sparkSession
+    if cells is None:
+        wanted = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_CELL
+        cells = min(MAX_CELLS, max(MIN_CELLS, 1 << int(wanted).bit_length()))
     levels = spark.sparkContext.broadcast(_sketch(spark, docs, k, cells))
-    signatures, _ = common.stage(spark, _signatures(docs, k, percent, levels, cells), "jaccard-signatures")
+    signatures, _ = common.stage(spark, _signatures(docs, k, percent, levels), "jaccard-signatures")
     tagged = signatures.where("a is not null").select("node", "n", F.explode(F.arrays_zip("a", "hot")).alias("t"))
     salts = F.when(F.col("t.hot") > HOT_LEVEL, F.expr(f"shiftleft(1, cast(t.hot AS int) - {HOT_LEVEL})")).otherwise(1)
     rows = tagged.select(F.col("t.a").alias("key"), "node", F.col("n").alias("size"), salts.alias("salts"))
@@ -193,21 +291,20 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cells: int =
     def compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * np.minimum(a, b).astype(np.int64) >= percent * np.maximum(a, b).astype(np.int64)
 
-    # a set with an id keeps a smaller id than null; prefixes come from any row that has them
-    one = signatures.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    prefixes = signatures.where("a is not null").select("node", "b", "c")
-
-    def admissible(pairs: DataFrame) -> DataFrame:
-        """Those that share a prefix token under the second and under the third order too."""
-        p = prefixes.dropDuplicates(["node"])
-        x, y = p.select(F.col("node").alias("x"), F.col("b").alias("bx"), F.col("c").alias("cx")), p.select(F.col("node").alias("y"), F.col("b").alias("by"), F.col("c").alias("cy"))
-        return pairs.join(y, "y").join(x, "x").where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).select("x", "y")
-
-    def prepare(nodes: DataFrame):
-        texts, _ = common.stage(spark, _texts(docs, one.join(nodes, "node"), k), "jaccard-texts")
-        return lambda pairs: _similar(pairs, texts, k, percent)
-
-    comps = linking.link(spark, rows, compatible, f"100L * least(size_x, size_y) >= {percent}L * greatest(size_x, size_y)", prepare, admissible)
+    pairs, members, found_path = linking.first_round(spark, rows, compatible)
+    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).union(members.select("node")).distinct()
+    reps = signatures.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    texts, texts_path = common.stage(spark, _texts(docs, reps.join(nodes, "node"), k, percent, levels), "jaccard-texts")
+    links, links_path = common.stage(spark, _similar(_admissible(pairs, texts), texts, k, percent), "links")
+    comps, comps_paths = linking.components_of(spark, links)
+    # members of open buckets that pass the second order's condition with some member of another component
+    every = linking.open_members(members, comps)
+    near = linking.against_outsiders(every.join(texts.select("node", "b", "lb"), "node"), ["b", "lb"], prefix_matcher, "members")
+    rest, rest_path = common.stage(spark, every.join(near, ["key", "node"]), "open")
+    differences, differences_path = common.stage(spark, _differences(rest.select("node", "main").distinct(), texts, k), "differences")
+    across = linking.against_outsiders(rest.join(differences, ["node", "main"]), ["delta"], matcher(percent))
+    comps = linking.join_components(spark, comps, comps_paths, across)
+    common.drop(spark, found_path, texts_path, links_path, rest_path, differences_path)
     named = signatures.select("doc_id", "node", "n").join(comps, "node", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("comp", "node").alias("comp"))
     smallest = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("smallest"))
     return named.join(smallest, "comp", "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
