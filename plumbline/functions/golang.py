@@ -108,6 +108,7 @@ class Source:
     def __init__(self, text: str):
         self.text, self.tokens = text, tokenize(text)
         self.close = match_brackets(self.tokens)
+        self.open = {b: a for a, b in self.close.items()}
         self.package, self.imports = "", []
         self.functions: list[Function] = []
         self.types: list[Type] = []
@@ -345,7 +346,7 @@ class Source:
             j -= 1
         if j < start or self.tokens[j].text != "]":
             return False
-        opening = next((a for a, b in self.close.items() if b == j), None)
+        opening = self.open.get(j)
         if opening is None or opening < start:
             return False
         if j == i - 1:
@@ -526,7 +527,7 @@ class Source:
         return out
 
     def _struct_slice(self, close: int) -> bool:
-        opening = next((a for a, b in self.close.items() if b == close), 0)
+        opening = self.open.get(close, 0)
         return opening >= 3 and self.tokens[opening - 1].text == "struct" and self.tokens[opening - 2].text == "]"
 
     def _pairs(self, a: int, b: int) -> list[tuple[str, str]]:

@@ -113,10 +113,9 @@ def concurrency(functions: DataFrame, receiver_fields: Column | None = None) ->
 def concurrency_hint(info: Column) -> Column:
     """Advice for tests of concurrent functions, empty for others."""
     lines = F.array_join(F.transform(info["patterns"], lambda p: F.concat(F.lit("  - "), p, F.lit("\n"))), "")
-    advice = ("\nGenerate ADDITIONAL concurrent tests:\n1. Launch many goroutines that call this function at once\n2. Wait for them with sync.WaitGroup\n"
-              "3. Check the final state after all have finished\n4. End such tests' names with _Concurrent\n")
-    more = F.concat(F.when(info["has_channels"], "5. Test sending, receiving, closing and select with timeout\n").otherwise(""), F.when(info["has_mutex"], "5. Test that concurrent reads and writes stay consistent\n").otherwise(""))
-    return F.when(info["is_concurrent"], F.concat(F.lit("This function uses concurrency primitives:\n"), lines, F.lit(advice), more)).otherwise("")
+    advice = "\nTest it from many goroutines at once too: wait for all of them, then check the final state; end such tests' names with _Concurrent.\n"
+    more = F.concat(F.when(info["has_channels"], "Channels: send, receive, close, select with a timeout.\n").otherwise(""), F.when(info["has_mutex"], "Locks: reads and writes at once stay consistent.\n").otherwise(""))
+    return F.when(info["is_concurrent"], F.concat(F.lit("Concurrency in use:\n"), lines, F.lit(advice), more)).otherwise("")
 
 
 # --- branches as text, prompt budget -----------------------------------------------------------------------------------

@@ -23,6 +23,9 @@ MARKDOWN_RULE = ("--------", "------:", "----:", "----:", "--------:", "-------:
 CSV_HEAD = ("config", "files", "tests_generated", "tests_validated", "diff_cov_pct", "branch_cov_pct", "error_path_cov_pct", "mutation_pct", "tokens_per_test", "assertions_per_test", "no_assertions_pct",
             "nil_only_pct", "error_assertions_pct", "test_name_score", "var_name_score", "duration_s")
 LATEX_HEAD = ("Config", "Files", "Gen", "Val", "DiffCov", "Branch", "ErrPath", "Mut", "Tok/test")
+#: Headings of the mutation report.
+MUTATION_TITLE, SURVIVORS_TITLE, BY_TYPE_TITLE = "## 🧬 Mutation Testing Results", "### ⚠️ Survived Mutants (tests did NOT catch these)", "### By Mutation Type"
+SURVIVORS_HEAD, BY_TYPE_HEAD = ("#", "Function", "Line", "Mutation", "Original", "Replacement"), ("Type", "Killed", "Total", "Score")
 #: How a metric is written.
 PERCENT_METRICS = ("diff_cov_pct", "branch_cov_pct", "error_path_cov_pct", "mutation_pct", "no_assertions_pct", "nil_only_pct", "error_asserts_pct")
 DIGITS = {"token_efficiency": 0, "duration_sec": 0, "tests_validated": 0, "assertion_ratio": 2, "test_name_score": 1, "var_name_score": 1}
@@ -109,12 +112,12 @@ def mutation_markdown(mutants: DataFrame) -> str:
     from . import mutation
 
     s = mutation.score(mutants).first()
-    out = f"## Mutation Testing Results\n\n**Mutation Score: {s['score']:.1f}%** ({s['killed']} killed / {s['total']} total" + (f", {s['errors']} errors" if s["errors"] else "") + ")\n\n"
+    out = f"{MUTATION_TITLE}\n\n**Mutation Score: {s['score']:.1f}%** ({s['killed']} killed / {s['total']} total" + (f", {s['errors']} errors" if s["errors"] else "") + ")\n\n"
     if s["survived"]:
         alive = mutants.where("not killed and coalesce(error, '') = ''").orderBy("id").collect()
-        out += "### Survived Mutants (tests did NOT catch these)\n\n" + _table([("#", "Function", "Line", "Mutation", "Original", "Replacement")]) + "|---|----------|------|----------|----------|-------------|\n"
+        out += f"{SURVIVORS_TITLE}\n\n" + _table([SURVIVORS_HEAD]) + "|---|----------|------|----------|----------|-------------|\n"
         out += _table((str(m["id"]), m["func_name"], str(m["line"]), m["type"], f"`{m['original']}`", f"`{m['replacement']}`") for m in alive) + "\n"
-    out += "### By Mutation Type\n\n" + _table([("Type", "Killed", "Total", "Score")]) + "|------|--------|-------|-------|\n"
+    out += f"{BY_TYPE_TITLE}\n\n" + _table([BY_TYPE_HEAD]) + "|------|--------|-------|-------|\n"
     return out + _table((r["type"], str(r["killed"]), str(r["total"]), f"{r['score']:.0f}%") for r in mutation.by_type(mutants).where(mutation_kinds()).collect())
 
 

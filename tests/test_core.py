@@ -360,7 +360,7 @@ def test_go_source_tables(spark):
     hints = {r.name: r.kinds for r in patterns.detect(fn, F.array(F.lit("encoding/json"), F.lit("net/http"))).collect()}
     assert hints == {"Get": [], "Add": []}
     conc = patterns.concurrency(fn, F.array(F.lit("sync.Mutex"))).withColumn("h", patterns.concurrency_hint(F.col("concurrency"))).collect()
-    assert all(r.concurrency.is_concurrent and r.concurrency.has_mutex and "concurrency primitives" in r.h for r in conc)
+    assert all(r.concurrency.is_concurrent and r.concurrency.has_mutex and "Concurrency in use" in r.h for r in conc)
 
 
 def test_patterns(spark):
