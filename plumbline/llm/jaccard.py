@@ -31,9 +31,9 @@ from . import common, linking
 
 #: Words of a shingle and the similarity in hundredths, where no contract says otherwise.
 WORDS, PERCENT = 5, 80
-#: Bytes of text for each counter of the frequency sketch, whose number is a power of two up to MAX_CELLS; the broadcast is
-#: one byte for each. Results don't depend on it; with fewer, tokens that few documents share are told from unique ones worse.
-BYTES_A_CELL, MIN_CELLS, MAX_CELLS, CHUNK = 96, 1 << 16, 1 << 27, 1 << 18
+#: Bytes of text for each counter of the frequency sketch, of which there are MAX_CELLS at most; the broadcast is one byte for
+#: each. Results don't depend on it; with fewer, tokens that few documents share are told from unique ones worse.
+BYTES_A_CELL, MAX_CELLS, CHUNK = 64, 1 << 27, 1 << 18
 #: A token counted over 2^HOT_LEVEL times is dealt to parts of about that size.
 HOT_LEVEL = 14
 #: Different sets that a map task remembers, so that it gives out a repeated set's tokens once.
@@ -60,32 +60,29 @@ def prefix_size(n: int, percent: int) -> int:
 
 def _sketch(spark: SparkSession, docs: DataFrame, k: int, cells: int) -> np.ndarray:
     """log2 of the count of tokens in each cell, rounded up, over all documents."""
-    shift = np.uint64(65 - cells.bit_length())
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(cells, np.uint32)
         for batch in batches:
             for text in batch.column(0):
-                np.add.at(sums, (tokens(text.as_py(), k) >> shift).astype(np.int64), np.uint32(1))
-        yield from chunks({i: sums[i * CHUNK : (i + 1) * CHUNK] for i in range(-(-cells // CHUNK))})
+                np.add.at(sums, _cells(tokens(text.as_py(), k), cells), np.uint32(1))
+        sums = np.minimum(sums, 65535)  # far beyond what an order needs from one task
+        yield from chunks({i: sums[i * CHUNK : (i + 1) * CHUNK] for i in range(-(-cells // CHUNK))}, "<u2")
 
-    def chunks(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def chunks(parts: dict[int, np.ndarray], kind: str) -> Iterator[pa.RecordBatch]:
         for i, part in sorted(parts.items()):
-            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype(kind).tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(zlib.decompress(blob.as_py()), "<u4").astype(np.uint64)
+                part = np.frombuffer(zlib.decompress(blob.as_py()), "<u2").astype(np.uint64)
                 sums[i] = part + sums[i] if i in sums else part
-        yield from chunks({i: np.minimum(s, 2**32 - 1) for i, s in sums.items()})
+        yield from chunks({i: np.minimum(s, 2**32 - 1) for i, s in sums.items()}, "<u4")
 
     schema = "chunk int, counts binary"
     parts = docs.select("text").mapInArrow(count, schema)
-    # two steps, so that no task reads one chunk from every map task of a large input
-    salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("chunk", "salt").drop("salt")
-    rows = salted.mapInArrow(add, schema).repartition("chunk").mapInArrow(add, schema).collect()  # cells counters in all
+    rows = parts.repartition("chunk").mapInArrow(add, schema).collect()  # `cells` counters in all
     out = np.zeros(cells, np.uint8)
     for r in rows:
         counts = np.frombuffer(zlib.decompress(bytes(r["counts"])), "<u4")
@@ -100,7 +97,12 @@ def prefix(found: np.ndarray, levels: np.ndarray, size: int, order: int) -> np.n
 
 
 def _levels(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    return levels[found >> np.uint64(65 - len(levels).bit_length())]
+    return levels[_cells(found, len(levels))]
+
+
+def _cells(found: np.ndarray, cells: int) -> np.ndarray:
+    """Cell of each token: its upper 32 bits scaled to the number of cells."""
+    return ((found >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
 
 
 def _signatures(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
@@ -281,7 +283,7 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cells: int |
     spark = common.bounded(docs).sparkSession
     if cells is None:
         wanted = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_CELL
-        cells = min(MAX_CELLS, max(MIN_CELLS, 1 << int(wanted).bit_length()))
+        cells = min(MAX_CELLS, (int(wanted) // CHUNK + 1) * CHUNK)
     levels = spark.sparkContext.broadcast(_sketch(spark, docs, k, cells))
     signatures, _ = common.stage(spark, _signatures(docs, k, percent, levels), "jaccard-signatures")
     tagged = signatures.where("a is not null").select("node", "n", F.explode(F.arrays_zip("a", "hot")).alias("t"))
@@ -299,10 +301,10 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cells: int |
     comps, comps_paths = linking.components_of(spark, links)
     # members of open buckets that pass the second order's condition with some member of another component
     every = linking.open_members(members, comps)
-    near = linking.against_outsiders(every.join(texts.select("node", "b", "lb"), "node"), ["b", "lb"], prefix_matcher, "members")
+    near = linking.against_outsiders(every, texts.select("node", "b", "lb"), ["node"], prefix_matcher, "members")
     rest, rest_path = common.stage(spark, every.join(near, ["key", "node"]), "open")
     differences, differences_path = common.stage(spark, _differences(rest.select("node", "main").distinct(), texts, k), "differences")
-    across = linking.against_outsiders(rest.join(differences, ["node", "main"]), ["delta"], matcher(percent))
+    across = linking.against_outsiders(rest, differences, ["node", "main"], matcher(percent))
     comps = linking.join_components(spark, comps, comps_paths, across)
     common.drop(spark, found_path, texts_path, links_path, rest_path, differences_path)
     named = signatures.select("doc_id", "node", "n").join(comps, "node", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("comp", "node").alias("comp"))

@@ -144,8 +144,8 @@ def open_members(members: DataFrame, comps: DataFrame) -> DataFrame:
     return placed.join(mains, "key")
 
 
-def against_outsiders(rows: DataFrame, carried: list[str], matcher, what: str = "links") -> DataFrame:
-    """Compares the members of open buckets; rows as of open_members, and the `carried` columns.
+def against_outsiders(rows: DataFrame, carried: DataFrame, on: list[str], matcher, what: str = "links") -> DataFrame:
+    """Compares the members of open buckets; rows as of open_members, joined on `on` with what `carried` holds of them.
 
     Members outside a bucket's main component are a query set: in blocks of OUTSIDERS they are held by a task, and all
     members of the bucket stream past. matcher(queries) gives a function from a batch of members to a boolean matrix
@@ -156,7 +156,10 @@ def against_outsiders(rows: DataFrame, carried: list[str], matcher, what: str =
     blocks = rows.groupBy("key").agg(F.ceil(F.count_if(outside) / OUTSIDERS).cast("int").alias("blocks"))
     wide = rows.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")) == F.col("block")
-    dealt = wide.select("key", "block", "node", "size", "comp", *carried, (outside & own).cast("int").alias("query")).repartition("key", "block").sortWithinPartitions("key", "block", F.desc("query"), "node")
+    placed = wide.select("key", "block", "node", "size", "comp", "main", (outside & own).cast("int").alias("query"))
+    # what is carried is the bulk: it joins when all else is known, and is dealt once
+    full = placed.join(carried, on).select("key", "block", "node", "size", "comp", *[c for c in carried.columns if c not in on], "query")
+    dealt = full.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("query"), "node")
 
     def out(a: list, b: list) -> pa.RecordBatch:
         return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "y"])
