@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: ASCII white space, which separates words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _WORD_MULT = np.uint64(0x9E3779B97F4A7C15)
-_SHORT_DATA = np.uint64(0xBF58476D1CE4E5B9)
+_PAIR_MULT = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,14 +24,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("plumbline.shared.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("plumbline.shared.dir", spark.conf.get("plumbline.shared.dir", base))
-        base = spark.conf.get("plumbline.shared.dir")
+        spark.conf.set("plumbline.shared.dir", base)
     return base.rstrip("/")
 
 
+#: Rows in an Arrow batch where whole texts travel, instead of Spark's default of ten times as many.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, after Spark's default batch size, if nobody has set another, is brought down to what long texts allow.
+
+    Arrow holds a batch beside the heap on both sides of the pipe; ten thousand long texts are too much for small executors.
+    """
+    conf = docs.sparkSession.conf
+    if int(conf.get(BATCH_SETTING, "10000")) == 10_000:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return docs
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str, free: bool = True) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
@@ -138,7 +152,7 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
             done += width
         left >>= 1
         if left:
-            power = mix64(power[: len(power) - width] * _SHORT_DATA + (power[width:] ^ np.uint64(width)))
+            power = mix64(power[: len(power) - width] * _PAIR_MULT + (power[width:] ^ np.uint64(width)))
             width *= 2
     return out
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Fixed values of the rule: words of a window, and the share of hit words (1/20) from which a document is contaminated.
 N, SHARE = 13, 20
 #: Bytes of benchmark text in one broadcast block.
@@ -108,7 +110,7 @@ def _scanned(docs: DataFrame, block: DataFrame, n: int) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(words, pa.int64()), pa.array(runs, run_type), pa.array(items, pa.list_(pa.string())), batch.column(2)], names=["doc_id", "n_words", "runs", "items", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(scan, f"doc_id {kind}, {_SCANNED}")
+    return common.bounded(docs).select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(scan, f"doc_id {kind}, {_SCANNED}")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
@@ -143,12 +145,31 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: in
     """docs without contaminated documents, or (what="spans") with their hit word runs cut out of the text."""
     if what not in ("documents", "spans"):
         raise ValueError(f"what: documents or spans, not {what}")
+    blocks = list(_blocks(benchmark))
+    at = docs.columns.index("text")
+    if len(blocks) == 1:  # a document's hits are known where it is read: nothing moves
+        grams = docs.sparkSession.sparkContext.broadcast(Grams(_collect(blocks[0]), n))
+
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bad, texts = [], []
+                for text in batch.column(at):
+                    text = text.as_py()
+                    words, runs, _ = grams.value.scan(text)
+                    hit = int((runs[:, 1] - runs[:, 0]).sum())
+                    bad.append(hit > 0 and share * hit >= words)
+                    texts.append(cut_words(text, runs) if bad[-1] and what == "spans" else text)
+                if what == "documents":
+                    yield batch.filter(pa.array([not x for x in bad], pa.bool_()))
+                else:
+                    yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
+
+        return common.bounded(docs).mapInArrow(sift, docs.schema)
     judged = judge(docs, benchmark, n, share).where("contaminated").select(_id("doc_id").alias("_pl_id"), F.col("fp").alias("_pl_fp"), F.col("runs").alias("_pl_runs")).dropDuplicates(["_pl_id", "_pl_fp"])
     rows = docs.withColumn("_pl_id", _id("doc_id")).withColumn("_pl_fp", F.xxhash64("text"))
     if what == "documents":
         return rows.join(judged, ["_pl_id", "_pl_fp"], "left_anti").select(*docs.columns)
     joined = rows.join(judged, ["_pl_id", "_pl_fp"], "left").select(*docs.columns, "_pl_runs")
-    at = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

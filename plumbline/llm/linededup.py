@@ -227,7 +227,7 @@ def matcher(edits: int):
 
 def near_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(node, comp) of lines with a near-duplicate."""
-    spark = docs.sparkSession
+    spark = common.bounded(docs).sparkSession
 
     def compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.abs(a - b) <= edits
@@ -239,7 +239,7 @@ def near_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     links, links_path = common.stage(spark, _near(pairs, lines, edits), "links")
     comps, comps_paths = linking.components_of(spark, links)
     rest = linking.open_members(members, comps)
-    comps = linking.join_components(spark, comps, comps_paths, linking.against_outsiders(rest.join(lines, "node"), ["line"], matcher(edits)))
+    comps = linking.join_components(spark, comps, comps_paths, linking.against_outsiders(rest, lines, ["node"], matcher(edits)))
     common.drop(spark, found_path, lines_path, links_path)
     return comps
 

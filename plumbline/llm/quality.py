@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
 #: Shape of the model.
@@ -143,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     usable = labels.where((fold(F.col("doc_id")) != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     chosen = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     # at most `sample` rows of two numbers: the broadcast is bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = common.bounded(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
-from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,13 +75,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [(int(k[2:].split("_")[0]), k) for k in globals() if k.startswith("op") and k[2:3].isdigit()]
-    out = {k: globals()[k] for _, k in sorted(found)}
-    if find_spec("corpus_pipeline"):
-        import corpus_pipeline
+    import corpus_pipeline  # it imports this module
 
-        out["pipeline"] = corpus_pipeline.run
-    return out
+    found = [(int(k[2:].split("_")[0]), k) for k in globals() if k.startswith("op") and k[2:3].isdigit()]
+    return {k: globals()[k] for _, k in sorted(found)} | {"pipeline": corpus_pipeline.run}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -182,6 +177,6 @@ FROM d LEFT JOIN g USING (doc_id)
 def oracle_sql() -> dict[str, str]:
     owners = ",".join(map(str, sharding.fill(sharding.SHARDS)))
     out = {"op1_sharding": _OP1.replace("{owners}", owners), "op2_decontamination": _OP2, "op4_url_filter": _OP4, "op6_exact_dedup": _OP6, "op7_chat_format": _OP7, "op8_ngram_jaccard": _OP8, "op9_substring_dedup": _OP9}
-    if "corpus_pipeline" in sys.modules and sys.modules["corpus_pipeline"].ORACLE_SQL:
-        out["pipeline"] = sys.modules["corpus_pipeline"].ORACLE_SQL
-    return out
+    import corpus_pipeline
+
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

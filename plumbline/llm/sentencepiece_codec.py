@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
+
 _SPACE = "▁".encode()
 
 
@@ -150,7 +152,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
                 yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "ids", "starts", "ends"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, starts array<bigint>, ends array<bigint>")
+    return common.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, starts array<bigint>, ends array<bigint>")
 
 
 def decode(rows: DataFrame, model_file: str) -> DataFrame:
@@ -162,7 +164,7 @@ def decode(rows: DataFrame, model_file: str) -> DataFrame:
                 yield pa.record_batch([batch.column(0), pa.array([use.decode(x.as_py() or []) for x in batch.column(1)], pa.string())], names=["doc_id", "text"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return common.bounded(rows).select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def digests(docs: DataFrame, model_file: str) -> DataFrame:
@@ -180,4 +182,4 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spanned_bytes bigint")
+    return common.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spanned_bytes bigint")
