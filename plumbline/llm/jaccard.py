@@ -4,8 +4,8 @@ A document's set holds the hashes of its distinct k-word shingles (the whole wor
 two sets reach the similarity, each shares a token with the other inside its prefix, the first n - ceil(t n) + 1 tokens,
 under *every* total order of tokens. Three orders are used. All put frequent tokens last, as told by a sketch of counts
 over all documents, so prefixes hold rare tokens and buckets stay small; below that each order is a different hash.
-Candidates share a prefix token under the first order; the second and third, with longer prefixes of which more must be
-shared, are intersected with that before the texts are read and the sets compared exactly.
+Candidates share a prefix token under the first order; the second, with longer prefixes of which more must be shared, and
+the third are intersected with that before the texts are read and the sets compared exactly.
 
 Documents with equal sets are one node from the start, and `linking` finds components without making all pairs of a bucket.
 
@@ -65,27 +65,26 @@ def _sketch(spark: SparkSession, docs: DataFrame, k: int, cells: int) -> np.ndar
         for batch in batches:
             for text in batch.column(0):
                 np.add.at(sums, _cells(tokens(text.as_py(), k), cells), np.uint32(1))
-        sums = np.minimum(sums, 65535)  # far beyond what an order needs from one task
-        yield from chunks({i: sums[i * CHUNK : (i + 1) * CHUNK] for i in range(-(-cells // CHUNK))}, "<u2")
+        yield from chunks({i: sums[i * CHUNK : (i + 1) * CHUNK] for i in range(-(-cells // CHUNK))})
 
-    def chunks(parts: dict[int, np.ndarray], kind: str) -> Iterator[pa.RecordBatch]:
+    def chunks(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for i, part in sorted(parts.items()):
-            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype(kind).tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(zlib.decompress(blob.as_py()), "<u2").astype(np.uint64)
+                part = _unpacked(blob.as_py())
                 sums[i] = part + sums[i] if i in sums else part
-        yield from chunks({i: np.minimum(s, 2**32 - 1) for i, s in sums.items()}, "<u4")
+        yield from chunks(sums)
 
     schema = "chunk int, counts binary"
     parts = docs.select("text").mapInArrow(count, schema)
     rows = parts.repartition("chunk").mapInArrow(add, schema).collect()  # `cells` counters in all
     out = np.zeros(cells, np.uint8)
     for r in rows:
-        counts = np.frombuffer(zlib.decompress(bytes(r["counts"])), "<u4")
+        counts = _unpacked(bytes(r["counts"]))
         out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(counts)] = np.ceil(np.log2(np.maximum(counts, 1)))
     return out
 
@@ -100,6 +99,22 @@ def _levels(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return levels[_cells(found, len(levels))]
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Length, a bit for each counter that is not 0, and these less one, all low bytes first: most are 0 or 1."""
+    some = counts > 0
+    rest = np.minimum(counts[some] - 1, 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return len(counts).to_bytes(4, "little") + zlib.compress(np.packbits(some).tobytes() + rest.tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    size, raw = int.from_bytes(blob[:4], "little"), zlib.decompress(blob[4:])
+    bits = -(-size // 8)
+    out = np.zeros(size, np.uint64)
+    rest = np.ascontiguousarray(np.frombuffer(raw[bits:], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    out[np.unpackbits(np.frombuffer(raw[:bits], np.uint8), count=size).astype(bool)] = rest.astype(np.uint64) + np.uint64(1)
+    return out
+
+
 def _cells(found: np.ndarray, cells: int) -> np.ndarray:
     """Cell of each token: its upper 32 bits scaled to the number of cells."""
     return ((found >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
@@ -140,8 +155,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int, percent: int, levels) ->
     """(node, text, b, lb, c, lc) of the wanted (node, rep): what the second and third order need.
 
     If sets reach the similarity, their first n - ceil(t n) + l tokens share l or more, whatever the order. With l the size of
-    a plain prefix that is about half of them, a far stronger condition than one shared token. b and c are such longer
-    prefixes, 32 bits a token, lb and lc the number that must be shared (less what 32 bits make equal).
+    a plain prefix that is about half of them, a far stronger condition than one shared token. b is such a longer prefix, c a
+    plain one, 32 bits a token; lb and lc are the numbers that must be shared (less what 32 bits make equal).
     A node has two rows only if rows repeat its doc_id, which repeats links and nothing else.
     """
     rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
@@ -158,7 +173,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int, percent: int, levels) ->
                     texts.append(text)
                     level, p = _levels(found, levels.value), prefix_size(len(found), percent)
                     for i in (0, 1):
-                        size = min(len(found), 2 * p - 1)
+                        size = p if i else min(len(found), 2 * p - 1)
                         own = common.mix64(found ^ _ORDERS[i])[prefix(found, level, size, i + 1)]
                         own = np.unique((own & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
                         others[i].append(own)
