@@ -121,8 +121,8 @@ def _cells(found: np.ndarray, cells: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
-    """Per document: doc_id, node, n, and where the task meets the set first its prefix under the first order with its
-    tokens' levels."""
+    """Per document: doc_id, fp (of its text, tells apart rows that share an id), node, n, and where the task meets the set
+    first its prefix under the first order with its tokens' levels."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = OrderedDict()
         for whole in batches:
@@ -145,10 +145,10 @@ def _signatures(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
                     first = prefix(found, level, prefix_size(n, percent), 0)
                     a.append(found[first].view(np.int64))
                     hot.append(level[first].view(np.int8))
-                yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(a, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int8()))], names=["doc_id", "node", "n", "a", "hot"])
+                yield pa.record_batch([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(a, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int8()))], names=["doc_id", "fp", "node", "n", "a", "hot"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node bigint, n int, a array<bigint>, hot array<tinyint>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(run, f"doc_id {kind}, fp bigint, node bigint, n int, a array<bigint>, hot array<tinyint>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int, percent: int, levels) -> DataFrame:
@@ -295,6 +295,11 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cells: int | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id. cells: counters of the sketch, else as the size of the texts asks."""
+    return _placed(docs, k, percent, cells).drop("fp")
+
+
+def _placed(docs: DataFrame, k: int, percent: int, cells: int | None = None) -> DataFrame:
+    """groups, with fp."""
     spark = common.bounded(docs).sparkSession
     if cells is None:
         wanted = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_CELL
@@ -322,15 +327,16 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cells: int |
     across = linking.against_outsiders(rest, differences, ["node", "main"], matcher(percent))
     comps = linking.join_components(spark, comps, comps_paths, across)
     common.drop(spark, found_path, texts_path, links_path, rest_path, differences_path)
-    named = signatures.select("doc_id", "node", "n").join(comps, "node", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("comp", "node").alias("comp"))
+    named = signatures.select("doc_id", "fp", "node", "n").join(comps, "node", "left").select("doc_id", "fp", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("comp", "node").alias("comp"))
     smallest = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("smallest"))
-    return named.join(smallest, "comp", "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
+    return named.join(smallest, "comp", "left").select("doc_id", "fp", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, the one with the smallest doc_id; documents without words all stay.
 
-    Rows that repeat a doc_id: those of the kept id stay. Rows without doc_id stay if their component has no other id.
+    Rows that repeat a doc_id: those of the kept id stay. Rows without doc_id stay if their component has no other id. Each
+    row is judged by its own text, whatever happens to others with its doc_id or without one.
     """
-    gone = groups(docs, k, percent).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = _placed(docs, k, percent).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"), F.col("fp").alias("_fp")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_fp")), "left_anti")

@@ -390,6 +390,13 @@ def test_jaccard_cases(spark):
     assert sorted(x.doc_id for x in kept.collect()) == [1, 3] and kept.columns == docs_of(spark, [(1, "a")]).columns
 
 
+def test_jaccard_deduplicate_null_and_repeated_ids(spark):
+    a, near = "a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y zz"
+    rows = [(3, a), (None, near), (None, "clean text that nothing else is like"), (None, "alone " + "b " * 9), (5, "five " * 8), (7, "Five " * 8), (7, "other words in this row here"), (None, None)]
+    kept = sorted(((x.doc_id, x.text) for x in jaccard.deduplicate(docs_of(spark, rows)).collect()), key=str)
+    assert kept == sorted([rows[i] for i in (0, 2, 3, 4, 6, 7)], key=str)
+
+
 def test_components(spark):
     r = random.Random(11)
     edges = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(1, 30)] + [(r.randrange(500, 600), r.randrange(500, 600)) for _ in range(60)]
