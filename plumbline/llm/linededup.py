@@ -126,7 +126,7 @@ def distance_within(a: str, b: str, limit: int) -> bool:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.hash("text").alias("fp"), "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("fp"), "text")
 
 
 def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
@@ -257,9 +257,9 @@ def _occurrences(rows: DataFrame) -> DataFrame:
                             fps.append(fp)
                             places.append(i)
                             nodes.append(line_hash(line))
-                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(fps, pa.int32()), pa.array(places, pa.int32()), pa.array(nodes, pa.int64())], names=["doc", "fp", "pos", "node"])
+                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(fps, pa.int64()), pa.array(places, pa.int32()), pa.array(nodes, pa.int64())], names=["doc", "fp", "pos", "node"])
 
-    return rows.mapInArrow(run, "doc bigint, fp int, pos int, node bigint")
+    return rows.mapInArrow(run, "doc bigint, fp bigint, pos int, node bigint")
 
 
 def _removed(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
@@ -303,7 +303,7 @@ def remove(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     """docs with the text's kept lines, all other columns as they are."""
     gone = _removed(docs, edits, min_chars).withColumnsRenamed({"doc": "_doc", "fp": "_fp", "gone": "_gone"})
     key = F.coalesce(docs["doc_id"].cast("bigint"), F.lit(_LAST))
-    rows = docs.join(gone, (key == F.col("_doc")) & (F.hash(docs["text"]) == F.col("_fp")), "left").drop("_doc", "_fp")
+    rows = docs.join(gone, (key == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_fp")), "left").drop("_doc", "_fp")
     at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

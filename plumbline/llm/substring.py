@@ -52,12 +52,12 @@ def smallest_halves(h: np.ndarray, length: int) -> np.ndarray:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """doc (null ids last), fp (16 bits that tell apart rows that share an id), text."""
+    """doc (null ids last), fp (64 bits of the text, tell apart rows that share an id), text."""
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), _fp(F.col("text")).alias("fp"), "text")
 
 
 def _fp(text: F.Column) -> F.Column:
-    return F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int")
+    return F.xxhash64(text)
 
 
 def _halves(rows: DataFrame, length: int) -> DataFrame:
@@ -83,7 +83,7 @@ def _halves(rows: DataFrame, length: int) -> DataFrame:
                 k = np.unique(smallest_halves(hashes, length)).view(np.int64)
                 ks.append(k)
                 docs.append(np.full(len(k), doc, np.int64))
-                fps.append(np.full(len(k), fp, np.int32))
+                fps.append(np.full(len(k), fp, np.int64))
                 held += len(k)
                 if held > ROWS:
                     yield settle(np.concatenate(ks), np.concatenate(docs), np.concatenate(fps))
@@ -91,7 +91,7 @@ def _halves(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield settle(np.concatenate(ks), np.concatenate(docs), np.concatenate(fps))
 
-    return rows.mapInArrow(run, "kind byte, k bigint, doc bigint, fp int")
+    return rows.mapInArrow(run, "kind byte, k bigint, doc bigint, fp bigint")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
@@ -125,14 +125,14 @@ def _answered(asked: DataFrame) -> DataFrame:
         ok = repeated & (kind == 0)
         return pa.record_batch([pa.array(doc[ok]), pa.array(fp[ok]), pa.array(k[ok])], names=["doc", "fp", "k"])
 
-    return asked.select("kind", "k", "doc", "fp").repartition("k").sortWithinPartitions("k").mapInArrow(run, "doc bigint, fp int, k bigint")
+    return asked.select("kind", "k", "doc", "fp").repartition("k").sortWithinPartitions("k").mapInArrow(run, "doc bigint, fp bigint, k bigint")
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
     """e > 0: words [s, e) of the document go; e = 0: ask for the window at s. rows: doc, fp, text, ks.
 
-    A window is named by 80 bits, h and the upper 16 of x; x holds fp and s below them. Few and packed columns, as these are
-    the operator's most rows.
+    A window is named by 80 bits, h and the upper 16 of x; x holds s below them. fp stays whole beside it, so that runs only
+    reach the text they were made from. Few columns, as these are the operator's most rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
@@ -145,8 +145,8 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
                     continue
                 h = common.window_hashes(hashes, length)[at].view(np.int64)
                 g = common.window_hashes(common.mix64(hashes ^ _SECOND), length)[at] >> np.uint64(48)
-                x = (g << np.uint64(48) | np.uint64(fp << 32) | at.astype(np.uint64)).view(np.int64)
-                waiting.append((h, np.full(len(at), doc, np.int64), x))
+                x = (g << np.uint64(48) | at.astype(np.uint64)).view(np.int64)
+                waiting.append((h, np.full(len(at), doc, np.int64), np.full(len(at), fp, np.int64), x))
                 held += len(at)
                 if held > ROWS:
                     yield from settle([np.concatenate(c) for c in zip(*waiting)])
@@ -155,27 +155,27 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
             yield from settle([np.concatenate(c) for c in zip(*waiting)])
 
     def settle(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, doc, x = columns
+        h, doc, fp, x = columns
         order = np.lexsort((doc, x >> 48, h))
-        h, doc, x = h[order], doc[order], x[order]
+        h, doc, fp, x = h[order], doc[order], fp[order], x[order]
         g = x >> 48
         starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
         gone = doc > np.repeat(doc[starts], np.diff(np.concatenate((starts, [len(h)]))))
         ask = ~gone
-        yield made(h[ask], doc[ask], x[ask], np.zeros(int(ask.sum()), np.int32))
-        doc, at = doc[gone], x[gone] & 0xFFFFFFFFFFFF  # fp and place
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
+        yield made(h[ask], doc[ask], fp[ask], x[ask], np.zeros(int(ask.sum()), np.int32))
+        doc, fp, at = doc[gone], fp[gone], x[gone] & 0xFFFFFFFF
+        order = np.lexsort((at, fp, doc))
+        doc, fp, at = doc[order], fp[order], at[order]
         if len(doc):
-            cuts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + length))))
+            cuts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1]) | (at[1:] > at[:-1] + length))))
             last = np.concatenate((cuts[1:] - 1, [len(doc) - 1]))
             spread = common.mix64(doc[cuts].view(np.uint64) + at[cuts].view(np.uint64)).view(np.int64)  # any partition will do
-            yield made(spread, doc[cuts], at[cuts], ((at[last] & 0xFFFFFFFF) + length).astype(np.int32))
+            yield made(spread, doc[cuts], fp[cuts], at[cuts], (at[last] + length).astype(np.int32))
 
     def made(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c) for c in columns], names=["h", "doc", "x", "e"])
+        return pa.record_batch([pa.array(c) for c in columns], names=["h", "doc", "fp", "x", "e"])
 
-    return rows.mapInArrow(run, "h bigint, doc bigint, x bigint, e int")
+    return rows.mapInArrow(run, "h bigint, doc bigint, fp bigint, x bigint, e int")
 
 
 def _later(windows: DataFrame, length: int) -> DataFrame:
@@ -183,10 +183,10 @@ def _later(windows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # window and smallest document where the batch before ended
         for batch in batches:
-            h, doc, x, e = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            h, doc, fp, x, e = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             known, asked = e > 0, e == 0
-            out = [(doc[known], x[known], e[known])]
-            h, doc, x = h[asked], doc[asked], x[asked]
+            out = [(doc[known], fp[known], x[known], e[known])]
+            h, doc, fp, x = h[asked], doc[asked], fp[asked], x[asked]
             if len(h):
                 g = x >> 48
                 starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
@@ -195,12 +195,12 @@ def _later(windows: DataFrame, length: int) -> DataFrame:
                     smallest = np.concatenate(([last[2]], smallest[1:]))
                 ok = doc > np.repeat(smallest, np.diff(np.concatenate((starts, [len(h)]))))
                 last = (h[-1], g[-1], smallest[-1])
-                out.append((doc[ok], x[ok], ((x[ok] & 0xFFFFFFFF) + length).astype(np.int32)))
-            doc, x, e = (np.concatenate(c) for c in zip(*out))
-            yield pa.record_batch([pa.array(doc), pa.array((x >> 32 & 0xFFFF).astype(np.int32)), pa.array((x & 0xFFFFFFFF).astype(np.int32)), pa.array(e)], names=["doc", "fp", "s", "e"])
+                out.append((doc[ok], fp[ok], x[ok], ((x[ok] & 0xFFFFFFFF) + length).astype(np.int32)))
+            doc, fp, x, e = (np.concatenate(c) for c in zip(*out))
+            yield pa.record_batch([pa.array(doc), pa.array(fp), pa.array((x & 0xFFFFFFFF).astype(np.int32)), pa.array(e)], names=["doc", "fp", "s", "e"])
 
     ordered = windows.repartition("h").sortWithinPartitions("h", F.shiftright("x", 48), "doc")
-    return ordered.select("h", "doc", "x", "e").mapInArrow(run, "doc bigint, fp int, s int, e int")
+    return ordered.select("h", "doc", "fp", "x", "e").mapInArrow(run, "doc bigint, fp bigint, s int, e int")
 
 
 def _covered(docs: DataFrame, length: int) -> DataFrame:

@@ -446,6 +446,27 @@ def test_substring_cases(spark):
     assert substring.repeats(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_line_dedup_rows_without_id_that_share_a_hash(spark):
+    line = "a line that two documents have"
+    ids = spark.range(200_000).select(F.col("id").cast("string").alias("i"))
+    left = ids.select(F.concat(F.lit(line + "\n"), "i").alias("x")).withColumn("h", F.hash("x"))
+    right = ids.select(F.concat(F.lit("own words of number "), "i", F.lit("\nmore")).alias("y")).withColumn("h", F.hash("y"))
+    x, y = left.join(right, "h").orderBy("x").select("x", "y").first()
+    docs = docs_of(spark, [(1, line), (None, x), (None, y)])
+    assert sorted(r.n_removed for r in linededup.summarise(docs).where("doc_id is null").collect()) == [0, 1]
+    assert {r.text for r in linededup.remove(docs).where("doc_id is null").collect()} == {x.split("\n")[1], y}
+
+
+def test_substring_many_rows_without_id(spark):
+    """Short clean texts and longer ones that lose their ends, more than 16 bits can tell apart."""
+    t = " ".join(f"w{i}" for i in range(10))
+    rows = [(1, t)] + [(None, f"{'z' * (i % 9)} {'y ' * 40} long {i} {t}") for i in range(1000)] + [(None, f"clean {i} text short as can be {i} {i + 1} {i + 2} {i + 3}") for i in range(1000)]
+    got = substring.repeats(docs_of(spark, rows), 10).where("doc_id is null").collect()
+    assert sorted({(x.n_words > 12, x.n_removed) for x in got}) == [(False, 0), (True, 10)] and len(got) == 2000
+    cut = {x.text for x in substring.remove(docs_of(spark, rows), 10).where("doc_id is null").collect()}
+    assert {x for _, x in rows[1001:]} <= cut and not any(x.endswith("w9") for x in cut)
+
+
 # --- 10 SentencePiece --------------------------------------------------------------------------------------------------
 
 
