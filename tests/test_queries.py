@@ -40,3 +40,12 @@ def test_query_equals_sql(spark, duck, name):
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_used_types_reads_all_references(spark, monkeypatch):
+    from plumbline.operators import graphs
+
+    seen, whole = [], graphs.used_types
+    monkeypatch.setattr(graphs, "used_types", lambda refs, *rest: seen.append(refs) or whole(refs, *rest))
+    catalogue.queries()["q29_used_types"](spark, SF)
+    assert seen[0].count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
