@@ -4,7 +4,7 @@ A text is normalised by the model's own rule: at each place the longest prefix i
 its mapping, else one character is copied; spaces become U+2581, one is put in front, runs are trimmed if the model says
 so. Normalising records, for each normalised byte, the original byte it came from. The library encodes the text into
 pieces; a piece's length in normalised bytes places it, and the record projects it to a span of original bytes. That the
-spans cover the normalised text exactly is checked for every document.
+pieces' bytes are the normalised text is checked for every document.
 
 Defined cases: null counts as the empty text, which has no ids; lone surrogates cannot reach here from Spark; repeated rows
 each give a row; empty tables give no rows; extra columns are ignored by `encode` and kept by `annotate`.
@@ -74,8 +74,9 @@ class Codec:
         self.map = CharMap(spec.precompiled_charsmap)
         self.dummy_prefix, self.trim, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         is_byte = model.SentencePiece.BYTE if hasattr(model, "SentencePiece") else 6
-        # bytes that a piece takes of the normalised text; unknown pieces have no fixed length
-        self.sizes = np.array([1 if p.type == is_byte else -1 if p.type == 2 else len(p.piece.encode()) for p in model.pieces], np.int64)
+        # what a piece takes of the normalised text, and its length; unknown pieces have no fixed bytes
+        self.bytes = [bytes([int(p.piece[1:-1], 16)]) if p.type == is_byte else p.piece.encode() for p in model.pieces]
+        self.sizes = np.array([-1 if p.type == 2 else len(b) for p, b in zip(model.pieces, self.bytes)], np.int64)
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them (and the end) the original byte where it starts."""
@@ -125,10 +126,13 @@ class Codec:
         sizes = self.sizes[np.array(ids, np.int64)] if ids else np.empty(0, np.int64)
         if (sizes < 0).any():  # without byte fallback: an unknown piece takes what lies before the next known piece
             proto = self.processor.encode(text, out_type="immutable_proto")
-            sizes = np.array([len(p.piece.encode()) for p in proto.pieces], np.int64)
+            taken = [p.piece.encode() for p in proto.pieces]
+            sizes = np.array([len(b) for b in taken], np.int64)
+        else:
+            taken = [self.bytes[i] for i in ids]
         ends = np.cumsum(sizes)
-        if len(ends) and ends[-1] != len(normal):
-            raise ValueError(f"pieces take {ends[-1]} bytes of {len(normal)} normalised ones")
+        if len(ends) and b"".join(taken) != normal:
+            raise ValueError(f"pieces take {ends[-1]} bytes, which are not the {len(normal)} normalised ones")
         return ids, origin[ends - sizes], origin[ends]
 
     def decode(self, ids: list[int]) -> str:

@@ -475,6 +475,15 @@ def model():
     return queries.tokenizer_file()
 
 
+def test_sentencepiece_checks_bytes(model, monkeypatch):
+    codec = sentencepiece_codec.Codec(model)
+    codec.encode("abc déf \u4e2d \U0001f9ff \x07 ▁")
+    normalise = codec.normalise
+    monkeypatch.setattr(codec, "normalise", lambda t: (normalise(t)[0][::-1], normalise(t)[1]))
+    with pytest.raises(ValueError, match="not the"):
+        codec.encode("abc def")
+
+
 def test_sentencepiece_equals_library(spark, model):
     import sentencepiece
 
