@@ -8,7 +8,8 @@ crc32(doc_id) mod 5 is not 0; only their statistics are collected (about 30 numb
 are never inputs of a score.
 
 Defined cases: null counts as the empty text, which has all statistics 0 and a score like any other; null labels are not
-learned from, repeated labels each count; without labels every score is 0.5, with labels of one kind it is their smoothed
+learned from, repeated labels each count; a label whose doc_id has several texts is learned with the one of the smallest
+hash; without labels every score is 0.5, with labels of one kind it is their smoothed
 share; a null doc_id counts as held out; empty tables give no rows; extra columns are ignored or, by `keep`, passed through.
 """
 
@@ -143,17 +144,20 @@ def fold(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """labels: (doc_id, quality 0/1). Statistics of the sampled rows are made where their texts are read."""
     usable = labels.where((fold(F.col("doc_id")) != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    chosen = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).withColumn("row", F.monotonically_increasing_id())
     # at most `sample` rows of two numbers: the broadcast is bounded
-    rows = common.bounded(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = common.bounded(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", "row", F.xxhash64("text").alias("fp"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 x = statistics(part.column(2).to_pylist())
-                yield pa.record_batch([part.column(0).cast(pa.string()), part.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "quality", "x"])
+                yield pa.record_batch([part.column(0).cast(pa.string()), part.column(1), pa.array(list(x), pa.list_(pa.float64())), part.column(3), part.column(4)], names=["id", "quality", "x", "row", "fp"])
 
-    got = rows.mapInArrow(measure, "id string, quality int, x array<double>").toPandas().sort_values(["id", "quality"])
+    measured = rows.mapInArrow(measure, "id string, quality int, x array<double>, row bigint, fp bigint")
+    # a row for each label, however many rows have its doc_id
+    one = measured.groupBy("row").agg(F.min_by(F.struct("id", "quality", "x"), "fp").alias("m")).select("m.*")
+    got = one.toPandas().sort_values(["id", "quality"])
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, N_STATISTICS))
     return fit(x, got["quality"].to_numpy(np.float64))
 

@@ -251,6 +251,17 @@ def test_url_rules_and_reputation(spark):
 # --- 5 quality ---------------------------------------------------------------------------------------------------------
 
 
+def test_quality_learns_each_label_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((len(x), sorted(y.tolist()))))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)] + [(2, 0)], "doc_id bigint, quality int").where(quality.fold(F.col("doc_id")) != 0)
+    n = labels.count()
+    once = [(i, f"text {i}") for i in range(1, 5)]
+    quality.train(docs_of(spark, once), labels)
+    quality.train(docs_of(spark, once + [(i, f"other text {j}") for i in range(1, 5) for j in range(200)]), labels)
+    assert n > 1 and seen[0] == seen[1] and seen[0][0] == n
+
+
 def test_quality_accuracy_and_cases(spark):
     r = random.Random(8)
     clean = lambda: " ".join("".join(r.choices(string.ascii_lowercase, k=r.randint(2, 8))) for _ in range(r.randint(5, 60))) + "."
