@@ -2,28 +2,43 @@
 
 A text is normalised by the model's own rule: at each place the longest prefix in the compiled character map is replaced by
 its mapping, else one character is copied; spaces become U+2581, one is put in front, runs are trimmed if the model says
-so. Normalising records, for each normalised byte, the original byte it came from. The library encodes the text into
-pieces; a piece's length in normalised bytes places it, and the record projects it to a span of original bytes. That the
-pieces' bytes are the normalised text is checked for every document.
+so. Normalising records, for each normalised byte, the original byte where its character or prefix starts. The normalised
+text is then merged into pieces by this module's own byte-pair encoder, the best-scored neighbours first, and each piece is
+projected to a span of original bytes by what normalising recorded. A character that is no piece becomes its bytes, where the
+model has them (the last of which takes the character's whole span), else the unknown id.
 
-Defined cases: null counts as the empty text, which has no ids; lone surrogates cannot reach here from Spark; repeated rows
-each give a row; empty tables give no rows; extra columns are ignored by `encode` and kept by `annotate`.
+No piece of a usual model has U+2581 after another character, so what starts with U+2581 is encoded on its own and remembered;
+where a model has such pieces, whole texts are merged at once. Decoding is the library's.
+
+Defined cases: null counts as the empty text, which has no ids; lone surrogates cannot reach here from Spark; texts of any
+length are encoded whole, and words of any length (by a heap, so in n log n steps); repeated rows each give a row; neighbours
+with equal scores merge from the left; empty tables give no rows; extra columns, whatever their names, are ignored. Models
+that are not byte-pair models, or have user-defined symbols, are refused.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import re
 import struct
+from array import array
 from collections.abc import Iterator
-from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from . import common
 
-_SPACE = "▁".encode()
+_SPACE = "▁"
+#: A model's kinds of pieces, and of models.
+NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE, BPE = 1, 2, 3, 4, 5, 6, 2
+#: Characters of a word that is remembered, and words remembered.
+SHORT, REMEMBERED = 64, 300_000
+_NEVER = float("-inf")
 
 
 class CharMap:
@@ -35,20 +50,41 @@ class CharMap:
             size = struct.unpack("<I", blob[:4])[0]
             self.units = np.frombuffer(blob[4 : 4 + size], "<u4")
             self.values = blob[4 + size :]
+        starts = sorted(self._starts())
+        self.some = re.compile("[" + "".join(map(re.escape, starts)) + "]") if starts else None
+
+    def _step(self, node: int, byte: int) -> tuple[int, int] | None:
+        """(unit, its children's base) of the child that `byte` leads to."""
+        at = node ^ byte
+        unit = int(self.units[at]) if at < len(self.units) else 0x80000000
+        return (unit, at ^ (unit >> 10) << ((unit & 0x200) >> 6)) if unit & 0x800000FF == byte else None
+
+    def _root(self) -> int:
+        unit = int(self.units[0])
+        return (unit >> 10) << ((unit & 0x200) >> 6)
+
+    def _starts(self) -> Iterator[str]:
+        """Characters that a prefix in the map starts with."""
+        waiting = [(b"", self._root())] if len(self.units) else []
+        while waiting:
+            key, node = waiting.pop()
+            for byte in range(1, 256):
+                if (found := self._step(node, byte)) is not None:
+                    longer = key + bytes([byte])
+                    if len(longer) == _char_size(longer[0]):
+                        yield longer.decode()
+                    else:
+                        waiting.append((longer, found[1]))
 
     def longest(self, raw: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest prefix of raw[at:] in the map, and its replacement."""
         if not len(self.units):
             return None
-        node, best = 0, None
-        unit = int(self.units[0])
-        node ^= (unit >> 10) << ((unit & 0x200) >> 6)
+        node, best = self._root(), None
         for i in range(at, len(raw)):
-            node ^= raw[i]
-            unit = int(self.units[node]) if node < len(self.units) else 0x80000000
-            if unit & 0x800000FF != raw[i]:
+            if (found := self._step(node, raw[i])) is None:
                 break
-            node ^= (unit >> 10) << ((unit & 0x200) >> 6)
+            unit, node = found
             if unit >> 8 & 1:
                 value = int(self.units[node]) & 0x7FFFFFFF
                 best = (i + 1 - at, self.values[value : self.values.index(b"\0", value)])
@@ -59,96 +95,221 @@ def _char_size(lead: int) -> int:
     return 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
 
 
+def _char_starts(raw: bytes, first: int) -> np.ndarray:
+    """For each byte, the place where its character starts, counted from `first`."""
+    at = np.arange(first, first + len(raw))
+    return np.maximum.accumulate(np.where(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80, at, 0))
+
+
 class Codec:
-    """A model's normaliser, with alignment, and the library's encoder and decoder."""
+    """A model's normaliser with alignment, its byte-pair encoder, and the library's decoder."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, blob: bytes):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
-        with open(model_file, "rb") as f:
-            blob = f.read()
         model = sentencepiece_model_pb2.ModelProto.FromString(blob)
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=blob)
+        kinds = {p.type for p in model.pieces}
+        if model.trainer_spec.model_type != BPE or USER_DEFINED in kinds:
+            raise ValueError("only byte-pair models without user-defined symbols are encoded")
         spec = model.normalizer_spec
         self.map = CharMap(spec.precompiled_charsmap)
         self.dummy_prefix, self.trim, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
-        is_byte = model.SentencePiece.BYTE if hasattr(model, "SentencePiece") else 6
-        # what a piece takes of the normalised text, and its length; unknown pieces have no fixed bytes
-        self.bytes = [bytes([int(p.piece[1:-1], 16)]) if p.type == is_byte else p.piece.encode() for p in model.pieces]
-        self.sizes = np.array([-1 if p.type == 2 else len(b) for p, b in zip(model.pieces, self.bytes)], np.int64)
+        self.suffix = model.trainer_spec.treat_whitespace_as_suffix
+        self.scores = {p.piece: p.score for p in model.pieces if p.type in (NORMAL, UNUSED)}
+        self.unused = {p.piece for p in model.pieces if p.type == UNUSED}
+        self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (NORMAL, UNUSED)}
+        self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == UNKNOWN), 0)
+        self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE} if model.trainer_spec.byte_fallback else {}
+        # two characters that stand side by side in no piece are never merged
+        self.side_by_side = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        inside = any(_SPACE in p.lstrip(_SPACE) for p in self.scores)
+        self.word = re.compile(r"(?s).+" if inside else f"(?s){_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
+        self.known: dict[str, tuple[bytes, bytes, str]] = {}
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=blob)
+
+    def _mapped(self, text: str, raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The text after the map; for each byte its origin, and where its character or replacement starts, or -1 for what comes
+        after a replacement's leading blanks."""
+        parts, origins, heads, at, done, size = [], [], [], 0, 0, 0
+        place = 0  # bytes before character `done`
+        for found in self.map.some.finditer(text) if self.map.some else ():
+            if found.start() < done:
+                continue
+            place += len(text[done : found.start()].encode())
+            hit = self.map.longest(raw, place)
+            done = found.start()
+            if hit is None:
+                continue
+            step, new = hit
+            parts += [raw[at:place], new]
+            origins += [_char_starts(raw[at:place], at), np.full(len(new), place)]
+            heads += [np.arange(size, size + place - at), np.full(len(new), -1)]
+            size += place - at
+            heads[-1][: len(new) - len(new.lstrip(b" "))] = size
+            size += len(new)
+            done += len(raw[place : place + step].decode())
+            at = place = place + step
+        parts.append(raw[at:])
+        origins.append(_char_starts(raw[at:], at))
+        heads.append(np.arange(size, size + len(raw) - at))
+        return b"".join(parts), np.concatenate(origins), np.concatenate(heads)
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them (and the end) the original byte where it starts."""
         raw = text.encode("utf-8", "surrogatepass")
-        space = _SPACE if self.escape else b" "
-        if not len(self.map.units) and not self.trim:  # nothing to map: only spaces change size
-            prefix = space if self.dummy_prefix and raw else b""
-            out = prefix + raw.replace(b" ", space)
-            source = np.frombuffer(raw, np.uint8)
-            width = np.where(source == 32, len(space), 1)
-            return out, np.concatenate((np.zeros(len(prefix), np.int64), np.repeat(np.arange(len(raw)), width), [len(raw)]))
-        pieces: list[tuple[bytes, int]] = []
-        at = 0
-        while at < len(raw):
-            found = self.map.longest(raw, at)
-            step, new = found or (_char_size(raw[at]), raw[at : at + _char_size(raw[at])])
-            pieces.append((new, at))
-            at += step
+        out, origin, head = self._mapped(text, raw)
+        begin, end, blank = 0, len(raw), np.frombuffer(out, np.uint8) == 32
         if self.trim:
-            while pieces and pieces[0][0] in (b" ", b""):
-                pieces.pop(0)
-            while pieces and pieces[-1][0] in (b" ", b""):
-                pieces.pop()
-        out, origin = bytearray(), []
-        if self.dummy_prefix and pieces:
-            out += space
-            origin += [pieces[0][1]] * len(space)
-        after_space = self.trim and bool(pieces)
-        for new, start in pieces:
-            for i in range(len(new)):
-                if new[i] != 32:
-                    out.append(new[i])
-                    origin.append(start)
-                    after_space = False
-                elif not (self.trim and after_space):
-                    out += space
-                    origin += [start] * len(space)
-                    after_space = self.trim
-        return bytes(out), np.array([*origin, len(raw)], np.int64)
+            while begin < len(raw) and (found := self.map.longest(raw, begin) or (1, raw[begin : begin + 1]))[1] == b" ":
+                begin += found[0]
+            solid = np.flatnonzero(~blank)
+            if not len(solid):
+                return b"", np.array([end])
+            # blanks that follow a blank go, but not those that a replacement has inside
+            keep = ~blank | (head < 0) | ~np.concatenate(([True], blank[:-1]))[head]
+            keep[: solid[0]] = False
+            out, origin, blank = np.frombuffer(out, np.uint8)[keep].tobytes(), origin[keep], blank[keep]
+        space = _SPACE.encode() if self.escape else b" "
+        if self.dummy_prefix and raw and not self.suffix:
+            out, origin, blank = b" " + out, np.concatenate(([begin], origin)), np.concatenate(([True], blank))
+        origin = np.repeat(origin, np.where(blank, len(space), 1))
+        out = out.replace(b" ", space)
+        while self.trim and out.endswith(space):
+            out, end, origin = out[: -len(space)], int(origin[-len(space)]), origin[: -len(space)]
+        if self.dummy_prefix and raw and self.suffix:
+            out, origin = out + space, np.concatenate((origin, np.full(len(space), end)))
+        return out, np.concatenate((origin, [end]))
+
+    def pieces(self, part: str) -> list[str]:
+        """Merges the characters of a part, the neighbours with the best score first, from the left where scores are equal."""
+        made: dict[str, tuple[str, str]] = {}
+        out = (self._by_scan if len(part) <= SHORT else self._by_heap)(part, made)
+        while self.unused and any(s in self.unused and s in made for s in out):
+            out = [x for s in out for x in (made[s] if s in self.unused and s in made else (s,))]
+        return out
+
+    def _by_scan(self, part: str, made: dict[str, tuple[str, str]]) -> list[str]:
+        """Few symbols: the best pair is looked up among all of them each time."""
+        score, symbols = self.scores.get, list(part)
+        pairs = [score(a + b, _NEVER) for a, b in zip(symbols, symbols[1:])]
+        while pairs and (best := max(pairs)) > _NEVER:
+            i = pairs.index(best)
+            pair = symbols[i] + symbols[i + 1]
+            if pair in self.unused:
+                made[pair] = (symbols[i], symbols[i + 1])
+            symbols[i : i + 2] = [pair]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(symbols[i - 1] + pair, _NEVER)
+            if i < len(pairs):
+                pairs[i] = score(pair + symbols[i + 1], _NEVER)
+        return symbols
+
+    def _by_heap(self, part: str, made: dict[str, tuple[str, str]]) -> list[str]:
+        scores, symbols = self.scores, list(part)
+        before, after = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
+        heap = [(-scores[pair], i, pair) for i, pair in enumerate(map(str.__add__, symbols, symbols[1:])) if pair in scores]
+        heapq.heapify(heap)
+        while heap:
+            _, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or not symbols[i] or symbols[i] + symbols[j] != pair:
+                continue
+            if pair in self.unused:
+                made[pair] = (symbols[i], symbols[j])
+            symbols[i], symbols[j], after[i] = pair, "", after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+                if (new := pair + symbols[after[i]]) in scores:
+                    heapq.heappush(heap, (-scores[new], i, new))
+            if before[i] >= 0 and (new := symbols[before[i]] + pair) in scores:
+                heapq.heappush(heap, (-scores[new], before[i], new))
+        return [s for s in symbols if s]
+
+    def _encoded_part(self, part: str) -> tuple[bytes, bytes, str]:
+        ids, sizes = [], []
+        for piece in self.pieces(part) if len(part) > 1 else (part,):
+            if (known := self.ids.get(piece)) is not None:
+                ids.append(known)
+                sizes.append(len(piece.encode()))
+            elif self.byte_ids:
+                raw = piece.encode()
+                ids += [self.byte_ids[b] for b in raw]
+                sizes += repeat(1, len(raw))
+            else:
+                ids.append(self.unknown)
+                sizes.append(len(piece.encode()))
+        return array("i", ids).tobytes(), array("i", sizes).tobytes(), ",".join(map(str, ids))
+
+    def _of(self, word: str, cut: bool) -> tuple[bytes, bytes, str]:
+        """ids and sizes in normalised bytes as 32-bit numbers, and ids as text; cut: where no merge can cross."""
+        if (found := self.known.get(word)) is not None:
+            return found
+        joined, parts = self.side_by_side, [word]
+        if cut and (cuts := [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]):
+            parts = [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
+        if len(parts) > 1:
+            found = self._together([self._of(x, False) for x in parts])
+        else:
+            found = self._encoded_part(word)
+        if len(word) <= SHORT:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = found
+        return found
+
+    @staticmethod
+    def _together(parts: list[tuple[bytes, bytes, str]]) -> tuple[bytes, bytes, str]:
+        return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]), ",".join([p[2] for p in parts])
+
+    def encoded(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+        """ids, the original byte where each piece starts and ends, and the ids as text, joined by commas."""
+        normal, origin = self.normalise(text) if text else (b"", np.zeros(1, np.int64))
+        ids, sizes, said = self._together([self._of(word, True) for word in self.word.findall(normal.decode("utf-8", "surrogatepass"))])
+        ids, sizes = np.frombuffer(ids, np.int32), np.frombuffer(sizes, np.int32)
+        if not self.byte_ids and len(ids):  # neighbouring unknown pieces are one
+            first = np.ones(len(ids), bool)
+            first[1:] = (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)
+            if not first.all():
+                at = np.flatnonzero(first)
+                ids, sizes = ids[at], np.add.reduceat(sizes, at)
+                said = ",".join(map(str, ids.tolist()))
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return ids, origin[ends - sizes], origin[ends], said
 
     def encode(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
         """ids, and the original byte where each piece starts and ends."""
-        if not text:
-            return [], np.empty(0, np.int64), np.empty(0, np.int64)
-        ids = self.processor.encode(text, num_threads=1)
-        normal, origin = self.normalise(text)
-        sizes = self.sizes[np.array(ids, np.int64)] if ids else np.empty(0, np.int64)
-        if (sizes < 0).any():  # without byte fallback: an unknown piece takes what lies before the next known piece
-            proto = self.processor.encode(text, out_type="immutable_proto")
-            taken = [p.piece.encode() for p in proto.pieces]
-            sizes = np.array([len(b) for b in taken], np.int64)
-        else:
-            taken = [self.bytes[i] for i in ids]
-        ends = np.cumsum(sizes)
-        if len(ends) and b"".join(taken) != normal:
-            raise ValueError(f"pieces take {ends[-1]} bytes, which are not the {len(normal)} normalised ones")
-        return ids, origin[ends - sizes], origin[ends]
+        ids, starts, ends, _ = self.encoded(text)
+        return ids.tolist(), starts, ends
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids) if ids else ""
 
 
-@cache
-def codec(model_file: str) -> Codec:
-    """One per worker process."""
-    return Codec(model_file)
+_codecs: dict[bytes, Codec] = {}
+
+
+def codec(blob: bytes) -> Codec:
+    """One for each model in a worker process."""
+    key = hashlib.sha256(blob).digest()
+    if key not in _codecs:
+        _codecs[key] = Codec(blob)
+    return _codecs[key]
+
+
+def _model(docs: DataFrame, model_file: str) -> Broadcast:
+    """The model's bytes, read where the driver is: executors need not have the file. Models are a few MB, whatever the input."""
+    with open(model_file, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, ids, starts, ends (spans of original bytes)."""
+    blob = _model(docs, model_file)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(model_file)
+        use = codec(blob.value)
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 rows = [use.encode(t.as_py()) for t in batch.column(1)]
@@ -156,34 +317,38 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
                 yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "ids", "starts", "ends"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return common.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, starts array<bigint>, ends array<bigint>")
+    return common.bounded(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, starts array<bigint>, ends array<bigint>")
 
 
 def decode(rows: DataFrame, model_file: str) -> DataFrame:
     """doc_id, text of (doc_id, ids)."""
+    blob = _model(rows, model_file)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(model_file)
+        use = codec(blob.value)
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 yield pa.record_batch([batch.column(0), pa.array([use.decode(x.as_py() or []) for x in batch.column(1)], pa.string())], names=["doc_id", "text"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return common.bounded(rows).select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return common.bounded(rows.select("doc_id", "ids")).mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def digests(docs: DataFrame, model_file: str) -> DataFrame:
     """Per document, in one pass over encode and decode: doc_id, n_tokens, ids_sha256, decoded_sha256, spanned_bytes."""
+    blob = _model(docs, model_file)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(model_file)
+        use = codec(blob.value)
         for batch in batches:
             out = []
             for text in batch.column(1):
-                ids, starts, ends = use.encode(text.as_py())
-                back = use.decode(ids)
-                out.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), int((ends - starts).sum())))
+                ids, starts, ends, said = use.encoded(text.as_py())
+                back = use.decode(ids.tolist())
+                out.append((len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), int((ends - starts).sum())))
             columns = list(zip(*out)) or [()] * 4
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return common.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spanned_bytes bigint")
+    return common.bounded(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spanned_bytes bigint")
