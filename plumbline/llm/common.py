@@ -1,7 +1,9 @@
-"""What several operators share: staged tables, ASCII word rules and 64-bit word hashes."""
+"""What several operators share: staged tables, row numbers, ASCII word rules and 64-bit word hashes."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import hashlib
 import tempfile
@@ -10,7 +12,9 @@ import uuid
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 #: ASCII white space, which separates words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -23,9 +27,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where executors are threads of the driver, as in
+    tests, a temporary folder stands in for it; on a cluster without the setting there is no folder to use."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("plumbline.shared.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("plumbline.shared.dir", base)
     return base.rstrip("/")
@@ -46,13 +54,36 @@ def bounded(docs: DataFrame) -> DataFrame:
     return docs
 
 
+#: Staged tables that results still read, by the application that made them.
+_staged: dict[str, list[str]] = {}
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str, free: bool = True) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    drop() removes it when no later plan reads it; what results still read is removed by release(), at the latest when the
+    driver ends.
+    """
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _staged:
+        atexit.register(_at_end)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     if free:
         free_shuffles(spark)
-    return spark.read.parquet(path), path
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the staged tables of this application. Results of the operators can't be read any more after that."""
+    for path in _staged.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _at_end() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        if (spark := SparkSession.getActiveSession()) is not None:
+            release(spark)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -68,9 +99,54 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def drop(spark: SparkSession, *paths: str) -> None:
     """Remove staged tables that no later plan reads."""
+    known = _staged.get(spark.sparkContext.applicationId, [])
     for p in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, p)
+        if p in known:
+            known.remove(p)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (stem, *(f"{stem}_{i}" for i in range(len(taken) + 1))) if n.lower() not in taken)
+
+
+#: Order of rows without doc_id: after all others.
+LAST = np.iinfo(np.int64).max
+
+
+def numbered(docs: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, str]:
+    """(uid, doc, row) of docs as a staged table, and its path.
+
+    uid is the row's own number, fixed when it is written, so rows with equal ids, or none, are never taken for each other;
+    row has the given columns (else all), where no name can clash with another; doc is a number with the order of doc_id,
+    whatever its type, LAST for null. Whole numbers are their own order; others, and a column that holds LAST itself, are
+    numbered by a sort of the different values.
+    """
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    row = F.struct(*[docs[c] for c in columns or docs.columns]).alias("row")
+    uid = F.monotonically_increasing_id().alias("uid")
+    whole = isinstance(kind, (ByteType, ShortType, IntegerType, LongType))
+    if whole and not (isinstance(kind, LongType) and not docs.where(docs["doc_id"] == LAST).isEmpty()):
+        return stage(spark, docs.select(uid, F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST)).alias("doc"), row), "rows")
+    # partitions of a sort are in order, and so are these numbers
+    different = docs.select(docs["doc_id"].alias("id")).where("id is not null").distinct()
+    ranks, path = stage(spark, different.orderBy("id").select("id", F.monotonically_increasing_id().alias("doc")), "order")
+    rows = docs.select(docs["doc_id"].alias("id"), row).join(ranks, "id", "left")
+    out = stage(spark, rows.select(uid, F.coalesce("doc", F.lit(LAST)).alias("doc"), "row"), "rows")
+    drop(spark, path)
+    return out
+
+
+def fields(row: Column, docs: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """The columns of docs out of numbered()'s row."""
+    return [row.getField(c).alias(c) for c in columns or docs.columns]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
