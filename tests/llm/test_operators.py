@@ -486,13 +486,49 @@ def model():
     return queries.tokenizer_file()
 
 
-def test_sentencepiece_checks_bytes(model, monkeypatch):
-    codec = sentencepiece_codec.Codec(model)
-    codec.encode("abc déf \u4e2d \U0001f9ff \x07 ▁")
-    normalise = codec.normalise
-    monkeypatch.setattr(codec, "normalise", lambda t: (normalise(t)[0][::-1], normalise(t)[1]))
-    with pytest.raises(ValueError, match="not the"):
-        codec.encode("abc def")
+def changed(model, **how):
+    """The model with another normaliser or without byte pieces, as bytes."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto.FromString(open(model, "rb").read())
+    for k, v in how.items():
+        if k == "no_bytes":
+            m.trainer_spec.byte_fallback = False
+            for p in m.pieces:
+                p.type = 3 if p.type == 6 else p.type
+        elif k == "unused":
+            for p in m.pieces:
+                p.type = 5 if p.piece in v else p.type
+        else:
+            setattr(m.normalizer_spec, k, v)
+    return m.SerializeToString()
+
+
+MAPPED = {"ﬁ".encode(): b"fi", b"\t": b" ", "Ⅳ".encode(): b"IV", b"ab": b"  x y ", b"a": b"A", "é".encode(): "e\u0301".encode(), "\u200d".encode(): b"", "日本".encode(): "語".encode(), b"q": b" "}
+
+
+@pytest.mark.parametrize("how", [{}, {"remove_extra_whitespaces": True}, {"add_dummy_prefix": False}, {"no_bytes": True}, {"no_bytes": True, "remove_extra_whitespaces": True}, {"unused": {"▁the", "in", "er"}}, {"map": True}, {"map": True, "remove_extra_whitespaces": True}, {"map": True, "no_bytes": True}], ids=str)
+def test_own_encoder_and_spans_equal_the_library(model, how):
+    import sentencepiece
+
+    blob = changed(model, **({k: v for k, v in how.items() if k != "map"} | ({"precompiled_charsmap": double_array(MAPPED)} if "map" in how else {})))
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=blob), sentencepiece_codec.Codec(blob)
+    r = random.Random(repr(how))
+    texts = ["".join(r.choices("abqx the inner/<s>\t\n  ▁éñ日本語😀\x00\x07ﬁⅣ\u0301\u200d#|", k=r.randint(0, 40))) for _ in range(1500)] + ["x" * 20_000, "日本" * 3000, " " * 500, "the inner " * 2000]
+    for t in texts:
+        ids, starts, ends = own.encode(t)
+        pieces = library.encode(t, return_type="proto").pieces
+        assert ids == [p.id for p in pieces], t
+        assert list(zip(starts.tolist(), ends.tolist())) == [(p.begin, p.end) for p in pieces], t
+
+
+def test_sentencepiece_refuses_other_models(model):
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto.FromString(open(model, "rb").read())
+    m.trainer_spec.model_type = 1
+    with pytest.raises(ValueError, match="byte-pair"):
+        sentencepiece_codec.Codec(m.SerializeToString())
 
 
 def test_sentencepiece_equals_library(spark, model):
@@ -546,7 +582,7 @@ def double_array(entries):
             place(node[b], base ^ b)
 
     place(trie, 0)
-    n = max(units) + 1
+    n = -(-(max(units) + 1) // 256) * 256  # whole blocks of 1024 bytes
     blob = np.array([units.get(i, 0x80000000) for i in range(n)], "<u4").tobytes()
     return len(blob).to_bytes(4, "little") + blob + values
 
@@ -563,7 +599,7 @@ def test_character_map_takes_the_longest_prefix():
 
 
 def test_normalisation_keeps_origins(model):
-    c = sentencepiece_codec.Codec(model)
+    c = sentencepiece_codec.Codec(open(model, "rb").read())
     c.map = sentencepiece_codec.CharMap(double_array({"ﬁ".encode(): b"fi", b"\t": b" "}))
     out, origin = c.normalise("aﬁ\tb")
     assert out.decode() == "▁afi▁b" and origin.tolist() == [0, 0, 0, 0, 1, 1, 4, 4, 4, 5, 6]
