@@ -313,7 +313,7 @@ def _placed(docs: DataFrame, k: int, percent: int, cells: int | None = None) ->
     def compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * np.minimum(a, b).astype(np.int64) >= percent * np.maximum(a, b).astype(np.int64)
 
-    pairs, members, found_path = linking.first_round(spark, rows, compatible)
+    pairs, members, found_path = linking.first_round(spark, linking.salted(rows), compatible)
     nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).union(members.select("node")).distinct()
     reps = signatures.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     texts, texts_path = common.stage(spark, _texts(docs, reps.join(nodes, "node"), k, percent, levels), "jaccard-texts")
@@ -325,7 +325,7 @@ def _placed(docs: DataFrame, k: int, percent: int, cells: int | None = None) ->
     rest, rest_path = common.stage(spark, every.join(near, ["key", "node"]), "open")
     differences, differences_path = common.stage(spark, _differences(rest.select("node", "main").distinct(), texts, k), "differences")
     across = linking.against_outsiders(rest, differences, ["node", "main"], matcher(percent))
-    comps = linking.join_components(spark, comps, comps_paths, across)
+    comps, _ = linking.join_components(spark, comps, comps_paths, across)
     common.drop(spark, found_path, texts_path, links_path, rest_path, differences_path)
     named = signatures.select("doc_id", "fp", "node", "n").join(comps, "node", "left").select("doc_id", "fp", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("comp", "node").alias("comp"))
     smallest = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("smallest"))

@@ -5,11 +5,18 @@ EDITS. A line of length l is cut into EDITS+1 segments; a line within the distan
 its place. Each line is entered under its own segments and under those substrings that a shorter or equally long line's
 segments could be, for each such length and at the few places that matter, so near-duplicates meet in a bucket. Pairs are
 verified by a banded bit-parallel edit distance; `linking` finds classes (chains of near-duplicates) without making all
-pairs of a bucket. Of each class the first line stays: smallest doc_id, then first in the text.
+pairs of a bucket. Of each class the first line stays: smallest doc_id, then first in the input, then first in the text.
+
+Where a segment is common (the time stamp of a log, a form's heading) and its lines are of many classes, the bucket is split
+by the same rule once more: without the common segment, what is left of two near-duplicates is within the distance too, so it
+has a segment in common as well, and the lines meet under both. That repeats, up to ROUNDS times, while buckets are large;
+what is still together then differs in little, and is compared in blocks behind a filter of character counts.
 
 Defined cases: null and empty texts have no lines to remove; lines of ASCII white space only always stay; lengths count
-code points; null ids come last; rows with equal doc_id and text are one document and lose the same lines; empty tables give
-no rows; extra columns are ignored by `classes`, kept by `remove`. Lines are told apart by 64-bit hashes.
+code points; very long lines are compared whole, in steps in proportion to their length; null ids come last; doc_id may be of
+any type that can be ordered; rows with one doc_id, repeated ones too, are documents of their own, in the order in which the
+input is read; empty tables give no rows; extra columns, whatever their names, are ignored by `summarise`, kept by `remove`.
+Lines are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +36,8 @@ from . import linking, common
 EDITS, MIN_CHARS = 2, 20
 #: Different lines that a map task remembers, so that it enters a repeated line once.
 REMEMBERED = 400_000
-_LAST = np.iinfo(np.int64).max
+#: How often, at most, a bucket with many classes is split by a further segment; and characters compared in one step.
+ROUNDS, STEP = 3, 1024
 
 
 def line_hash(line: str) -> int:
@@ -99,17 +107,16 @@ def distance_within(a: str, b: str, limit: int) -> bool:
         return len(b) <= limit
     width = 2 * limit + 1
     full, centre = (1 << width) - 1, limit
-    where: dict[str, int] = {}  # character -> bit j for its places in b
-    for j, c in enumerate(b):
-        where[c] = where.get(c, 0) | 1 << j
     reach = [0] * (limit + 1)
     for e in range(limit + 1):  # row 0: e insertions of b's first characters
         reach[e] = ((1 << (e + 1)) - 1) << centre & full
+    where: dict[str, int] = {}  # character -> bit j for its places in this step's part of b
     for i, c in enumerate(a):
-        # bit d: a[i] equals b[i + d - centre]
-        places = where.get(c, 0)
-        start = i - centre
-        match = (places >> start if start >= 0 else places << -start) & full
+        if i % STEP == 0:
+            where.clear()
+            for j in range(max(0, i - centre), min(len(b), i + STEP + centre)):
+                where[b[j]] = where.get(b[j], 0) | 1 << j - i + centre
+        match = where.get(c, 0) >> i % STEP & full  # bit d: a[i] equals b[i + d - centre]
         now = [0] * (limit + 1)
         for e in range(limit + 1):
             bits = reach[e] & match  # the same character: same diagonal
@@ -125,26 +132,70 @@ def distance_within(a: str, b: str, limit: int) -> bool:
     return bool(reach[limit] >> (centre + len(b) - len(a)) & 1)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("fp"), "text")
+def _plans(edits: int):
+    """probes of a length, remembered."""
+    plans: dict[int, list[tuple[int, int, int, int]]] = {}
+
+    def of(length: int) -> list[tuple[int, int, int, int]]:
+        if (plan := plans.get(length)) is None:
+            if len(plans) > 5000:
+                plans.clear()
+            plan = plans[length] = probes(length, edits)
+        return plan
+
+    return of
+
+
+class Dealer:
+    """Collects (key, node, size) rows and gives them out as linking.DEALT, a key's rows of many spread over parts.
+
+    Of a key with over 1/HOT of the rows at hand all go to parts by node, and one of them to the key's own part as well, marked
+    with the key, so that this part knows that it is not the whole bucket. It takes no count over all tasks: a key that is
+    common in the input is common in nearly every task, and what few rows of it others hold go to its own part.
+    """
+
+    ROWS, HOT, PARTS = 500_000, 256, 256
+
+    def __init__(self):
+        self.keys, self.nodes, self.sizes, self.counts = [], [], [], []
+
+    def add(self, keys: list[int], node: int, size: int) -> None:
+        self.keys += keys
+        self.nodes.append(node)
+        self.sizes.append(size)
+        self.counts.append(len(keys))
+
+    def full(self) -> bool:
+        return len(self.keys) >= self.ROWS
+
+    def deal(self) -> list[np.ndarray]:
+        """part, node, size, key (0: as the part), and the place of each row among those added; marked copies last."""
+        key = np.maximum(np.array(self.keys, np.uint64), 1)
+        row = np.arange(len(key))
+        node, size = (np.repeat(np.array(x, t), self.counts) for x, t in ((self.nodes, np.int64), (self.sizes, np.int32)))
+        for x in (self.keys, self.nodes, self.sizes, self.counts):
+            x.clear()
+        different, first, where, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        common_ones = n > max(len(key) // self.HOT, self.HOT)
+        hot = common_ones[where]
+        salt = common.mix64(node.view(np.uint64)) % np.uint64(self.PARTS)
+        part = np.where(hot, common.mix64(key + common.mix64(salt + np.uint64(1))), key)
+        named = np.where(hot, key, 0)
+        mark = first[common_ones]
+        out = [np.concatenate((x, y)) for x, y in zip((part.view(np.int64), node, size, named.view(np.int64), row), (key[mark].view(np.int64), node[mark], size[mark], key[mark].view(np.int64), mark))]
+        return out
 
 
 def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(key, node, size) of every line that can have a near-duplicate, repeated ones once for each task."""
+    """linking.DEALT of every line that can have a near-duplicate, repeated ones once for each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        plans: dict[int, list[tuple[int, int, int, int]]] = {}
+        plan_of, digest, dealer = _plans(edits), xxhash.xxh3_64_intdigest, Dealer()
         seen: OrderedDict[int, None] = OrderedDict()
-        keys, nodes, sizes, counts = [], [], [], []
-        digest = xxhash.xxh3_64_intdigest
 
         def flush() -> pa.RecordBatch:
-            node, size = np.array(nodes, np.int64), np.array(sizes, np.int32)
-            out = pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(node, counts)), pa.array(np.repeat(size, counts))], names=["key", "node", "size"])
-            for x in (keys, nodes, sizes, counts):
-                x.clear()
-            return out
+            return pa.record_batch([pa.array(c) for c in dealer.deal()[:4]], names=["part", "node", "size", "key"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -157,21 +208,13 @@ def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                     seen[node] = None
                     if len(seen) > REMEMBERED:
                         seen.popitem(last=False)
-                    n = len(line)
-                    if (plan := plans.get(n)) is None:
-                        if len(plans) > 5000:
-                            plans.clear()
-                        plan = plans[n] = probes(n, edits)
-                    keys.extend([digest(line[at : at + size], other << 4 | i) for i, other, at, size in plan])
-                    nodes.append(node)
-                    sizes.append(n)
-                    counts.append(len(plan))
-                if len(keys) > 500_000:
+                    dealer.add([digest(line[at : at + size], other << 4 | i) for i, other, at, size in plan_of(len(line))], node, len(line))
+                if dealer.full():
                     yield flush()
-        if keys:
+        if dealer.keys:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "key bigint, node bigint, size int")
+    return docs.select("text").mapInArrow(run, linking.DEALT)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -207,17 +250,30 @@ def _near(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "line_x", "line_y").mapInArrow(compare, "x bigint, y bigint")
 
 
+def _counts(lines: list[str]) -> np.ndarray:
+    """How often characters of each of 16 kinds occur, a row for each line. An edit changes two of them by one."""
+    out = np.zeros((len(lines), 16), np.int32)
+    for i, line in enumerate(lines):
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out[i] = np.bincount(codes * np.uint32(2654435761) >> np.uint32(28), minlength=16)
+    return np.minimum(out, np.iinfo(np.int16).max).astype(np.int16)
+
+
 def matcher(edits: int):
     """Columns: key, block, node, size, comp, line, query."""
     def of(queries: pa.RecordBatch):
         lines, sizes, comps = queries.column(5).to_pylist(), queries.column(3).to_numpy(), queries.column(4).to_numpy()
+        counts = _counts(lines)
 
         def match(members: pa.RecordBatch) -> np.ndarray:
-            own, comp = members.column(3).to_numpy(), members.column(4).to_numpy()
+            own, comp, texts = members.column(3).to_numpy(), members.column(4).to_numpy(), members.column(5).to_pylist()
             out = (np.abs(own[:, None] - sizes[None, :]) <= edits) & (comp[:, None] != comps[None, :])
-            texts = members.column(5)
+            differ = np.zeros(out.shape, np.int32)
+            for a, b in zip(_counts(texts).T, counts.T):
+                differ += np.abs(a[:, None] - b[None, :])
+            out &= differ <= 2 * edits
             for i, j in zip(*map(np.ndarray.tolist, np.nonzero(out))):
-                out[i, j] = distance_within(texts[i].as_py(), lines[j], edits)
+                out[i, j] = distance_within(texts[i], lines[j], edits)
             return out
 
         return match
@@ -225,52 +281,104 @@ def matcher(edits: int):
     return of
 
 
+def _rests(large: DataFrame, texts: DataFrame, on: list[str], edits: int) -> DataFrame:
+    """linking.DEALT, line, parent of members of large buckets once more: under a segment of what is left without the bucket's.
+
+    texts: `on`, line and parent; at first the whole line and 0, later what is left of it and the key of the bucket before.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        plan_of, digest, dealer, rests = _plans(edits), xxhash.xxh3_64_intdigest, Dealer(), []
+
+        def flush() -> pa.RecordBatch:
+            line, parent = pa.array([x[0] for x in rests], pa.string()), pa.array([x[1] for x in rests], pa.int64())
+            of = pa.array(np.repeat(np.arange(len(rests)), dealer.counts))
+            rests.clear()
+            *dealt, row = dealer.deal()
+            of = of.take(pa.array(row))
+            return pa.record_batch([*map(pa.array, dealt), line.take(of), parent.take(of)], names=["part", "node", "size", "key", "line", "parent"])
+
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                for key, node, line, parent in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    name, seed = key % 2**64, parent % 2**64
+                    left = {line[:at] + line[at + size :] for i, other, at, size in plan_of(len(line)) if max(1, digest(line[at : at + size], seed ^ (other << 4 | i))) == name}
+                    for rest in left:
+                        dealer.add([digest(rest[at : at + size], name ^ (other << 4 | i)) for i, other, at, size in plan_of(len(rest))], node, len(rest))
+                        rests.append((rest, key))
+                if dealer.full():
+                    yield flush()
+        if dealer.keys:
+            yield flush()
+
+    rows = large.select("key", "node").join(texts, on).select("key", "node", "line", "parent")
+    return rows.mapInArrow(run, f"{linking.DEALT}, line string, parent bigint")
+
+
 def near_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(node, comp) of lines with a near-duplicate."""
+    """(node, comp) of lines with a near-duplicate. docs: text."""
     spark = common.bounded(docs).sparkSession
 
     def compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.abs(a - b) <= edits
 
-    rows = _keys(docs, edits, max(min_chars, edits + 1)).withColumn("salts", F.lit(1))
-    pairs, members, found_path = linking.first_round(spark, rows, compatible)
+    pairs, members, found_path = linking.first_round(spark, _keys(docs, edits, max(min_chars, edits + 1)), compatible)
     nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).union(members.select("node")).distinct()
     lines, lines_path = common.stage(spark, _lines(docs).join(nodes, "node").dropDuplicates(["node"]), "line-texts")
     links, links_path = common.stage(spark, _near(pairs, lines, edits), "links")
     comps, comps_paths = linking.components_of(spark, links)
-    rest = linking.open_members(members, comps)
-    comps = linking.join_components(spark, comps, comps_paths, linking.against_outsiders(rest, lines, ["node"], matcher(edits)))
-    common.drop(spark, found_path, lines_path, links_path)
+    paths = [found_path, lines_path, links_path]
+    rest, path = common.stage(spark, linking.open_members(members, comps), "open")
+    paths.append(path)
+    texts, on, whole = lines.withColumn("parent", F.lit(0).cast("bigint")), ["node"], []
+    for _ in range(ROUNDS):
+        large = rest.groupBy("key").agg(F.count_if(F.col("comp") != F.col("main")).alias("outside")).where(F.col("outside") > linking.OUTSIDERS).select("key")
+        if large.isEmpty():
+            break
+        whole.append(rest.join(large, "key", "left_anti"))
+        split, split_path = common.stage(spark, _rests(rest.join(large, "key"), texts, on, edits), "rests")
+        pairs, members, found_path = linking.first_round(spark, split.select("part", "node", "size", "key"), compatible)
+        comps, comps_paths = linking.join_components(spark, comps, comps_paths, _near(pairs, lines, edits))
+        rest, path = common.stage(spark, linking.open_members(members, comps), "open")
+        paths += [split_path, found_path, path]
+        texts, on = split.select(F.when(F.col("key") == 0, F.col("part")).otherwise(F.col("key")).alias("key"), "node", "line", "parent").distinct(), ["key", "node"]
+    for more in whole:
+        rest = rest.unionByName(more)
+    comps, _ = linking.join_components(spark, comps, comps_paths, linking.against_outsiders(rest, lines, ["node"], matcher(edits)))
+    common.drop(spark, *paths)
     return comps
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """(doc, fp, pos, node) of every line that is not blank."""
+    """(doc, uid, pos, node) of every line that is not blank. rows: doc, uid, text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
-                docs, fps, places, nodes = [], [], [], []
-                for doc, fp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                docs, uids, places, nodes = [], [], [], []
+                for doc, uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                     for i, line in enumerate(lines_of(text.as_py())):
                         if not is_blank(line):
                             docs.append(doc)
-                            fps.append(fp)
+                            uids.append(uid)
                             places.append(i)
                             nodes.append(line_hash(line))
-                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(fps, pa.int64()), pa.array(places, pa.int32()), pa.array(nodes, pa.int64())], names=["doc", "fp", "pos", "node"])
+                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(uids, pa.int64()), pa.array(places, pa.int32()), pa.array(nodes, pa.int64())], names=["doc", "uid", "pos", "node"])
 
-    return rows.mapInArrow(run, "doc bigint, fp bigint, pos int, node bigint")
+    return rows.mapInArrow(run, "doc bigint, uid bigint, pos int, node bigint")
 
 
-def _removed(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(doc, fp, gone): places of the lines that go, a row for each document that loses any."""
-    spark = docs.sparkSession
-    classes = near_classes(docs, edits, min_chars)
-    named = _occurrences(_numbered(docs)).join(classes, "node", "left").select("doc", "fp", "pos", F.coalesce("comp", "node").alias("comp"))
+def _removed(rows: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(uid, gone): places of the lines that go, a row for each document that loses any. rows: as of common.numbered."""
+    spark = rows.sparkSession
+    texts = rows.select("doc", "uid", F.col("row.text").alias("text"))
+    classes = near_classes(texts.select("text"), edits, min_chars)
+    named = _occurrences(texts).join(classes, "node", "left").select("doc", "uid", "pos", F.coalesce("comp", "node").alias("comp"))
     named, named_path = common.stage(spark, named, "lines")
-    first = named.groupBy("comp").agg(F.min(F.struct("doc", "fp", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first")
-    later = named.join(first, "comp").where(F.struct("doc", "fp", "pos") != F.col("first"))
-    gone, _ = common.stage(spark, later.groupBy("doc", "fp").agg(F.collect_set("pos").alias("gone")), "lines-gone")
+    place = F.struct("doc", "uid", "pos")
+    first = named.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first")
+    later = named.join(first, "comp").where(place != F.col("first"))
+    gone, _ = common.stage(spark, later.groupBy("uid").agg(F.collect_set("pos").alias("gone")), "lines-gone")
     common.drop(spark, named_path)
     return gone
 
@@ -294,21 +402,20 @@ def summarise(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -
             columns = list(zip(*out)) or [()] * 3
             yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
-    rows = _numbered(docs).join(_removed(docs, edits, min_chars), ["doc", "fp"], "left")
-    rows = rows.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "text", "gone")
-    return rows.mapInArrow(run, "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string")
+    rows, _ = common.numbered(docs, ["doc_id", "text"])
+    found = rows.join(_removed(rows, edits, min_chars), "uid", "left").select(*common.fields(F.col("row"), docs, ["doc_id", "text"]), "gone")
+    return found.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines bigint, n_removed bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the text's kept lines, all other columns as they are."""
-    gone = _removed(docs, edits, min_chars).withColumnsRenamed({"doc": "_doc", "fp": "_fp", "gone": "_gone"})
-    key = F.coalesce(docs["doc_id"].cast("bigint"), F.lit(_LAST))
-    rows = docs.join(gone, (key == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_fp")), "left").drop("_doc", "_fp")
-    at = rows.columns.index("text")
+    rows, _ = common.numbered(docs)
+    found = rows.join(_removed(rows, edits, min_chars), "uid", "left").select(*common.fields(F.col("row"), docs), F.col("gone").alias(common.free_name(docs, "gone")))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() if not g.as_py() else "\n".join(_kept(t.as_py(), g.as_py())[1]) for t, g in zip(batch.column(at), batch.column(batch.num_columns - 1))]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string())).select(range(batch.num_columns - 1))
 
-    return rows.mapInArrow(run, docs.schema)
+    return found.mapInArrow(run, docs.schema)

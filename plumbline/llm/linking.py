@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -24,6 +24,9 @@ SMALL, NEAR, BLOCK = 8, 3, 1 << 16
 #: Members outside the main component that a task holds while the bucket streams past.
 OUTSIDERS = 1500
 Compatible = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Rows as they are dealt out: part, and the key that it is a part of. Key 0 stands for "as the part", and compresses; a row
+#: whose key is given and equals its part says that other parts hold members of the bucket too.
+DEALT = "part bigint, node bigint, size int, key bigint"
 
 
 def _bucket_pairs(compatible: Compatible) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -32,6 +35,7 @@ def _bucket_pairs(compatible: Compatible) -> Callable[[Iterator[pa.RecordBatch]]
 
     def of(part: np.ndarray, node: np.ndarray, size: np.ndarray, key: np.ndarray, open_part: int | None) -> Iterator[pa.RecordBatch]:
         """open_part: its bucket is larger than what is given here."""
+        marked = part[key == part] if len(part) else part
         first = np.ones(len(part), bool)
         first[1:] = (part[1:] != part[:-1]) | (node[1:] != node[:-1])
         part, node, size, key = part[first], node[first], size[first], key[first]
@@ -43,6 +47,8 @@ def _bucket_pairs(compatible: Compatible) -> Callable[[Iterator[pa.RecordBatch]]
         big = (lengths > SMALL) | (part[starts] != key[starts])  # a part of a salted bucket is never the whole of it
         if open_part is not None:
             big |= part[starts] == open_part
+        if len(marked):
+            big |= np.isin(part[starts], marked)
         run = np.repeat(np.arange(len(starts)), lengths)
         is_big, xs, ys = big[run], [], []
         for d in range(1, SMALL):
@@ -118,18 +124,22 @@ def components_of(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, lis
     return leaves.union(current.select(F.col("x").alias("node"), F.col("x").alias("comp")).distinct()), paths
 
 
-def first_round(spark: SparkSession, rows: DataFrame, compatible: Compatible) -> tuple[DataFrame, DataFrame, str]:
-    """(pairs (x, y), members (key, node, size) of large buckets, path of the table that holds both).
+def salted(rows: DataFrame) -> DataFrame:
+    """DEALT of rows (key, node, size, salts): salts is the number of parts that a bucket known to be hot is dealt to.
 
-    rows: (key, node, size), in any number of copies, and `salts`, parts that a bucket known to be hot is dealt to.
-    compatible: whether two sizes may link, on arrays.
+    A salted bucket is never whole in one place: its parts have names of their own and are checked against each other later.
     """
     salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("key", "node"), "salts")).otherwise(F.lit(0)).cast("int").alias("salt")
-    salted = rows.select("key", "node", F.col("size").cast("int").alias("size"), "salts", salt)
-    # a salted bucket is never whole in one place: its parts have keys of their own and are checked against each other below
-    # (key 0 stands for "as the part", and compresses)
+    rows = rows.select("key", "node", F.col("size").cast("int").alias("size"), "salts", salt)
     part = F.when(F.col("salts") > 1, F.xxhash64("key", "salt")).otherwise(F.col("key"))
-    dealt = salted.select(part.alias("part"), "node", "size", F.when(F.col("salts") > 1, F.col("key")).otherwise(F.lit(0)).cast("bigint").alias("key"))
+    return rows.select(part.alias("part"), "node", "size", F.when(F.col("salts") > 1, F.col("key")).otherwise(F.lit(0)).cast("bigint").alias("key"))
+
+
+def first_round(spark: SparkSession, dealt: DataFrame, compatible: Compatible) -> tuple[DataFrame, DataFrame, str]:
+    """(pairs (x, y), members (key, node, size) of large buckets, path of the table that holds both).
+
+    dealt: DEALT, in any number of copies. compatible: whether two sizes may link, on arrays.
+    """
     buckets = dealt.repartition("part").sortWithinPartitions("part", "size", "node").mapInArrow(_bucket_pairs(compatible), "kind byte, key bigint, x bigint, y bigint")
     found, path = common.stage(spark, buckets, "buckets")
     pairs = found.where("kind = 0").select("x", "y").distinct()
@@ -213,12 +223,12 @@ def against_outsiders(rows: DataFrame, carried: DataFrame, on: list[str], matche
     return found if what == "links" else found.select(F.col("x").alias("key"), F.col("y").alias("node")).distinct()
 
 
-def join_components(spark: SparkSession, comps: DataFrame, paths: list[str], links: DataFrame) -> DataFrame:
-    """(node, comp) with more links (x, y) between components."""
+def join_components(spark: SparkSession, comps: DataFrame, paths: list[str], links: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(node, comp) with more links (x, y) between components, and the paths of what it reads."""
     more, path = common.stage(spark, links, "links")
     if more.isEmpty():
         common.drop(spark, path)
-        return comps
-    out, _ = components_of(spark, comps.where("node <> comp").select(F.col("node").alias("x"), F.col("comp").alias("y")).union(more.select("x", "y")))
+        return comps, paths
+    out = components_of(spark, comps.where("node <> comp").select(F.col("node").alias("x"), F.col("comp").alias("y")).union(more.select("x", "y")))
     common.drop(spark, path, *paths)
     return out
