@@ -65,7 +65,7 @@ def stage(spark: SparkSession, df: DataFrame, name: str, free: bool = True) -> t
     driver ends.
     """
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _staged:
         atexit.register(_at_end)
     _staged.setdefault(spark.sparkContext.applicationId, []).append(path)

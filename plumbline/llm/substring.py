@@ -189,10 +189,12 @@ def _answered(asked: DataFrame) -> DataFrame:
     return asked.select(*columns).repartition("k").sortWithinPartitions("k").mapInArrow(run, "k bigint, a bigint, b bigint, doc bigint, uid bigint")
 
 
-def _survivors(keyed: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """(k, a, b, doc, uid) of what more than one document has, and the path of the table that it reads."""
+def _survivors(keyed: DataFrame, name: str, *done: str) -> tuple[DataFrame, str]:
+    """(k, a, b, doc, uid) of what more than one document has, and the path of the table that it reads. done: tables that only
+    keyed reads."""
     spark = keyed.sparkSession
     found, path = common.stage(spark, keyed, name)
+    common.drop(spark, *done)
     return found.where("kind = 2").select("k", "a", "b", "doc", "uid").union(_answered(found.where("kind < 2"))), path
 
 
@@ -279,11 +281,11 @@ def _covered(rows: DataFrame, length: int) -> DataFrame:
     spark = common.bounded(rows).sparkSession
     texts = rows.select("doc", "uid", F.col("row.text").alias("text"))
     starts, starts_path = _survivors(_starts(texts, length), "substring-starts")
-    doubled, doubled_path = _survivors(_extensions(starts.select("a", "b", "doc", "uid")), "substring-doubled")
+    doubled, doubled_path = _survivors(_extensions(starts.select("a", "b", "doc", "uid")), "substring-doubled", starts_path)
     lists = doubled.groupBy("uid").agg(F.collect_set("k").alias("ks"))
     gone = _later(_windows(texts.join(lists, "uid").select("doc", "uid", "text", "ks"), length))
     covered, _ = common.stage(spark, gone.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("runs")), "substring-runs")
-    common.drop(spark, starts_path, doubled_path)
+    common.drop(spark, doubled_path)
     return covered
 
 
