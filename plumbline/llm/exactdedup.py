@@ -3,15 +3,17 @@
 1. Map tasks normalise every text, hash it and write index segments to the shared folder. A text already met in the task,
    byte for byte, is written as a reference to the first one, so a group with a third of all rows leaves each task as one
    text; the task remembers at most LOCAL_BYTES of texts, which bounds memory and changes nothing else.
-2. Keys are counted by prefix, at most 2^MAX_DEPTH counts, and a directory is doubled until no bucket is overfull. Only
-   keys are hashed into it; repeated texts of one key cannot be split by doubling, and step 1 keeps those few.
-3. An owner task reads whole key ranges (buckets) in key order, chains entries whose 64-bit keys collide and compares
+2. Keys are counted by their first DEPTH bits and a directory is doubled until no bucket is overfull. A prefix that is overfull
+   at that depth splits on by as many of the next bits as its count asks for, which key and count tell anyone who places an
+   entry, so the driver's directory stays small and buckets do at any size of the input. Only keys are hashed into it;
+   repeated texts of one key cannot be split by doubling, and step 1 keeps those few.
+3. Owner tasks get ranges of whole buckets, that is of keys, in key order, chain entries whose 64-bit keys collide and compare
    their bytes. A chain holds the different texts of one key.
 4. Group sizes and keepers are summed by chain and joined back to every row.
 
-Defined cases: null counts as the empty text; of rows with equal text the one with the smallest doc_id stays, null ids
-last, ties by place in the input (so of fully repeated rows one stays); empty tables give no rows; extra columns are kept by
-`deduplicate` and ignored by `groups`.
+Defined cases: null counts as the empty text; texts of any length are compared whole; of rows with equal text the one with the
+smallest doc_id, of any type that can be ordered, stays, null ids last, ties by place in the input (so of fully repeated rows
+one stays); empty tables give no rows; extra columns, whatever their names, are kept by `deduplicate` and ignored by `groups`.
 """
 
 from __future__ import annotations
@@ -22,18 +24,17 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries in a bucket before it splits; grows only when 2^MAX_DEPTH buckets would not do.
-CAPACITY, MAX_DEPTH = 256, 14
+#: Entries in a bucket before it splits, and bits of a key that the driver's directory tells apart.
+CAPACITY, DEPTH = 256, 14
 #: Bytes of texts that a map task remembers.
 LOCAL_BYTES = 48_000_000
 _SPACES = bytes.maketrans(common.SPACES, b" " * len(common.SPACES))
 _RUN = re.compile(rb"  +")
-_ENTRIES = "uid bigint, doc_id bigint, key bigint, ref bigint, body binary, sha binary"
 
 
 def normalise(text: str | None) -> bytes:
@@ -66,8 +67,28 @@ def directory(counts: dict[int, int], depth: int, capacity: int) -> list[int]:
     return [x for x in table for _ in range(1 << (depth - total_depth))]
 
 
+def deeper(count: int, capacity: int) -> int:
+    """Further bits that a prefix with so many entries splits on."""
+    return (-(-max(count, 1) // capacity) - 1).bit_length()
+
+
+def _place(counts: dict[int, int], depth: int, capacity: int) -> Column:
+    """struct(bucket, next bits) of `key`; it has the order of keys, read as numbers without sign."""
+    table = directory(counts, depth, capacity)
+    order = {b: i for i, b in enumerate(dict.fromkeys(table))}  # buckets are ranges of prefixes
+
+    def array(values: list[int]) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+    prefix = F.shiftrightunsigned("key", 64 - depth).cast("int") + 1
+    bits = F.element_at(array([deeper(counts.get(p, 0), capacity) for p in range(1 << depth)]), prefix)
+    rest = F.shiftrightunsigned(F.shiftleft("key", depth), 1)  # the following bits, from the 63rd down
+    return F.struct(F.element_at(array([order[b] for b in table]), prefix).alias("bucket"), F.call_function("shiftright", rest, 63 - bits).alias("bits"))
+
+
 def _segments(rows: DataFrame) -> DataFrame:
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("ref", pa.int64()), ("body", pa.binary()), ("sha", pa.binary())])
+    """rows: uid, doc_id, text. The key is the first 64 bits of the sha; ref is the uid of an equal text's entry in the task."""
+    kind = rows.schema["doc_id"].dataType
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, tuple[bytes, int]] = OrderedDict()
@@ -75,24 +96,25 @@ def _segments(rows: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
                 out = []
-                for uid, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                for uid, text in zip(batch.column(0).to_pylist(), batch.column(2)):
                     body = normalise(text.as_py())
                     sha = hashlib.sha256(body).digest()
                     key = int.from_bytes(sha[:8], "big", signed=True)
                     first = seen.get(key)
                     if first is not None and first[0] == body:
                         seen.move_to_end(key)
-                        out.append((uid, doc_id, key, first[1], None, sha))
+                        out.append((key, first[1], None, sha))
                         continue
-                    out.append((uid, doc_id, key, None, body, sha))
+                    out.append((key, None, body, sha))
                     if first is None and len(body) < LOCAL_BYTES // 8:
                         seen[key] = (body, uid)
                         held += len(body) + 200
                         while held > LOCAL_BYTES:
                             held -= len(seen.popitem(last=False)[1][0]) + 200
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                columns = list(zip(*out)) or [()] * 4
+                yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary())))], names=["uid", "doc_id", "key", "ref", "body", "sha"])
 
-    return rows.mapInArrow(write, _ENTRIES)
+    return rows.mapInArrow(write, f"uid bigint, doc_id {kind.simpleString()}, key bigint, ref bigint, body binary, sha binary")
 
 
 def _owners(entries: DataFrame) -> DataFrame:
@@ -117,31 +139,28 @@ def _owners(entries: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """Per row: uid (its place in the input), doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = common.bounded(docs).sparkSession
-    entries, _ = common.stage(spark, _segments(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")), "dedup-segments")
+    return _grouped(docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text")))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """rows: uid, doc_id, text; read once."""
+    spark = common.bounded(rows).sparkSession
+    entries, _ = common.stage(spark, _segments(rows), "dedup-segments")
     keyed = entries.where("body is not null")
-    prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
-    counts = {r["p"]: r["n"] for r in keyed.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}  # at most 2^MAX_DEPTH rows
-    capacity = max(CAPACITY, 4 * sum(counts.values()) >> MAX_DEPTH)
-    table = F.split(F.lit(",".join(map(str, directory(counts, MAX_DEPTH, capacity)))), ",").cast("array<int>")
-    placed = keyed.select("uid", "key", "body", "doc_id", F.element_at(table, prefix + 1).alias("bucket"))
-    chained = _owners(placed.repartition("bucket").sortWithinPartitions("bucket", "key", "doc_id", "uid").select("uid", "key", "body"))
-    chains, _ = common.stage(spark, chained, "dedup-chains")
+    prefix = F.shiftrightunsigned("key", 64 - DEPTH).cast("int")
+    counts = {r["p"]: r["n"] for r in keyed.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}  # at most 2^DEPTH rows
+    placed = keyed.select("uid", "key", "body", _place(counts, DEPTH, CAPACITY).alias("place"))
+    owned = placed.repartitionByRange("place").sortWithinPartitions("place", "key", "uid").select("uid", "key", "body")
+    chains, _ = common.stage(spark, _owners(owned), "dedup-chains")
     members = entries.select("uid", "doc_id", "sha", F.coalesce("ref", "uid").alias("rep")).join(chains.withColumnRenamed("uid", "rep"), "rep")
     keeper = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "uid")).alias("keeper")
-    sums = members.groupBy("chain").agg(keeper, F.count("*").alias("group_size"))
+    sums, _ = common.stage(spark, members.groupBy("chain").agg(keeper, F.count("*").alias("group_size")), "dedup-groups")
     return members.join(sums, "chain").select(
         "uid", "doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keeper.uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, all columns kept; of rows that share an id too, the first by text."""
-    kept = groups(docs).where("kept").select(_id(F.col("doc_id")).alias("_pl_id"), F.col("text_sha256").alias("_pl_sha"))
-    body = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.withColumn("_pl_id", _id(F.col("doc_id"))).withColumn("_pl_sha", F.sha2(body, 256)).join(kept, ["_pl_id", "_pl_sha"], "left_semi")
-    again = F.row_number().over(Window.partitionBy("_pl_id", "_pl_sha").orderBy("text"))  # the join has dealt and sorted them
-    return rows.withColumn("_pl_n", again).where("_pl_n = 1").select(*docs.columns)
-
-
-def _id(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("string"), F.lit(""))
+    """docs with one row of each group of equal texts, all columns kept."""
+    rows, _ = common.numbered(docs)
+    kept = _grouped(rows.select("uid", *common.fields(F.col("row"), docs, ["doc_id", "text"]))).where("kept").select("uid")
+    return rows.join(kept, "uid", "left_semi").select(*common.fields(F.col("row"), docs))
