@@ -7,11 +7,19 @@ over all documents, so prefixes hold rare tokens and buckets stay small; below t
 Candidates share a prefix token under the first order; the second, with longer prefixes of which more must be shared, and
 the third are intersected with that before the texts are read and the sets compared exactly.
 
+The sketch is broadcast, so its size is bounded: up to 2^31 bytes of text it has a counter for each 64 bytes, beyond that
+2^25 counters. A counter's mean is taken off it, so at any size it tells by how much a token stands out of the others: those
+with over 2^-25 of all occurrences, of which there can't be more than counters, come last and are dealt to parts. It orders
+tokens and deals them; no result depends on it.
+
 Documents with equal sets are one node from the start, and `linking` finds components without making all pairs of a bucket.
+Of the candidates each node is first compared with one, and only what that leaves in different components with the others.
 
-Defined cases: null and empty texts have an empty set and are linked with nothing; documents with equal sets are one
-component; a null doc_id never names a component that has another id; repeated rows each give a row; empty tables give no
-rows; extra columns are ignored by `groups` and kept by `deduplicate`. Sets are compared as sets of 64-bit hashes.
+Defined cases: null and empty texts have an empty set and are linked with nothing; very long texts are compared whole;
+documents with equal sets are one component; a component is named by its smallest doc_id, of any type that can be ordered; a
+null doc_id never names a component that has another id; repeated rows each give a row; rows that share a doc_id, or have
+none, are told apart by numbers of their own; empty tables give no rows; extra columns, whatever their names, are ignored by
+`groups` and kept by `deduplicate`. Sets are compared as sets of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,9 +40,9 @@ from . import common, linking
 #: Words of a shingle and the similarity in hundredths, where no contract says otherwise.
 WORDS, PERCENT = 5, 80
 #: Bytes of text for each counter of the frequency sketch, of which there are MAX_CELLS at most; the broadcast is one byte for
-#: each. Results don't depend on it; with fewer, tokens that few documents share are told from unique ones worse.
-BYTES_A_CELL, MAX_CELLS, CHUNK = 64, 1 << 27, 1 << 18
-#: A token counted over 2^HOT_LEVEL times is dealt to parts of about that size.
+#: each, and a task's counters are four.
+BYTES_A_CELL, MAX_CELLS, CHUNK = 64, 1 << 25, 1 << 18
+#: A token counted over 2^HOT_LEVEL times more than the mean is dealt to parts of about that size.
 HOT_LEVEL = 14
 #: Different sets that a map task remembers, so that it gives out a repeated set's tokens once.
 REMEMBERED = 500_000
@@ -59,7 +67,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def _sketch(spark: SparkSession, docs: DataFrame, k: int, cells: int) -> np.ndarray:
-    """log2 of the count of tokens in each cell, rounded up, over all documents."""
+    """log2 of the count of tokens in each cell over the mean of cells, rounded up, over all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(cells, np.uint32)
         for batch in batches:
@@ -82,10 +90,10 @@ def _sketch(spark: SparkSession, docs: DataFrame, k: int, cells: int) -> np.ndar
     schema = "chunk int, counts binary"
     parts = docs.select("text").mapInArrow(count, schema)
     rows = parts.repartition("chunk").mapInArrow(add, schema).collect()  # `cells` counters in all
-    out = np.zeros(cells, np.uint8)
-    for r in rows:
-        counts = _unpacked(bytes(r["counts"]))
-        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(counts)] = np.ceil(np.log2(np.maximum(counts, 1)))
+    out, unpacked = np.zeros(cells, np.uint8), [(r["chunk"] * CHUNK, _unpacked(bytes(r["counts"]))) for r in rows]
+    mean = sum(float(counts.sum()) for _, counts in unpacked) / cells
+    for at, counts in unpacked:
+        out[at : at + len(counts)] = np.ceil(np.log2(np.maximum(counts - np.floor(mean), 1)))
     return out
 
 
@@ -121,8 +129,8 @@ def _cells(found: np.ndarray, cells: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
-    """Per document: doc_id, fp (of its text, tells apart rows that share an id), node, n, and where the task meets the set
-    first its prefix under the first order with its tokens' levels."""
+    """Per row (uid, text): uid, node, n, and where the task meets the set first its prefix under the first order with its
+    tokens' levels."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = OrderedDict()
         for whole in batches:
@@ -145,10 +153,9 @@ def _signatures(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
                     first = prefix(found, level, prefix_size(n, percent), 0)
                     a.append(found[first].view(np.int64))
                     hot.append(level[first].view(np.int8))
-                yield pa.record_batch([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(a, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int8()))], names=["doc_id", "fp", "node", "n", "a", "hot"])
+                yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(a, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int8()))], names=["uid", "node", "n", "a", "hot"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(run, f"doc_id {kind}, fp bigint, node bigint, n int, a array<bigint>, hot array<tinyint>")
+    return docs.select("uid", "text").mapInArrow(run, "uid bigint, node bigint, n int, a array<bigint>, hot array<tinyint>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int, percent: int, levels) -> DataFrame:
@@ -157,9 +164,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int, percent: int, levels) ->
     If sets reach the similarity, their first n - ceil(t n) + l tokens share l or more, whatever the order. With l the size of
     a plain prefix that is about half of them, a far stronger condition than one shared token. b is such a longer prefix, c a
     plain one, 32 bits a token; lb and lc are the numbers that must be shared (less what 32 bits make equal).
-    A node has two rows only if rows repeat its doc_id, which repeats links and nothing else.
     """
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    rows = docs.select("uid", "text").join(wanted.withColumnRenamed("rep", "uid"), "uid").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -167,8 +173,6 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int, percent: int, levels) ->
                 nodes, texts, others, least = [], [], ([], []), ([], [])
                 for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     found = tokens(text, k)
-                    if node_of(found) != node:  # another row with this doc_id
-                        continue
                     nodes.append(node)
                     texts.append(text)
                     level, p = _levels(found, levels.value), prefix_size(len(found), percent)
@@ -295,12 +299,14 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cells: int | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id. cells: counters of the sketch, else as the size of the texts asks."""
-    return _placed(docs, k, percent, cells).drop("fp")
+    rows, _ = common.numbered(docs, ["doc_id", "text"])
+    return _placed(rows, k, percent, cells).select("doc_id", "n_shingles", "component_id")
 
 
-def _placed(docs: DataFrame, k: int, percent: int, cells: int | None = None) -> DataFrame:
-    """groups, with fp."""
-    spark = common.bounded(docs).sparkSession
+def _placed(rows: DataFrame, k: int, percent: int, cells: int | None = None) -> DataFrame:
+    """uid, doc_id, n_shingles, component_id, kept (the first row of its component). rows: as of common.numbered."""
+    spark = common.bounded(rows).sparkSession
+    docs = rows.select("uid", F.col("row.text").alias("text"))
     if cells is None:
         wanted = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_CELL
         cells = min(MAX_CELLS, (int(wanted) // CHUNK + 1) * CHUNK)
@@ -308,35 +314,47 @@ def _placed(docs: DataFrame, k: int, percent: int, cells: int | None = None) ->
     signatures, _ = common.stage(spark, _signatures(docs, k, percent, levels), "jaccard-signatures")
     tagged = signatures.where("a is not null").select("node", "n", F.explode(F.arrays_zip("a", "hot")).alias("t"))
     salts = F.when(F.col("t.hot") > HOT_LEVEL, F.expr(f"shiftleft(1, cast(t.hot AS int) - {HOT_LEVEL})")).otherwise(1)
-    rows = tagged.select(F.col("t.a").alias("key"), "node", F.col("n").alias("size"), salts.alias("salts"))
+    keyed = tagged.select(F.col("t.a").alias("key"), "node", F.col("n").alias("size"), salts.alias("salts"))
 
     def compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * np.minimum(a, b).astype(np.int64) >= percent * np.maximum(a, b).astype(np.int64)
 
-    pairs, members, found_path = linking.first_round(spark, linking.salted(rows), compatible)
+    pairs, members, found_path = linking.first_round(spark, linking.salted(keyed), compatible)
     nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).union(members.select("node")).distinct()
-    reps = signatures.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    reps = signatures.where("node is not null").groupBy("node").agg(F.min("uid").alias("rep"))
     texts, texts_path = common.stage(spark, _texts(docs, reps.join(nodes, "node"), k, percent, levels), "jaccard-texts")
-    links, links_path = common.stage(spark, _similar(_admissible(pairs, texts), texts, k, percent), "links")
+    pairs, pairs_path = common.stage(spark, _admissible(pairs, texts), "pairs")
+    links, links_path = common.stage(spark, _similar(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), texts, k, percent), "links")
     comps, comps_paths = linking.components_of(spark, links)
+    comps, comps_paths = linking.join_components(spark, comps, comps_paths, _similar(_apart(pairs, comps), texts, k, percent))
     # members of open buckets that pass the second order's condition with some member of another component
-    every = linking.open_members(members, comps)
+    every, every_path = common.stage(spark, linking.open_members(members, comps), "open")
     near = linking.against_outsiders(every, texts.select("node", "b", "lb"), ["node"], prefix_matcher, "members")
-    rest, rest_path = common.stage(spark, every.join(near, ["key", "node"]), "open")
+    rest, rest_path = common.stage(spark, every.join(near, ["key", "node"]), "near")
     differences, differences_path = common.stage(spark, _differences(rest.select("node", "main").distinct(), texts, k), "differences")
     across = linking.against_outsiders(rest, differences, ["node", "main"], matcher(percent))
     comps, _ = linking.join_components(spark, comps, comps_paths, across)
-    common.drop(spark, found_path, texts_path, links_path, rest_path, differences_path)
-    named = signatures.select("doc_id", "fp", "node", "n").join(comps, "node", "left").select("doc_id", "fp", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("comp", "node").alias("comp"))
-    smallest = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("smallest"))
-    return named.join(smallest, "comp", "left").select("doc_id", "fp", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
+    common.drop(spark, found_path, texts_path, pairs_path, links_path, every_path, rest_path, differences_path)
+    named = signatures.select("uid", "node", F.col("n").cast("bigint").alias("n_shingles")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = named.join(rows.select("uid", "doc", F.col("row.doc_id").alias("doc_id")), "uid")
+    first, _ = common.stage(spark, named.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc", "uid", "doc_id")).alias("first")), "firsts")
+    placed = named.join(first, "comp", "left")
+    own = F.col("first").isNull()
+    return placed.select("uid", "doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (own | (F.col("uid") == F.col("first.uid"))).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component, the one with the smallest doc_id; documents without words all stay.
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs of nodes that are not in one component."""
+    def of(name: str) -> DataFrame:
+        return comps.select(F.col("node").alias(name), F.col("comp").alias(f"comp_{name}"))
 
-    Rows that repeat a doc_id: those of the kept id stay. Rows without doc_id stay if their component has no other id. Each
-    row is judged by its own text, whatever happens to others with its doc_id or without one.
-    """
-    gone = _placed(docs, k, percent).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"), F.col("fp").alias("_fp")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_fp")), "left_anti")
+    placed = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    return placed.where(F.coalesce("comp_x", "x") != F.coalesce("comp_y", "y")).select("x", "y")
+
+
+def deduplicate(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component, that with the smallest doc_id, of several the first in the input; documents without
+    words all stay. Each row is judged by itself, whatever happens to others with its doc_id or without one."""
+    rows, _ = common.numbered(docs)
+    kept = _placed(rows, k, percent).where("kept").select("uid")
+    return rows.join(kept, "uid", "left_semi").select(*common.fields(F.col("row"), docs))

@@ -312,6 +312,19 @@ def test_directory_doubles_until_buckets_fit():
         assert prefixes == list(range(prefixes[0], prefixes[-1] + 1)) and len(prefixes) & (len(prefixes) - 1) == 0
 
 
+def test_places_are_key_ranges_that_deepen(spark):
+    r = random.Random(10)
+    keys = [r.randrange(-(1 << 63), 1 << 63) for _ in range(300)] + [(5 << 60) + r.randrange(1 << 60) for _ in range(300)]
+    counts: dict[int, int] = {}
+    for k in keys:
+        counts[k % 2**64 >> 60] = counts.get(k % 2**64 >> 60, 0) + 1
+    df = spark.createDataFrame([(k,) for k in keys], "key bigint").select("key", exactdedup._place(counts, 4, 16).alias("p"))
+    got = sorted((x.key % 2**64, (x.p.bucket, x.p.bits)) for x in df.collect())
+    places = [p for _, p in got]
+    assert places == sorted(places) and max(places.count(p) for p in set(places)) < 50
+    assert [exactdedup.deeper(n, 16) for n in (0, 16, 17, 32, 33, 1600)] == [0, 0, 1, 1, 2, 7]
+
+
 @pytest.mark.parametrize("local", [exactdedup.LOCAL_BYTES, 1000])
 def test_exact_dedup(spark, monkeypatch, local):
     monkeypatch.setattr(exactdedup, "LOCAL_BYTES", local)
