@@ -22,9 +22,8 @@ import hashlib
 import heapq
 import re
 import struct
-from array import array
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ _SPACE = "▁"
 #: A model's kinds of pieces, and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE, BPE = 1, 2, 3, 4, 5, 6, 2
 #: Characters of a word that is remembered, and words remembered.
-SHORT, REMEMBERED = 64, 300_000
+SHORT, REMEMBERED = 64, 150_000
 _NEVER = float("-inf")
 
 
@@ -121,11 +120,13 @@ class Codec:
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (NORMAL, UNUSED)}
         self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == UNKNOWN), 0)
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE} if model.trainer_spec.byte_fallback else {}
+        self.sizes = np.array([1 if p.type == BYTE else len(p.piece.encode()) for p in model.pieces], np.int64)
         # two characters that stand side by side in no piece are never merged
         self.side_by_side = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
         inside = any(_SPACE in p.lstrip(_SPACE) for p in self.scores)
         self.word = re.compile(r"(?s).+" if inside else f"(?s){_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
-        self.known: dict[str, tuple[bytes, bytes, str]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=blob)
 
     def _mapped(self, text: str, raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -191,12 +192,12 @@ class Codec:
 
     def _by_scan(self, part: str, made: dict[str, tuple[str, str]]) -> list[str]:
         """Few symbols: the best pair is looked up among all of them each time."""
-        score, symbols = self.scores.get, list(part)
+        score, symbols, unused = self.scores.get, list(part), self.unused
         pairs = [score(a + b, _NEVER) for a, b in zip(symbols, symbols[1:])]
         while pairs and (best := max(pairs)) > _NEVER:
             i = pairs.index(best)
             pair = symbols[i] + symbols[i + 1]
-            if pair in self.unused:
+            if unused and pair in unused:
                 made[pair] = (symbols[i], symbols[i + 1])
             symbols[i : i + 2] = [pair]
             del pairs[i]
@@ -227,61 +228,55 @@ class Codec:
                 heapq.heappush(heap, (-scores[new], before[i], new))
         return [s for s in symbols if s]
 
-    def _encoded_part(self, part: str) -> tuple[bytes, bytes, str]:
-        ids, sizes = [], []
-        for piece in self.pieces(part) if len(part) > 1 else (part,):
-            if (known := self.ids.get(piece)) is not None:
-                ids.append(known)
-                sizes.append(len(piece.encode()))
+    def _encoded_part(self, part: str) -> tuple[int, ...]:
+        """ids; an unknown piece of n normalised bytes is -n."""
+        pieces = self.pieces(part) if len(part) > 1 else [part]
+        found = tuple(map(self.ids.get, pieces))
+        if None not in found:
+            return found
+        out: list[int] = []
+        for piece, known in zip(pieces, found):
+            if known is not None:
+                out.append(known)
             elif self.byte_ids:
-                raw = piece.encode()
-                ids += [self.byte_ids[b] for b in raw]
-                sizes += repeat(1, len(raw))
+                out += [self.byte_ids[b] for b in piece.encode()]
             else:
-                ids.append(self.unknown)
-                sizes.append(len(piece.encode()))
-        return array("i", ids).tobytes(), array("i", sizes).tobytes(), ",".join(map(str, ids))
+                out.append(-len(piece.encode()))
+        return tuple(out)
+
+    def _new(self, word: str) -> tuple[int, ...]:
+        """ids of a word that is not in `known`."""
+        if (found := self.older.get(word)) is None:
+            joined = self.side_by_side
+            cuts = [i for i, pair in enumerate(map(str.__add__, word, word[1:]), 1) if pair not in joined]
+            if cuts:  # no merge crosses these
+                parts = [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
+                found = tuple(chain.from_iterable([self.known.get(x) or self._kept(x, self.older.get(x) or self._encoded_part(x)) for x in parts]))
+            else:
+                found = self._encoded_part(word)
+        return self._kept(word, found)
 
-    def _of(self, word: str, cut: bool) -> tuple[bytes, bytes, str]:
-        """ids and sizes in normalised bytes as 32-bit numbers, and ids as text; cut: where no merge can cross."""
-        if (found := self.known.get(word)) is not None:
-            return found
-        joined, parts = self.side_by_side, [word]
-        if cut and (cuts := [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]):
-            parts = [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
-        if len(parts) > 1:
-            found = self._together([self._of(x, False) for x in parts])
-        else:
-            found = self._encoded_part(word)
+    def _kept(self, word: str, found: tuple[int, ...]) -> tuple[int, ...]:
         if len(word) <= SHORT:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+            if len(self.known) >= REMEMBERED:  # what is used again is found among the older ones and kept again
+                self.older, self.known = self.known, {}
             self.known[word] = found
         return found
 
-    @staticmethod
-    def _together(parts: list[tuple[bytes, bytes, str]]) -> tuple[bytes, bytes, str]:
-        return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]), ",".join([p[2] for p in parts])
-
-    def encoded(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
-        """ids, the original byte where each piece starts and ends, and the ids as text, joined by commas."""
-        normal, origin = self.normalise(text) if text else (b"", np.zeros(1, np.int64))
-        ids, sizes, said = self._together([self._of(word, True) for word in self.word.findall(normal.decode("utf-8", "surrogatepass"))])
-        ids, sizes = np.frombuffer(ids, np.int32), np.frombuffer(sizes, np.int32)
-        if not self.byte_ids and len(ids):  # neighbouring unknown pieces are one
-            first = np.ones(len(ids), bool)
-            first[1:] = (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)
-            if not first.all():
-                at = np.flatnonzero(first)
-                ids, sizes = ids[at], np.add.reduceat(sizes, at)
-                said = ",".join(map(str, ids.tolist()))
-        ends = np.cumsum(sizes, dtype=np.int64)
-        return ids, origin[ends - sizes], origin[ends], said
-
     def encode(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
         """ids, and the original byte where each piece starts and ends."""
-        ids, starts, ends, _ = self.encoded(text)
-        return ids.tolist(), starts, ends
+        normal, origin = self.normalise(text) if text else (b"", np.zeros(1, np.int64))
+        get, new = self.known.get, self._new
+        ids = list(chain.from_iterable([get(word) or new(word) for word in self.word.findall(normal.decode("utf-8", "surrogatepass"))]))
+        found = np.array(ids, np.int64)
+        sizes = self.sizes[found]
+        if not self.byte_ids and (unknown := found < 0).any():  # neighbouring unknown pieces are one
+            sizes = np.where(unknown, -found, sizes)
+            first = np.flatnonzero(~(unknown & np.concatenate(([False], unknown[:-1]))))
+            found, sizes = np.where(unknown, self.unknown, found)[first], np.add.reduceat(sizes, first)
+            ids = found.tolist()
+        ends = np.cumsum(sizes)
+        return ids, origin[ends - sizes], origin[ends]
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids) if ids else ""
@@ -343,9 +338,9 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch.column(1):
-                ids, starts, ends, said = use.encoded(text.as_py())
-                back = use.decode(ids.tolist())
-                out.append((len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), int((ends - starts).sum())))
+                ids, starts, ends = use.encode(text.as_py())
+                back = use.decode(ids)
+                out.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), int((ends - starts).sum())))
             columns = list(zip(*out)) or [()] * 4
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes"])
