@@ -9,9 +9,13 @@ import hashlib
 import tempfile
 import time
 import uuid
+import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
@@ -158,6 +162,55 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bits of a filter of keys, at most (32 MB), bits for each key, and bytes of a part of it.
+MAX_BITS, BITS_A_KEY, PART = 1 << 28, 16, 1 << 17
+
+
+def _bit_places(keys: np.ndarray, size: int) -> list[np.ndarray]:
+    h = mix64(keys.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    return [(x & np.uint64(size - 1)).astype(np.int64) for x in (h, h >> np.uint64(32))]
+
+
+def key_filter(keys: DataFrame) -> Broadcast:
+    """Broadcast bits that tell which keys are surely not among the given ones (one bigint column), so that rows of others need
+    not be shuffled to find out. Bounded by MAX_BITS; with more keys it lets more through, and results don't depend on it."""
+    spark, n, size = keys.sparkSession, keys.count(), 1 << 20
+    while size < BITS_A_KEY * n and size < MAX_BITS:
+        size *= 2
+
+    def parts(bits: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, part in bits.items():
+            if part.any():
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["part", "bits"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            for at in _bit_places(batch.column(0).to_numpy(zero_copy_only=False), size):
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield from parts({i: bits[i * PART : (i + 1) * PART] for i in range(size // 8 // PART)})
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                now = np.frombuffer(zlib.decompress(part.as_py()), np.uint8)
+                bits[i] = bits[i] | now if i in bits else now
+        yield from parts(bits)
+
+    schema = "part int, bits binary"
+    out = np.zeros(size // 8, np.uint8)
+    for r in keys.mapInArrow(mark, schema).repartition("part").mapInArrow(join, schema).collect():  # MAX_BITS / 8 bytes at most
+        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
+    return spark.sparkContext.broadcast(out)
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False where a key is surely not among those of the filter."""
+    a, b = _bit_places(keys, 8 * len(bits))
+    return ((bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1).astype(bool)
+
+
 #: 64 random bits for each byte value, and an odd multiplier with its inverse modulo 2^64.
 _BYTES = np.frombuffer(hashlib.shake_128(b"plumbline word hashes").digest(2048), np.uint64)
 _STEP = 0x9E3779B97F4A7C15

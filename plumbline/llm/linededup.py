@@ -217,8 +217,8 @@ def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, linking.DEALT)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(node, line), repeated lines once for each task."""
+def _lines(docs: DataFrame, wanted) -> DataFrame:
+    """(node, line), repeated lines once for each task, without most of those that are not wanted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, None] = OrderedDict()
         for whole in batches:
@@ -233,7 +233,9 @@ def _lines(docs: DataFrame) -> DataFrame:
                             seen.popitem(last=False)
                         nodes.append(node)
                         lines.append(line)
-                yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], names=["node", "line"])
+                nodes, lines = np.array(nodes, np.int64), pa.array(lines, pa.string())
+                keep = common.may_hold(wanted.value, nodes)
+                yield pa.record_batch([pa.array(nodes[keep]), lines.filter(pa.array(keep))], names=["node", "line"])
 
     return docs.select("text").mapInArrow(run, "node bigint, line string")
 
@@ -325,7 +327,7 @@ def near_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 
     pairs, members, found_path = linking.first_round(spark, _keys(docs, edits, max(min_chars, edits + 1)), compatible)
     nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).union(members.select("node")).distinct()
-    lines, lines_path = common.stage(spark, _lines(docs).join(nodes, "node").dropDuplicates(["node"]), "line-texts")
+    lines, lines_path = common.stage(spark, _lines(docs, common.key_filter(nodes)).join(nodes, "node").dropDuplicates(["node"]), "line-texts")
     links, links_path = common.stage(spark, _near(pairs, lines, edits), "links")
     comps, comps_paths = linking.components_of(spark, links)
     paths = [found_path, lines_path, links_path]
@@ -376,10 +378,10 @@ def _removed(rows: DataFrame, edits: int, min_chars: int) -> DataFrame:
     named = _occurrences(texts).join(classes, "node", "left").select("doc", "uid", "pos", F.coalesce("comp", "node").alias("comp"))
     named, named_path = common.stage(spark, named, "lines")
     place = F.struct("doc", "uid", "pos")
-    first = named.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first")
+    first, first_path = common.stage(spark, named.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first"), "firsts")
     later = named.join(first, "comp").where(place != F.col("first"))
     gone, _ = common.stage(spark, later.groupBy("uid").agg(F.collect_set("pos").alias("gone")), "lines-gone")
-    common.drop(spark, named_path)
+    common.drop(spark, named_path, first_path)
     return gone
 
 
