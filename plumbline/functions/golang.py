@@ -434,6 +434,73 @@ class Source:
                     j = self.skip(j) if self.tokens[j].text in _CLOSE and self.tokens[j].kind == "op" else j + 1
         return out
 
+    def branch_texts(self, f: Function) -> list[str]:
+        """Descriptions of a body's branches: conditions with all of their chain, switches with their cases, then what is inside."""
+        out, chained = [], set()
+        for i in range(f.first, f.last):
+            t = self.tokens[i]
+            if t.text in ("!=",) and {self.tokens[i - 1].text, self.tokens[i + 1].text} == {"err", "nil"} and self.tokens[i - 2].text != "." and self.tokens[i + 2].text not in (".", "(", "["):
+                out.append("Error check (err != nil)")
+            if t.kind != "word" or t.text not in ("if", "switch", "select") or i in chained:
+                continue
+            at, said = i, "Condition"
+            while t.text == "if":
+                block = self.block_start(at + 1)
+                if block not in self.close:
+                    break
+                parts = [j for j in range(at + 1, block) if self.tokens[j].kind == "end"]
+                out.append(f"{said}: `{self.slice(parts[-1] + 1 if parts else at + 1, block)}`")
+                then = self.close[block] + 1
+                if then >= f.last or self.tokens[then].text != "else":
+                    break
+                if self.tokens[then + 1].text != "if":
+                    out.append("Else branch")
+                    break
+                at, said = then + 1, "Else-if"
+                chained.add(at)
+            if t.text != "if" and (block := self.block_start(i + 1)) in self.close:
+                head = [x.text for x in self.tokens[i + 1 : block]]
+                if any(head[j : j + 4] == [".", "(", "type", ")"] for j in range(len(head))):
+                    out.append("Type switch")
+                else:
+                    out.append("Select statement" if t.text == "select" else "Switch statement")
+                    out += self._cases(block, t.text == "select")
+        return out
+
+    def _cases(self, block: int, whole: bool) -> list[str]:
+        """What the clauses of a switch or select wait for; whole: one text a clause, else one a value."""
+        out, j, stop = [], block + 1, self.close[block]
+        while j < stop:
+            t = self.tokens[j]
+            if t.kind == "word" and t.text == "default":
+                out.append("Default case")
+            elif t.kind == "word" and t.text == "case":
+                start = j + 1
+                while j < stop and self.tokens[j].text != ":":
+                    if self.tokens[j].text == "," and not whole:
+                        out.append(f"Case: `{self.slice(start, j)}`")
+                        start = j + 1
+                    j = self.skip(j) if self.tokens[j].text in _CLOSE and self.tokens[j].kind == "op" else j + 1
+                out.append(f"Case: `{self.slice(start, j)}`")
+                continue
+            j = self.skip(j) if t.text in _CLOSE and t.kind == "op" else j + 1
+        return out
+
+    def declarations(self) -> list[tuple[set[str], str]]:
+        """(names, whole lines) of every top-level type, var and const declaration, groups as one."""
+        out, i, lines = [], 0, self.text.split("\n")
+        while i < len(self.tokens):
+            t = self.tokens[i]
+            if t.kind == "word" and t.text in ("type", "var", "const") and i + 1 < len(self.tokens):
+                end = self.close.get(i + 1, i + 1) if self.tokens[i + 1].text == "(" else self.until(i + 1, set()) - 1
+                inner = Source("package p\n" + self.slice(i, end + 1))
+                last = self.text.count("\n", 0, self._end(end))
+                out.append(({x.name for x in [*inner.types, *inner.variables]}, "\n".join(lines[t.line - 1 : last + 1])))
+                i = end + 1
+            else:
+                i = self.skip(i) if t.kind == "op" and t.text in _CLOSE else i + 1
+        return out
+
     def executable_ranges(self) -> list[tuple[int, int]]:
         """(start, end) lines of function heads and of statements in bodies, each with all its blocks."""
         out = []
@@ -660,17 +727,19 @@ def remove_cases(source: str, function: str, names: set[str]) -> str:
 
 
 def merge(existing: str, generated: str) -> tuple[str, list[str], list[str]]:
-    """Existing source with the generated imports and functions it lacks; names added and skipped."""
+    """Existing source with the generated imports, declarations and functions it lacks, these with their comments; names of the
+    functions added and skipped."""
     a, b = Source(existing), Source(generated)
-    have = {f.name for f in a.functions} | {t.name for t in a.types} | {v.name for v in a.variables}
+    have = {n for names, _ in a.declarations() for n in names}
+    functions = {f.name for f in a.functions}
     paths = {p for p, _ in a.imports}
     imports = sorted({(p, al) for p, al in a.imports} | {(p, al) for p, al in b.imports if p not in paths})
-    new = [f for f in b.functions if f.name not in have]
-    types = [t for t in b.types if t.name not in have]
+    new = [f for f in b.functions if f.name not in functions]
     block = "import (\n" + "".join(f"\t{al + ' ' if al else ''}\"{p}\"\n" for p, al in imports) + ")\n\n" if imports else ""
-    parts = [body_after_imports(existing), *("type " + t.source for t in types), *(f.body for f in new)]
+    said = ["".join(f"// {line}".rstrip() + "\n" for line in f.doc.split("\n")) + f.body if f.doc else f.body for f in new]
+    parts = [body_after_imports(existing), *(text for names, text in b.declarations() if not names & have), *said]
     text = f"package {a.package or b.package}\n\n{block}" + "\n\n".join(p for p in parts if p) + "\n"
-    return text, [f.name for f in new], [f.name for f in b.functions if f.name in have]
+    return text, [f.name for f in new], [f.name for f in b.functions if f.name in functions]
 
 
 def split_outside(text: str) -> list[str]:

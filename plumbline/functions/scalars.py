@@ -118,7 +118,7 @@ def is_blank(text: Column) -> Column:
 
 
 def split_csv(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def split_spaces(text: Column) -> Column:

@@ -79,7 +79,7 @@ def executable_changed_lines(changed: DataFrame, executable: DataFrame, source:
     executable: (file, start_line, end_line). source: (file, line, text), line numbers from 1.
     """
     lines = executable.where("start_line <= end_line").select("file", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
-    plain = source.where(~F.trim("text").isin("{", "}")).select("file", "line")
+    plain = source.where(~F.regexp_replace("text", r"^\s+|\s+$", "").isin("{", "}")).select("file", "line")
     keep = lines.join(plain, ["file", "line"], "left_semi")
     known = source.select("file").distinct()
     return changed.join(known, "file", "left_semi").join(keep, ["file", "line"], "left_semi").unionByName(changed.join(known, "file", "left_anti"))

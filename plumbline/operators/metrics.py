@@ -5,7 +5,7 @@ Three mean rules live side by side on purpose: ratio of sums, mean over positive
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import config_rank, percent
@@ -40,9 +40,9 @@ def build_matrix(runs: DataFrame, metric: str, configs: list[str] | None = None,
     return runs.groupBy(repo).pivot(config, configs).agg(F.max_by(metric, order)).orderBy(repo)
 
 
-def all_matrices(runs: DataFrame, configs: list[str], order: str = "seq") -> DataFrame:
+def all_matrices(runs: DataFrame, configs: list[str], order: str = "seq", metrics: tuple[str, ...] = ALL_METRICS) -> DataFrame:
     """(metric, repo, configs...) for every metric in one pass: unpivot, then one pivot."""
-    long = unpivot_metrics(runs, ("repo", "config", order))
+    long = unpivot_metrics(runs, ("repo", "config", order), metrics)
     return long.groupBy("metric", "repo").pivot("config", configs).agg(F.max_by("value", order)).orderBy("metric", "repo")
 
 

@@ -29,17 +29,43 @@ def is_test_function(name: Column, receiver: Column, parameters: Column) -> Colu
     return name.rlike(r"^Test(?![\p{Ll}])") & (name != "TestMain") & (F.coalesce(receiver, F.lit("")) == "") & one
 
 
+#: Further methods of the gotest.tools library by kind, of which those of the kind "error" count as error assertions.
+GOTEST_METHODS = {"equal": ("DeepEqual",), "error": ("NilError", "ErrorType"), "check": ("Check", "Assert")}
+
+
+def _without_strings(text: Column) -> Column:
+    return F.regexp_replace(text, r"\"(?:\\.|[^\"\\])*\"|`[^`]*`", "s")
+
+
 def is_error_expression(text: Column) -> Column:
-    return text.rlike(r"^(err|e|er)$|(?i)err$")
+    """Whether an expression's syntax looks like an error: a name err, e or er, or one that ends in err, or a chain of selectors
+    and calls from such a name, or with a selector named Error or ending in Err."""
+    chain = _without_strings(text)
+    for _ in range(6):  # arguments go, the innermost first
+        chain = F.regexp_replace(chain, r"(?<=\w)\([^()]*\)", "")
+    lower = F.lower(chain)
+    return lower.rlike(r"^(\w*err|e|er)(\.\w+)*$|^\w+(\.\w+)*\.(error|\w*err)(\.\w+)*$")
+
 
+def classify(calls: DataFrame, gotest_tools: bool = False) -> DataFrame:
+    """Calls (receiver, method, args array<string>) that assert, with kind and is_error.
 
-def classify(calls: DataFrame) -> DataFrame:
-    """Calls (receiver, method, args array<string>) that assert, with kind and is_error."""
+    gotest_tools: also those of that library that no method of the first names hides; the checks of the reference never get
+    to them, as they ask for the first names before.
+    """
     testing = ((F.col("receiver").isin("t", "tb")) | F.col("receiver").endswith("T")) & F.col("method").isin(*REPORTS)
     pairs = [F.lit(x) for kind, names in METHODS.items() for n in names for x in (n, kind)]
     named = F.when(F.col("receiver").isin(*RECEIVERS), F.try_element_at(F.create_map(*pairs), F.col("method")))
+    said = F.exists("args", is_error_expression)
     kind = F.when(testing, F.lit("fatal")).otherwise(named)
-    error = F.when(testing, F.exists("args", is_error_expression)).otherwise(kind == "error")
+    error = F.when(testing, said).otherwise(kind == "error")
+    if gotest_tools:
+        more = F.try_element_at(F.create_map(*[F.lit(x) for k, names in GOTEST_METHODS.items() for n in names for x in (n, k)]), F.col("method"))
+        checked = _without_strings(F.get("args", 1))
+        compares = F.regexp_replace(checked, r"\([^()]*\)", "").rlike(r"[-+*/%<>&|^]|==|!=")
+        found = F.when(more != "check", more).otherwise(F.when(compares, "equal").when(checked.endswith(")"), "other").otherwise("bool"))
+        kind = F.coalesce(kind, F.when(F.col("receiver") == "assert", F.when(more.isNotNull(), found)))
+        error = F.coalesce(error, F.when(more == "check", said).otherwise(more == "error"))
     return calls.withColumn("kind", kind).withColumn("is_error", error).where("kind is not null")
 
 

@@ -28,11 +28,15 @@ def imported(imports: Column, path: str) -> Column:
     return F.exists(imports, lambda i: (i == path) | i.endswith("/" + path))
 
 
+def code_of(body: Column) -> Column:
+    """The body with comments and literals blanked, so that words in them are no syntax."""
+    return F.regexp_replace(body, r"//[^\n]*|(?s:/\*.*?\*/)|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`|'(?:\\.|[^'\\\n])+'", "\"\"")
+
+
 def any_call(body: Column, calls: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for c in calls:
-        out = out | body.contains(c)
-    return out
+    """Whether the body calls one of these functions of a package."""
+    names = "|".join(r"\s*\.\s*".join(c.split(".")) for c in calls)
+    return code_of(body).rlike(rf"(?<![\w.])({names})\s*\(")
 
 
 def framework(params: Column, returns: Column, imports: Column) -> Column:
@@ -59,9 +63,9 @@ def detect(functions: DataFrame, imports: Column, receiver_fields: Column | None
     fields = receiver_fields if receiver_fields is not None else F.expr("cast(array() as array<string>)")
     tests = {
         "http_handler": framework(params, F.col("returns"), imports).isNotNull(),
-        "context": has_param("context.Context"), "time_now": body.contains("time.Now"), "env_var": any_call(body, ENV_CALLS), "file_io": any_call(body, FILE_CALLS),
+        "context": has_param("context.Context"), "time_now": any_call(body, ("time.Now",)), "env_var": any_call(body, ENV_CALLS), "file_io": any_call(body, FILE_CALLS),
         "database": has_param(*DATABASE_TYPES) | F.arrays_overlap(F.coalesce(fields, F.array()), F.array(*map(F.lit, DATABASE_TYPES))),
-        "errors_wrap": any_call(body, ERROR_CALLS) | (body.contains("fmt.Errorf") & body.contains("%w")),
+        "errors_wrap": any_call(body, ERROR_CALLS) | (any_call(body, ("fmt.Errorf",)) & body.contains("%w")),
         "http_client": imported(imports, "net/http") & any_call(body, CLIENT_CALLS), "json_encoding": imported(imports, "encoding/json") & any_call(body, JSON_CALLS),
         "io_readwrite": imported(imports, "io") & (any_call(body, IO_CALLS) | has_param("io.Reader", "io.Writer")),
     }
@@ -72,7 +76,8 @@ def detect(functions: DataFrame, imports: Column, receiver_fields: Column | None
 
 def context_use(body: Column) -> Column:
     """struct(cancel, value): whether a context's end or values are looked at."""
-    return F.struct(any_call(body, ("ctx.Done()", "ctx.Err()", "ctx.Deadline()")).alias("cancel"), body.contains("ctx.Value(").alias("value"))
+    cancel = body.contains("ctx.Done()") | body.contains("ctx.Err()") | body.contains("ctx.Deadline()")
+    return F.struct(cancel.alias("cancel"), body.contains("ctx.Value(").alias("value"))
 
 
 def needs_care(kinds: Column) -> Column:
@@ -82,32 +87,41 @@ def needs_care(kinds: Column) -> Column:
 # --- concurrency -------------------------------------------------------------------------------------------------------
 
 
+#: Names of concurrency primitives in reports, those of text only, and what precedes an atomic function's name.
+PRIMITIVES = ("goroutine launch (go statement)", "channel type", "channel send", "channel receive", "channel creation (make)", "sync.Mutex", "sync.RWMutex", "sync.WaitGroup", "sync.Once",
+              "channel parameter/return", "struct field: channel")
+TEXT_MATCHES, ATOMIC = ("sync.Mutex (text match)", "sync.WaitGroup (text match)", "sync.Once (text match)", "sync/atomic (text match)"), "sync/atomic."
+
+
 def concurrency(functions: DataFrame, receiver_fields: Column | None = None) -> DataFrame:
     """functions with `concurrency`: flags and the ordered distinct patterns behind them."""
-    # comments and strings are blanked, so that words in them are no syntax
-    code = F.regexp_replace("body", r"//[^\n]*|(?s:/\*.*?\*/)|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`", "\"\"")
+    code, body = code_of(F.col("body")), F.coalesce("body", F.lit(""))
     fields = F.coalesce(receiver_fields if receiver_fields is not None else F.lit(None).cast("array<string>"), F.expr("cast(array() as array<string>)"))
     types = F.concat(F.transform("params", lambda p: p["type"]), F.col("returns"))
     some = lambda needle: F.exists(fields, lambda f: f.contains(needle))
     typed_channel = F.exists(types, lambda t: t.rlike(r"^(chan |<-chan|chan<-|chan$)"))
     field_channel = F.exists(fields, lambda f: f.rlike(r"^chan( |$)"))
     go, chan = code.rlike(r"(?m)(^|[;{}\s])go\s+[\w(]"), code.rlike(r"\bchan\b")
-    send, receive, made = code.rlike(r"\w\s*<-\s*[^\s]"), code.rlike(r"(^|[=(,:;{\s])<-\s*\w"), code.rlike(r"\bmake\(\s*(<-)?chan\b")
-    found = {
-        "goroutine launch (go statement)": go, "channel type": chan, "channel send": send, "channel receive": receive, "channel creation (make)": made,
-        "sync.Mutex": code.rlike(r"\bsync\.Mutex\b"), "sync.RWMutex": code.rlike(r"\bsync\.RWMutex\b"), "sync.WaitGroup": code.rlike(r"\bsync\.WaitGroup\b"), "sync.Once": code.rlike(r"\bsync\.Once\b"),
-        "sync/atomic": code.contains("atomic."), "channel parameter/return": typed_channel, "struct field: channel": field_channel,
-    }
+    send = code.rlike(r"(?<![\w.])(?!(?:return|case|range|chan|go|defer)\b)[\p{L}_]\w*(?:\.\w+|\[[^\]]*\]|\([^()]*\))*\s*<-\s*(?!chan\b)\S")
+    receive = code.rlike(r"(?m)(?:^|[-=(,:;{&|!+*/<>]|\b(?:return|case|range|go|defer))\s*<-\s*(?!chan\b)[\w(]")
+    made = code.rlike(r"\bmake\(\s*(<-)?chan\b")
+    used = {k: code.rlike(rf"(?<![\w.])sync\.{k}\b") for k in ("Mutex", "RWMutex", "WaitGroup", "Once")}
+    atomics = F.transform(F.array_distinct(F.regexp_extract_all(code, F.lit(r"(?<![\w.])atomic\.(\w+)"), F.lit(1))), lambda n: F.concat(F.lit(ATOMIC), n))
+    atomic = F.size(atomics) > 0
+    found = dict(zip(PRIMITIVES, (go, chan, send, receive, made, *used.values(), typed_channel, field_channel)))
     listed = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in found.items()]))
     by_field = F.transform(F.filter(fields, lambda f: f.rlike("Mutex|WaitGroup|Once")), lambda f: F.concat(F.lit("struct field: "), f))
+    # what only comments or strings name is told apart
+    texts = dict(zip(TEXT_MATCHES, (~used["Mutex"] & ~used["RWMutex"] & body.rlike(r"sync\.(RW)?Mutex"), ~used["WaitGroup"] & body.contains("sync.WaitGroup"), ~used["Once"] & body.contains("sync.Once"), ~atomic & body.contains("atomic."))))
+    by_text = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in texts.items()]))
     flags = {
-        "has_goroutines": go, "has_channels": chan | send | receive | made | typed_channel | field_channel, "has_mutex": code.rlike(r"\bsync\.(RW)?Mutex\b") | some("Mutex"),
-        "has_wait_group": code.contains("sync.WaitGroup") | some("WaitGroup"), "has_once": code.contains("sync.Once") | some("Once"), "has_atomic": code.contains("atomic."),
+        "has_goroutines": go, "has_channels": chan | send | receive | made | typed_channel | field_channel, "has_mutex": body.rlike(r"sync\.(RW)?Mutex") | some("Mutex"),
+        "has_wait_group": body.contains("sync.WaitGroup") | some("WaitGroup"), "has_once": body.contains("sync.Once") | some("Once"), "has_atomic": body.contains("atomic."),
     }
     concurrent = F.lit(False)
     for c in flags.values():
         concurrent = concurrent | c
-    return functions.withColumn("concurrency", F.struct(concurrent.alias("is_concurrent"), *[c.alias(k) for k, c in flags.items()], F.array_distinct(F.concat(listed, by_field)).alias("patterns")))
+    return functions.withColumn("concurrency", F.struct(concurrent.alias("is_concurrent"), *[c.alias(k) for k, c in flags.items()], F.array_distinct(F.concat(listed, atomics, by_text, by_field)).alias("patterns")))
 
 
 def concurrency_hint(info: Column) -> Column:
@@ -122,7 +136,7 @@ def concurrency_hint(info: Column) -> Column:
 
 
 def branch_lines(body: Column) -> Column:
-    """Descriptions of the branches that single lines of a body show."""
+    """Descriptions of the branches that single lines of a body show, for bodies that can't be parsed (see gosource.branch_texts)."""
     lines = F.transform(F.split(body, "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     quoted = lambda name, x, start, end: F.concat(F.lit(f"{name}: `"), F.regexp_replace(F.regexp_replace(x, start, ""), end, ""), F.lit("`"))
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import globs, scalars
-from ..operators import coverage, graphs, metrics, stores, testevents
+from ..operators import coverage, graphs, metrics, patterns, stores, testevents
+from ..sources import reports, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -32,10 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import gosources, recorded  # noqa: F401  (they add their queries to these)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_ORACLE)
 
 
@@ -103,15 +107,14 @@ def q04(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("q34_all_matrices", """
-    SELECT metric, repo, arg_max(value, seq) FILTER (config = 'FURNITURE') AS "FURNITURE", arg_max(value, seq) FILTER (config = 'BUILDING') AS "BUILDING" FROM (
+    SELECT metric, repo, arg_max_null(value, seq) FILTER (config = 'FURNITURE') AS "FURNITURE", arg_max_null(value, seq) FILTER (config = 'BUILDING') AS "BUILDING" FROM (
       SELECT n_name AS repo, c_mktsegment AS config, c_custkey AS seq, 'bal' AS metric, c_acctbal AS value FROM customer JOIN nation ON c_nationkey = n_nationkey
       UNION ALL SELECT n_name, c_mktsegment, c_custkey, 'half', CASE WHEN c_acctbal > 0 THEN c_acctbal / 2 END FROM customer JOIN nation ON c_nationkey = n_nationkey)
-    WHERE value IS NOT NULL GROUP BY metric, repo""")
+    GROUP BY metric, repo""")
 def q34(spark: SparkSession, d: str) -> DataFrame:
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     runs = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("repo"), F.col("c_mktsegment").alias("config"), F.col("c_custkey").alias("seq"), F.col("c_acctbal").alias("bal"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 2).alias("half"))
-    long = metrics.unpivot_metrics(runs, ("repo", "config", "seq"), ("bal", "half")).where("value is not null")
-    return long.groupBy("metric", "repo").pivot("config", ["FURNITURE", "BUILDING"]).agg(F.max_by("value", "seq"))
+    return metrics.all_matrices(runs, ["FURNITURE", "BUILDING"], metrics=("bal", "half"))
 
 
 @_query("q25_file_report", """
@@ -143,18 +146,21 @@ def q35(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("q05_line_numbering", """
-    SELECT conv_id, turn, 1 + coalesce(sum(CASE WHEN role <> 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS new_no
-    FROM conversations""")
+    SELECT conv_id::VARCHAR AS path, turn, 1 + coalesce(sum(CASE WHEN role <> 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS new_no
+    FROM conversations WHERE role <> 'system'""")
 def q05(spark: SparkSession, d: str) -> DataFrame:
-    """Turns as hunk lines: system turns are deleted lines and advance nothing."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "conversations").select("conv_id", "turn", (1 + F.coalesce(F.sum((F.col("role") != "system").cast("int")).over(w), F.lit(0))).alias("new_no"))
+    """A conversation as a hunk: system turns are deleted lines, which advance no new number."""
+    line = F.concat(F.when(F.col("role") == "system", "-").otherwise(" "), F.col("turn").cast("string"))
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
+    diff = turns.select(F.col("conv_id").cast("string").alias("path"), F.concat(F.lit("diff --git a/c b/c\n@@ -1 +1 @@\n"), F.array_join(F.transform("t", lambda t: t["line"]), "\n")).alias("value"))
+    return text.diff_lines(diff).where("type <> 'deleted'").select("path", F.col("content").cast("bigint").alias("turn"), F.col("new_no").cast("bigint").alias("new_no"))
 
 
 @_query("q06_text_lines", """
-    SELECT doc_id, i - 1 AS pos, md5(l[i]) AS line_md5 FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)""")
+    SELECT doc_id, i - 1 AS pos, md5(l[i]) AS line_md5 FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS l, unnest(range(1, len(string_split_regex(text, '\\r?\\n')) + 1)) AS i FROM documents)""")
 def q06(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.md5("line").alias("line_md5"))
+    rows = text.lines(table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("value")))
+    return rows.select(F.col("path").alias("doc_id"), F.col("pos").cast("bigint").alias("pos"), F.md5("line").alias("line_md5"))
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -215,15 +221,15 @@ def q37(spark: SparkSession, d: str) -> DataFrame:
     return gaps.select("file", "name", F.size("lines").cast("bigint").alias("n"), F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("line_sum"))
 
 
-@_query("q32_executable_lines", """
+@_query("q32_executable_lines", r"""
     WITH l AS (SELECT doc_id AS file, i AS line, string_split(text, chr(10))[i] AS t FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-    x AS (SELECT DISTINCT file, line FROM l WHERE line <= 4 AND trim(t) NOT IN ('{', '}')),
-    ch AS (SELECT file, line FROM l WHERE line % 2 = 0)
-    SELECT file, line FROM ch SEMI JOIN x USING (file, line)""")
+    x AS (SELECT DISTINCT file, line FROM l WHERE line % 5 IN (1, 2, 3) AND trim(t, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) NOT IN ('{', '}'))
+    SELECT file, line FROM l SEMI JOIN x USING (file, line)""")
 def q32(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of all texts changed; of every five lines the first three are an executable range."""
     source = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("p", "text")).select("file", (F.col("p") + 1).cast("bigint").alias("line"), "text")
-    ranges = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.lit(1).cast("bigint").alias("start_line"), F.lit(4).cast("bigint").alias("end_line"))
-    return coverage.executable_changed_lines(source.where("line % 2 = 0").select("file", "line"), ranges, source)
+    ranges = source.where("line % 5 = 1").select("file", F.col("line").alias("start_line"), (F.col("line") + 2).alias("end_line"))
+    return coverage.executable_changed_lines(source.select("file", "line"), ranges, source)
 
 
 # --- test events -------------------------------------------------------------------------------------------------------
@@ -275,18 +281,22 @@ def q12(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("q13_islands", """
-    SELECT conv_id, island::BIGINT AS island, count(*) AS n, sum(length(text))::BIGINT AS chars FROM (
-      SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations) GROUP BY ALL""")
+    SELECT conv_id::VARCHAR AS path, 'T' || island AS name, string_agg('turn ' || turn, '; ' ORDER BY turn) AS error FROM (
+      SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations) WHERE island > 0 GROUP BY ALL""")
 def q13(spark: SparkSession, d: str) -> DataFrame:
-    """Messages between markers: an island starts at each user turn."""
+    """A conversation as a log: a test starts at each user turn and fails before the next, its turns being its messages."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, d, "conversations").withColumn("island", F.sum((F.col("role") == "user").cast("int")).over(w))
-    return c.groupBy("conv_id", "island").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    c = table(spark, d, "conversations").withColumn("n", F.sum((F.col("role") == "user").cast("int")).over(w)).where("n > 0").withColumn("last", F.coalesce(F.lead("n").over(w) != F.col("n"), F.lit(True)))
+    name = F.concat(F.lit("T"), F.col("n").cast("string"))
+    said = F.concat(F.when(F.col("role") == "user", F.concat(F.lit("=== RUN   "), name, F.lit("\n"))).otherwise(""), F.lit("    turn "), F.col("turn").cast("string"), F.when(F.col("last"), F.concat(F.lit("\n--- FAIL: "), name, F.lit(" (0.00s)"))).otherwise(""))
+    logs = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("line")))).alias("t")).select(F.col("conv_id").cast("string").alias("path"), F.array_join(F.transform("t", lambda t: t["line"]), "\n").alias("value"))
+    return testevents.error_context(logs).select("path", "name", "error")
 
 
-@_query("q33_latest", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+@_query("q33_latest", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def q33(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
+    """A user's events as reports of one folder: the one written last."""
+    return reports.latest(table(spark, d, "events"), ["user_id"], "event_id").select("user_id", "event_type")
 
 
 # --- stores and sets ---------------------------------------------------------------------------------------------------
@@ -302,12 +312,14 @@ def q14(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("q15_classify", """
-    WITH cur AS (SELECT doc_id, doc_id % 400 AS k, text FROM documents WHERE doc_id >= 400), base AS (SELECT doc_id % 400 AS k, arg_max(text, doc_id) AS b FROM documents WHERE doc_id < 400 AND doc_id % 3 <> 0 GROUP BY ALL)
-    SELECT doc_id, CASE WHEN b IS NULL THEN 'new' WHEN b = text THEN 'unchanged' ELSE 'changed' END AS status FROM cur LEFT JOIN base USING (k)""")
+    WITH base AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN text || '.' ELSE text END AS b FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) l USING (doc_id) WHERE d.lang <> 'de')
+    SELECT d.doc_id, CASE WHEN base.doc_id IS NULL THEN 'new' WHEN b = text THEN 'unchanged' ELSE 'changed' END AS status FROM documents d LEFT JOIN base USING (doc_id)""")
 def q15(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").withColumn("k", F.col("doc_id") % 400)
-    current, base = docs.where("doc_id >= 400"), docs.where("doc_id < 400 and doc_id % 3 <> 0").withColumn("pos", F.col("doc_id"))
-    return stores.classify(current, base, ["k"], "text").select("doc_id", "status")
+    """All documents against an older version of them: one language came later, documents of low quality were changed."""
+    docs = table(spark, d, "documents")
+    low = table(spark, d, "labels").where("quality = 0").select("doc_id").distinct().withColumn("low", F.lit(True))
+    base = docs.where("lang <> 'de'").join(low, "doc_id", "left").select("doc_id", F.when(F.col("low"), F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("text"), F.lit(1).alias("pos"))
+    return stores.classify(docs.select("doc_id", "text"), base, ["doc_id"], "text").select("doc_id", "status")
 
 
 @_query("q16_cache_lookup", """
@@ -375,11 +387,13 @@ def q21(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("q22_patterns", """
-    SELECT page_id, array_to_string(list_filter([CASE WHEN contains(html, '<script') THEN 'script' END, CASE WHEN contains(html, '<table') THEN 'table' END, CASE WHEN contains(html, 'track(') AND contains(url, 'm.') THEN 'mobile' END], lambda k: k IS NOT NULL), ',') AS kinds FROM pages""")
+    SELECT page_id, array_to_string(list_filter([CASE WHEN contains(html, '<script') THEN 'time_now' END, CASE WHEN contains(html, '<table') THEN 'file_io' END, CASE WHEN contains(url, 'm.') THEN 'json_encoding' END], lambda k: k IS NOT NULL), ',') AS kinds FROM pages""")
 def q22(spark: SparkSession, d: str) -> DataFrame:
-    when = lambda kind, c: F.when(c, F.lit(kind))
-    kinds = F.array_compact(F.array(when("script", F.col("html").contains("<script")), when("table", F.col("html").contains("<table")), when("mobile", F.col("html").contains("track(") & F.col("url").contains("m."))))
-    return table(spark, d, "pages").select("page_id", F.array_join(kinds, ",").alias("kinds"))
+    """What a page holds decides which calls a function's body has; the page itself is a comment in it."""
+    call = lambda c, text: F.when(c, text).otherwise("")
+    body = F.concat(F.lit("/* "), F.replace("html", F.lit("*/"), F.lit("")), F.lit(" */\n"), call(F.col("html").contains("<script"), "x := time.Now()\n"), call(F.col("html").contains("<table"), "os.Stat(x)\n"), call(F.col("url").contains("m."), "json.Marshal(x)\n"))
+    pages = table(spark, d, "pages").select("page_id", body.alias("body"), F.expr("cast(array() as array<struct<name:string,type:string>>)").alias("params"), F.expr("cast(array() as array<string>)").alias("returns"))
+    return patterns.detect(pages, F.array(F.lit("encoding/json"))).select("page_id", F.array_join("kinds", ",").alias("kinds"))
 
 
 @_query("q23_globs", r"""
@@ -408,14 +422,15 @@ def q40(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("q27_implementors", """
-    WITH need AS (SELECT DISTINCT p_brand AS interface, p_type AS method FROM part WHERE p_size <= 2), have AS (SELECT DISTINCT l_suppkey AS type, p_type AS method FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 7 = 0),
+    WITH need AS (SELECT DISTINCT p_brand AS interface, p_type || p_size AS method FROM part), have AS (SELECT DISTINCT l_suppkey AS type, p_type || p_size AS method FROM lineitem JOIN part ON l_partkey = p_partkey),
     needs AS (SELECT interface, count(*) AS n FROM need GROUP BY interface), met AS (SELECT interface, type, count(*) AS n FROM need JOIN have USING (method) GROUP BY interface, type)
     SELECT interface, type FROM met JOIN needs USING (interface, n)""")
 def q27(spark: SparkSession, d: str) -> DataFrame:
+    """A brand needs its types and sizes of parts; which suppliers delivered all of them."""
     p, i = table(spark, d, "part"), table(spark, d, "lineitem")
-    needed = p.where("p_size <= 2").select(F.col("p_brand").alias("interface"), F.col("p_type").alias("method"))
-    have = i.join(p.where("p_size % 7 = 0"), i.l_partkey == p.p_partkey).select(F.col("l_suppkey").alias("type"), F.col("p_type").alias("method"))
-    return graphs.implementors(needed, have)
+    method = F.concat("p_type", F.col("p_size").cast("string")).alias("method")
+    have = i.join(p, i.l_partkey == p.p_partkey).select(F.col("l_suppkey").alias("type"), method)
+    return graphs.implementors(p.select(F.col("p_brand").alias("interface"), method), have)
 
 
 @_query("q28_embedded_methods", """

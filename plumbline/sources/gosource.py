@@ -22,6 +22,7 @@ VARIABLES = "file string, pos int, name string, type string, value string, is_co
 IMPORTS = "file string, pos int, path string, alias string"
 CALLS = "file string, pos int, func string, receiver string, method string, args array<string>, line int"
 BRANCHES = "file string, pos int, func string, kind string, line int, is_error_path boolean"
+BRANCH_TEXTS = "file string, pos int, func string, text string"
 RANGES = "file string, pos int, start_line int, end_line int"
 MUTANTS = "file string, pos int, func string, type string, line int, original string, replacement string"
 CASES = "file string, pos int, func string, tab int, idx int, fields array<struct<key:string,value:string>>"
@@ -82,6 +83,11 @@ def branches(texts: DataFrame) -> DataFrame:
     return _rows(texts, BRANCHES, lambda s: ((f.name, *b) for f in s.functions for b in s.branches(f)))
 
 
+def branch_texts(texts: DataFrame) -> DataFrame:
+    """(file, pos, func, text) of what the branches of every function ask."""
+    return _rows(texts, BRANCH_TEXTS, lambda s: ((f.name, b) for f in s.functions for b in s.branch_texts(f)))
+
+
 def executable_ranges(texts: DataFrame) -> DataFrame:
     return _rows(texts, RANGES, lambda s: iter(s.executable_ranges()))
 
@@ -126,3 +132,33 @@ def package_index(funcs: DataFrame) -> DataFrame:
     """One function a name over a package; the last file and place win."""
     columns = funcs.columns
     return funcs.groupBy("name").agg(F.max_by(F.struct(*columns), F.struct("file", "pos")).alias("f")).select("f.*")
+
+
+def merged(pairs: DataFrame) -> DataFrame:
+    """(path, code, added, skipped) of (path, existing, generated): generated sources merged into existing ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [golang.merge(a or "", b or "") for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            columns = list(zip(*rows)) or [()] * 3
+            kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["path", "code", "added", "skipped"])
+
+    return pairs.select("path", "existing", "generated").mapInArrow(run, "path string, code string, added array<string>, skipped array<string>")
+
+
+def pruned(texts: DataFrame, plan: DataFrame) -> DataFrame:
+    """(path, value) without what a plan removes. plan: (path, name, action, cases), as testevents.prune_plan gives for a file."""
+    by = plan.groupBy("path").agg(F.collect_list(F.struct("name", "action", "cases")).alias("plan"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, steps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for step in steps or ():
+                    if step["action"] == "remove_cases":
+                        text = golang.remove_cases(text, step["name"], set(step["cases"] or ()))
+                gone = {step["name"] for step in steps or () if step["action"] == "remove_function"}
+                out.append(golang.remove_functions(text, gone) if gone else text)
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["path", "value"])
+
+    return texts.join(by, "path", "left").select("path", "value", "plan").mapInArrow(run, "path string, value string")

@@ -26,6 +26,22 @@ def _flat(raw: DataFrame) -> DataFrame:
     return raw.select("repo", F.coalesce(F.nullif("config.ablation_config", F.lit("")), stem).alias("config"), *counters, F.coalesce("duration_seconds", F.lit(0.0)).alias("duration_sec"), *[F.col(v).alias(k) for k, v in named.items()], "seq")
 
 
+def parse_reports(texts: DataFrame) -> DataFrame:
+    """Reports held as texts (path, value): the columns of a report, with repo, file_name and seq out of the path."""
+    rows = texts.select(F.from_json("value", schemas.RUN).alias("r"), F.col("path").alias("seq")).where("r is not null")
+    return rows.select("r.*", "seq", F.split_part("seq", F.lit("/"), F.lit(-1)).alias("file_name"), F.split_part("seq", F.lit("/"), F.lit(-2)).alias("repo")).where(~F.col("file_name").isin(*NOT_REPORTS))
+
+
+def flat_reports(texts: DataFrame) -> DataFrame:
+    """Flat rows of reports held as texts."""
+    return _flat(parse_reports(texts))
+
+
+def files_of(raw: DataFrame) -> DataFrame:
+    """File rows of reports, without those left empty by cached or dry runs."""
+    return raw.select("repo", F.explode("files").alias("f")).select("repo", "f.*").where("file <> ''")
+
+
 def _reports(spark: SparkSession, pattern: str) -> DataFrame:
     raw = spark.read.schema(schemas.RUN).option("multiLine", True).json(pattern)
     raw = raw.withColumn("file_name", F.col("_metadata.file_name")).withColumn("seq", F.col("_metadata.file_path"))
@@ -45,14 +61,19 @@ def load_all(spark: SparkSession, out: str) -> DataFrame:
 
 
 def report_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """File rows of reports, without those left empty by cached or dry runs."""
-    return _reports(spark, pattern).select("repo", F.explode("files").alias("f")).select("repo", "f.*").where("file <> ''")
+    """files_of the reports of a folder."""
+    return files_of(_reports(spark, pattern))
+
+
+def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), order).alias("_r")).select(*keys, "_r.*")
 
 
 def latest_report(spark: SparkSession, folder: str) -> DataFrame:
-    """(path) of the report modified last; of equals the first by name."""
+    """(path) of the report modified last."""
     files = spark.read.format("binaryFile").load(f"{folder}/*.json").select("path", "modificationTime")
-    return files.groupBy().agg(F.max_by("path", "modificationTime").alias("path"))
+    return latest(files, [], "modificationTime").select("path")
 
 
 # --- cache -------------------------------------------------------------------------------------------------------------
@@ -71,10 +92,26 @@ def load_cache(spark: SparkSession, path: str) -> DataFrame:
     return empty.unionByName(rows)
 
 
-def save_cache(cache: DataFrame, path: str) -> None:
-    """Write the whole store to a new place; the caller swaps it in."""
+def _entries(cache: DataFrame, *by: str) -> DataFrame:
+    """A store's entries as one map a group."""
     entry = F.struct("hash", "test_file", "generated_funcs", "model", "timestamp")
-    cache.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("key", entry))).alias("entries")).coalesce(1).write.mode("overwrite").json(path)
+    return cache.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("key", entry))).alias("entries"))
+
+
+def cache_texts(cache: DataFrame, by: str) -> DataFrame:
+    """(path, value): a store's JSON for each value of a column, as stores are one file a project."""
+    return _entries(cache, by).select(F.col(by).alias("path"), F.to_json(F.struct("entries")).alias("value"))
+
+
+def parse_cache(texts: DataFrame) -> DataFrame:
+    """Entries of stores held as texts (path, value); a broken one is empty."""
+    rows = texts.select(F.from_json("value", schemas.CACHE).alias("c")).where("c.entries is not null")
+    return rows.select(F.explode("c.entries").alias("key", "e")).select("key", "e.*")
+
+
+def save_cache(cache: DataFrame, path: str) -> None:
+    """Write the whole store, which is one JSON document, to a new place; the caller swaps it in."""
+    _entries(cache).coalesce(1).write.mode("overwrite").json(path)
 
 
 # --- datasets and configuration ----------------------------------------------------------------------------------------
