@@ -375,11 +375,12 @@ def _removed(rows: DataFrame, edits: int, min_chars: int) -> DataFrame:
     spark = rows.sparkSession
     texts = rows.select("doc", "uid", F.col("row.text").alias("text"))
     classes = near_classes(texts.select("text"), edits, min_chars)
-    named = _occurrences(texts).join(classes, "node", "left").select("doc", "uid", "pos", F.coalesce("comp", "node").alias("comp"))
+    # what these joins add to a document or line grows with the input: one plan at every size, without broadcasts
+    named = _occurrences(texts).join(classes.hint("merge"), "node", "left").select("doc", "uid", "pos", F.coalesce("comp", "node").alias("comp"))
     named, named_path = common.stage(spark, named, "lines")
     place = F.struct("doc", "uid", "pos")
     first, first_path = common.stage(spark, named.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first"), "firsts")
-    later = named.join(first, "comp").where(place != F.col("first"))
+    later = named.join(first.hint("merge"), "comp").where(place != F.col("first"))
     gone, _ = common.stage(spark, later.groupBy("uid").agg(F.collect_set("pos").alias("gone")), "lines-gone")
     common.drop(spark, named_path, first_path)
     return gone
@@ -405,14 +406,14 @@ def summarise(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -
             yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
     rows, _ = common.numbered(docs, ["doc_id", "text"])
-    found = rows.join(_removed(rows, edits, min_chars), "uid", "left").select(*common.fields(F.col("row"), docs, ["doc_id", "text"]), "gone")
+    found = rows.join(_removed(rows, edits, min_chars).hint("merge"), "uid", "left").select(*common.fields(F.col("row"), docs, ["doc_id", "text"]), "gone")
     return found.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines bigint, n_removed bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the text's kept lines, all other columns as they are."""
     rows, _ = common.numbered(docs)
-    found = rows.join(_removed(rows, edits, min_chars), "uid", "left").select(*common.fields(F.col("row"), docs), F.col("gone").alias(common.free_name(docs, "gone")))
+    found = rows.join(_removed(rows, edits, min_chars).hint("merge"), "uid", "left").select(*common.fields(F.col("row"), docs), F.col("gone").alias(common.free_name(docs, "gone")))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
