@@ -118,7 +118,7 @@ def _delete(spark: SparkSession, where: str) -> None:
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have, in whatever case."""
     taken = {c.lower() for c in df.columns}
-    return next(n for n in (stem, *(f"{stem}_{i}" for i in range(len(taken) + 1))) if n.lower() not in taken)
+    return next(n for n in (stem, *(f"{stem}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
 
 
 #: Order of rows without doc_id: after all others.

@@ -4,8 +4,9 @@ Shards take turns in a fixed order; at each turn a shard claims the next free sl
 permutation of the slots of a prime-sized table, so every shard ends with within one of the same number of slots and
 adding or removing a shard moves few others. A row is placed by one hash and one look into the broadcast table.
 
-Defined cases: a null key is placed like the empty string; repeated keys go to the same shard; empty tables give no rows;
-columns of the input named like the result's are replaced by it.
+Defined cases: a null key is placed like the empty string; keys of any type and length are placed by their text; repeated keys
+and rows go to the same shard, each as a row; empty tables give no rows; columns of the input named slot or shard, in whatever
+case, are replaced by the result's, but for the key, beside which the result's gets another name (slot_1 or shard_1).
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Slots of the table. A prime, and far more than the shards; it bounds what is broadcast (65,537 pairs of integers).
 SLOTS = 65_537
 #: Names of the shards that the query uses.
@@ -66,6 +69,7 @@ def lookup_table(spark, shards: tuple[str, ...], slots: int = SLOTS) -> DataFram
 
 def assign_shards(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """df with slot and shard. The table has at most MAX_SLOTS rows, so it is broadcast; df itself is not shuffled."""
-    rows = df.drop(*[c for c in ("slot", "shard") if c in df.columns and c != key])
-    rows = rows.withColumn("slot", slot_of(df[key], slots))
-    return rows.join(F.broadcast(lookup_table(df.sparkSession, shards, slots)), "slot").select(*[c for c in rows.columns if c != "slot"], "slot", "shard")
+    kept = df.select(*[df[c] for c in df.columns if c.lower() not in ("slot", "shard") or c.lower() == key.lower()])
+    slot, shard = common.free_name(kept, "slot"), common.free_name(kept, "shard")
+    table = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
+    return kept.withColumn(slot, slot_of(kept[key], slots)).join(F.broadcast(table), slot).select(*[F.col(f"`{c}`") for c in kept.columns], slot, shard)
