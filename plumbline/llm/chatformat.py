@@ -8,10 +8,11 @@ and everything is concatenated:
 Inside roles and texts every backslash is doubled and every control string gets a backslash after its first character, so
 a text can never open or close a turn, and reading back restores it exactly. The loss mask covers assistant texts only.
 
-Defined cases: a null text or role is empty; null conv_id rows form one conversation; turns are ordered by (turn, role,
-text), nulls first, so ties and repeated rows keep one order and all stay; empty tables give no rows; extra columns are
-ignored. A conversation is one value of the result, so it must fit a row (2 GB); turns are gathered in chunks of CHUNK turn
-numbers first, so no single aggregation step holds more than a chunk's rows or one conversation's chunks.
+Defined cases: a null text or role is empty; texts of any length are kept whole; a row without conv_id is a conversation of
+its own, which needs no shuffle, however many there are; turns are ordered by (turn, role, text), nulls first, so ties and
+repeated rows keep one order and all stay; empty tables give no rows; extra columns, whatever their names, are ignored. A
+conversation is one value of the result, so it must fit a row (2 GB); turns are gathered in chunks of CHUNK turn numbers
+first, so no single aggregation step holds more than a chunk's rows or one conversation's chunks.
 """
 
 from __future__ import annotations
@@ -42,9 +43,10 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, pieces): pieces is array<struct<text, loss>>, whose texts joined are `formatted`."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chunk = F.floor(F.col("turn") / CHUNK).alias("chunk")
-    chunks = rows.select("conv_id", chunk, turn.alias("t")).groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    chunks = rows.where("conv_id is not null").select("conv_id", chunk, turn.alias("t")).groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     whole = chunks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "ts"))).alias("cs"))
     turns = whole.select("conv_id", F.flatten(F.transform("cs", lambda c: c["ts"])).alias("ts"))
+    turns = turns.union(rows.where("conv_id is null").select("conv_id", F.array(turn).alias("ts")))
     before = F.lit(None).cast("string")
 
     def pieces(t: Column, i: Column) -> Column:
