@@ -4,9 +4,13 @@ Labelled page outcomes are counted by host, registered domain and suffix. Each l
 it (global -> suffix -> domain -> host) by a beta-binomial prior whose strength is estimated from the spread between
 groups; a page is allowed if the lower bound of its host's posterior reaches a threshold.
 
-Defined cases: a null url, or one without "://", has empty host and path and falls to the global prior; hosts without
-labels fall to their domain's posterior, then the suffix's; repeated labels of a page all count; without any label every
-posterior is the uniform prior's; extra columns of either input are ignored.
+Rules may be many: up to INLINE of them are compared in one expression; a longer list is joined on the suffixes of each
+different host and the prefixes of its paths that have the length of some rule's.
+
+Defined cases: a null url, or one without "://", has empty host and path and falls to the global prior; urls of any length are
+looked at whole; hosts without labels fall to their domain's posterior, then the suffix's; repeated labels of a page all count,
+repeated pages each give a row; of rules as long as each other the last by (action, host, path) wins; without any label every
+posterior is the uniform prior's; empty tables give no rows; extra columns of either input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -16,13 +20,14 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Second-level names that count as part of a country's suffix.
+#: Second-level names that count as part of a country's suffix, where no list of public suffixes is given.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: Standard deviations below the posterior mean (the lower decile), and the bound a host must reach.
 Z, THRESHOLD = 1.2816, 0.5
 #: Limits of an estimated prior strength, in pseudo-observations.
 WEAKEST, STRONGEST = 1.0, 200.0
-MAX_RULES = 256
+#: Rules that are compared in one expression, at most.
+INLINE = 256
 
 
 def ascii_lower(c: Column) -> Column:
@@ -49,10 +54,15 @@ def suffix_of(domain: Column) -> Column:
     return F.when(F.instr(domain, ".") > 0, F.expr("substring(domain, instr(domain, '.') + 1)")).otherwise(domain)
 
 
-def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """The longest fitting rule as struct(rule, action), else null. rules: (action, host, path prefix), at most MAX_RULES."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules are compared with each url")
+def endings(host: Column) -> Column:
+    """All endings of a host that start at a label, the whole host among them."""
+    labels = F.split(host, r"\.")
+    n = F.size(labels)
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+
+
+def _best(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """The longest fitting rule as struct(rule, action), else null."""
     best = F.lit(None).cast("struct<rule:string,action:string>")
     for action, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -60,6 +70,40 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return best
 
 
+def with_rules(placed: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """placed (host, path, ...) with r, struct(rule, action) of the longest fitting rule or null. rules: (action, host, path), a
+    list or a table of any length."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= INLINE:
+            return placed.withColumn("r", _best(F.col("host"), F.col("path"), rules))
+        rules = placed.sparkSession.createDataFrame(rules, "action string, host string, path string")
+    table = rules.select("action", F.col("host").alias("ending"), F.col("path").alias("prefix")).where("action is not null and ending is not null and prefix is not null").distinct()
+    lengths = [r[0] for r in table.select(F.length("prefix")).distinct().collect()]  # as many as the longest path has characters, at most
+    urls = placed.select("host", "path").distinct()
+    ends = urls.select("host", "path", F.explode(endings(F.col("host"))).alias("ending")).join(table.select("ending").distinct(), "ending", "left_semi")
+    fitting = F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: n <= F.length("path"))
+    cut = ends.select("host", "path", "ending", F.explode(F.transform(fitting, lambda n: F.left("path", n))).alias("prefix"))
+    found = cut.join(table, ["ending", "prefix"]).groupBy("host", "path").agg(F.max_by(
+        F.struct(F.concat("ending", "prefix").alias("rule"), "action"), F.struct(F.length("ending") + F.length("prefix"), "action", "ending", "prefix")).alias("r"))
+    return placed.join(found, ["host", "path"], "left")
+
+
+def _domains(hosts: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    """hosts (host, ...) with domain and suffix. suffixes: public suffixes (suffix), the longest that ends a host counts; without
+    them, or where none fits, the last label with SECOND_LEVEL names."""
+    plain = hosts.withColumn("domain", domain_of(F.col("host")))
+    plain = plain.withColumn("suffix", suffix_of(F.col("domain")))
+    if suffixes is None:
+        return plain
+    known = suffixes.select(F.lower("suffix").alias("known")).distinct()
+    ends = hosts.select("host").distinct().select("host", F.posexplode(endings(F.col("host"))).alias("at", "known")).join(known, "known")
+    longest = ends.groupBy("host").agg(F.min(F.struct("at", "known")).alias("x"))
+    labels = F.split("host", r"\.")
+    own = F.when(F.col("x.at") > 0, F.array_join(F.slice(labels, F.col("x.at"), F.size(labels)), ".")).otherwise(F.col("host"))
+    joined = plain.join(longest, "host", "left")
+    return joined.withColumn("domain", F.when(F.col("x").isNotNull(), own).otherwise(F.col("domain"))).withColumn("suffix", F.coalesce("x.known", "suffix")).drop("x")
+
+
 def _strengths(groups: DataFrame) -> tuple[float, float, float, float]:
     """Global rate and the prior strength below it, below suffixes and below domains, from one row of sums."""
     def spread(level: str, above: str) -> list[Column]:
@@ -78,13 +122,10 @@ def _strengths(groups: DataFrame) -> tuple[float, float, float, float]:
     return tuple(out)
 
 
-def host_posteriors(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
+def host_posteriors(hosts: DataFrame, outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """(host, mean, bound) for every host of `hosts`. outcomes: (host, good 0/1)."""
-    def place(df: DataFrame) -> DataFrame:
-        return df.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
-
     # One row a host, before anything else moves: a host with a third of all pages is summed where it is read.
-    by_host = place(outcomes.groupBy("host").agg(F.sum("good").cast("double").alias("s"), F.count("good").cast("double").alias("n"))).where("n > 0")
+    by_host = _domains(outcomes.groupBy("host").agg(F.sum("good").cast("double").alias("s"), F.count("good").cast("double").alias("n")), suffixes).where("n > 0")
     by_domain = by_host.groupBy("domain", "suffix").agg(F.sum("s").alias("domain_s"), F.sum("n").alias("domain_n"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("domain_s").alias("suffix_s"), F.sum("domain_n").alias("suffix_n"))
     total = by_suffix.agg(F.sum("suffix_s").alias("s"), F.sum("suffix_n").alias("n")).first()
@@ -96,7 +137,7 @@ def host_posteriors(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     def shrink(s: str, n: str, mean: Column, k: float) -> Column:
         return (F.coalesce(F.col(s), F.lit(0.0)) + mean * k) / (F.coalesce(F.col(n), F.lit(0.0)) + k)
 
-    every = place(hosts.select("host").distinct())
+    every = _domains(hosts.select("host").distinct(), suffixes)
     joined = every.join(by_suffix, "suffix", "left").join(by_domain.drop("suffix"), "domain", "left").join(by_host.select("host", "s", "n"), "host", "left")
     joined = joined.withColumn("m_suffix", shrink("suffix_s", "suffix_n", F.lit(rate), k_suffix))
     joined = joined.withColumn("m_domain", shrink("domain_s", "domain_n", F.col("m_suffix"), k_domain))
@@ -105,11 +146,10 @@ def host_posteriors(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     return joined.select("host", "mean", (F.col("mean") - Z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / seen)).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, threshold: float = THRESHOLD, suffixes: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, bound) for every page. outcomes: (page_id, good 0/1), null good not counted."""
-    placed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    placed = pages.select(pages["page_id"].alias("page_id"), host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
     labelled = placed.select("page_id", "host").join(outcomes.select("page_id", "good"), "page_id").select("host", "good")
-    posterior = host_posteriors(placed, labelled)
-    out = placed.join(posterior, "host", "left").withColumn("_r", rule_for(F.col("host"), F.col("path"), rules))
+    out = with_rules(placed, rules).join(host_posteriors(placed, labelled, suffixes), "host", "left")
     learned = F.when(F.col("bound") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
-    return out.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce(F.col("_r.action"), learned).alias("verdict"), "bound")
+    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.action"), learned).alias("verdict"), "bound")

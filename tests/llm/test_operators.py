@@ -97,6 +97,16 @@ def test_sharding_rows(spark):
     assert sharding.assign_shards(df.limit(0), "doc_id").count() == 0
 
 
+def test_sharding_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "x", "y", "z"), (2, "x", "y", "z")], "doc_id bigint, SHARD string, Slot string, text string")
+    out = sharding.assign_shards(df, "doc_id")
+    assert out.columns == ["doc_id", "text", "slot", "shard"] and out.where("shard like 'shard-%'").count() == 2
+    by = sharding.assign_shards(df, "Slot")
+    assert by.columns == ["doc_id", "Slot", "text", "slot_1", "shard"] and {r.Slot for r in by.collect()} == {"y"}
+    long = spark.createDataFrame([("k" * 1_000_000,), ("k" * 1_000_000,)], "slot string")
+    assert len({r.shard for r in sharding.assign_shards(long, "slot").collect()}) == 1
+
+
 # --- 2 decontamination -------------------------------------------------------------------------------------------------
 
 
@@ -248,6 +258,27 @@ def test_url_rules_and_reputation(spark):
     assert [x[0] for x in d] == ["b.co.uk", "b.com", "com", ""]
 
 
+def test_url_many_rules_equal_few(spark, monkeypatch):
+    r = random.Random(12)
+    hosts = ["a.b.example.org", "example.org", "b.org", "org", "x.com", "a.x.com", ""]
+    urls = [f"http://{r.choice(hosts)}/{'/'.join(r.choices(['en', 'fr', 'e', '1'], k=r.randint(0, 3)))}?q" for _ in range(120)] + [None, "x", "http://b.org/" + "e" * 100_000]
+    rules = [(r.choice(["allow", "block"]), h, "/" + r.choice(["", "e", "en", "en/", "fr/1"])) for h in hosts[:6] for _ in range(3)] + [("allow", "org", ""), ("block", "org", "")]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "y")], "page_id bigint, url string, r string")
+    outcomes = spark.createDataFrame([(i, i % 2, 1) for i in range(50)], "page_id bigint, good int, host int")
+    few = sorted(map(tuple, urlfilter.filter_urls(pages, outcomes, rules).collect()), key=str)
+    monkeypatch.setattr(urlfilter, "INLINE", 0)
+    assert sorted(map(tuple, urlfilter.filter_urls(pages, outcomes, rules).collect()), key=str) == few and len(few) == len(urls) + 1
+    table = spark.createDataFrame(rules, "action string, host string, path string")
+    assert sorted(map(tuple, urlfilter.filter_urls(pages, outcomes, table).collect()), key=str) == few
+
+
+def test_public_suffixes(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.blog.net",), ("x.net",), ("nowhere",), ("",)], "host string")
+    suffixes = spark.createDataFrame([("uk",), ("co.uk",), ("blog.net",)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in urlfilter._domains(hosts, suffixes).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.blog.net": ("y.blog.net", "blog.net"), "x.net": ("x.net", "net"), "nowhere": ("nowhere", "nowhere"), "": ("", "")}
+
+
 # --- 5 quality ---------------------------------------------------------------------------------------------------------
 
 
@@ -362,6 +393,8 @@ def test_chat_round_trip(spark):
     assert got[1].loss == "".join(t or "" for i, t in enumerate(nasty) if i % 4 in (1, 2)) and got[None].loss == ""
     assert all("".join(p.text for p in r.pieces) == r.formatted for r in out)
     assert chatformat.format_conversations(df.limit(0)).count() == 0
+    many = spark.range(3000).select(F.lit(None).cast("bigint").alias("conv_id"), F.lit(1).alias("turn"), F.lit("user").alias("role"), F.lit("long " * 50_000).alias("text")).limit(20)
+    assert [len(r.formatted) for r in chatformat.format_conversations(many).collect()] == [250_000 + 32 + 5] * 20
 
 
 # --- 8 n-gram Jaccard --------------------------------------------------------------------------------------------------
