@@ -162,7 +162,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Bits of a filter of keys, at most (32 MB), bits for each key, and bytes of a part of it.
+#: Bits of a filter of keys, at most (32 MB where nothing else is said), bits for each key, and bytes of a part of it.
 MAX_BITS, BITS_A_KEY, PART = 1 << 28, 16, 1 << 17
 
 
@@ -171,11 +171,11 @@ def _bit_places(keys: np.ndarray, size: int) -> list[np.ndarray]:
     return [(x & np.uint64(size - 1)).astype(np.int64) for x in (h, h >> np.uint64(32))]
 
 
-def key_filter(keys: DataFrame) -> Broadcast:
+def key_filter(keys: DataFrame, bits_a_key: int = BITS_A_KEY, max_bits: int = MAX_BITS) -> Broadcast:
     """Broadcast bits that tell which keys are surely not among the given ones (one bigint column), so that rows of others need
-    not be shuffled to find out. Bounded by MAX_BITS; with more keys it lets more through, and results don't depend on it."""
+    not be shuffled to find out. Bounded by max_bits; with more keys it lets more through, and results don't depend on it."""
     spark, n, size = keys.sparkSession, keys.count(), 1 << 20
-    while size < BITS_A_KEY * n and size < MAX_BITS:
+    while size < bits_a_key * n and size < max_bits:
         size *= 2
 
     def parts(bits: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def key_filter(keys: DataFrame) -> Broadcast:
 
     schema = "part int, bits binary"
     out = np.zeros(size // 8, np.uint8)
-    for r in keys.mapInArrow(mark, schema).repartition("part").mapInArrow(join, schema).collect():  # MAX_BITS / 8 bytes at most
+    for r in keys.mapInArrow(mark, schema).repartition("part").mapInArrow(join, schema).collect():  # max_bits / 8 bytes at most
         out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
     return spark.sparkContext.broadcast(out)
 

@@ -2,21 +2,23 @@
 
 A text's words are its runs of digits, lower-cased letters and non-ASCII characters. Every window of `n` consecutive item
 words is a test n-gram; an item with fewer words, but not none, is one window. A document word inside an occurrence of a
-window is hit. Words of the benchmark are numbered, so a window is the exact bytes of its numbers: a hit in the hash set
-is already verified word by word.
-
-The hash set is broadcast in blocks of at most BLOCK_BYTES of benchmark text, so its size is bounded; a larger benchmark
-takes more blocks, whose hits are merged by document.
-
-Defined cases: null and empty texts have no words and are never contaminated; null items and items without words have no
-window; items with one id count once; repeated documents each give a row; an empty table gives no rows, an empty benchmark
-no hits; extra columns pass through `remove` untouched and are ignored by `judge`.
+window is hit.
+
+1. The benchmark's windows are written as a table of hash, words and item. Their hashes are broadcast as a set of bits, whose
+   size is bounded whatever the benchmark's (MAX_BITS, 128 MB; a small benchmark's is 128 KB), so any benchmark takes one scan.
+2. Each document's windows are looked up in the set where the text is read. A window that may be in it leaves the scan with its
+   words, once for a document, its places merged.
+3. These are verified word by word: a join on hash and words keeps what the benchmark has, and another names its items.
+
+Defined cases: null and empty texts have no words and are never contaminated; texts and items of any length are scanned whole;
+null items and items without words have no window; items with one id count once, a null id as the empty string; documents that
+repeat, or share a doc_id, or have none, are rows of their own; an empty table gives no rows, an empty benchmark no hits; extra
+columns, whatever their names, pass through `remove` untouched and are ignored by `judge`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,11 @@ from . import common
 
 #: Fixed values of the rule: words of a window, and the share of hit words (1/20) from which a document is contaminated.
 N, SHARE = 13, 20
-#: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 16_000_000
+#: Bits of the broadcast set for each test n-gram, and in all.
+BITS_A_GRAM, MAX_BITS = 64, 1 << 30
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _TABLE = bytes(c if c >= 0x80 or c in _KEPT else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+_RUNS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
 def normalise(text: str | None) -> bytes:
@@ -38,98 +41,98 @@ def normalise(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE) if text else b""
 
 
-class Grams:
-    """Test n-grams of some items: word -> number, and by window length the bytes of the numbers -> items."""
-
-    def __init__(self, items: list[tuple[str, str | None]], n: int = N):
-        self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, tuple[str, ...]]] = {}
-        for item, text in items:
-            words = normalise(text).split()
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int32)
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                found = self.windows.setdefault(size, {})
-                key = ids[i : i + size].tobytes()
-                if item not in found.get(key, ()):
-                    found[key] = (*found.get(key, ()), item)
-
-    def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str]]:
-        """Number of words, ascending disjoint [start, end) runs of hit words, items that occur."""
-        words = normalise(text).split()
-        n, items, starts, ends = len(words), set(), [], []
-        if n and self.windows:
-            ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, n)
-            known = np.concatenate(([0], np.cumsum(ids > 0)))
-            for size, found in self.windows.items():
-                if n >= size:
-                    for i in np.flatnonzero(known[size:] - known[:-size] == size).tolist():
-                        if (hit := found.get(ids[i : i + size].tobytes())) is not None:
-                            items.update(hit)
-                            starts.append(i)
-                            ends.append(i + size)
-        return n, _merge(starts, ends), items
-
-
-def _merge(starts: list[int], ends: list[int]) -> np.ndarray:
-    runs: list[list[int]] = []
-    for s, e in sorted(zip(starts, ends)):
-        if runs and s <= runs[-1][1]:
-            runs[-1][1] = max(e, runs[-1][1])
-        else:
-            runs.append([s, e])
-    return np.array(runs, np.int64).reshape(-1, 2)
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[DataFrame]:
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size // BLOCK_BYTES + 1
-    return (rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) for b in range(blocks))
-
-
-def _collect(block: DataFrame) -> list[tuple[str, str | None]]:
-    return [(r["item"], r["text"]) for r in block.toLocalIterator()]
-
-
-_SCANNED = "n_words bigint, runs array<struct<s:bigint,e:bigint>>, items array<string>, fp bigint"
-
-
-def _scanned(docs: DataFrame, block: DataFrame, n: int) -> DataFrame:
-    grams = docs.sparkSession.sparkContext.broadcast(Grams(_collect(block), n))
-    run_type = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-
+def hashes_of(words: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the windows of `size` words, different for each size."""
+    return common.mix64(common.window_hashes(words, size) + np.uint64(size))
+
+
+def _grams(benchmark: DataFrame, n: int) -> DataFrame:
+    """(h, size, gram, item) of every test n-gram; gram: its words between spaces."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
+                hs, sizes, grams, items = [], [], [], []
+                for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    raw = normalise(text)
+                    words = raw.split()
+                    size = min(n, len(words))
+                    if not size:
+                        continue
+                    h = hashes_of(common.word_hashes(raw), size).view(np.int64)
+                    _, first = np.unique(h, return_index=True)
+                    hs.append(h[first])
+                    grams += [b" ".join(words[i : i + size]) for i in first.tolist()]
+                    sizes += [size] * len(first)
+                    items += [item] * len(first)
+                yield pa.record_batch([pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(sizes, pa.int32()), pa.array(grams, pa.binary()), pa.array(items, pa.string())], names=["h", "size", "gram", "item"])
+
+    rows = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("")).alias("item"), benchmark["text"].alias("text"))
+    return common.bounded(rows).mapInArrow(run, "h bigint, size int, gram binary, item string")
+
+
+def _scanned(texts: DataFrame, sizes: list[int], known) -> DataFrame:
+    """(uid, n_words, h, gram, runs): a row without h for each document, and one for each window of it that may be in the set."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, runs, items = [], [], []
-            for text in batch.column(1):
-                count, hit, found = grams.value.scan(text.as_py())
-                words.append(count)
-                runs.append([{"s": s, "e": e} for s, e in hit.tolist()])
-                items.append(sorted(found))
-            yield pa.record_batch([batch.column(0), pa.array(words, pa.int64()), pa.array(runs, run_type), pa.array(items, pa.list_(pa.string())), batch.column(2)], names=["doc_id", "n_words", "runs", "items", "fp"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return common.bounded(docs).select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(scan, f"doc_id {kind}, {_SCANNED}")
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                out = []
+                for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    raw = normalise(text.as_py())
+                    words = common.word_hashes(raw)
+                    out.append((uid, len(words), None, None, None))
+                    split = None
+                    for size in sizes:
+                        h = hashes_of(words, size) if len(words) >= size else words[:0]
+                        at = np.flatnonzero(common.may_hold(known.value, h))
+                        if not len(at):
+                            continue
+                        split = split or raw.split()
+                        at = at[np.lexsort((at, h[at]))]
+                        first = np.concatenate(([True], h[at][1:] != h[at][:-1]))
+                        cuts = np.flatnonzero(first | np.concatenate(([True], at[1:] > at[:-1] + size)))
+                        ends = at[np.concatenate((cuts[1:] - 1, [len(at) - 1]))] + size
+                        own = np.flatnonzero(first[cuts])
+                        for low, high in zip(own.tolist(), [*own[1:].tolist(), len(cuts)]):
+                            s = int(at[cuts[low]])
+                            runs = [{"s": a, "e": b} for a, b in zip(at[cuts[low:high]].tolist(), ends[low:high].tolist())]
+                            out.append((uid, None, int(h[s].view(np.int64)), b" ".join(split[s : s + size]), runs))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), _RUNS)
+                columns = list(zip(*out)) or [()] * 5
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["uid", "n_words", "h", "gram", "runs"])
+
+    return common.bounded(texts).mapInArrow(scan, "uid bigint, n_words bigint, h bigint, gram binary, runs array<struct<s:bigint,e:bigint>>")
+
+
+def _judged(rows: DataFrame, benchmark: DataFrame, n: int, share: int) -> DataFrame:
+    """uid, n_words, n_hit, n_items, items_sha256, contaminated, runs. rows: as of common.numbered."""
+    spark = rows.sparkSession
+    grams, _ = common.stage(spark, _grams(benchmark, n), "test-grams")
+    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # n of them at most
+    known = common.key_filter(grams.select("h").distinct(), BITS_A_GRAM, MAX_BITS)
+    scanned, _ = common.stage(spark, _scanned(rows.select("uid", F.col("row.text").alias("text")), sizes, known), "scanned")
+    hits = scanned.where("h is not null").select("uid", "h", "gram", "runs").join(grams.select("h", "gram").distinct(), ["h", "gram"], "left_semi")
+    runs = hits.groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
+    items = hits.select("uid", "h", "gram").join(grams.select("h", "gram", "item").distinct(), ["h", "gram"]).select("uid", "item").distinct()
+    items = items.groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = scanned.where("h is null").select("uid", "n_words").join(runs, "uid", "left").join(items, "uid", "left")
+    out = out.withColumn("runs", _merged_runs(F.coalesce("runs", _none("struct<s:bigint,e:bigint>")))).withColumn("items", F.coalesce("items", _none("string")))
+    hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + r["e"] - r["s"])
+    out = out.withColumn("n_hit", hit).withColumn("n_items", F.size("items").cast("bigint")).withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select("uid", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "runs")
+
+
+def _none(kind: str):
+    return F.expr(f"cast(array() as array<{kind}>)")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, runs (hit word runs), fp (hash of the text)."""
-    scans = [_scanned(docs, b, n) for b in _blocks(benchmark)]
-    out = scans[0]
-    if len(scans) > 1:  # equal rows have equal hits: they are merged as one and given out as often as they came
-        every = scans[0].withColumn("first", F.lit(1))
-        for t in scans[1:]:
-            every = every.unionByName(t.withColumn("first", F.lit(0)))
-        merged = every.groupBy("doc_id", "fp").agg(F.sum("first").alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        out = merged.withColumn("runs", _merged_runs("runs")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    hits = F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + r["e"] - r["s"])
-    out = out.withColumn("n_hit", hits).withColumn("n_items", F.size("items").cast("bigint"))
-    out = out.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "runs", "fp")
-
-
-def _merged_runs(column: str):
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, runs (hit word runs)."""
+    rows, _ = common.numbered(docs, ["doc_id", "text"])
+    judged = _judged(rows, benchmark, n, share)
+    return rows.select("uid", F.col("row.doc_id").alias("doc_id")).join(judged, "uid").drop("uid")
+
+
+def _merged_runs(column):
     """Sorted runs, overlapping ones trimmed so that each word counts once."""
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)").alias("out"))
 
@@ -145,31 +148,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: in
     """docs without contaminated documents, or (what="spans") with their hit word runs cut out of the text."""
     if what not in ("documents", "spans"):
         raise ValueError(f"what: documents or spans, not {what}")
-    blocks = list(_blocks(benchmark))
-    at = docs.columns.index("text")
-    if len(blocks) == 1:  # a document's hits are known where it is read: nothing moves
-        grams = docs.sparkSession.sparkContext.broadcast(Grams(_collect(blocks[0]), n))
-
-        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bad, texts = [], []
-                for text in batch.column(at):
-                    text = text.as_py()
-                    words, runs, _ = grams.value.scan(text)
-                    hit = int((runs[:, 1] - runs[:, 0]).sum())
-                    bad.append(hit > 0 and share * hit >= words)
-                    texts.append(cut_words(text, runs) if bad[-1] and what == "spans" else text)
-                if what == "documents":
-                    yield batch.filter(pa.array([not x for x in bad], pa.bool_()))
-                else:
-                    yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
-
-        return common.bounded(docs).mapInArrow(sift, docs.schema)
-    judged = judge(docs, benchmark, n, share).where("contaminated").select(_id("doc_id").alias("_pl_id"), F.col("fp").alias("_pl_fp"), F.col("runs").alias("_pl_runs")).dropDuplicates(["_pl_id", "_pl_fp"])
-    rows = docs.withColumn("_pl_id", _id("doc_id")).withColumn("_pl_fp", F.xxhash64("text"))
+    rows, _ = common.numbered(docs)
+    bad = _judged(rows, benchmark, n, share).where("contaminated").select("uid", "runs")
     if what == "documents":
-        return rows.join(judged, ["_pl_id", "_pl_fp"], "left_anti").select(*docs.columns)
-    joined = rows.join(judged, ["_pl_id", "_pl_fp"], "left").select(*docs.columns, "_pl_runs")
+        return rows.join(bad.select("uid"), "uid", "left_anti").select(*common.fields(F.col("row"), docs))
+    found = rows.join(bad, "uid", "left").select(*common.fields(F.col("row"), docs), F.col("runs").alias(common.free_name(docs, "runs")))
+    at = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,11 +161,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: in
             texts = [cut_words(t.as_py(), np.array([(x["s"], x["e"]) for x in r.as_py()], np.int64)) if r.is_valid else t.as_py() for t, r in zip(batch.column(at), runs)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string())).select(range(batch.num_columns - 1))
 
-    return joined.mapInArrow(cut, docs.schema)
-
-
-def _id(column: str):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return common.bounded(found).mapInArrow(cut, docs.schema)
 
 
 def cut_words(text: str, runs: np.ndarray) -> str:
