@@ -165,7 +165,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int, percent: int, levels) ->
     a plain prefix that is about half of them, a far stronger condition than one shared token. b is such a longer prefix, c a
     plain one, 32 bits a token; lb and lc are the numbers that must be shared (less what 32 bits make equal).
     """
-    rows = docs.select("uid", "text").join(wanted.withColumnRenamed("rep", "uid"), "uid").select("node", "text")
+    # as many as there are sets with candidates, which grow with the input: one plan at every size, without a broadcast
+    rows = docs.select("uid", "text").join(wanted.withColumnRenamed("rep", "uid").hint("merge"), "uid").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
