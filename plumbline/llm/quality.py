@@ -10,7 +10,9 @@ are never inputs of a score.
 Defined cases: null counts as the empty text, which has all statistics 0 and a score like any other; null labels are not
 learned from, repeated labels each count; a label whose doc_id has several texts is learned with the one of the smallest
 hash; without labels every score is 0.5, with labels of one kind it is their smoothed
-share; a null doc_id counts as held out; empty tables give no rows; extra columns are ignored or, by `keep`, passed through.
+share; a null doc_id counts as held out; texts of any length are measured whole, and repeated rows and equal texts get equal
+scores; of splits with equal gains the first statistic and border is taken; empty tables give no rows; extra columns, whatever
+their names, are ignored or, by `keep`, passed through.
 """
 
 from __future__ import annotations

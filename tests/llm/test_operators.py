@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import string
@@ -129,16 +130,17 @@ def brute_decontaminate(docs, items):
         yield doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 150])
-def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("crowded", [False, True])
+def test_decontamination(spark, monkeypatch, crowded):
+    if crowded:  # a set of bits that lets everything through
+        monkeypatch.setattr(common, "key_filter", lambda keys, *_: spark.sparkContext.broadcast(np.full(1 << 17, 255, np.uint8)))
     r = random.Random(3)
     items = [(i, " ".join(r.choices("abcdefgh", k=r.randint(1, 30)))) for i in range(12)] + [(50, None), (51, "?!"), (52, "Ünïque Zz, 9!"), (7, "repeated id here")]
     docs = [(i, " ".join(r.choices("abcdefgh", k=30)) + r.choice([" ", "-"]) + (r.choice(items)[1] or "").upper()) for i in range(25)] + [(90, None), (91, ""), (92, "ünïque zz9"), (3, "a b")]
     docs += [docs[0], docs[0]]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     df = docs_of(spark, docs)
-    got = decontaminate.judge(df, bench).drop("runs", "fp")
+    got = decontaminate.judge(df, bench).drop("runs")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute_decontaminate(docs, items), key=str)
     bad = {d for d, *_, c in brute_decontaminate(docs, items) if c}
     assert {x.doc_id for x in decontaminate.remove(df.where("doc_id <> 3"), bench).collect()} == {d for d, _ in docs if d != 3} - bad
@@ -326,6 +328,73 @@ def test_flat_trees_equal_plain_walk():
     assert ((m.margin(binned) > 0) == (y > 0)).mean() > 0.85
 
 
+def plain_statistics(text):
+    """The statistics of a text, character by character and word by word."""
+    raw = (text or "").encode()
+    kinds = [0.0] * 7 + [0.0] * len(quality.MARKS)
+    for b in raw:
+        c = chr(b)
+        k = 6 if b >= 128 else 0 if "A" <= c <= "Z" else 1 if "a" <= c <= "z" else 2 if "0" <= c <= "9" else 4 if c == "\n" else 3 if c in " \t\r\x0b\x0c\x1c\x1d\x1e\x1f" else 5
+        kinds[k] += 1
+        if c in quality.MARKS:
+            kinds[7 + quality.MARKS.index(c)] += 1
+    shares = [k / max(1, len(raw)) for k in kinds]
+    if not raw:
+        return shares + [0.0] * 9
+    words, lines = raw.split(), raw.split(b"\n")
+    n, different = max(1, len(words)), set(words)
+    return shares + [math.log1p(len(raw)), math.log1p(len(words)), sum(len(w) for w in words) / n, max([len(w) for w in words] or [0]), len(different) / n, len(lines) / n, len(set(lines)) / len(lines),
+                     sum(len(w) for w in different) / max(1, len(different)), sum(x.endswith(b".") for x in lines) / len(lines)]
+
+
+def test_statistics_equal_plain_ones():
+    texts = [t for _, t in corpus(13, 30)] + ["A1! é\n\tb.\r\n", "x" * 3000, "%%% ???"]
+    assert np.allclose(quality.statistics(texts), [plain_statistics(t) for t in texts], rtol=1e-12)
+
+
+def plain_trees(x, y, trees, depth):
+    """Boosted trees by trying every border of every statistic at every node; margins of the rows it was fitted on."""
+    n, m = x.shape
+    edges = [sorted({float(v) for v in np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])}) for j in range(m)]
+    bins = [[sum(e < x[i, j] for e in edges[j]) for j in range(m)] for i in range(n)]
+    share = (sum(y) + 1) / (n + 2)
+    margin = [math.log(share / (1 - share))] * n
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-v)) for v in margin]
+        g, h = [a - b for a, b in zip(y, p)], [b * (1 - b) for b in p]
+        parts = [list(range(n))]
+        for _ in range(depth):
+            split = []
+            for rows in parts:
+                total = (sum(g[i] for i in rows), sum(h[i] for i in rows))
+                best, chosen = 1e-9, None
+                for j in range(m):
+                    for cut in range(quality.BINS):
+                        left = [i for i in rows if bins[i][j] <= cut]
+                        gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                        if hl < quality.LEAST / 4 or total[1] - hl < quality.LEAST / 4:
+                            continue
+                        gain = gl**2 / (hl + quality.L2) + (total[0] - gl) ** 2 / (total[1] - hl + quality.L2) - total[0] ** 2 / (total[1] + quality.L2)
+                        if gain > best * (1 + 1e-9):
+                            best, chosen = gain, (j, cut)
+                split += [[i for i in rows if bins[i][chosen[0]] <= chosen[1]], [i for i in rows if bins[i][chosen[0]] > chosen[1]]] if chosen else [rows, []]
+            parts = split
+        for rows in parts:
+            for i in rows:
+                margin[i] += quality.RATE * sum(g[k] for k in rows) / (sum(h[k] for k in rows) + quality.L2)
+    return margin
+
+
+def test_fit_equals_plain_search(monkeypatch):
+    monkeypatch.setattr(quality, "BINS", 6)
+    monkeypatch.setattr(quality, "N_STATISTICS", 3)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(160, 3))
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0) | (rng.random(160) < 0.1)).astype(float)
+    m = quality.fit(x, y, trees=3, depth=2)
+    assert np.allclose(m.margin(m.bins(x)), plain_trees(x, y.tolist(), 3, 2), rtol=1e-9)
+
+
 # --- 6 exact dedup -----------------------------------------------------------------------------------------------------
 
 
@@ -657,12 +726,76 @@ def test_normalisation_keeps_origins(model):
 # --- all together ------------------------------------------------------------------------------------------------------
 
 
-def test_clashing_columns(spark):
-    extra = docs_of(spark, corpus(12, 15)).withColumns({c: F.lit("clash") for c in ("key", "node", "uid", "comp", "slot", "items", "runs", "fp", "doc", "e", "score", "n_words", "chain")})
+#: Names that the operators use inside, in other cases too.
+CLASHES = ("key", "node", "uid", "UID", "comp", "slot", "SHARD", "items", "runs", "Runs", "gone", "fp", "doc", "row", "ROW", "e", "score", "n_words", "chain", "_pl_id", "_pl_sha", "_doc", "_fp", "_gone", "_runs", "id", "rep", "first", "kept", "place")
+
+
+def clashing(docs):
+    return docs.withColumns({c: F.lit("clash") for c in {c.lower(): c for c in CLASHES}.values()})
+
+
+def operators(spark):
+    """(name, rows in -> rows out, or filtered rows in -> rows out) of every operator on documents."""
     labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id bigint, quality int")
-    bench = spark.createDataFrame([(1, "some words")], "item_id bigint, text string")
-    n = extra.count()
-    assert exactdedup.groups(extra).count() == n and jaccard.groups(extra, cells=1 << 16).count() == n and substring.repeats(extra).count() == n
-    assert linededup.summarise(extra).count() == n and decontaminate.judge(extra, bench).count() == n and quality.score(extra, labels).count() == n
-    for out in (exactdedup.deduplicate(extra), jaccard.deduplicate(extra), substring.remove(extra), linededup.remove(extra), decontaminate.remove(extra, bench), quality.keep(extra, labels)):
-        assert out.columns == extra.columns and out.count() <= n
+    bench = spark.createDataFrame([(1, "some words that only one text in the tests has of all in it"), (None, None)], "item_id bigint, text string")
+    model = queries.tokenizer_file()
+    rows = {
+        "sharding": lambda d: sharding.assign_shards(d, "doc_id"), "decontaminate": lambda d: decontaminate.judge(d, bench), "linededup": linededup.summarise, "quality": lambda d: quality.score(d, labels),
+        "exactdedup": exactdedup.groups, "jaccard": lambda d: jaccard.groups(d, cells=1 << 16), "substring": substring.repeats, "sentencepiece": lambda d: sentencepiece_codec.digests(d, model),
+    }
+    kept = {
+        "decontaminate": lambda d: decontaminate.remove(d, bench), "spans": lambda d: decontaminate.remove(d, bench, "spans"), "linededup": linededup.remove, "quality": lambda d: quality.keep(d, labels),
+        "exactdedup": exactdedup.deduplicate, "jaccard": jaccard.deduplicate, "substring": substring.remove,
+    }
+    return rows, kept
+
+
+def hard_cases(ids=lambda i: i):
+    long = "word " * 100_000
+    rows = [(ids(1), long), (ids(2), long), (ids(3), "a\n" * 100_000), (ids(4), "x" * 1_000_000), (None, None), (None, ""), (None, "tie of two"), (ids(5), "tie of two"), (ids(5), "tie of two"), (ids(6), "tie of two"), (ids(6), "other")]
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "last"])
+def test_hard_cases(spark, kind):
+    """Nulls, empty and very long texts, ties, repeated rows, ids of another type or at the end of their range, clashing columns, empty tables."""
+    ids = (lambda i: f"d{i}") if kind == "string" else (lambda i: 2**63 - 7 + i) if kind == "last" else (lambda i: i)
+    data = hard_cases(ids)
+    docs = clashing(spark.createDataFrame([(i, t, "en") for i, t in data], f"doc_id {'string' if kind == 'string' else 'bigint'}, text string, lang string").repartition(3))
+    rows, kept = operators(spark)
+    if kind != "bigint":  # those that compare ids
+        rows = {k: rows[k] for k in ("decontaminate", "linededup", "exactdedup", "jaccard", "substring")}
+        kept = {k: kept[k] for k in ("exactdedup", "substring")}
+    for name, f in rows.items():
+        got = f(docs).select("doc_id").collect()
+        assert sorted(str(r[0]) for r in got) == sorted(str(i) for i, _ in data), name
+    sizes = {}
+    for name, f in kept.items():
+        out = f(docs)
+        assert out.columns == docs.columns, name
+        got = out.select("doc_id", "text", "UID").collect() if "UID" in docs.columns else out.select("doc_id", "text").collect()
+        sizes[name] = sorted(str(r.doc_id) for r in got)
+        assert {str(r.doc_id) for r in got} <= {str(i) for i, _ in data}, name
+    every = sorted(str(i) for i, _ in data)
+    if kind != "bigint":
+        assert sizes["substring"] == every and len(sizes["exactdedup"]) == 6
+        return
+    assert sizes["decontaminate"] == sizes["spans"] == sizes["linededup"] == sizes["substring"] == every
+    once = sorted(map(str, [ids(1), ids(3), ids(4), None, ids(5), ids(6)]))  # of null and empty, which are equal, one
+    assert sizes["exactdedup"] == once
+    assert sizes["jaccard"] == sorted(map(str, [ids(1), ids(3), ids(4), None, None, ids(5), ids(6)]))  # without words each stays
+    for name, f in kept.items():
+        assert f(docs.limit(0)).count() == 0, name
+
+
+def test_pipeline_stages_on_hard_cases(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, 7)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "tie of"), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = clashing(docs_of(spark, hard_cases()))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and 0 <= out.count() <= docs.count(), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert {r.text for r in dict(pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path)).collect()} == {t for _, t in hard_cases() if t != "tie of two"}
+    assert dict(pipeline.STAGES)["encoding"](spark, docs, str(tmp_path)).count() == docs.count()
