@@ -36,39 +36,41 @@ def to_regex(pattern: str) -> str | None:
     return "^" + "".join(out) + "$"
 
 
-def base_name(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)
+def compiled(pattern: str) -> str | None:
+    """One Java regular expression for a whole path; null for a pattern that matches nothing.
+
+    A pattern without a slash may also match the path's last segment; ** stands for any depth: what is before it starts the path,
+    what is after it matches the last segment.
+    """
+    if pattern in ("*", "**"):
+        return "(?s).*"
+    before, deep, after = pattern.partition("**")
+    if not deep:
+        rx = to_regex(pattern)
+        return rx and (rx if "/" in pattern else f"^(?s:.*/)?{rx[1:]}")
+    after = after.removeprefix("/")
+    if "**" in after:
+        return None
+    head = before.removesuffix("/").replace("\\E", "\\E\\\\E\\Q")
+    start = f"^(?=\\Q{head}\\E)" if head else "^"
+    if after in ("", "*"):
+        return start
+    rx = to_regex(after)
+    return rx and "/" not in after and f"{start}(?s:.*/)?{rx[1:]}" or None
 
 
 def matches(path: Column, pattern: str) -> Column:
-    never = F.lit(False)
-    if pattern in ("*", "**"):
-        return F.lit(True)
+    rx = compiled(pattern)
+    return path.rlike(rx) if rx else F.lit(False)
 
-    def simple(text: Column, p: str) -> Column:
-        rx = to_regex(p)
-        return text.rlike(rx) if rx else never
 
-    if "**" not in pattern:
-        return simple(path, pattern) | simple(base_name(path), pattern)
-    parts = pattern.split("**")
-    if len(parts) != 2:
-        return never
-    prefix, suffix = parts[0].removesuffix("/"), parts[1].removeprefix("/")
-    below = path.startswith(prefix) if prefix else F.lit(True)
-    if not suffix or suffix == "*":
-        return below
-    return below & simple(base_name(path), suffix)
+def _any(path: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns matches, as one expression."""
+    known = [rx for p in patterns if (rx := compiled(p))]
+    return path.rlike("|".join(f"(?:{rx})" for rx in known)) if known else F.lit(False)
 
 
 def excluded(path: Column, exclude: list[str] = (), include_only: list[str] = ()) -> Column:
     """Default and own excludes come first, then the whitelist if there is one."""
-    out = F.lit(False)
-    for p in (*DEFAULT_EXCLUDES, *exclude):
-        out = out | matches(path, p)
-    if include_only:
-        wanted = F.lit(False)
-        for p in include_only:
-            wanted = wanted | matches(path, p)
-        out = out | ~wanted
-    return out
+    out = _any(path, [*DEFAULT_EXCLUDES, *exclude])
+    return out | ~_any(path, include_only) if include_only else out

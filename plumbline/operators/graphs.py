@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,22 +17,41 @@ def implementors(needed: DataFrame, methods: DataFrame) -> DataFrame:
     return met.join(size, ["interface", "n"]).select("interface", "type")
 
 
-def embedded_methods(spark, interfaces: DataFrame, methods: DataFrame) -> DataFrame:
-    """(interface, method, signature) with methods of embedded interfaces; a nearer declaration wins.
+def _cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the folder of spark.checkpoint.dir; only where executors are threads of the driver one is made for it."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+    return df.checkpoint()
+
+
+def reachable(edges: DataFrame) -> DataFrame:
+    """(root, name, depth): every name reachable from each root, itself included, with the fewest steps to it. edges: (name, embedded).
+
+    A round a step: only names that a root has not met yet go on, so neither cycles nor many paths to one name add rows.
+    """
+    steps = edges.where("embedded is not null").select("name", "embedded").distinct()
+    frontier = _cut(edges.select(F.col("name").alias("root"), "name").distinct())
+    met, depth = frontier.withColumn("depth", F.lit(0)), 0
+    while not frontier.isEmpty():
+        depth += 1
+        new = frontier.join(steps, "name").select("root", F.col("embedded").alias("name")).distinct().join(met, ["root", "name"], "left_anti")
+        frontier = _cut(new)
+        met = met.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    return met
+
+
+def embedded_methods(interfaces: DataFrame, methods: DataFrame) -> DataFrame:
+    """(interface, method, signature) with methods of embedded interfaces; a nearer declaration wins, of equally near ones the
+    first by name.
 
-    interfaces: (name, embedded); methods: (name, method, signature). A recursive query; a path never meets a name twice.
+    interfaces: (name, embedded); methods: (name, method, signature).
     """
-    interfaces.createOrReplaceTempView("_pl_embeds")
-    reach = spark.sql("""
-        WITH RECURSIVE r(root, name, depth, seen) AS (
-          SELECT name, name, 0, array(name) FROM (SELECT DISTINCT name FROM _pl_embeds)
-          UNION ALL
-          SELECT r.root, e.embedded, r.depth + 1, concat(r.seen, array(e.embedded)) FROM r JOIN _pl_embeds e ON r.name = e.name
-          WHERE e.embedded IS NOT NULL AND NOT array_contains(r.seen, e.embedded))
-        SELECT root AS interface, name, min(depth) AS depth FROM r GROUP BY root, name""")
-    found = reach.join(methods, "name")
-    w = Window.partitionBy("interface", "method").orderBy("depth", "name")
-    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("interface", "method", "signature")
+    found = reachable(interfaces).withColumnRenamed("root", "interface").join(methods, "name")
+    nearest = F.min_by("signature", F.struct("depth", "name"))
+    return found.groupBy("interface", "method").agg(nearest.alias("signature"))
 
 
 def used_types(references: DataFrame, fields: DataFrame, known: DataFrame) -> DataFrame:

@@ -84,8 +84,8 @@ def run_outcomes(records: DataFrame) -> DataFrame:
 
 
 def run_plan(repos: DataFrame, configs: DataFrame) -> DataFrame:
-    """Every repository with every configuration: a list of runs to start, both sides being short lists of names."""
-    return repos.join(F.broadcast(configs), how="cross")
+    """Every repository with every configuration: a list of runs to start. Spark broadcasts a side only if it is small."""
+    return repos.crossJoin(configs)
 
 
 def select_configs(configs: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:

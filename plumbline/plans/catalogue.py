@@ -443,7 +443,7 @@ def q28(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
     up = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("embedded"))
     embeds = n.join(up, (F.col("k") == F.floor(F.col("n_nationkey") / 2)) & (F.col("n_nationkey") > 0), "left").select(F.col("n_name").alias("name"), "embedded")
-    return graphs.embedded_methods(spark, embeds, n.select(F.col("n_name").alias("name"), F.concat(F.lit("m"), F.col("n_regionkey").cast("string")).alias("method"), F.col("n_name").alias("signature")))
+    return graphs.embedded_methods(embeds, n.select(F.col("n_name").alias("name"), F.concat(F.lit("m"), F.col("n_regionkey").cast("string")).alias("method"), F.col("n_name").alias("signature")))
 
 
 @_query("q29_used_types", """

@@ -18,6 +18,16 @@ def lines(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.posexplode(F.split("value", "\r?\n", -1)).alias("pos", "line"))
 
 
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, seq, line) of files of any size, which Spark splits and reads in parts.
+
+    seq orders the lines of a file: where their part starts, then their place in it. It is no number of lines.
+    """
+    rows = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(F.col("_metadata.file_path").alias("path"), place.alias("seq"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+
 # --- unified diffs -----------------------------------------------------------------------------------------------------
 
 _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)$"
@@ -80,8 +90,8 @@ _BLOCK = r"^(.*):(\d+)\.(\d+),(\d+)\.(\d+)\s+(\d+)\s+(\d+)$"
 
 
 def coverage_blocks(texts: DataFrame, strict: bool = True) -> DataFrame:
-    """Blocks of coverage profiles; a malformed line fails the read, or is left out if not strict. The last colon splits off the file."""
-    rows = lines(texts).withColumn("line", F.trim("line")).where((F.col("line") != "") & ~F.col("line").startswith("mode:"))
+    """Blocks of coverage profiles, of texts or of read_lines; a malformed line fails the read, or is left out if not strict. The last colon splits off the file."""
+    rows = (texts if "line" in texts.columns else lines(texts)).withColumn("line", F.trim("line")).where((F.col("line") != "") & ~F.col("line").startswith("mode:"))
     good = F.col("line").rlike(_BLOCK)
     if strict:
         rows = rows.withColumn("line", F.when(good, F.col("line")).otherwise(F.raise_error(F.concat(F.lit("malformed coverage line: "), F.col("line")))))
@@ -95,7 +105,8 @@ def coverage_blocks(texts: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def _decoded(texts: DataFrame) -> DataFrame:
-    rows = lines(texts).withColumn("seq", F.col("pos").cast("bigint")).where(F.trim("line") != "")
+    rows = texts if "line" in texts.columns else lines(texts).withColumn("seq", F.col("pos").cast("bigint"))
+    rows = rows.where(F.trim("line") != "")
     e = F.from_json("line", f"{schemas.EVENT}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
     # a strict decoder refuses numbers where text belongs, which from_json would turn into text
     number = r'"(?:Action|Package|Test|Output|Time)"\s*:\s*[-0-9tf\[{]'
@@ -103,7 +114,7 @@ def _decoded(texts: DataFrame) -> DataFrame:
 
 
 def events(texts: DataFrame) -> DataFrame:
-    """(path, seq, Time, Action, Package, Test, Elapsed, Output) of the lines that are events."""
+    """(path, seq, Time, Action, Package, Test, Elapsed, Output) of the lines that are events, of texts or of read_lines."""
     return _decoded(texts).where("ok").select("path", "seq", "e.Time", "e.Action", "e.Package", "e.Test", "e.Elapsed", "e.Output")
 
 

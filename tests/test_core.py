@@ -255,7 +255,7 @@ def test_graphs(spark):
     assert sorted(map(tuple, graphs.implementors(needed, have).collect())) == [("R", "File"), ("R", "Str"), ("RW", "File")]
     embeds = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("C", None)], "name string, embedded string")
     methods = spark.createDataFrame([("A", "m", "A.m"), ("B", "m", "B.m"), ("C", "n", "C.n")], "name string, method string, signature string")
-    assert sorted(map(tuple, graphs.embedded_methods(spark, embeds, methods).where("interface = 'A'").collect())) == [("A", "m", "A.m"), ("A", "n", "C.n")]
+    assert sorted(map(tuple, graphs.embedded_methods(embeds, methods).where("interface = 'A'").collect())) == [("A", "m", "A.m"), ("A", "n", "C.n")]
 
 
 def test_mutation(spark):
@@ -438,3 +438,55 @@ def test_text_executable_lines(spark):
     changed = rows.where("line <> 5").select("file", "line")
     assert sorted(r.line for r in coverage.text_executable_lines(rows.select("file", "line"), rows).collect()) == [9, 11]
     assert not coverage.text_executable_lines(changed, rows).count()  # the import block is never seen to end
+
+
+def test_closure_of_diamonds_and_cycles(spark):
+    """A chain of forty diamonds has 2^40 paths; every name is met once."""
+    edges = [e for i in range(40) for e in ((f"n{i}", f"a{i}"), (f"n{i}", f"b{i}"), (f"a{i}", f"n{i + 1}"), (f"b{i}", f"n{i + 1}"))] + [("n40", None), ("x", "y"), ("y", "x")]
+    found = graphs.reachable(spark.createDataFrame(edges, "name string, embedded string")).where("root in ('n0', 'x')").collect()
+    got = {(r.root, r.name): r.depth for r in found}
+    assert len(found) == len(got) == 40 * 3 + 1 + 2 and got["n0", "n40"] == 80 and got["x", "y"] == 1
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    (tmp_path / "log.json").write_text("".join(json.dumps({"Action": "pass" if i % 2 else "fail", "Package": "p", "Test": f"T{i // 100}", "Elapsed": 0.1}) + ("\r\n" if i % 3 else "\n") for i in range(3000)) + "# end\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = text.read_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 4
+        folded = testevents.fold_events(text.events(lines))
+        assert sorted((r.test, r.passed) for r in folded.collect()) == sorted((f"T{i}", True) for i in range(30))
+        assert [r.line for r in text.side_output(lines).collect()] == ["# end"]
+        assert [r.test for r in folded.orderBy("first_seq").collect()] == [f"T{i}" for i in range(30)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize(("expression", "expected"), [("err", True), ("E", True), ("ER", True), ("e", True), ("saveErr", True), ("err.Error()", True), ("x.Error()", True), ("f(err)", False), ("x.Err", True), ("errf(a(b))", False), ("err.Unwrap(f(1)).X", True),
+                                                      ("got", False), ('"err"', False), ("(err)", False), ("&err", False), ('do("a)b").Err()', True), ("errs", False), ("x.(error)", False)])
+def test_error_expressions(spark, expression, expected):
+    assert one(spark, r=naturalness.is_error_expression(F.lit(expression))).r is expected
+
+
+def test_gotest_tools_assertions(spark):
+    rows = [("assert", "Check", ["t", "a == b"]), ("assert", "Check", ["t", "ok(x)"]), ("assert", "Assert", ["t", "ok"]), ("assert", "DeepEqual", ["t", "a", "b"]), ("assert", "NilError", ["t", "err"]), ("assert", "Equal", ["t", "1", "2"]), ("x", "Check", ["t", "a"])]
+    calls = spark.createDataFrame(rows, "receiver string, method string, args array<string>")
+    assert [r.method for r in naturalness.classify(calls).collect()] == ["Equal"]
+    assert [(r.method, r.kind, r.is_error) for r in naturalness.classify(calls, gotest_tools=True).collect()] == [("Check", "equal", False), ("Check", "other", False), ("Assert", "bool", False), ("DeepEqual", "equal", False), ("NilError", "error", True), ("Equal", "equal", False)]
+
+
+@pytest.mark.parametrize(("body", "env", "send", "receive"), [('x := "os.Getenv(1)" // os.Getenv("A")', False, False, False), ('os.Getenv("A")', True, False, False), ("a.os.Getenv()", False, False, False), ("os . LookupEnv (k)", True, False, False),
+                                                              ("ch <- 1", False, True, False), ("x := <-ch", False, False, True), ("for v := range ch {}\n<-done", False, False, True), ("f(<-ch)", False, False, True), ("m[k] <- v", False, True, False), ("func f(a chan<- int, b <-chan int) {}", False, False, False)])
+def test_calls_and_channels_by_syntax(spark, body, env, send, receive):
+    f = spark.createDataFrame([(body, [], [])], "body string, params array<struct<name:string,type:string>>, returns array<string>")
+    found = patterns.concurrency(f).first().concurrency.patterns
+    assert (one(spark, e=patterns.any_call(F.lit(body), patterns.ENV_CALLS)).e, "channel send" in found, "channel receive" in found) == (env, send, receive)
+
+
+def test_branch_texts_and_merge():
+    source = golang.Source("package p\nfunc F(v any) {\n\tif x := f(); x > 1 {\n\t} else if err != nil {\n\t} else {\n\t}\n\tswitch v.(type) {\n\tcase int, string:\n\t}\n\tswitch a {\n\tcase 1, g(2, 3):\n\t\tif nil != err {\n\t\t}\n\tdefault:\n\t}\n\tselect {\n\tcase m := <-ch:\n\tdefault:\n\t}\n}\n")
+    assert source.branch_texts(source.functions[0]) == [
+        "Condition: `x > 1`", "Else-if: `err != nil`", "Else branch", "Error check (err != nil)", "Type switch", "Switch statement", "Case: `1`", "Case: `g(2, 3)`", "Default case", "Condition: `nil != err`", "Error check (err != nil)", "Select statement", "Case: `m := <-ch`", "Default case"]
+    code, added, skipped = golang.merge("package p\n\nimport \"a\"\n\nvar X = 1\n\nfunc A() {}\n", "package p\n\nimport (\n\t\"b\"\n)\n\nvar (\n\tX = 2\n)\n\nconst Y = 3\n\n// B is.\nfunc B() {}\n\nfunc A() {}\n")
+    assert code == "package p\n\nimport (\n\t\"a\"\n\t\"b\"\n)\n\nvar X = 1\n\nfunc A() {}\n\nconst Y = 3\n\n// B is.\nfunc B() {}\n" and added == ["B"] and skipped == ["A"]
