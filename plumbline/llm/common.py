@@ -134,17 +134,18 @@ def numbered(docs: DataFrame, columns: list[str] | None = None) -> tuple[DataFra
     numbered by a sort of the different values.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
-    row = F.struct(*[docs[c] for c in columns or docs.columns]).alias("row")
-    uid = F.monotonically_increasing_id().alias("uid")
     whole = isinstance(kind, (ByteType, ShortType, IntegerType, LongType))
-    if whole and not (isinstance(kind, LongType) and not docs.where(docs["doc_id"] == LAST).isEmpty()):
-        return stage(spark, docs.select(uid, F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST)).alias("doc"), row), "rows")
+    row = F.struct(*[docs[c] for c in columns or docs.columns]).alias("row")
+    own = F.coalesce(docs["doc_id"].cast("bigint") if whole else F.lit(None), F.lit(LAST)).alias("doc")
+    rows, path = stage(spark, docs.select(F.monotonically_increasing_id().alias("uid"), own, row), "rows")  # docs are read once
+    if whole and (not isinstance(kind, LongType) or rows.where((F.col("doc") == LAST) & F.col("row.doc_id").isNotNull()).isEmpty()):
+        return rows, path
     # partitions of a sort are in order, and so are these numbers
-    different = docs.select(docs["doc_id"].alias("id")).where("id is not null").distinct()
-    ranks, path = stage(spark, different.orderBy("id").select("id", F.monotonically_increasing_id().alias("doc")), "order")
-    rows = docs.select(docs["doc_id"].alias("id"), row).join(ranks, "id", "left")
-    out = stage(spark, rows.select(uid, F.coalesce("doc", F.lit(LAST)).alias("doc"), "row"), "rows")
-    drop(spark, path)
+    different = rows.select(F.col("row.doc_id").alias("id")).where("id is not null").distinct()
+    ranks, ranks_path = stage(spark, different.orderBy("id").select("id", F.monotonically_increasing_id().alias("doc")), "order")
+    placed = rows.drop("doc").join(ranks, F.col("row.doc_id") == F.col("id"), "left")
+    out = stage(spark, placed.select("uid", F.coalesce("doc", F.lit(LAST)).alias("doc"), "row"), "rows")
+    drop(spark, path, ranks_path)
     return out
 
 

@@ -103,6 +103,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN n USING (doc_id)
 """.replace("{low}", _LOWER)
 
+#: Distances are between code points, while DuckDB's are between bytes: other characters than ASCII become control characters.
+_OP3 = r"""
+WITH RECURSIVE o AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
+occ AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM o)),
+solid AS (SELECT * FROM occ WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+d AS (SELECT DISTINCT line FROM solid),
+ch AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS a FROM (SELECT DISTINCT unnest(string_split(regexp_replace(line, '[\x00-\x7F]', '', 'g'), '')) AS c FROM d WHERE length(line) >= {least}) WHERE c <> ''),
+cc AS (SELECT a, (SELECT string_agg(chr(x::INTEGER), '' ORDER BY x) FROM (SELECT unnest(range(1, 32)) AS x) WHERE x NOT IN (9, 10, 13))[1 : length(a)] AS b FROM ch),
+t AS (SELECT line, CASE WHEN a = '' THEN line ELSE translate(line, a, b) END AS k, length(line) AS n FROM d, cc WHERE length(line) >= {least}),
+e AS (SELECT x.line AS p, y.line AS q FROM t x JOIN t y ON x.line < y.line AND y.n BETWEEN x.n - {edits} AND x.n + {edits} WHERE levenshtein(x.k, y.k) <= {edits}),
+both_ways AS (SELECT p, q FROM e UNION ALL SELECT q, p FROM e),
+r(line, root) AS (SELECT line, line FROM d UNION SELECT r.line, b.q FROM r JOIN both_ways b ON b.p = r.root),
+c AS (SELECT line, min(root) AS comp FROM r GROUP BY line),
+later AS (SELECT doc_id, i, row_number() OVER (PARTITION BY comp ORDER BY doc_id, i) > 1 AS gone FROM solid JOIN c USING (line)),
+k AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(gone, false)) AS kept, count(*) FILTER (gone) AS n_removed FROM occ LEFT JOIN later USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM o LEFT JOIN k USING (doc_id)
+""".replace("{least}", str(linededup.MIN_CHARS)).replace("{edits}", str(linededup.EDITS))
+
 _OP4 = f"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -176,7 +194,7 @@ FROM d LEFT JOIN g USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     owners = ",".join(map(str, sharding.fill(sharding.SHARDS)))
-    out = {"op1_sharding": _OP1.replace("{owners}", owners), "op2_decontamination": _OP2, "op4_url_filter": _OP4, "op6_exact_dedup": _OP6, "op7_chat_format": _OP7, "op8_ngram_jaccard": _OP8, "op9_substring_dedup": _OP9}
+    out = {"op1_sharding": _OP1.replace("{owners}", owners), "op2_decontamination": _OP2, "op3_line_dedup": _OP3, "op4_url_filter": _OP4, "op6_exact_dedup": _OP6, "op7_chat_format": _OP7, "op8_ngram_jaccard": _OP8, "op9_substring_dedup": _OP9}
     import corpus_pipeline
 
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
