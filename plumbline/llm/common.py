@@ -206,6 +206,17 @@ def key_filter(keys: DataFrame, bits_a_key: int = BITS_A_KEY, max_bits: int = MA
     return spark.sparkContext.broadcast(out)
 
 
+def likely(df: DataFrame, key: str, known: Broadcast) -> DataFrame:
+    """The rows of df whose key the filter lets through."""
+    at = df.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(known.value, batch.column(at).to_numpy(zero_copy_only=False))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """False where a key is surely not among those of the filter."""
     a, b = _bit_places(keys, 8 * len(bits))

@@ -330,9 +330,12 @@ def _placed(rows: DataFrame, k: int, percent: int, cells: int | None = None) ->
     comps, comps_paths = linking.join_components(spark, comps, comps_paths, _similar(_apart(pairs, comps), texts, k, percent))
     # members of open buckets that pass the second order's condition with some member of another component
     every, every_path = common.stage(spark, linking.open_members(members, comps), "open")
-    near = linking.against_outsiders(every, texts.select("node", "b", "lb"), ["node"], prefix_matcher, "members")
+    carried = common.likely(texts.select("node", "b", "lb"), "node", common.key_filter(every.select("node").distinct()))
+    near = linking.against_outsiders(every, carried, ["node"], prefix_matcher, "members")
     rest, rest_path = common.stage(spark, every.join(near, ["key", "node"]), "near")
-    differences, differences_path = common.stage(spark, _differences(rest.select("node", "main").distinct(), texts, k), "differences")
+    ends = rest.select("node", "main").distinct()
+    compared = common.likely(texts.select("node", "text"), "node", common.key_filter(ends.select("node").union(ends.select("main")).distinct()))
+    differences, differences_path = common.stage(spark, _differences(ends, compared, k), "differences")
     across = linking.against_outsiders(rest, differences, ["node", "main"], matcher(percent))
     comps, _ = linking.join_components(spark, comps, comps_paths, across)
     common.drop(spark, found_path, texts_path, pairs_path, links_path, every_path, rest_path, differences_path)
