@@ -8,7 +8,8 @@ projected to a span of original bytes by what normalising recorded. A character
 model has them (the last of which takes the character's whole span), else the unknown id.
 
 No piece of a usual model has U+2581 after another character, so what starts with U+2581 is encoded on its own and remembered;
-where a model has such pieces, whole texts are merged at once. Decoding is the library's.
+where a model has such pieces, whole texts are merged at once. Words that are not remembered are merged together, a batch's at
+once: a row of symbols each, one merge a step, in numpy. Decoding is the library's.
 
 Defined cases: null counts as the empty text, which has no ids; lone surrogates cannot reach here from Spark; texts of any
 length are encoded whole, and words of any length (by a heap, so in n log n steps); repeated rows each give a row; neighbours
@@ -22,8 +23,8 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,16 @@ from . import common
 _SPACE = "▁"
 #: A model's kinds of pieces, and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE, BPE = 1, 2, 3, 4, 5, 6, 2
-#: Characters of a word that is remembered, and words remembered.
-SHORT, REMEMBERED = 64, 150_000
+#: Characters from which a part is merged on its own, words remembered, and words of texts that are encoded at once.
+SHORT, REMEMBERED, AT_ONCE = 24, 150_000, 400_000
+_NONE = 1 << 40
 _NEVER = float("-inf")
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class CharMap:
     """The compiled map: a double-array trie of prefixes and a block of zero-ended replacements."""
 
@@ -123,10 +129,11 @@ class Codec:
         self.sizes = np.array([1 if p.type == BYTE else len(p.piece.encode()) for p in model.pieces], np.int64)
         # two characters that stand side by side in no piece are never merged
         self.side_by_side = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        self._merge_tables(model)
         inside = any(_SPACE in p.lstrip(_SPACE) for p in self.scores)
         self.word = re.compile(r"(?s).+" if inside else f"(?s){_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=blob)
 
     def _mapped(self, text: str, raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -244,39 +251,135 @@ class Codec:
                 out.append(-len(piece.encode()))
         return tuple(out)
 
-    def _new(self, word: str) -> tuple[int, ...]:
-        """ids of a word that is not in `known`."""
-        if (found := self.older.get(word)) is None:
-            joined = self.side_by_side
-            cuts = [i for i, pair in enumerate(map(str.__add__, word, word[1:]), 1) if pair not in joined]
-            if cuts:  # no merge crosses these
-                parts = [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
-                found = tuple(chain.from_iterable([self.known.get(x) or self._kept(x, self.older.get(x) or self._encoded_part(x)) for x in parts]))
-            else:
-                found = self._encoded_part(word)
-        return self._kept(word, found)
+    def _merge_tables(self, model) -> None:
+        """Symbols as numbers: a piece's id, from len(pieces) on characters that only occur inside pieces. merges: sorted pairs of
+        symbols that are a piece together, its rank by score and its id."""
+        self.extra = sorted({c for p in self.scores for c in p if c not in self.ids})
+        number = self.ids | {c: len(model.pieces) + i for i, c in enumerate(self.extra)}
+        rank = {v: i for i, v in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        pairs = sorted({(number[p[:i]] << 32 | number[p[i:]], rank[v], self.ids[p]) for p, v in self.scores.items() for i in range(1, len(p)) if p[:i] in number and p[i:] in number})
+        self.merges = tuple(np.array([x[i] for x in pairs], np.int64) for i in range(3))
+        self.symbol_of = -1 - np.arange(0x110000, dtype=np.int64)  # other characters
+        for c, i in number.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = i
+        self.beside = np.array(sorted(ord(x[0]) << 32 | ord(x[1]) for x in self.side_by_side), np.int64)
+
+    def _looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of the piece that two symbols are together (_NONE: there is none), and its id."""
+        keys, ranks, ids = self.merges
+        key = np.where((left >= 0) & (right >= 0), left << 32 | right, -1)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, ranks[at], _NONE), ids[at]
+
+    def _merged(self, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """rows: `size` symbols each. The symbols left of each row after all merges, from the left, and their number."""
+        rows, count, live = rows.copy(), np.full(len(rows), size), np.arange(len(rows))
+        rank, made = self._looked_up(rows[:, :-1], rows[:, 1:])
+        column = np.arange(size)
+        while True:
+            best = rank[live].argmin(1)  # the leftmost of the best
+            some = rank[live, best] < _NONE
+            live, best = live[some], best[some]
+            if not len(live):
+                return rows, count
+            new = made[live, best]
+            follow = np.minimum(column + (column > best[:, None]), size - 1)  # what is right of the pair moves to the left
+            rows[live] = np.take_along_axis(rows[live], follow, 1)
+            rows[live, best] = new
+            rank[live], made[live] = (np.take_along_axis(x[live], follow[:, :-1].clip(max=size - 2), 1) for x in (rank, made))
+            count[live] -= 1
+            for at in (best - 1, best):
+                ok = (at >= 0) & (at + 1 < count[live])
+                r, c = live[ok], at[ok]
+                rank[r, c], made[r, c] = self._looked_up(rows[r, c], rows[r, c + 1])
+            rank[live, count[live] - 1 if size > 1 else 0] = _NONE  # behind the last symbol
+
+    def learn(self, words: list[str]) -> None:
+        """Puts words that are not known yet into `known`."""
+        found = [w for w in dict.fromkeys(words) if w not in self.known]
+        known = [w for w in found if w in self.older]
+        self.known.update((w, self.older[w]) for w in known)
+        words = [w for w in found if w not in self.known]
+        if len(self.known) + len(words) > REMEMBERED:  # what is used again is found among the older ones and kept again
+            self.older, self.known = self.known, {w: self.known[w] for w in known}
+        if self.unused or not len(self.merges[0]):
+            self.known.update((w, _packed(self._encoded_part(w))) for w in words)
+        elif words:
+            self.known.update(zip(words, self._together(words)))
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum([len(w) for w in words])
+        # no merge crosses from a word to the next, or between characters that are side by side in no piece
+        pair = codes[:-1] << 32 | codes[1:]
+        joined = self.beside[np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)] == pair
+        joined[ends[:-1] - 1] = False
+        cuts = np.flatnonzero(~joined) + 1
+        starts, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(codes)]))
+        size, symbols = stops - starts, self.symbol_of[codes]
+        left, gone = np.ones(len(starts), np.int64), np.zeros(len(codes), bool)  # symbols left of each part; characters without one
+        for n in np.unique(size[size > 1]).tolist():
+            at = np.flatnonzero(size == n)
+            if n > SHORT:
+                for i in at.tolist():
+                    ids = [self.ids.get(p, -1) if len(p) > 1 else int(self.symbol_of[ord(p)]) for p in self.pieces("".join(map(chr, codes[starts[i] : stops[i]].tolist())))]
+                    symbols[starts[i] : starts[i] + len(ids)], left[i] = ids, len(ids)
+                    gone[starts[i] + len(ids) : stops[i]] = True
+                continue
+            place = starts[at][:, None] + np.arange(n)
+            symbols[place], left[at] = self._merged(symbols[place], n)
+            gone[place] = np.arange(n) >= left[at][:, None]
+        # symbols that are no pieces become bytes, or unknown ones
+        kept = symbols[~gone]
+        bounds = np.concatenate(([0], np.cumsum(~gone)[ends - 1]))
+        raw, of_word = kept.astype(np.int32).tobytes(), (4 * bounds).tolist()
+        out = [raw[a:b] for a, b in zip(of_word, of_word[1:])]
+        odd = np.flatnonzero((kept < 0) | (kept >= len(self.sizes)))
+        for w in np.unique(np.searchsorted(bounds, odd, side="right") - 1).tolist():
+            out[w] = _packed([i for x in kept[bounds[w] : bounds[w + 1]].tolist() for i in self._plain(x)])
+        return out
 
-    def _kept(self, word: str, found: tuple[int, ...]) -> tuple[int, ...]:
-        if len(word) <= SHORT:
-            if len(self.known) >= REMEMBERED:  # what is used again is found among the older ones and kept again
-                self.older, self.known = self.known, {}
-            self.known[word] = found
-        return found
+    def _plain(self, symbol: int) -> tuple[int, ...]:
+        """ids of a symbol; an unknown one of n bytes is -n."""
+        if 0 <= symbol < len(self.sizes):
+            return (symbol,)
+        raw = (chr(-1 - symbol) if symbol < 0 else self.extra[symbol - len(self.sizes)]).encode("utf-8", "surrogatepass")
+        return tuple(self.byte_ids[b] for b in raw) if self.byte_ids else (-len(raw),)
 
-    def encode(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """ids, and the original byte where each piece starts and ends."""
+    def words_of(self, text: str | None) -> tuple[list[str], list[bytes | None], np.ndarray]:
+        """The normalised text in words, what is known of them, and the original byte where each normalised byte starts."""
         normal, origin = self.normalise(text) if text else (b"", np.zeros(1, np.int64))
-        get, new = self.known.get, self._new
-        ids = list(chain.from_iterable([get(word) or new(word) for word in self.word.findall(normal.decode("utf-8", "surrogatepass"))]))
-        found = np.array(ids, np.int64)
-        sizes = self.sizes[found]
-        if not self.byte_ids and (unknown := found < 0).any():  # neighbouring unknown pieces are one
-            sizes = np.where(unknown, -found, sizes)
-            first = np.flatnonzero(~(unknown & np.concatenate(([False], unknown[:-1]))))
-            found, sizes = np.where(unknown, self.unknown, found)[first], np.add.reduceat(sizes, first)
-            ids = found.tolist()
-        ends = np.cumsum(sizes)
-        return ids, origin[ends - sizes], origin[ends]
+        words = self.word.findall(normal.decode("utf-8", "surrogatepass"))
+        return words, list(map(self.known.get, words)), origin
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Of each text: ids, and the original byte where each piece starts and ends."""
+        waiting, held = [], 0
+        for text in texts:
+            waiting.append(self.words_of(text))
+            held += len(waiting[-1][0])
+            if held > AT_ONCE:
+                yield from self._encoded(waiting)
+                waiting, held = [], 0
+        yield from self._encoded(waiting)
+
+    def _encoded(self, waiting: list[tuple[list[str], list[bytes | None], np.ndarray]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        self.learn([w for words, got, _ in waiting for w, g in zip(words, got) if g is None])
+        for words, got, origin in waiting:
+            if None in got:
+                got = [g or self.known[w] for w, g in zip(words, got)]
+            ids = np.frombuffer(b"".join(got), np.int32)
+            sizes = self.sizes[ids]
+            if not self.byte_ids and (unknown := ids < 0).any():  # neighbouring unknown pieces are one
+                sizes = np.where(unknown, -ids, sizes)
+                first = np.flatnonzero(~(unknown & np.concatenate(([False], unknown[:-1]))))
+                ids, sizes = np.where(unknown, self.unknown, ids)[first], np.add.reduceat(sizes, first)
+            ends = np.cumsum(sizes)
+            yield ids.tolist(), origin[ends - sizes], origin[ends]
+
+    def encode(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids) if ids else ""
@@ -307,7 +410,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
         use = codec(blob.value)
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                rows = [use.encode(t.as_py()) for t in batch.column(1)]
+                rows = list(use.encode_all(batch.column(1).to_pylist()))
                 columns = [pa.array([r[i] for r in rows], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
                 yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "ids", "starts", "ends"])
 
@@ -335,12 +438,12 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(blob.value)
+        said = [str(i) for i in range(len(use.sizes))]
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                ids, starts, ends = use.encode(text.as_py())
+            for ids, starts, ends in use.encode_all(batch.column(1).to_pylist()):
                 back = use.decode(ids)
-                out.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), int((ends - starts).sum())))
+                out.append((len(ids), hashlib.sha256(",".join([said[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), int((ends - starts).sum())))
             columns = list(zip(*out)) or [()] * 4
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes"])
