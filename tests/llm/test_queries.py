@@ -39,16 +39,38 @@ def test_every_operator_has_a_query():
     assert [k.split("_")[0] for k in queries.queries() if k.startswith("op")] == [f"op{i}" for i in range(1, 11)]
 
 
+def test_quality_query_against_plain_version(spark, duck):
+    import zlib
+
+    from tests.llm.test_operators import plain_scores
+
+    docs, labels = dict(duck.sql("SELECT doc_id, text FROM documents").fetchall()), dict(duck.sql("SELECT doc_id, quality FROM labels").fetchall())
+    got, want = queries.op5_quality(spark, SF).collect(), plain_scores(docs, labels)
+    assert len(got) == len(docs) and all(abs(r.score - want[r.doc_id]) < 1e-9 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    held = [r for r in got if r.held_out and labels.get(r.doc_id) is not None]
+    assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) > 0.9
+
+
+def test_sentencepiece_query_against_the_library(spark, duck):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_file())
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op10_sentencepiece(spark, SF).collect()}
+    assert got == {i: (len(ids := sp.encode(t or "")), digest(",".join(map(str, ids))), digest(sp.decode(ids))) for i, t in duck.sql("SELECT doc_id, text FROM documents").fetchall()}
+
+
 def test_pipeline_against_brute_force(spark, duck):
     pipeline = pytest.importorskip("corpus_pipeline")
     import sentencepiece
 
     sys.path.insert(0, os.path.dirname(__file__))
-    from tests.llm.test_operators import brute_components, brute_decontaminate
+    from tests.llm.test_operators import brute_components, brute_decontaminate, plain_scores
 
     docs = dict(duck.sql("SELECT doc_id, text FROM documents").fetchall())
-    df, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    good = {r.doc_id for r in quality.score(df, labels).collect() if r.predicted}
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    good = {i for i, x in plain_scores(docs, dict(duck.sql("SELECT doc_id, quality FROM labels").fetchall())).items() if x >= quality.THRESHOLD}
     kept = {i: docs[i] for i in sorted(good)}
     import re
 
