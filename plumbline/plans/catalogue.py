@@ -422,13 +422,13 @@ def q40(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("q27_implementors", """
-    WITH need AS (SELECT DISTINCT p_brand AS interface, p_type || p_size AS method FROM part), have AS (SELECT DISTINCT l_suppkey AS type, p_type || p_size AS method FROM lineitem JOIN part ON l_partkey = p_partkey),
+    WITH need AS (SELECT DISTINCT p_brand AS interface, p_type || p_size // 2 AS method FROM part), have AS (SELECT DISTINCT l_suppkey AS type, p_type || p_size // 2 AS method FROM lineitem JOIN part ON l_partkey = p_partkey),
     needs AS (SELECT interface, count(*) AS n FROM need GROUP BY interface), met AS (SELECT interface, type, count(*) AS n FROM need JOIN have USING (method) GROUP BY interface, type)
     SELECT interface, type FROM met JOIN needs USING (interface, n)""")
 def q27(spark: SparkSession, d: str) -> DataFrame:
-    """A brand needs its types and sizes of parts; which suppliers delivered all of them."""
+    """A brand needs its types of parts, sizes two by two; which suppliers delivered all of them."""
     p, i = table(spark, d, "part"), table(spark, d, "lineitem")
-    method = F.concat("p_type", F.col("p_size").cast("string")).alias("method")
+    method = F.concat("p_type", F.floor(F.col("p_size") / 2).cast("string")).alias("method")
     have = i.join(p, i.l_partkey == p.p_partkey).select(F.col("l_suppkey").alias("type"), method)
     return graphs.implementors(p.select(F.col("p_brand").alias("interface"), method), have)
 
