@@ -206,15 +206,23 @@ def key_filter(keys: DataFrame, bits_a_key: int = BITS_A_KEY, max_bits: int = MA
     return spark.sparkContext.broadcast(out)
 
 
-def likely(df: DataFrame, key: str, known: Broadcast) -> DataFrame:
-    """The rows of df whose key the filter lets through."""
+def likely(df: DataFrame, key: str, known: Broadcast, wanted: bool = True) -> DataFrame:
+    """The rows of df whose key the filter lets through, or (wanted=False) the others."""
     at = df.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(may_hold(known.value, batch.column(at).to_numpy(zero_copy_only=False))))
+            yield batch.filter(pa.array(may_hold(known.value, batch.column(at).to_numpy(zero_copy_only=False)) == wanted))
 
-    return df.mapInArrow(run, df.schema)
+    return bounded(df).mapInArrow(run, df.schema)
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (uid, ...) whose uid is not in gone (uid). Only rows that may be among them are shuffled; the others, as a rule most,
+    pass where they are read."""
+    gone, _ = stage(rows.sparkSession, gone, "gone")
+    known = key_filter(gone)
+    return likely(rows, "uid", known, False).union(likely(rows, "uid", known).join(gone, "uid", "left_anti").select(*rows.columns))
 
 
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -151,7 +151,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: in
     rows, _ = common.numbered(docs)
     bad = _judged(rows, benchmark, n, share).where("contaminated").select("uid", "runs")
     if what == "documents":
-        return rows.join(bad.select("uid"), "uid", "left_anti").select(*common.fields(F.col("row"), docs))
+        return common.without(rows.select("uid", "row"), bad.select("uid")).select(*common.fields(F.col("row"), docs))
     found = rows.join(bad, "uid", "left").select(*common.fields(F.col("row"), docs), F.col("runs").alias(common.free_name(docs, "runs")))
     at = docs.columns.index("text")
 

@@ -162,5 +162,5 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, all columns kept."""
     rows, _ = common.numbered(docs)
-    kept = _grouped(rows.select("uid", *common.fields(F.col("row"), docs, ["doc_id", "text"]))).where("kept").select("uid")
-    return rows.join(kept, "uid", "left_semi").select(*common.fields(F.col("row"), docs))
+    gone = _grouped(rows.select("uid", *common.fields(F.col("row"), docs, ["doc_id", "text"]))).where("not kept").select("uid")
+    return common.without(rows.select("uid", "row"), gone).select(*common.fields(F.col("row"), docs))
