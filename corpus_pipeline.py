@@ -1,39 +1,69 @@
 """A training corpus from `documents`: low quality out, exact and near copies out, benchmark passages out, then token ids.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last keep the columns of documents.
+stage's docs. All but the last keep the columns of documents, whatever their names; repeated rows are rows of their own.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import common, decontaminate, exactdedup, jaccard, quality, sentencepiece_codec
 from plumbline.llm.queries import tokenizer_file
 
 
+#: Tables that the result of the last stage reads.
+_left: list[str] = []
+
+
+def _stage(f):
+    """A stage; when the next one starts its result is written, so the tables that it read go, unless docs still read them."""
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left and not any(path.rsplit("/", 1)[-1] in file for file in docs.inputFiles() for path in _left):
+            common.drop(spark, *(p for p in _left if p in common.staged(spark)))
+            _left.clear()
+        before = common.staged(spark)
+        out = f(spark, docs, sf_dir)
+        _left.extend(p for p in common.staged(spark) if p not in before)
+        return out
+
+    return run_stage
+
+
+@_stage
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that the classifier rejects go; it is fitted on labelled documents of this stage's input."""
+    """Operator 5: documents that the classifier rejects go; it is fitted on labelled documents of this stage's input.
+
+    Null and empty texts and those of any length have a score too; equal texts share a fate; an empty table gives no rows.
+    """
     return quality.keep(docs, common.read(spark, sf_dir, "labels"))
 
 
+@_stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: one document of each group of equal texts stays."""
+    """Operator 6: of equal texts the one with the smallest doc_id stays, null ids last, ties by place; null counts as empty."""
     return exactdedup.deduplicate(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: one document of each component of similar texts stays (shingles of five words, similarity 0.8)."""
+    """Operator 8: of each component of similar texts (shingles of five words, similarity 0.8) the document with the smallest
+    doc_id stays, null ids last, ties by place; texts without words all stay, whatever their ids."""
     return jaccard.deduplicate(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents that hold benchmark passages go."""
+    """Operator 2: documents that hold benchmark passages go; null and empty texts, and an empty benchmark, lose nothing."""
     return decontaminate.remove(docs, common.read(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: token ids of what is left, as counts and digests."""
+    """Operator 10: token ids of what is left, as counts and digests; null and empty texts have none."""
     return sentencepiece_codec.digests(docs, tokenizer_file(spark))
 
 

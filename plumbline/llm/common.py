@@ -78,6 +78,11 @@ def stage(spark: SparkSession, df: DataFrame, name: str, free: bool = True) -> t
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def staged(spark: SparkSession) -> list[str]:
+    """Paths of the staged tables that are still there, the oldest first."""
+    return list(_staged.get(spark.sparkContext.applicationId, []))
+
+
 def release(spark: SparkSession) -> None:
     """Remove the staged tables of this application. Results of the operators can't be read any more after that."""
     for path in _staged.pop(spark.sparkContext.applicationId, []):
@@ -217,10 +222,12 @@ def likely(df: DataFrame, key: str, known: Broadcast, wanted: bool = True) -> Da
     return bounded(df).mapInArrow(run, df.schema)
 
 
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+def without(rows: DataFrame, gone: DataFrame, before: list[str]) -> DataFrame:
     """rows (uid, ...) whose uid is not in gone (uid). Only rows that may be among them are shuffled; the others, as a rule most,
-    pass where they are read."""
-    gone, _ = stage(rows.sparkSession, gone, "gone")
+    pass where they are read. before: the tables that were staged before gone was worked out; the later ones go with it."""
+    spark = rows.sparkSession
+    gone, path = stage(spark, gone, "gone")
+    drop(spark, *[p for p in staged(spark) if p not in before and p != path])
     known = key_filter(gone)
     return likely(rows, "uid", known, False).union(likely(rows, "uid", known).join(gone, "uid", "left_anti").select(*rows.columns))
 
