@@ -1,4 +1,4 @@
-"""The queries of this package, op1 to op10, and the SQL that checks them."""
+"""The queries of this package, op1 to op13, and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, common, decontaminate, exactdedup, jaccard, linededup, quality, sentencepiece_codec, sharding, substring, urlfilter
+from . import chatformat, common, decontaminate, exactdedup, jaccard, linededup, merkle, quality, sentencepiece_codec, sharding, substring, toxicity, urlfilter
 
 #: The rules of op4 as (action, host, path prefix), and the added conversation of op7.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -74,6 +74,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(common.read(spark, sf_dir, "documents"), tokenizer_file(spark))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(common.read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # it imports this module
 
@@ -191,10 +199,41 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(out), 0) AS
 FROM d LEFT JOIN g USING (doc_id)
 """
 
+#: Levels by recursion: a tree's nodes until there is one; a node's siblings level by level; then each leaf folded upwards.
+_OP13 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {h} AS leaf, CASE WHEN crc(doc_id) THEN {t} ELSE {h} END AS seen FROM documents),
+l AS (SELECT *, coalesce('.' || source, '') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+r(tree, lvl, i, n, digest) AS (SELECT tree, 0, i, n, leaf FROM l UNION ALL
+  SELECT tree, lvl + 1, i // 16, max((n + 15) // 16), sha256(string_agg(digest, '' ORDER BY i)) FROM r WHERE n > 1 GROUP BY tree, lvl, i // 16),
+sub AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM r WHERE n = 1),
+q(lvl, i, n, digest) AS (SELECT 0, i, n, subroot FROM sub UNION ALL
+  SELECT lvl + 1, i // 16, max((n + 15) // 16), sha256(string_agg(digest, '' ORDER BY i)) FROM q WHERE n > 1 GROUP BY lvl, i // 16),
+nodes AS (SELECT tree, lvl, i, n, digest FROM r UNION ALL SELECT 'top', lvl, i, n, digest FROM q),
+steps AS (SELECT a.tree, a.lvl, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS pre, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS post
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.lvl = b.lvl AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY ALL),
+f(id, k, phase, tree, lvl, i, digest, proof) AS (SELECT row_number() OVER (), 0, 0, tree, 0, i, seen, '' FROM l UNION ALL
+  SELECT f.id, k + 1, CASE WHEN s.lvl IS NULL THEN 1 ELSE phase END, CASE WHEN s.lvl IS NULL THEN 'top' ELSE f.tree END, CASE WHEN s.lvl IS NULL THEN 0 ELSE f.lvl + 1 END,
+         CASE WHEN s.lvl IS NULL THEN sub.i ELSE f.i // 16 END, CASE WHEN s.lvl IS NULL THEN f.digest ELSE sha256(s.pre || f.digest || s.post) END, CASE WHEN s.lvl IS NULL THEN proof ELSE proof || s.pre || s.post END
+  FROM f LEFT JOIN steps s ON s.tree = f.tree AND s.lvl = f.lvl AND s.i = f.i LEFT JOIN sub ON sub.tree = f.tree WHERE s.lvl IS NOT NULL OR phase = 0),
+done AS (SELECT id, digest AS folded_root, proof FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1),
+o AS (SELECT doc_id, leaf, tree, row_number() OVER () AS id FROM l)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM o JOIN done USING (id) JOIN sub USING (tree), (SELECT digest AS root FROM q WHERE n = 1)
+"""
+
+
+def _op13() -> str:
+    part = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256(concat({', '.join(map(part, ('doc_id', 'source', 'lang', 'n_chars', text)))}))"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    crc = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}), lambda c, b: {bits}), 4294967295)"
+    return _OP13.replace("{h}", leaf("text")).replace("{t}", leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")).replace("crc(doc_id)", f"{crc} % 5 = 0")
+
 
 def oracle_sql() -> dict[str, str]:
     owners = ",".join(map(str, sharding.fill(sharding.SHARDS)))
-    out = {"op1_sharding": _OP1.replace("{owners}", owners), "op2_decontamination": _OP2, "op3_line_dedup": _OP3, "op4_url_filter": _OP4, "op6_exact_dedup": _OP6, "op7_chat_format": _OP7, "op8_ngram_jaccard": _OP8, "op9_substring_dedup": _OP9}
+    out = {"op1_sharding": _OP1.replace("{owners}", owners), "op2_decontamination": _OP2, "op3_line_dedup": _OP3, "op4_url_filter": _OP4, "op6_exact_dedup": _OP6, "op7_chat_format": _OP7, "op8_ngram_jaccard": _OP8, "op9_substring_dedup": _OP9, "op13_merkle_manifest": _op13()}
     import corpus_pipeline
 
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
