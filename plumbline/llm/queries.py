@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, common, decontaminate, exactdedup, jaccard, linededup, merkle, quality, sentencepiece_codec, sharding, substring, toxicity, urlfilter
+from . import chatformat, common, decontaminate, exactdedup, jaccard, linededup, merkle, quality, sentencepiece_codec, sharding, substring, toxicity, urlfilter, whitening
 
 #: The rules of op4 as (action, host, path prefix), and the added conversation of op7.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -74,6 +74,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(common.read(spark, sf_dir, "documents"), tokenizer_file(spark))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.read(spark, sf_dir, "embeddings"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
