@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_operator_has_a_query():
-    assert [k.split("_")[0] for k in queries.queries() if k.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.queries() if k.startswith("op")] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_quality_query_against_plain_version(spark, duck):
@@ -61,6 +61,32 @@ def test_sentencepiece_query_against_the_library(spark, duck):
     assert got == {i: (len(ids := sp.encode(t or "")), digest(",".join(map(str, ids))), digest(sp.decode(ids))) for i, t in duck.sql("SELECT doc_id, text FROM documents").fetchall()}
 
 
+def test_whitening_query_against_an_eigendecomposition(spark, duck):
+    from tests.llm.test_whitening import check
+
+    check(duck.sql("SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id").fetchall(), queries.op11_whitening(spark, SF).collect())
+
+
+def test_toxicity_query_against_a_plain_fit(spark, duck):
+    import math
+    import zlib
+
+    import numpy as np
+
+    from plumbline.llm import toxicity
+    from tests.llm.test_toxicity import plain_fit
+
+    docs, labels = dict(duck.sql("SELECT doc_id, text FROM documents").fetchall()), dict(duck.sql("SELECT doc_id, toxic FROM labels").fetchall())
+    got = queries.op12_toxicity(spark, SF).collect()
+    order = spark.createDataFrame([(i,) for i in labels], "doc_id bigint").selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").collect()
+    learned = [r.doc_id for r in order if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and labels[r.doc_id] is not None and r.doc_id in docs]
+    x = {i: np.unique(toxicity.features(t)).tolist() for i, t in docs.items()}
+    bias, weights = plain_fit([x[i] for i in learned], [labels[i] for i in learned])
+    want = {i: 1 / (1 + math.exp(-bias - sum(weights.get(f, 0) for f in x[i]))) for i in docs}
+    assert len(got) == len(docs) and all(abs(r.score - want[r.doc_id]) < 1e-9 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
 def test_pipeline_against_brute_force(spark, duck):
     pipeline = pytest.importorskip("corpus_pipeline")
     import sentencepiece
