@@ -257,7 +257,9 @@ def fold(digest: str, steps: list[tuple[str, str]]) -> str:
 def _walked(docs: DataFrame, emit: Callable[..., tuple], schema: pa.Schema, ddl: str, arity: int, high: int) -> DataFrame:
     """emit(doc_id, leaf, changed leaf or None, subroot, root, steps, proof text) of every row of docs."""
     spark, made = docs.sparkSession, []
-    rows, path = ranked(spark, leaves(docs), ["doc_id", "leaf"])
+    hashed, hashed_path = common.stage(spark, leaves(docs), "hashed", free=False)  # a sort reads its input twice
+    rows, _ = ranked(spark, hashed, ["doc_id", "leaf"])
+    common.drop(spark, hashed_path)
     size = arity**high
     rows = rows.select("tree", F.floor(F.col("rank") / size).alias("block"), F.pmod("rank", F.lit(size)).alias("rank"), "doc_id", "leaf", "changed")
     tops, tops_path = common.stage(spark, block_tops(rows, arity, high), "blocks", free=False)
