@@ -11,7 +11,9 @@ import time
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextvars import ContextVar
 from functools import cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -58,35 +60,53 @@ def bounded(docs: DataFrame) -> DataFrame:
     return docs
 
 
-#: Staged tables that results still read, by the application that made them.
-_staged: dict[str, list[str]] = {}
+#: Staged tables that are still there, by the application that made them: path, and a weak reference to what plans that read
+#: the table share.
+_staged: dict[str, dict[str, Any]] = {}
+#: The paths staged inside the innermost making() of this thread.
+_making: ContextVar[list[str] | None] = ContextVar("making", default=None)
 
 
 def stage(spark: SparkSession, df: DataFrame, name: str, free: bool = True) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    drop() removes it when no later plan reads it; what results still read is removed by release(), at the latest when the
-    driver ends.
+    The table goes by drop(), by sweep() once no DataFrame can read it any more, or by release(), at the latest when the driver
+    ends.
     """
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     if not _staged:
         atexit.register(_at_end)
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    # the file index: every plan made from `out` holds this very object
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    _staged.setdefault(spark.sparkContext.applicationId, {})[path] = spark._jvm.java.lang.ref.WeakReference(index)
+    del index
+    if (made := _making.get()) is not None:
+        made.append(path)
     if free:
-        free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path), path
+        sweep(spark)
+    return out, path
 
 
 def staged(spark: SparkSession) -> list[str]:
     """Paths of the staged tables that are still there, the oldest first."""
-    return list(_staged.get(spark.sparkContext.applicationId, []))
+    return list(_staged.get(spark.sparkContext.applicationId, {}))
+
+
+@contextlib.contextmanager
+def making() -> Iterator[list[str]]:
+    """Gives the paths of the tables that this thread stages inside, as they are staged."""
+    token = _making.set([])
+    try:
+        yield _making.get()
+    finally:
+        _making.reset(token)
 
 
 def release(spark: SparkSession) -> None:
     """Remove the staged tables of this application. Results of the operators can't be read any more after that."""
-    for path in _staged.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
+    drop(spark, *staged(spark))
 
 
 def _at_end() -> None:
@@ -95,24 +115,25 @@ def _at_end() -> None:
             release(spark)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have Spark's context cleaner drop the shuffle files of plans that nothing refers to any more.
+def sweep(spark: SparkSession) -> None:
+    """Have Spark's context cleaner drop the shuffle files of plans that nothing refers to any more, and drop the staged tables
+    that no DataFrame of any thread can read any more.
 
-    It learns of them from the garbage collector, which finds the last of them on its second run.
+    Both learn of them from the garbage collector, which finds the last of them on its second run.
     """
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
+    drop(spark, *[path for path, index in list(_staged.get(spark.sparkContext.applicationId, {}).items()) if index.get() is None])
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
     """Remove staged tables that no later plan reads."""
-    known = _staged.get(spark.sparkContext.applicationId, [])
+    known = _staged.get(spark.sparkContext.applicationId, {})
     for p in paths:
-        _delete(spark, p)
-        if p in known:
-            known.remove(p)
+        if known.pop(p, None) is not None:
+            _delete(spark, p)
 
 
 def _delete(spark: SparkSession, where: str) -> None:
@@ -222,12 +243,12 @@ def likely(df: DataFrame, key: str, known: Broadcast, wanted: bool = True) -> Da
     return bounded(df).mapInArrow(run, df.schema)
 
 
-def without(rows: DataFrame, gone: DataFrame, before: list[str]) -> DataFrame:
+def without(rows: DataFrame, gone: DataFrame, made: list[str]) -> DataFrame:
     """rows (uid, ...) whose uid is not in gone (uid). Only rows that may be among them are shuffled; the others, as a rule most,
-    pass where they are read. before: the tables that were staged before gone was worked out; the later ones go with it."""
-    spark = rows.sparkSession
-    gone, path = stage(spark, gone, "gone")
-    drop(spark, *[p for p in staged(spark) if p not in before and p != path])
+    pass where they are read. made: the tables that were staged to work out gone; they go as soon as it is written."""
+    spark, earlier = rows.sparkSession, list(made)
+    gone, _ = stage(spark, gone, "gone")
+    drop(spark, *earlier)
     known = key_filter(gone)
     return likely(rows, "uid", known, False).union(likely(rows, "uid", known).join(gone, "uid", "left_anti").select(*rows.columns))
 

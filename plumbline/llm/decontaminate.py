@@ -149,10 +149,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: in
     if what not in ("documents", "spans"):
         raise ValueError(f"what: documents or spans, not {what}")
     rows, _ = common.numbered(docs)
-    before = common.staged(docs.sparkSession)
-    bad = _judged(rows, benchmark, n, share).where("contaminated").select("uid", "runs")
-    if what == "documents":
-        return common.without(rows.select("uid", "row"), bad.select("uid"), before).select(*common.fields(F.col("row"), docs))
+    with common.making() as made:
+        bad = _judged(rows, benchmark, n, share).where("contaminated").select("uid", "runs")
+        if what == "documents":
+            return common.without(rows.select("uid", "row"), bad.select("uid"), made).select(*common.fields(F.col("row"), docs))
     found = rows.join(bad, "uid", "left").select(*common.fields(F.col("row"), docs), F.col("runs").alias(common.free_name(docs, "runs")))
     at = docs.columns.index("text")
 

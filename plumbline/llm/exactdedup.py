@@ -162,6 +162,6 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, all columns kept."""
     rows, _ = common.numbered(docs)
-    before = common.staged(docs.sparkSession)
-    gone = _grouped(rows.select("uid", *common.fields(F.col("row"), docs, ["doc_id", "text"]))).where("not kept").select("uid")
-    return common.without(rows.select("uid", "row"), gone, before).select(*common.fields(F.col("row"), docs))
+    with common.making() as made:
+        gone = _grouped(rows.select("uid", *common.fields(F.col("row"), docs, ["doc_id", "text"]))).where("not kept").select("uid")
+        return common.without(rows.select("uid", "row"), gone, made).select(*common.fields(F.col("row"), docs))

@@ -360,6 +360,6 @@ def deduplicate(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     """docs with one row of each component, that with the smallest doc_id, of several the first in the input; documents without
     words all stay. Each row is judged by itself, whatever happens to others with its doc_id or without one."""
     rows, _ = common.numbered(docs)
-    before = common.staged(docs.sparkSession)
-    gone = _placed(rows, k, percent).where("not kept").select("uid")
-    return common.without(rows.select("uid", "row"), gone, before).select(*common.fields(F.col("row"), docs))
+    with common.making() as made:
+        gone = _placed(rows, k, percent).where("not kept").select("uid")
+        return common.without(rows.select("uid", "row"), gone, made).select(*common.fields(F.col("row"), docs))

@@ -113,3 +113,32 @@ def test_pipeline_against_brute_force(spark, duck):
     assert got == want and 0 < len(got) < len(docs)
     for (name, stage), columns in zip(pipeline.STAGES[:-1], [df.columns] * 4):
         assert stage(spark, df, SF).columns == columns, name
+
+
+def test_results_of_stages_and_runs_stay_readable(spark):
+    """Results that nobody has read yet survive later stages and runs in other threads; their tables go with them."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import gc
+    from concurrent.futures import ThreadPoolExecutor
+
+    from plumbline.llm import common
+
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    held = [stage(spark, df, SF).select("doc_id") for _, stage in pipeline.STAGES]  # each from the same input, none read yet
+    with ThreadPoolExecutor(2) as pool:
+        runs = list(pool.map(lambda _: pipeline.run(spark, SF), range(2)))
+    common.sweep(spark)
+    alone = [{r.doc_id for r in stage(spark, df, SF).select("doc_id").collect()} for _, stage in pipeline.STAGES]
+    assert [{r.doc_id for r in d.collect()} for d in held] == alone
+    first, second = ({(r.doc_id, r.ids_sha256) for r in d.collect()} for d in runs)
+    assert first == second and first
+    del held, runs
+    gc.collect()
+    common.sweep(spark)
+    before = set(common.staged(spark))
+    out = pipeline.run(spark, SF)
+    kept = set(common.staged(spark)) - before
+    n = out.count()
+    del out
+    common.sweep(spark)
+    assert kept and n == len(first) and not kept & set(common.staged(spark))
