@@ -14,21 +14,12 @@ from plumbline.llm import common, decontaminate, exactdedup, jaccard, quality, s
 from plumbline.llm.queries import tokenizer_file
 
 
-#: Tables that the result of the last stage reads.
-_left: list[str] = []
-
-
 def _stage(f):
-    """A stage; when the next one starts its result is written, so the tables that it read go, unless docs still read them."""
+    """A stage; before it starts, tables of earlier ones go, if no DataFrame can read them any more."""
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if _left and not any(path.rsplit("/", 1)[-1] in file for file in docs.inputFiles() for path in _left):
-            common.drop(spark, *(p for p in _left if p in common.staged(spark)))
-            _left.clear()
-        before = common.staged(spark)
-        out = f(spark, docs, sf_dir)
-        _left.extend(p for p in common.staged(spark) if p not in before)
-        return out
+        common.sweep(spark)
+        return f(spark, docs, sf_dir)
 
     return run_stage
 
