@@ -77,18 +77,29 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
+def _frequent(rows: list[np.ndarray]) -> np.ndarray:
+    """Features of LEAST rows or more, ascending; a sixteenth of them is counted at once, which bounds memory."""
+    edges, out = np.arange(17, dtype=np.int64) << 28, []
+    cuts = [np.searchsorted(x, edges) for x in rows]
+    for i in range(16):
+        found, count = np.unique(np.concatenate([x[c[i] : c[i + 1]] for x, c in zip(rows, cuts)]), return_counts=True)
+        out.append(found[count >= LEAST])
+    return np.concatenate(out)
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
-    """rows: different features of each row."""
+    """rows: different features of each row, ascending."""
     share = (y.sum() + 1) / (len(y) + 2)
     nothing = Model(np.empty(0, np.uint32), np.empty(0), float(np.log(share / (1 - share))))
     if not len(rows) or y.min() == y.max():
         return nothing
-    known, count = np.unique(np.concatenate(rows), return_counts=True)
-    known = known[count >= LEAST]
+    known = _frequent(rows)
     if not len(known):
         return nothing
-    at = [np.minimum(np.searchsorted(known, x), len(known) - 1) for x in rows]
-    at = [a[known[a] == x] for a, x in zip(at, rows)]
+    at = []
+    for i, x in enumerate(rows):
+        place = np.minimum(np.searchsorted(known, x), len(known) - 1).astype(np.int32)
+        at.append(place[known[place] == x])
     z, n = np.zeros(len(known)), np.zeros(len(known))
     bias, bias_n = nothing.bias, 0.0  # the intercept is neither shrunk nor cut
     for _ in range(EPOCHS):
@@ -123,8 +134,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     measured = rows.mapInArrow(measure, "row bigint, toxic int, fp bigint, x binary")
     # a row for each label, however many rows have its doc_id
-    got = measured.groupBy("row").agg(F.min_by(F.struct("toxic", "x"), "fp").alias("m")).select("row", "m.toxic", "m.x").toArrow().sort_by("row")
-    return fit([np.frombuffer(x.as_py(), np.uint32) for x in got.column("x")], got.column("toxic").to_numpy().astype(np.float64))
+    got = measured.groupBy("row").agg(F.min_by(F.struct("toxic", "x"), "fp").alias("m")).select("row", "m.toxic", "m.x").toArrow()
+    order = np.argsort(got.column("row").to_numpy(), kind="stable")
+    x = [v for chunk in got.column("x").chunks for v in _views(chunk)]
+    return fit([x[i] for i in order], got.column("toxic").to_numpy().astype(np.float64)[order])
+
+
+def _views(column: pa.Array) -> Iterator[np.ndarray]:
+    """The numbers of each row of a binary column, without a copy."""
+    _, places, data = column.buffers()
+    ends = np.frombuffer(places, np.int32)[column.offset : column.offset + len(column) + 1]
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield np.frombuffer(data, np.uint8)[a:b].view(np.uint32) if b > a else np.empty(0, np.uint32)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
