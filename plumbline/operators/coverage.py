@@ -1,6 +1,7 @@
 """Line and branch coverage of a change.
 
-Intervals become lines (`sequence` + `explode`), so joins are equi-joins on (file, line). Two ways of matching profile files
+Blocks become lines (`sequence` + `explode`), so joins are equi-joins on (file, line); functions, which are longer and nested,
+become dyadic intervals. Two ways of matching profile files
 to source files: `suffix` (the profile's path ends with the file's name, as base names are first joined by equality) and
 `exact`.
 """
@@ -60,17 +61,50 @@ def branch_coverage(branches: DataFrame, covered: DataFrame, by: list[str] = ("f
     return out.withColumn("pct", percent(F.col("covered"), F.col("total"), 100)).withColumn("error_pct", percent(F.col("error_covered"), F.col("error_total"), 100))
 
 
+#: Bits of a line number.
+_BITS = 32
+
+
+def _piece(level: Column, index: Column) -> Column:
+    """Number of the dyadic interval of 2^level lines at that index, different for each."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(_BITS) - level) + index
+
+
+def _pieces(start: Column, end: Column) -> Column:
+    """The dyadic intervals (level, piece) that make up [start, end], two of a level at most: none overlaps another."""
+    first, after = F.greatest(start.cast("bigint"), F.lit(0)), end.cast("bigint") + 1
+
+    def of(k: Column) -> Column:
+        low = F.call_function("shiftright", first + F.call_function("shiftleft", F.lit(1).cast("bigint"), k) - 1, k)
+        high = F.call_function("shiftright", after, k)
+        side = lambda index, odd: F.when((low < high) & (odd % 2 == 1), F.struct(k.alias("level"), _piece(k, index).alias("piece")))
+        return F.array(side(low, low), side(high - 1, high))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(after - first)) - 1), of)))
+
+
+def _dyadic(functions: DataFrame, lines: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(file, piece, names) of functions and (file, piece, line) of lines: a line is in a function if and only if they meet in one
+    piece, and they meet in one only. So the interval becomes part of an equi-key, and a file that holds most functions and
+    lines is dealt by piece. Lines have a piece for each level that functions of their file have, 32 at most."""
+    cut = functions.where("start_line <= end_line").select("file", *names, F.explode(_pieces(F.col("start_line"), F.col("end_line"))).alias("p")).select("file", *names, "p.level", "p.piece")
+    levels = cut.groupBy("file").agg(F.collect_set("level").alias("levels"))
+    around = F.transform("levels", lambda k: _piece(k, F.call_function("shiftright", F.col("line").cast("bigint"), k)))
+    return cut.drop("level"), lines.select("file", "line").distinct().join(levels, "file").select("file", "line", F.explode(around).alias("piece"))
+
+
 def functions_by_lines(functions: DataFrame, changed: DataFrame) -> DataFrame:
-    """Functions that hold a changed line: a semi-join on the file with the interval as the rest of the condition."""
-    f, c = functions.alias("f"), changed.select("file", "line").distinct().alias("c")
-    return f.join(c, F.expr("f.file = c.file AND c.line BETWEEN f.start_line AND f.end_line"), "left_semi")
+    """Functions that hold a changed line, by dyadic pieces of their intervals."""
+    ends = ["start_line", "end_line"]
+    pieces, lines = _dyadic(functions.select("file", *ends).distinct(), changed, ends)
+    held = pieces.join(lines.select("file", "piece").distinct(), ["file", "piece"], "left_semi").select("file", *ends).distinct()
+    return functions.join(held, ["file", *ends], "left_semi")
 
 
 def coverage_gaps(functions: DataFrame, uncovered: DataFrame) -> DataFrame:
-    """(file, name, lines) of functions with uncovered lines; uncovered: (file, line)."""
-    f, u = functions.alias("f"), uncovered.select("file", "line").distinct().alias("u")
-    joined = f.join(u, F.expr("f.file = u.file AND u.line BETWEEN f.start_line AND f.end_line")).select("f.file", "f.name", "u.line")
-    return joined.groupBy("file", "name").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    """(file, name, lines) of functions with uncovered lines, by dyadic pieces; uncovered: (file, line)."""
+    pieces, lines = _dyadic(functions, uncovered, ["name"])
+    return pieces.join(lines, ["file", "piece"]).groupBy("file", "name").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
 def executable_changed_lines(changed: DataFrame, executable: DataFrame, source: DataFrame) -> DataFrame:

@@ -3,18 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bits of a type's method signature, in words of 64.
+_WORDS = 4
+
+
+def _signature(method: Column) -> list[Column]:
+    """A bit of _WORDS * 64 for a method, by its hash, as one number a word; or-ed over methods they are a set's signature."""
+    at = F.pmod(F.xxhash64(method), F.lit(64 * _WORDS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at % 64)
+    return [F.bit_or(F.when(F.floor(at / 64) == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"s{i}") for i in range(_WORDS)]
+
+
 def implementors(needed: DataFrame, methods: DataFrame) -> DataFrame:
-    """(interface, type) of types that have every method of an interface; needed: (interface, method), methods: (type, method)."""
-    need = needed.select("interface", "method").distinct()
-    size = need.groupBy("interface").agg(F.count("*").alias("n"))
-    have = methods.select("type", "method").distinct()
-    met = have.join(need, "method").groupBy("interface", "type").agg(F.count("*").alias("n"))
-    return met.join(size, ["interface", "n"]).select("interface", "type")
+    """(interface, type) of types that have every method of an interface; needed: (interface, method), methods: (type, method).
+
+    A search for supersets: only types that have an interface's rarest method are looked at, and of these only those whose
+    signature has the bits of the interface's; what is left is compared method by method. A method that every type has is
+    nobody's rarest, unless an interface has no other.
+    """
+    need, have = needed.select("interface", "method").distinct(), methods.select("type", "method").distinct()
+    known = need.join(have.groupBy("method").agg(F.count("*").alias("types")), "method", "left").fillna(0, ["types"])
+    wanted = known.groupBy("interface").agg(F.min_by("method", F.struct("types", "method")).alias("method"), F.min("types").alias("types"), F.count("*").alias("n"), *_signature(F.col("method")))
+    wanted = wanted.where("types > 0").select("interface", "method", "n", *[F.col(f"s{i}").alias(f"w{i}") for i in range(_WORDS)])
+    holds = lambda i: F.col(f"s{i}").bitwiseAND(F.col(f"w{i}")) == F.col(f"w{i}")
+    met = wanted.join(have, "method").drop("method").join(have.groupBy("type").agg(*_signature(F.col("method"))), "type")
+    likely = met.where(reduce(lambda a, b: a & b, map(holds, range(_WORDS)))).select("interface", "type", "n")
+    found = likely.join(need, "interface").join(have, ["type", "method"], "left_semi").groupBy("interface", "type", "n").agg(F.count("*").alias("met"))
+    return found.where("met = n").select("interface", "type")
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -30,17 +51,18 @@ def _cut(df: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame) -> DataFrame:
     """(root, name, depth): every name reachable from each root, itself included, with the fewest steps to it. edges: (name, embedded).
 
-    A round a step: only names that a root has not met yet go on, so neither cycles nor many paths to one name add rows.
+    Steps are doubled: what lies further than 2^k steps, up to twice that, is reached by exactly 2^k steps and then by up to
+    2^k more, so a chain of any length takes as many rounds as its length has bits. Pairs that are known already are left out
+    of each round, so cycles end it too; they are not collapsed, as names in one differ in their distances.
     """
-    steps = edges.where("embedded is not null").select("name", "embedded").distinct()
-    frontier = _cut(edges.select(F.col("name").alias("root"), "name").distinct())
-    met, depth = frontier.withColumn("depth", F.lit(0)), 0
-    while not frontier.isEmpty():
-        depth += 1
-        new = frontier.join(steps, "name").select("root", F.col("embedded").alias("name")).distinct().join(met, ["root", "name"], "left_anti")
-        frontier = _cut(new)
-        met = met.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    return met
+    roots = edges.select(F.col("name").alias("root"), "name", F.lit(0).cast("bigint").alias("depth")).distinct()
+    steps = edges.where("embedded is not null and embedded <> name").select(F.col("name").alias("root"), F.col("embedded").alias("name"), F.lit(1).cast("bigint").alias("depth")).distinct()
+    met, reach = _cut(roots.unionByName(steps)), 1  # all pairs of up to `reach` steps
+    while not (far := met.where(F.col("depth") == reach)).isEmpty():
+        onward = met.where("depth > 0").select(F.col("root").alias("via"), F.col("name").alias("end"), F.col("depth").alias("more"))
+        new = far.join(onward, F.col("name") == F.col("via")).groupBy("root", F.col("end").alias("name")).agg((F.min("more") + reach).alias("depth"))
+        met, reach = _cut(met.unionByName(new.join(met, ["root", "name"], "left_anti").select("root", "name", "depth"))), 2 * reach
+    return met.withColumn("depth", F.col("depth").cast("int"))
 
 
 def embedded_methods(interfaces: DataFrame, methods: DataFrame) -> DataFrame:

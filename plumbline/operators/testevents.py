@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import expected_and_got, source_line
+from .scans import ordered, running
 
 
 def fold_events(events: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -26,10 +27,18 @@ def fold_events(events: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 def text_results(logs: DataFrame) -> DataFrame:
-    """(path, name, passed, place) of text logs: all passes first, then all failures. logs: (path, value)."""
+    """(path, name, passed, place) of text logs, (path, value) or (path, seq, line): place puts all passes first, then all
+    failures; of lines it is no number of tests but a struct of that order."""
+    value = F.concat("line", F.lit("\n")) if "line" in logs.columns else F.col("value")
+
     def named(status: str) -> Column:
-        return F.regexp_extract_all("value", F.lit(rf"--- {status}: (\S+)\s"), F.lit(1))
+        return F.regexp_extract_all(value, F.lit(rf"--- {status}: (\S+)\s"), F.lit(1))
 
+    if "line" in logs.columns:
+        told = F.explode(F.arrays_zip(named("PASS").alias("p"), named("FAIL").alias("f")))
+        rows = logs.where(F.col("line").contains("--- ")).select("path", "seq", told.alias("r"))
+        both = F.explode(F.array(F.struct(F.col("r.p").alias("name"), F.lit(True).alias("passed")), F.struct(F.col("r.f").alias("name"), F.lit(False).alias("passed"))))
+        return rows.select("path", "seq", both.alias("r")).where("r.name is not null").select("path", "r.name", "r.passed", F.struct((~F.col("r.passed")).alias("failed"), "seq").alias("place"))
     mark = lambda names, passed: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(passed).alias("passed")))
     rows = logs.select("path", F.posexplode(F.concat(mark(named("PASS"), True), mark(named("FAIL"), False))).alias("place", "r"))
     return rows.select("path", "r.name", "r.passed", "place")
@@ -97,18 +106,19 @@ def feedback_from_events(folded: DataFrame) -> DataFrame:
 
 
 def error_context(logs: DataFrame) -> DataFrame:
-    """(path, name, expected, got, error, line) of failing tests of text logs.
+    """(path, name, expected, got, error, line) of failing tests of text logs: (path, value), or (path, seq, line) of read_lines.
 
-    A test's messages are the lines between its RUN marker and its result: islands numbered by a running count of markers.
+    A test's messages are the lines between its RUN marker and its result: islands numbered by a running count of markers, by
+    a scan over the parts of a log, so that many tasks work on one log.
     """
-    rows = logs.select("path", F.posexplode(F.split("value", "\n", -1)).alias("pos", "raw")).withColumn("t", F.regexp_replace("raw", r"^\s+|\s+$", ""))
+    rows = logs if "line" in logs.columns else logs.select("path", F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"))
+    rows = ordered(rows).withColumn("t", F.regexp_replace("line", r"^\s+|\s+$", ""))
     run, result = F.col("t").startswith("=== RUN"), F.col("t").rlike(r"^--- (FAIL|PASS):")
-    w = Window.partitionBy("path").orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("started", F.sum(run.cast("int")).over(w)).withColumn("island", F.coalesce(F.sum((run | result).cast("int")).over(before), F.lit(0)) + F.when(run, 1).otherwise(0))
-    is_message = (F.col("started") > 0) & (F.col("t") != "") & ~F.col("t").startswith("===") & ~result
-    closes = F.when(result, F.col("t"))
-    by = rows.groupBy("path", "island").agg(F.array_sort(F.collect_list(F.when(is_message, F.struct("pos", "t")))).alias("m"), F.max(closes).alias("end"), F.max(F.when(result, F.col("pos"))).alias("at"))
+    rows = rows.where(run | (F.col("t") != "") & ~F.col("t").startswith("===")).select("path", "part", "row", "t")
+    rows = running(rows, {"started": run, "marks": run | result}).withColumn("island", F.col("marks") - result.cast("int"))
+    is_message = (F.col("started") > 0) & ~F.col("t").startswith("===") & ~result
+    closes, place = F.when(result, F.col("t")), F.struct("part", "row")
+    by = rows.groupBy("path", "island").agg(F.array_sort(F.collect_list(F.when(is_message, F.struct("part", "row", "t")))).alias("m"), F.max(closes).alias("end"), F.max(F.when(result, place)).alias("at"))
     parts = F.split(F.col("end"), r"\s+")
     failed = by.where(F.col("end").startswith("--- FAIL:") & (F.size("m") > 0) & (F.size(parts) >= 3)).withColumn("texts", F.transform("m", lambda x: x["t"]))
     joined = F.array_join("texts", " ")

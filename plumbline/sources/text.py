@@ -1,10 +1,11 @@
-"""Line-oriented sources read as whole texts, so that every line knows its place: diffs, coverage profiles, test events."""
+"""Line-oriented sources, whose lines know their place: diffs, coverage profiles, test events."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scans import inside, ordered, parts_before
 from . import schemas
 
 
@@ -38,43 +39,54 @@ def _count(match: Column) -> Column:
 
 
 def diff_lines(texts: DataFrame) -> DataFrame:
-    """Every line of every hunk with its old and new number; windows run inside one file of one diff text.
+    """Every line of every hunk with its old and new number, of texts or of read_lines.
 
-    An added line advances only the new number, a deleted one only the old, an empty line neither, any other both.
+    An added line advances only the new number, a deleted one only the old, an empty line neither, any other both. Of a file's
+    head the last line that names a path counts, else the first line of all. Lines are numbered by a scan over the parts of a
+    diff, so one diff of any size is read by many tasks: a part knows its own counts and last marks, and whether a line that
+    looks like a head's is one where a mark stands before it; for the lines before its first mark the parts before it tell.
     """
-    w = Window.partitionBy("path").orderBy("pos")
-    rows = lines(texts).withColumn("file_no", F.sum(F.col("line").startswith("diff --git ").cast("int")).over(w)).where("file_no > 0")
-    f = Window.partitionBy("path", "file_no").orderBy("pos")
-    rows = rows.withColumn("hunk", F.sum(F.col("line").rlike(r"^@@ ").cast("int")).over(f))
-    whole = Window.partitionBy("path", "file_no")
-    head = F.col("hunk") == 0
-
-    def header(pattern: str, fallback: str, group: int) -> Column:
-        own = F.max(F.when(head & F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 1))).over(whole)
-        return F.coalesce(own, F.max(F.when(F.col("line").rlike(fallback), F.regexp_extract("line", fallback, group))).over(whole))
-
-    git = r"^diff --git a/(.*) b/(.*)$"
-    rows = rows.withColumn("old_path", header(r"^--- a/(.*)$", git, 1)).withColumn("new_path", header(r"^\+\+\+ b/(.*)$", git, 2)).where("hunk > 0")
-    in_hunk = Window.partitionBy("path", "file_no", "hunk").orderBy("pos")
-    starts = Window.partitionBy("path", "file_no", "hunk")
-    for name, group in (("old_start", 1), ("new_start", 3)):
-        rows = rows.withColumn(name, F.max(F.when(F.col("line").rlike(_HUNK), F.regexp_extract("line", _HUNK, group).try_cast("int"))).over(starts))
-    content = rows.where(~F.col("line").rlike("^@@ ") & (F.col("line") != ""))
-    mark = F.substring("line", 1, 1)
+    rows = ordered(texts if "line" in texts.columns else lines(texts))
+    line, mark = F.col("line"), F.substring("line", 1, 1)
+    is_file, is_hunk = line.startswith("diff --git "), line.rlike("^@@ ")
+    plain = ~is_file & ~is_hunk & (line != "")
+    counted = {"n_file": is_file, "n_hunk": is_hunk, "n_old": plain & (mark != "+"), "n_new": plain & (mark != "-")}
+    rows = rows.withColumns({n: F.sum(c.cast("bigint")).over(inside()) for n, c in counted.items()})
+    start = lambda g: F.regexp_extract("line", _HUNK, g).try_cast("int")
+    named = lambda g: F.regexp_extract("line", r"^diff --git a/(.*) b/(.*)$", g)
+
+    def last(condition: Column, *values: Column | str) -> Column:
+        return F.last(F.when(condition, F.struct(*values)), True).over(inside())
+
+    rows = rows.withColumns({"file": last(is_file, "n_hunk", named(1).alias("old"), named(2).alias("new")), "hunk": last(is_hunk, *counted, start(1).alias("old"), start(3).alias("new"))})
+    in_hunk = F.coalesce(F.col("hunk.n_file") == F.col("n_file"), F.lit(False))
+    known = F.col("file").isNotNull().alias("known")
+    rows = rows.withColumns({k: last(line.startswith(m) & ~in_hunk, "n_file", known, F.substring("line", len(m) + 1, 1 << 30).alias("path")) for k, m in (("old", "--- a/"), ("new", "+++ b/"))})
+
+    # a row a part: what it ends with, and what those before it end with
+    ends = rows.groupBy("path", "part").agg(F.max_by(F.struct(*counted, "file", "hunk", "old", "new"), "row").alias("x")).select("path", "part", "x.*")
+    ends = ends.withColumns({f"_{n}": F.coalesce(F.sum(n).over(parts_before()), F.lit(0)) for n in counted})
+    shifted = lambda s, c, *kept: F.when(F.col(s).isNotNull(), F.struct(*[(F.col(f"{s}.{n}") + F.col(f"_{n}")).alias(n) for n in c], *[F.col(f"{s}.{k}").alias(k) for k in kept]))
+    marks = {"file": shifted("file", ["n_hunk"], "old", "new"), "hunk": shifted("hunk", counted, "old", "new")}
+    ends = ends.withColumns({f"_{k}": F.last(v, True).over(parts_before()) for k, v in marks.items()})
+    opened = F.coalesce(F.col("_hunk.n_file") == F.col("_n_file"), F.lit(False))  # the part starts inside a hunk
+    paths = {k: F.when(F.col(f"{k}.known") | ~opened, shifted(k, ["n_file"], "path")) for k in ("old", "new")}
+    ends = ends.withColumns({f"_{k}": F.last(v, True).over(parts_before()) for k, v in paths.items()})
+
+    rows = rows.join(ends.select("path", "part", *[f"_{n}" for n in (*counted, "file", "hunk", "old", "new")]), ["path", "part"])
+    rows = rows.withColumns({k: F.coalesce(v, F.col(f"_{k}")) for k, v in (marks | paths).items()}).withColumns({n: F.col(n) + F.col(f"_{n}") for n in counted})
+    content = rows.where(plain & (F.col("hunk.n_file") == F.col("n_file")) & (F.col("n_file") > 0))
     kind = F.when(mark == "+", "added").when(mark == "-", "deleted").otherwise("context")
-    before = in_hunk.rowsBetween(Window.unboundedPreceding, -1)
-    content = content.withColumn("type", kind)
-    old_no = F.col("old_start") + F.coalesce(F.sum((F.col("type") != "added").cast("int")).over(before), F.lit(0))
-    new_no = F.col("new_start") + F.coalesce(F.sum((F.col("type") != "deleted").cast("int")).over(before), F.lit(0))
-    text = F.when(mark.isin("+", "-", " "), F.substring("line", 2, 1 << 30)).otherwise(F.col("line"))
-    out = content.select("path", F.col("new_path").alias("file"), "old_path", F.col("hunk").cast("int").alias("hunk"), "pos", "type", text.alias("content"),
-                         F.when(F.col("type") != "added", old_no).otherwise(0).cast("int").alias("old_no"), F.when(F.col("type") != "deleted", new_no).otherwise(0).cast("int").alias("new_no"))
-    return out
+    number = lambda k, other: F.when(kind != other, F.col(f"hunk.{k}") + F.col(f"n_{k}") - 1 - F.col(f"hunk.n_{k}")).otherwise(0).cast("int")
+    path = lambda k: F.when(F.col(f"{k}.n_file") == F.col("n_file"), F.col(f"{k}.path")).otherwise(F.col(f"file.{k}"))
+    text = F.when(mark.isin("+", "-", " "), F.substring("line", 2, 1 << 30)).otherwise(line)
+    return content.select("path", path("new").alias("file"), path("old").alias("old_path"), (F.col("hunk.n_hunk") - F.col("file.n_hunk")).cast("int").alias("hunk"), "pos", kind.alias("type"), text.alias("content"),
+                          number("old", "added").alias("old_no"), number("new", "deleted").alias("new_no"))
 
 
 def hunks(texts: DataFrame) -> DataFrame:
-    """(path, pos, old_start, old_count, new_start, new_count, header) of every well-formed hunk header."""
-    rows = lines(texts).where(F.col("line").rlike(_HUNK))
+    """(path, pos, old_start, old_count, new_start, new_count, header) of every well-formed hunk header, of texts or of read_lines."""
+    rows = ordered(texts if "line" in texts.columns else lines(texts)).where(F.col("line").rlike(_HUNK))
     at = lambda g: F.regexp_extract("line", _HUNK, g)
     return rows.select("path", "pos", at(1).try_cast("int").alias("old_start"), _count(at(2)).alias("old_count"), at(3).try_cast("int").alias("new_start"), _count(at(4)).alias("new_count"), F.trim(at(5)).alias("header"))
 
