@@ -25,7 +25,6 @@ none, are told apart by numbers of their own; empty tables give no rows; extra c
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -35,13 +34,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, linking
+from . import common, frequency, linking
 
 #: Words of a shingle and the similarity in hundredths, where no contract says otherwise.
 WORDS, PERCENT = 5, 80
-#: Bytes of text for each counter of the frequency sketch, of which there are MAX_CELLS at most; the broadcast is one byte for
-#: each, and a task's counters are four.
-BYTES_A_CELL, MAX_CELLS, CHUNK = 64, 1 << 25, 1 << 18
+#: Bytes of text for each counter of the frequency sketch.
+BYTES_A_CELL = 64
 #: A token counted over 2^HOT_LEVEL times more than the mean is dealt to parts of about that size.
 HOT_LEVEL = 14
 #: Different sets that a map task remembers, so that it gives out a repeated set's tokens once.
@@ -66,68 +64,12 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sketch(spark: SparkSession, docs: DataFrame, k: int, cells: int) -> np.ndarray:
-    """log2 of the count of tokens in each cell over the mean of cells, rounded up, over all documents."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(cells, np.uint32)
-        for batch in batches:
-            for text in batch.column(0):
-                np.add.at(sums, _cells(tokens(text.as_py(), k), cells), np.uint32(1))
-        yield from chunks({i: sums[i * CHUNK : (i + 1) * CHUNK] for i in range(-(-cells // CHUNK))})
-
-    def chunks(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for i, part in sorted(parts.items()):
-            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = _unpacked(blob.as_py())
-                sums[i] = part + sums[i] if i in sums else part
-        yield from chunks(sums)
-
-    schema = "chunk int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema)
-    rows = parts.repartition("chunk").mapInArrow(add, schema).collect()  # `cells` counters in all
-    out, unpacked = np.zeros(cells, np.uint8), [(r["chunk"] * CHUNK, _unpacked(bytes(r["counts"]))) for r in rows]
-    mean = sum(float(counts.sum()) for _, counts in unpacked) / cells
-    for at, counts in unpacked:
-        out[at : at + len(counts)] = np.ceil(np.log2(np.maximum(counts - np.floor(mean), 1)))
-    return out
-
-
 def prefix(found: np.ndarray, levels: np.ndarray, size: int, order: int) -> np.ndarray:
     """Places of a set's first tokens under one of the three orders: rare tokens first, then by the order's own hash."""
     own = found if order == 0 else common.mix64(found ^ _ORDERS[order - 1])
     return np.argpartition(levels.astype(np.uint64) << np.uint64(56) | own >> np.uint64(8), size - 1)[:size]
 
 
-def _levels(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    return levels[_cells(found, len(levels))]
-
-
-def _packed(counts: np.ndarray) -> bytes:
-    """Length, a bit for each counter that is not 0, and these less one, all low bytes first: most are 0 or 1."""
-    some = counts > 0
-    rest = np.minimum(counts[some] - 1, 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return len(counts).to_bytes(4, "little") + zlib.compress(np.packbits(some).tobytes() + rest.tobytes(), 1)
-
-
-def _unpacked(blob: bytes) -> np.ndarray:
-    size, raw = int.from_bytes(blob[:4], "little"), zlib.decompress(blob[4:])
-    bits = -(-size // 8)
-    out = np.zeros(size, np.uint64)
-    rest = np.ascontiguousarray(np.frombuffer(raw[bits:], np.uint8).reshape(4, -1).T).view("<u4").ravel()
-    out[np.unpackbits(np.frombuffer(raw[:bits], np.uint8), count=size).astype(bool)] = rest.astype(np.uint64) + np.uint64(1)
-    return out
-
-
-def _cells(found: np.ndarray, cells: int) -> np.ndarray:
-    """Cell of each token: its upper 32 bits scaled to the number of cells."""
-    return ((found >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
-
-
 def _signatures(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
     """Per row (uid, text): uid, node, n, and where the task meets the set first its prefix under the first order with its
     tokens' levels."""
@@ -149,7 +91,7 @@ def _signatures(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
                     seen[node] = None
                     if len(seen) > REMEMBERED:
                         seen.popitem(last=False)
-                    level = _levels(found, levels.value)
+                    level = frequency.levels_of(found, levels.value)
                     first = prefix(found, level, prefix_size(n, percent), 0)
                     a.append(found[first].view(np.int64))
                     hot.append(level[first].view(np.int8))
@@ -176,7 +118,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int, percent: int, levels) ->
                     found = tokens(text, k)
                     nodes.append(node)
                     texts.append(text)
-                    level, p = _levels(found, levels.value), prefix_size(len(found), percent)
+                    level, p = frequency.levels_of(found, levels.value), prefix_size(len(found), percent)
                     for i in (0, 1):
                         size = p if i else min(len(found), 2 * p - 1)
                         own = common.mix64(found ^ _ORDERS[i])[prefix(found, level, size, i + 1)]
@@ -309,9 +251,8 @@ def _placed(rows: DataFrame, k: int, percent: int, cells: int | None = None) ->
     spark = common.bounded(rows).sparkSession
     docs = rows.select("uid", F.col("row.text").alias("text"))
     if cells is None:
-        wanted = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_CELL
-        cells = min(MAX_CELLS, (int(wanted) // CHUNK + 1) * CHUNK)
-    levels = spark.sparkContext.broadcast(_sketch(spark, docs, k, cells))
+        cells = frequency.cells_for(int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_CELL)
+    levels = spark.sparkContext.broadcast(frequency.sketch(spark, docs.select("text"), lambda text: tokens(text, k), cells))
     signatures, _ = common.stage(spark, _signatures(docs, k, percent, levels), "jaccard-signatures")
     tagged = signatures.where("a is not null").select("node", "n", F.explode(F.arrays_zip("a", "hot")).alias("t"))
     salts = F.when(F.col("t.hot") > HOT_LEVEL, F.expr(f"shiftleft(1, cast(t.hot AS int) - {HOT_LEVEL})")).otherwise(1)

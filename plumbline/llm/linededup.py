@@ -7,21 +7,24 @@ segments could be, for each such length and at the few places that matter, so ne
 verified by a banded bit-parallel edit distance; `linking` finds classes (chains of near-duplicates) without making all
 pairs of a bucket. Of each class the first line stays: smallest doc_id, then first in the input, then first in the text.
 
-Where a segment is common (the time stamp of a log, a form's heading) and its lines are of many classes, the bucket is split
-by the same rule once more: without the common segment, what is left of two near-duplicates is within the distance too, so it
-has a segment in common as well, and the lines meet under both. That repeats, up to ROUNDS times, while buckets are large;
-what is still together then differs in little, and is compared in blocks behind a filter of character counts.
+Where a segment is common (the time stamp of a log, a form's heading and its end) and its lines are of many classes, all lines
+of such buckets, each once, are entered again under the rarest of their grams: an edit touches at most q grams of q characters,
+so of the q*EDITS+1 that are rarest, by a count over these lines, two near-duplicates share one. What common segments have in
+common is not rare. Buckets of few classes, and those of grams that are common all the same, are compared in blocks behind a
+filter of character counts.
 
 Defined cases: null and empty texts have no lines to remove; lines of ASCII white space only always stay; lengths count
 code points; very long lines are compared whole, in steps in proportion to their length; null ids come last; doc_id may be of
 any type that can be ordered; rows with one doc_id, repeated ones too, are documents of their own, in the order in which the
 input is read; empty tables give no rows; extra columns, whatever their names, are ignored by `summarise`, kept by `remove`.
-Lines are told apart by 64-bit hashes.
+Equal lines are told by 128-bit names,
+of which `linking` uses the first half.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -30,18 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import linking, common
+from . import common, frequency, linking
 
 #: Largest edit distance of near-duplicates, and the length from which lines can be near-duplicates without being equal.
 EDITS, MIN_CHARS = 2, 20
+_HALVES = struct.Struct("<qq")
 #: Different lines that a map task remembers, so that it enters a repeated line once.
 REMEMBERED = 400_000
-#: How often, at most, a bucket with many classes is split by a further segment; and characters compared in one step.
-ROUNDS, STEP = 3, 1024
+#: Lines outside a bucket's main class from which its lines are told apart by grams; and characters compared in one step.
+CROWD, STEP = 64, 1024
 
 
-def line_hash(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def line_name(line: str) -> tuple[int, int]:
+    """128 bits that name a line, in two halves: its node and a second name."""
+    return _HALVES.unpack(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest())
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -202,7 +207,7 @@ def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 for line in lines_of(text.as_py()):
                     if len(line) < min_chars or is_blank(line):
                         continue
-                    node = line_hash(line)
+                    node, _ = line_name(line)
                     if node in seen:
                         continue
                     seen[node] = None
@@ -218,26 +223,29 @@ def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
 
 
 def _lines(docs: DataFrame, wanted) -> DataFrame:
-    """(node, line), repeated lines once for each task, without most of those that are not wanted."""
+    """(node, name, line), repeated lines once for each task, without most of those that are not wanted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, None] = OrderedDict()
         for whole in batches:
             for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                nodes, lines = [], []
+                nodes, names, lines = [], [], []
                 for text in batch.column(0):
                     for line in lines_of(text.as_py()):
-                        if is_blank(line) or (node := line_hash(line)) in seen:
+                        if is_blank(line):
+                            continue
+                        node, name = line_name(line)
+                        if node in seen:
                             continue
                         seen[node] = None
                         if len(seen) > REMEMBERED:
                             seen.popitem(last=False)
                         nodes.append(node)
+                        names.append(name)
                         lines.append(line)
-                nodes, lines = np.array(nodes, np.int64), pa.array(lines, pa.string())
-                keep = common.may_hold(wanted.value, nodes)
-                yield pa.record_batch([pa.array(nodes[keep]), lines.filter(pa.array(keep))], names=["node", "line"])
+                found = pa.record_batch([pa.array(nodes, pa.int64()), pa.array(names, pa.int64()), pa.array(lines, pa.string())], names=["node", "name", "line"])
+                yield found.filter(pa.array(common.may_hold(wanted.value, np.array(nodes, np.int64))))
 
-    return docs.select("text").mapInArrow(run, "node bigint, line string")
+    return docs.select("text").mapInArrow(run, "node bigint, name bigint, line string")
 
 
 def _near(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -283,91 +291,96 @@ def matcher(edits: int):
     return of
 
 
-def _rests(large: DataFrame, texts: DataFrame, on: list[str], edits: int) -> DataFrame:
-    """linking.DEALT, line, parent of members of large buckets once more: under a segment of what is left without the bucket's.
+def gram_length(least: int, edits: int) -> int:
+    """Characters of a gram: of `least` characters' grams, edits must leave some untouched; six at most."""
+    return max(q for q in range(1, 7) if q == 1 or least - q + 1 > q * edits)
 
-    texts: `on`, line and parent; at first the whole line and 0, later what is left of it and the key of the bucket before.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        plan_of, digest, dealer, rests = _plans(edits), xxhash.xxh3_64_intdigest, Dealer(), []
+def grams(line: str, q: int) -> np.ndarray:
+    """Names of a line's grams; a gram that occurs again has another name, the same in every line."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    found = np.sort(common.window_hashes(common.mix64(codes + np.uint64(1)), q))
+    first = np.concatenate(([True], found[1:] != found[:-1]))
+    start = np.flatnonzero(first)
+    times = np.arange(len(found)) - np.repeat(start, np.diff(np.append(start, len(found))))
+    return common.mix64(found + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _gram_keys(lines: DataFrame, q: int, edits: int, levels) -> DataFrame:
+    """linking.DEALT of lines (node, line) under their q*edits+1 rarest grams: lines within the distance share one of these."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer()
 
         def flush() -> pa.RecordBatch:
-            line, parent = pa.array([x[0] for x in rests], pa.string()), pa.array([x[1] for x in rests], pa.int64())
-            of = pa.array(np.repeat(np.arange(len(rests)), dealer.counts))
-            rests.clear()
-            *dealt, row = dealer.deal()
-            of = of.take(pa.array(row))
-            return pa.record_batch([*map(pa.array, dealt), line.take(of), parent.take(of)], names=["part", "node", "size", "key", "line", "parent"])
+            return pa.record_batch([pa.array(c) for c in dealer.deal()[:4]], names=["part", "node", "size", "key"])
 
-        for whole in batches:
-            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                for key, node, line, parent in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                    name, seed = key % 2**64, parent % 2**64
-                    left = {line[:at] + line[at + size :] for i, other, at, size in plan_of(len(line)) if max(1, digest(line[at : at + size], seed ^ (other << 4 | i))) == name}
-                    for rest in left:
-                        dealer.add([digest(rest[at : at + size], name ^ (other << 4 | i)) for i, other, at, size in plan_of(len(rest))], node, len(rest))
-                        rests.append((rest, key))
+        for batch in batches:
+            for node, line in zip(batch.column(0).to_pylist(), batch.column(1)):
+                line = line.as_py()
+                found = grams(line, q)
+                size = min(len(found), q * edits + 1)
+                first = found[np.argpartition(frequency.levels_of(found, levels.value).astype(np.uint64) << np.uint64(56) | found >> np.uint64(8), size - 1)[:size]]
+                dealer.add(first.tolist(), node, len(line))
                 if dealer.full():
                     yield flush()
         if dealer.keys:
             yield flush()
 
-    rows = large.select("key", "node").join(texts, on).select("key", "node", "line", "parent")
-    return rows.mapInArrow(run, f"{linking.DEALT}, line string, parent bigint")
+    return lines.select("node", "line").mapInArrow(run, linking.DEALT)
 
 
 def near_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(node, comp) of lines with a near-duplicate. docs: text."""
-    spark = common.bounded(docs).sparkSession
+    """(node, name, comp) of lines with a near-duplicate. docs: text."""
+    spark, least = common.bounded(docs).sparkSession, max(min_chars, edits + 1)
 
     def compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.abs(a - b) <= edits
 
-    pairs, members, found_path = linking.first_round(spark, _keys(docs, edits, max(min_chars, edits + 1)), compatible)
+    pairs, members, found_path = linking.first_round(spark, _keys(docs, edits, least), compatible)
     nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).union(members.select("node")).distinct()
     lines, lines_path = common.stage(spark, _lines(docs, common.key_filter(nodes)).join(nodes, "node").dropDuplicates(["node"]), "line-texts")
     links, links_path = common.stage(spark, _near(pairs, lines, edits), "links")
     comps, comps_paths = linking.components_of(spark, links)
-    paths = [found_path, lines_path, links_path]
     rest, path = common.stage(spark, linking.open_members(members, comps), "open")
-    paths.append(path)
-    texts, on, whole = lines.withColumn("parent", F.lit(0).cast("bigint")), ["node"], []
-    for _ in range(ROUNDS):
-        large = rest.groupBy("key").agg(F.count_if(F.col("comp") != F.col("main")).alias("outside")).where(F.col("outside") > linking.OUTSIDERS).select("key")
-        if large.isEmpty():
-            break
-        whole.append(rest.join(large, "key", "left_anti"))
-        split, split_path = common.stage(spark, _rests(rest.join(large, "key"), texts, on, edits), "rests")
-        pairs, members, found_path = linking.first_round(spark, split.select("part", "node", "size", "key"), compatible)
-        comps, comps_paths = linking.join_components(spark, comps, comps_paths, _near(pairs, lines, edits))
-        rest, path = common.stage(spark, linking.open_members(members, comps), "open")
-        paths += [split_path, found_path, path]
-        texts, on = split.select(F.when(F.col("key") == 0, F.col("part")).otherwise(F.col("key")).alias("key"), "node", "line", "parent").distinct(), ["key", "node"]
-    for more in whole:
-        rest = rest.unionByName(more)
-    comps, _ = linking.join_components(spark, comps, comps_paths, linking.against_outsiders(rest, lines, ["node"], matcher(edits)))
-    common.drop(spark, *paths)
-    return comps
+    paths = [found_path, lines_path, links_path, path]
+    crowded = rest.groupBy("key").agg(F.count_if(F.col("comp") != F.col("main")).alias("outside")).where(F.col("outside") > CROWD).select("key")
+    if not crowded.isEmpty():
+        few = rest.join(crowded, "key", "left_anti")
+        # each line once, however many common segments it has
+        apart = rest.join(crowded, "key").select("node").distinct()
+        own, own_path = common.stage(spark, lines.join(apart.hint("merge"), "node"), "crowded-lines")
+        q = gram_length(least, edits)
+        levels = spark.sparkContext.broadcast(frequency.sketch(spark, own.select("line"), lambda line: grams(line, q), frequency.cells_for(own.count() * 32)))
+        pairs, members, found_path = linking.first_round(spark, _gram_keys(own, q, edits, levels), compatible)
+        comps, comps_paths = linking.join_components(spark, comps, comps_paths, _near(pairs, own, edits))
+        more, path = common.stage(spark, linking.open_members(members, comps), "open")
+        paths += [own_path, found_path, path]
+        rest = few.unionByName(more)
+    comps, comps_paths = linking.join_components(spark, comps, comps_paths, linking.against_outsiders(rest, lines.select("node", "line"), ["node"], matcher(edits)))
+    named, _ = common.stage(spark, comps.join(lines.select("node", "name"), "node").select("node", "name", "comp"), "classes")
+    common.drop(spark, *paths, *comps_paths)
+    return named
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """(doc, uid, pos, node) of every line that is not blank. rows: doc, uid, text."""
+    """(doc, uid, pos, node, name) of every line that is not blank. rows: doc, uid, text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
-                docs, uids, places, nodes = [], [], [], []
+                docs, uids, places, nodes, names = [], [], [], [], []
                 for doc, uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                     for i, line in enumerate(lines_of(text.as_py())):
                         if not is_blank(line):
                             docs.append(doc)
                             uids.append(uid)
                             places.append(i)
-                            nodes.append(line_hash(line))
-                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(uids, pa.int64()), pa.array(places, pa.int32()), pa.array(nodes, pa.int64())], names=["doc", "uid", "pos", "node"])
+                            node, name = line_name(line)
+                            nodes.append(node)
+                            names.append(name)
+                columns = [pa.array(x, t) for x, t in ((docs, pa.int64()), (uids, pa.int64()), (places, pa.int32()), (nodes, pa.int64()), (names, pa.int64()))]
+                yield pa.record_batch(columns, names=["doc", "uid", "pos", "node", "name"])
 
-    return rows.mapInArrow(run, "doc bigint, uid bigint, pos int, node bigint")
+    return rows.mapInArrow(run, "doc bigint, uid bigint, pos int, node bigint, name bigint")
 
 
 def _removed(rows: DataFrame, edits: int, min_chars: int) -> DataFrame:
@@ -376,11 +389,12 @@ def _removed(rows: DataFrame, edits: int, min_chars: int) -> DataFrame:
     texts = rows.select("doc", "uid", F.col("row.text").alias("text"))
     classes = near_classes(texts.select("text"), edits, min_chars)
     # what these joins add to a document or line grows with the input: one plan at every size, without broadcasts
-    named = _occurrences(texts).join(classes.hint("merge"), "node", "left").select("doc", "uid", "pos", F.coalesce("comp", "node").alias("comp"))
+    # lines without a near-duplicate are told apart by both halves of their names
+    named = _occurrences(texts).join(classes.hint("merge"), ["node", "name"], "left").select("doc", "uid", "pos", F.coalesce("comp", "node").alias("comp"), F.when(F.col("comp").isNull(), F.col("name")).alias("alone"))
     named, named_path = common.stage(spark, named, "lines")
     place = F.struct("doc", "uid", "pos")
-    first, first_path = common.stage(spark, named.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first"), "firsts")
-    later = named.join(first.hint("merge"), "comp").where(place != F.col("first"))
+    first, first_path = common.stage(spark, named.groupBy("comp", "alone").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", F.col("alone").alias("other"), "first"), "firsts")
+    later = named.join(first.hint("merge"), "comp").where(F.col("alone").eqNullSafe(F.col("other")) & (place != F.col("first")))
     gone, _ = common.stage(spark, later.groupBy("uid").agg(F.collect_set("pos").alias("gone")), "lines-gone")
     common.drop(spark, named_path, first_path)
     return gone

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import chatformat, common, decontaminate, exactdedup, jaccard, linededup, linking, quality, queries, sentencepiece_codec, sharding, substring, urlfilter
+from plumbline.llm import chatformat, common, decontaminate, exactdedup, frequency, jaccard, linededup, linking, quality, queries, sentencepiece_codec, sharding, substring, urlfilter
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -219,8 +219,10 @@ def brute_lines(docs, edits, least):
     return out
 
 
-def test_line_dedup(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_line_dedup(spark, monkeypatch, crowd):
     monkeypatch.setattr(linking, "OUTSIDERS", 3)
+    monkeypatch.setattr(linededup, "CROWD", crowd)
     r = random.Random(7)
     base = ["".join(r.choices("abc ", k=r.randint(8, 14))) for _ in range(12)] + ["short", "x", " ", ""]
     docs = []
@@ -241,6 +243,50 @@ def test_line_dedup(spark, monkeypatch):
     assert linededup.summarise(docs_of(spark, docs).limit(0)).count() == 0
 
 
+def test_grams_of_near_lines_meet():
+    """Of two lines within the distance, one of the rarest grams is the same, whatever the order of grams."""
+    r = random.Random(3)
+    for least, edits in ((20, 2), (8, 2), (5, 1), (4, 3)):
+        q = linededup.gram_length(least, edits)
+        assert q == 1 or least - q + 1 > q * edits
+        for _ in range(300):
+            a = "".join(r.choices("ab", k=r.randint(least, least + 9)))
+            b = list(a)
+            for _ in range(edits):
+                i = r.randrange(len(b))
+                b[i : i + 1] = r.choice([[], [b[i], "c"], ["a"]])
+            b = "".join(b)
+            if len(b) < least:
+                continue
+            levels = np.array([r.randrange(5) for _ in range(64)], np.uint8)
+            first = []
+            for line in (a, b):
+                found = linededup.grams(line, q)
+                assert len(set(found.tolist())) == len(found) == len(line) - q + 1
+                order = frequency.levels_of(found, levels).astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
+                first.append(set(found[np.argsort(order)[: q * edits + 1]].tolist()))
+            assert first[0] & first[1]
+
+
+@pytest.mark.parametrize("shape", ["head {} and the same tail of every line", "first part {0} second part of it {1} third part", "2024-01-01T00:00:00 {} INFO"])
+def test_lines_with_common_parts(spark, shape):
+    """Common text before, between and after what differs, with near copies among them."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("0123456789abcdef", k=12))
+    lines = [shape.format(word(), word()) for _ in range(90)]
+    near = [x.replace("a", "b", 1) for x in lines[:15]] + [x + "!" for x in lines[40:50]]
+    docs = [(i, "\n".join(x)) for i, x in enumerate(itertools.batched(lines + near, 7))]
+    got = {x.doc_id: (x.n_lines, x.n_removed, x.kept_sha256) for x in linededup.summarise(docs_of(spark, docs)).collect()}
+    assert got == brute_lines(docs, linededup.EDITS, linededup.MIN_CHARS)
+
+
+def test_lines_whose_nodes_collide(spark):
+    """Lines with equal first halves of their names are told apart by the second ones."""
+    rows = spark.createDataFrame([(0, 0, "a"), (1, 1, "b"), (2, 2, "a")], "doc bigint, uid bigint, text string")
+    found = linededup._occurrences(rows).collect()
+    assert len({(x.node, x.name) for x in found}) == 2 and found[0].name != found[0].node
+
+
 # --- 4 URL filter ------------------------------------------------------------------------------------------------------
 
 
