@@ -73,20 +73,28 @@ def stage(spark: SparkSession, df: DataFrame, name: str, free: bool = True) -> t
     The table goes by drop(), by sweep() once no DataFrame can read it any more, or by release(), at the latest when the driver
     ends.
     """
-    path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    adopt(spark, path, out)
+    if free:
+        sweep(spark)
+    return out, path
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+
+
+def adopt(spark: SparkSession, path: str, read: DataFrame) -> None:
+    """Treat the table at path like a staged one, for as long as plans of `read`, which reads it, are there."""
     if not _staged:
         atexit.register(_at_end)
-    # the file index: every plan made from `out` holds this very object
-    index = out._jdf.queryExecution().analyzed().relation().location()
+    # the file index: every plan made from `read` holds this very object
+    index = read._jdf.queryExecution().analyzed().relation().location()
     _staged.setdefault(spark.sparkContext.applicationId, {})[path] = spark._jvm.java.lang.ref.WeakReference(index)
-    del index
     if (made := _making.get()) is not None:
         made.append(path)
-    if free:
-        sweep(spark)
-    return out, path
 
 
 def staged(spark: SparkSession) -> list[str]:
@@ -133,10 +141,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
     known = _staged.get(spark.sparkContext.applicationId, {})
     for p in paths:
         if known.pop(p, None) is not None:
-            _delete(spark, p)
+            remove(spark, p)
 
 
-def _delete(spark: SparkSession, where: str) -> None:
+def remove(spark: SparkSession, where: str) -> None:
+    """Delete a folder."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

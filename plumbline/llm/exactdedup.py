@@ -1,15 +1,20 @@
 """Exact dedup by an extendible-hash index on shared files.
 
-1. Map tasks normalise every text, hash it and write index segments to the shared folder. A text already met in the task,
-   byte for byte, is written as a reference to the first one, so a group with a third of all rows leaves each task as one
-   text; the task remembers at most LOCAL_BYTES of texts, which bounds memory and changes nothing else.
-2. Keys are counted by their first DEPTH bits and a directory is doubled until no bucket is overfull. A prefix that is overfull
-   at that depth splits on by as many of the next bits as its count asks for, which key and count tell anyone who places an
-   entry, so the driver's directory stays small and buckets do at any size of the input. Only keys are hashed into it;
-   repeated texts of one key cannot be split by doubling, and step 1 keeps those few.
-3. Owner tasks get ranges of whole buckets, that is of keys, in key order, chain entries whose 64-bit keys collide and compare
-   their bytes. A chain holds the different texts of one key.
-4. Group sizes and keepers are summed by chain and joined back to every row.
+1. Map tasks normalise every text, hash it and write segments to the shared folder. A text already met in the task, byte for
+   byte, is written as a reference to the first one, so a group with a third of all rows leaves each task as one text; the
+   task remembers at most LOCAL_BYTES of texts, which bounds memory and changes nothing else.
+2. The index is a folder: a directory, which says which prefixes of keys belong to which bucket, and a folder of files for each
+   bucket. It starts from one bucket and doubles until none is overfull by the counts of the new keys. A prefix that is overfull
+   at DEPTH bits is spread over more files by as many of the next bits as its count asks for, which key and count tell anyone
+   who places an entry, so the directory stays small and files do at any size of the input.
+3. Owner tasks get ranges of whole buckets, that is of keys, in key order, together with what those buckets hold already. They
+   chain entries whose 64-bit keys collide, compare their bytes, and write the new entries into their bucket's folder: a chain's
+   first one with its bytes, the others as references to it.
+4. Group sizes and keepers are summed by entry, then by chain. What goes to a chain's task is a row for each map task that met
+   the text, whatever the number of copies.
+
+An index that is kept (`Index`) takes further rows: only buckets that the new keys fall into are read. A bucket that is overfull
+after that splits on its next bit: its files alone are read again and written to two new folders, then the directory changes.
 
 Defined cases: null counts as the empty text; texts of any length are compared whole; of rows with equal text the one with the
 smallest doc_id, of any type that can be ordered, stays, null ids last, ties by place in the input (so of fully repeated rows
@@ -20,17 +25,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries in a bucket before it splits, and bits of a key that the driver's directory tells apart.
-CAPACITY, DEPTH = 256, 14
+#: Entries in a bucket before it splits, and bits of a key that the directory tells apart.
+CAPACITY, DEPTH = 4096, 14
 #: Bytes of texts that a map task remembers.
 LOCAL_BYTES = 48_000_000
 _SPACES = bytes.maketrans(common.SPACES, b" " * len(common.SPACES))
@@ -44,27 +51,36 @@ def normalise(text: str | None) -> bytes:
 
 def directory(counts: dict[int, int], depth: int, capacity: int) -> list[int]:
     """prefix of `depth` bits -> bucket, by doubling: a bucket over capacity splits on its next bit, lower half first."""
-    table, buckets, overfull = [0], [(0, sum(counts.values()))], [0]
-    total_depth = 0
+    return slots(split({0: (0, 1 << depth)}, counts, capacity), depth)
+
+
+def split(buckets: dict[int, tuple[int, int]], counts: dict[int, int], capacity: int) -> dict[int, tuple[int, int]]:
+    """Ranges of prefixes [low, high) by bucket, after those with more than capacity entries were halved until they fit or have
+    one prefix only. Halves get new numbers, so files of a bucket never change their meaning."""
+    out, new = dict(buckets), max(buckets) + 1
+    places = sorted(counts)
+    sums = [0, *accumulate(counts[p] for p in places)]
+    held = lambda low, high: sums[bisect_left(places, high)] - sums[bisect_left(places, low)]
+    overfull = [b for b, (low, high) in out.items() if held(low, high) > capacity]
     while overfull:
-        b = overfull.pop()
-        local, _ = buckets[b]
-        if local == depth:
+        low, high = out[b := overfull.pop()]
+        if high - low == 1:
             continue
-        if local == total_depth:  # double: every entry appears twice, in order
-            table, total_depth = [x for x in table for _ in (0, 1)], total_depth + 1
-        slots = [i for i, x in enumerate(table) if x == b]
-        upper = slots[len(slots) // 2 :]
-        new = len(buckets)
-        for i in upper:
-            table[i] = new
-        width = depth - total_depth
-        high = sum(counts.get(p, 0) for i in upper for p in range(i << width, (i + 1) << width))
-        low = buckets[b][1] - high
-        buckets[b] = (local + 1, low)
-        buckets.append((local + 1, high))
-        overfull += [x for x in (b, new) if buckets[x][1] > capacity]
-    return [x for x in table for _ in range(1 << (depth - total_depth))]
+        del out[b]
+        for half in ((low, (low + high) // 2), ((low + high) // 2, high)):
+            out[new] = half
+            if held(*half) > capacity:
+                overfull.append(new)
+            new += 1
+    return out
+
+
+def slots(buckets: dict[int, tuple[int, int]], depth: int) -> list[int]:
+    """The bucket of every prefix."""
+    out = [0] * (1 << depth)
+    for b, (low, high) in buckets.items():
+        out[low:high] = [b] * (high - low)
+    return out
 
 
 def deeper(count: int, capacity: int) -> int:
@@ -72,18 +88,21 @@ def deeper(count: int, capacity: int) -> int:
     return (-(-max(count, 1) // capacity) - 1).bit_length()
 
 
-def _place(counts: dict[int, int], depth: int, capacity: int) -> Column:
-    """struct(bucket, next bits) of `key`; it has the order of keys, read as numbers without sign."""
-    table = directory(counts, depth, capacity)
-    order = {b: i for i, b in enumerate(dict.fromkeys(table))}  # buckets are ranges of prefixes
+def _prefix(depth: int) -> Column:
+    return F.shiftrightunsigned("key", 64 - depth).cast("int")
+
 
-    def array(values: list[int]) -> Column:
-        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+def _array(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
-    prefix = F.shiftrightunsigned("key", 64 - depth).cast("int") + 1
-    bits = F.element_at(array([deeper(counts.get(p, 0), capacity) for p in range(1 << depth)]), prefix)
+
+def _place(table: list[int], counts: dict[int, int], depth: int, capacity: int) -> Column:
+    """struct(range, next bits) of `key`; it has the order of keys, read as numbers without sign, and keeps a bucket together."""
+    order = {b: i for i, b in enumerate(dict.fromkeys(table))}  # buckets are ranges of prefixes
+    prefix = _prefix(depth) + 1
+    bits = F.element_at(_array([deeper(counts.get(p, 0), capacity) for p in range(1 << depth)]), prefix)
     rest = F.shiftrightunsigned(F.shiftleft("key", depth), 1)  # the following bits, from the 63rd down
-    return F.struct(F.element_at(array([order[b] for b in table]), prefix).alias("bucket"), F.call_function("shiftright", rest, 63 - bits).alias("bits"))
+    return F.struct(F.element_at(_array([order[b] for b in table]), prefix).alias("bucket"), F.call_function("shiftright", rest, 63 - bits).alias("bits"))
 
 
 def _segments(rows: DataFrame) -> DataFrame:
@@ -117,24 +136,132 @@ def _segments(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(write, f"uid bigint, doc_id {kind.simpleString()}, key bigint, ref bigint, body binary, sha binary")
 
 
-def _owners(entries: DataFrame) -> DataFrame:
-    """(uid, chain) of entries that carry bytes, which arrive in key order."""
+_ENTRY = "key bigint, uid bigint, chain_run int, chain bigint, body binary"
+
+
+def _owners(entries: DataFrame, run: int) -> DataFrame:
+    """(bucket, run, _ENTRY) of the run's entries, which arrive in key order, those of earlier runs first.
+
+    entries: bucket, run, key, uid, body."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, chain = None, []
-        for batch in batches:
-            uids, chains = batch.column("uid").to_pylist(), []
-            for uid, key, body in zip(uids, batch.column("key").to_pylist(), batch.column("body")):
-                if key != current:
-                    current, chain = key, []
-                body = body.as_py()
-                first = next((u for b, u in chain if b == body), None)
-                if first is None:
-                    chain.append((body, uid))
-                    first = uid
-                chains.append(first)
-            yield pa.record_batch([pa.array(uids, pa.int64()), pa.array(chains, pa.int64())], names=["uid", "chain"])
-
-    return entries.mapInArrow(compare, "uid bigint, chain bigint")
+        for whole in batches:
+            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                out = []
+                for bucket, of, key, uid, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                    if key != current:
+                        current, chain = key, []
+                    first = next((c for b, c in chain if b == body), None)
+                    if first is None:
+                        chain.append((body, (of, uid)))
+                    if of == run:
+                        out.append((bucket, run, key, uid, *(first or (run, uid)), None if first else body))
+                columns = list(zip(*out)) or [()] * 7
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["bucket", "run", "key", "uid", "chain_run", "chain", "body"])
+
+    return entries.mapInArrow(compare, f"bucket int, run int, {_ENTRY}")
+
+
+class Index:
+    """An extendible-hash index of texts in a folder that driver and executors share.
+
+    <path>/directory/<n>: (bucket, low, high, runs), the ranges of prefixes; the one with the largest n counts.
+    <path>/buckets/bucket=<b>/run=<r>: the entries of a bucket, by the run that added them. <path>/sums/run=<r>: (chain, keeper, n).
+    One writer at a time; folders that the directory does not name are left over from a writer that was lost, and never read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, capacity: int | None = None, depth: int = DEPTH):
+        self.spark, self.path, self.capacity, self.depth = spark, path, CAPACITY if capacity is None else capacity, depth
+
+    def _fs(self, where: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{where}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _clear(self, pattern: str) -> None:
+        """Remove what a lost writer left."""
+        fs, path = self._fs(pattern)
+        for found in fs.globStatus(path) or ():
+            fs.delete(found.getPath(), True)
+
+    def directory(self) -> tuple[dict[int, tuple[int, int]], int]:
+        """Ranges of prefixes by bucket, and the number of runs so far; one bucket and none if there is no index yet."""
+        fs, path = self._fs("directory")
+        names = [int(s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else []
+        if not names:
+            return {0: (0, 1 << self.depth)}, 0
+        rows = self.spark.read.parquet(f"{self.path}/directory/{max(names)}").collect()  # at most 2^depth rows
+        return {r.bucket: (r.low, r.high) for r in rows}, rows[0].runs
+
+    def _save(self, buckets: dict[int, tuple[int, int]], runs: int) -> None:
+        fs, path = self._fs("directory")
+        n = 1 + max([int(s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else [-1])
+        rows = [(b, low, high, runs) for b, (low, high) in buckets.items()]
+        self.spark.createDataFrame(rows, "bucket int, low int, high int, runs int").coalesce(1).write.parquet(f"{self.path}/directory/{n}")
+
+    def entries(self, runs: int) -> DataFrame:
+        """bucket, run, _ENTRY of what finished runs wrote; a filter on bucket reads only that bucket's folder."""
+        rows = self.spark.read.schema(f"{_ENTRY}, bucket int, run int").parquet(f"{self.path}/buckets")
+        return rows.where(F.col("run") < runs)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Adds rows (uid, doc_id, text), read once, and returns of each: uid, doc_id, sha, and of its group with all earlier
+        runs: keeper (no_id, doc_id, run, uid), group_size, and `kept`, whether the row is the keeper."""
+        spark = common.bounded(rows).sparkSession
+        buckets, run = self.directory()
+        for left in (f"buckets/bucket=*/run={run}", f"sums/run={run}"):
+            self._clear(left)
+        found, _ = common.stage(spark, _segments(rows), "dedup-segments")
+        keyed = found.where("body is not null").select(F.lit(run).alias("run"), "key", "uid", "body")
+        counts = {r["p"]: r["n"] for r in keyed.groupBy(_prefix(self.depth).alias("p")).agg(F.count("*").alias("n")).collect()}  # at most 2^depth rows
+        if not run:
+            buckets = split(buckets, counts, self.capacity)
+        table = slots(buckets, self.depth)
+        if run:
+            touched = sorted({table[p] for p in counts})
+            keyed = keyed.unionByName(self.entries(run).where(F.col("bucket").isin(touched) & F.col("body").isNotNull()).select("run", "key", "uid", "body"))
+        place = _place(table, counts, self.depth, self.capacity)
+        owned = keyed.select(F.element_at(_array(table), _prefix(self.depth) + 1).alias("bucket"), "run", "key", "uid", "body", place.alias("place"))
+        owned = owned.repartitionByRange("place").sortWithinPartitions("place", "key", "run", "uid").drop("place")
+        _owners(owned, run).write.partitionBy("bucket", "run").mode("append").option("compression", "zstd").parquet(f"{self.path}/buckets")
+        # rows of one map task and text have one rep; only reps go on to their chain
+        members = found.select("uid", "doc_id", "sha", F.coalesce("ref", "uid").alias("rep"))
+        keeper = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", F.lit(run).alias("run"), "uid")
+        reps = members.groupBy("rep").agg(F.min(keeper).alias("keeper"), F.count("*").alias("n"))
+        chains = self.entries(run + 1).where(F.col("run") == run).select(F.col("uid").alias("rep"), F.struct("chain_run", "chain").alias("chain"))
+        reps, reps_path = common.stage(spark, reps.join(chains, "rep"), "dedup-reps")
+        own = reps.groupBy("chain").agg(F.min("keeper").alias("keeper"), F.sum("n").alias("n"))
+        own.write.option("compression", "zstd").parquet(f"{self.path}/sums/run={run}")
+        known = spark.read.schema(own.schema).parquet(*[f"{self.path}/sums/run={r}" for r in range(run + 1)])
+        sums = known.groupBy("chain").agg(F.min("keeper").alias("keeper"), F.sum("n").alias("group_size"))
+        judged, _ = common.stage(spark, reps.select("rep", "chain").join(sums, "chain").drop("chain"), "dedup-groups")
+        common.drop(spark, reps_path)
+        self._grow(buckets, run + 1, None if not run else set(touched))
+        is_keeper = (F.col("keeper.run") == run) & (F.col("keeper.uid") == F.col("uid"))
+        return members.join(judged, "rep").select("uid", "doc_id", "sha", "keeper", "group_size", is_keeper.alias("kept"))
+
+    def _grow(self, buckets: dict[int, tuple[int, int]], runs: int, touched: set[int] | None) -> None:
+        """Split the overfull among the touched buckets, whose files alone are read, and write the directory."""
+        if touched:
+            rows = self.entries(runs).where(F.col("bucket").isin(sorted(touched)))
+            sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > self.capacity).collect()  # at most 2^depth rows
+            over = [r.bucket for r in sizes if buckets[r.bucket][1] - buckets[r.bucket][0] > 1]
+            if over:
+                rows = self.entries(runs).where(F.col("bucket").isin(over))
+                counts = {r["p"]: r["n"] for r in rows.groupBy(_prefix(self.depth).alias("p")).agg(F.count("*").alias("n")).collect()}
+                newest = max(buckets)
+                buckets = split(buckets, counts, self.capacity)
+                table = slots(buckets, self.depth)
+                for b in buckets:
+                    if b > newest:
+                        self._clear(f"buckets/bucket={b}")
+                again = rows.withColumn("bucket", F.element_at(_array(table), _prefix(self.depth) + 1))
+                again.repartitionByRange("bucket", "key").write.partitionBy("bucket", "run").mode("append").option("compression", "zstd").parquet(f"{self.path}/buckets")
+                self._save(buckets, runs)
+                for b in over:
+                    self._clear(f"buckets/bucket={b}")
+                return
+        self._save(buckets, runs)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -143,20 +270,12 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """rows: uid, doc_id, text; read once."""
-    spark = common.bounded(rows).sparkSession
-    entries, _ = common.stage(spark, _segments(rows), "dedup-segments")
-    keyed = entries.where("body is not null")
-    prefix = F.shiftrightunsigned("key", 64 - DEPTH).cast("int")
-    counts = {r["p"]: r["n"] for r in keyed.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}  # at most 2^DEPTH rows
-    placed = keyed.select("uid", "key", "body", _place(counts, DEPTH, CAPACITY).alias("place"))
-    owned = placed.repartitionByRange("place").sortWithinPartitions("place", "key", "uid").select("uid", "key", "body")
-    chains, _ = common.stage(spark, _owners(owned), "dedup-chains")
-    members = entries.select("uid", "doc_id", "sha", F.coalesce("ref", "uid").alias("rep")).join(chains.withColumnRenamed("uid", "rep"), "rep")
-    keeper = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "uid")).alias("keeper")
-    sums, _ = common.stage(spark, members.groupBy("chain").agg(keeper, F.count("*").alias("group_size")), "dedup-groups")
-    return members.join(sums, "chain").select(
-        "uid", "doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keeper.uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    """rows: uid, doc_id, text; read once. The index is made for this call and goes with its staged tables."""
+    path = common.new_path(rows.sparkSession, "dedup-index")
+    index = Index(rows.sparkSession, path)
+    out = index.add(rows)
+    common.remove(rows.sparkSession, path)  # what the result reads has been taken out of it
+    return out.select("uid", "doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -321,6 +321,28 @@ def test_url_many_rules_equal_few(spark, monkeypatch):
     assert sorted(map(tuple, urlfilter.filter_urls(pages, outcomes, table).collect()), key=str) == few
 
 
+def test_url_heavy_hosts_equal_others(spark, monkeypatch):
+    """A host with a third of all pages is broadcast, with the bounds that a join gives."""
+    r = random.Random(5)
+    urls = ["http://hot.net/x"] * 60 + [f"http://{r.choice('abcdefg')}.com/{i}" for i in range(90)] + ["http://x.org/1"] * 20
+    pages = spark.createDataFrame([(i // 2, u, 0.0) for i, u in enumerate(urls)], "page_id bigint, url string, bound double")
+    outcomes = spark.createDataFrame([(i, r.randrange(2)) for i in range(60)], "page_id bigint, good int")
+    out = []
+    for heavy in (10**9, 10, 1):
+        monkeypatch.setattr(urlfilter, "HEAVY", heavy)
+        out.append(sorted(map(tuple, urlfilter.filter_urls(pages, outcomes, [("allow", "org", "/")]).collect()), key=str))
+    assert out[0] == out[1] == out[2] and len(out[0]) == len(urls) and all((x[3] is None) == (x[5] is not None) for x in out[0])
+
+
+def test_url_users_ports_and_addresses(spark):
+    urls = ["http://u@a.net:80/x", "http://a.net/", "http://192.168.0.1/", "http://10.7.0.1:8080/", "http://[::1]:9/", "http://b.a.net:/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {x.page_id: x for x in urlfilter.filter_urls(pages, spark.createDataFrame([(1, 1), (3, 0)], "page_id bigint, good int"), []).collect()}
+    assert got[0].host == "u@a.net:80" and got[0].bound == got[1].bound > got[5].bound > got[2].bound > got[3].bound
+    d = spark.createDataFrame([("192.168.0.1",), ("[::1]",), ("0.1",)], "host string").select("host", urlfilter.domain_of(F.col("host")).alias("domain"))
+    assert [(x.domain, x.s) for x in d.select("domain", urlfilter.suffix_of(F.col("domain")).alias("s")).collect()] == [("192.168.0.1", "192.168.0.1"), ("[::1]", "[::1]"), ("0.1", "1")]
+
+
 def test_public_suffixes(spark):
     hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.blog.net",), ("x.net",), ("nowhere",), ("",)], "host string")
     suffixes = spark.createDataFrame([("uk",), ("co.uk",), ("blog.net",)], "suffix string")
@@ -481,7 +503,7 @@ def test_places_are_key_ranges_that_deepen(spark):
     counts: dict[int, int] = {}
     for k in keys:
         counts[k % 2**64 >> 60] = counts.get(k % 2**64 >> 60, 0) + 1
-    df = spark.createDataFrame([(k,) for k in keys], "key bigint").select("key", exactdedup._place(counts, 4, 16).alias("p"))
+    df = spark.createDataFrame([(k,) for k in keys], "key bigint").select("key", exactdedup._place(exactdedup.directory(counts, 4, 16), counts, 4, 16).alias("p"))
     got = sorted((x.key % 2**64, (x.p.bucket, x.p.bits)) for x in df.collect())
     places = [p for _, p in got]
     assert places == sorted(places) and max(places.count(p) for p in set(places)) < 50
@@ -509,6 +531,30 @@ def test_exact_dedup(spark, monkeypatch, local):
     assert exactdedup.groups(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_index_takes_more_rows(spark, tmp_path):
+    """Batches added one by one give what one batch of all gives; buckets split on files, and only touched ones are read."""
+    rows = [(i, t) for i, t in enumerate(["same"] * 30 + [f"text {i % 90}" for i in range(300)])]
+    random.Random(4).shuffle(rows)
+    index, seen = exactdedup.Index(spark, str(tmp_path / "index"), capacity=8, depth=6), {}
+    buckets = []
+    for batch in (rows[:20], rows[20:60], rows[60:200], rows[200:201], [], rows[201:]):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(batch)], "uid bigint, doc_id bigint, text string").repartition(3)
+        before = dict(seen)
+        for i, t in batch:
+            n, least = seen.get(t, (0, i))
+            seen[t] = (n + 1, min(least, i))
+        for r in index.add(df).collect():
+            t = dict(rows)[r.doc_id]
+            assert (r.group_size, r.keeper.doc_id) == seen[t] and r.kept == (seen[t][1] == r.doc_id and (t not in before or before[t][1] != r.doc_id))
+        buckets.append(len(index.directory()[0]))
+    assert buckets[0] < buckets[1] < buckets[2] <= buckets[-1] and index.directory()[1] == 6
+    ranges = sorted(index.directory()[0].values())
+    assert ranges[0][0] == 0 and ranges[-1][1] == 64 and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+    held = index.entries(6).groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in held) >= len(seen) and {r.bucket for r in held} <= set(index.directory()[0])
+    assert {int(p.name.split("=")[1]) for p in (tmp_path / "index/buckets").glob("bucket=*")} <= set(index.directory()[0])
+
+
 # --- 7 chat formatting -------------------------------------------------------------------------------------------------
 
 
@@ -570,6 +616,16 @@ def test_jaccard(spark, monkeypatch, k, percent, outsiders, hot):
     assert sorted(map(tuple, got.collect())) == brute_components(rows, k, percent)
 
 
+def test_sets_that_share_a_name_fail(spark, monkeypatch):
+    """Two sets under one 64-bit name are noticed by the second one, not taken for one set."""
+    docs = docs_of(spark, [(1, "a b c d e"), (2, "f g h i j")])
+    rows, _ = common.numbered(docs, ["doc_id", "text"])
+    made = jaccard._signatures
+    monkeypatch.setattr(jaccard, "_signatures", lambda *a: made(*a).withColumn("node", F.lit(5).cast("bigint")))
+    with pytest.raises(Exception, match="share a 64-bit name"):
+        jaccard._placed(rows, 5, 80, 1 << 16).collect()
+
+
 def test_jaccard_cases(spark):
     rows = [(5, "a b c d e f"), (None, "A b  c d e f"), (7, "a b c d e f"), (7, "other words in this row here"), (8, None)]
     got = sorted(map(tuple, jaccard.groups(docs_of(spark, rows), 5, 80, cells=1 << 16).collect()), key=str)
