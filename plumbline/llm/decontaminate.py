@@ -8,7 +8,8 @@ window is hit.
    size is bounded whatever the benchmark's (MAX_BITS, 128 MB; a small benchmark's is 128 KB), so any benchmark takes one scan.
 2. Each document's windows are looked up in the set where the text is read. A window that may be in it leaves the scan with its
    words, once for a document, its places merged.
-3. These are verified word by word: a join on hash and words keeps what the benchmark has, and another names its items.
+3. These are verified word by word: a join on hash and words keeps what the benchmark has, and another names its items. The
+   benchmark's side is there once for each of PARTS, and candidates are dealt to these by their row.
 
 Defined cases: null and empty texts have no words and are never contaminated; texts and items of any length are scanned whole;
 null items and items without words have no window; items with one id count once, a null id as the empty string; documents that
@@ -31,6 +32,8 @@ from . import common
 N, SHARE = 13, 20
 #: Bits of the broadcast set for each test n-gram, and in all.
 BITS_A_GRAM, MAX_BITS = 64, 1 << 30
+#: Parts that the candidates of each n-gram are dealt to, so that a passage of a third of all documents is no one task's.
+PARTS = 16
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _TABLE = bytes(c if c >= 0x80 or c in _KEPT else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _RUNS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
@@ -110,9 +113,10 @@ def _judged(rows: DataFrame, benchmark: DataFrame, n: int, share: int) -> DataFr
     sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # n of them at most
     known = common.key_filter(grams.select("h").distinct(), BITS_A_GRAM, MAX_BITS)
     scanned, _ = common.stage(spark, _scanned(rows.select("uid", F.col("row.text").alias("text")), sizes, known), "scanned")
-    hits = scanned.where("h is not null").select("uid", "h", "gram", "runs").join(grams.select("h", "gram").distinct(), ["h", "gram"], "left_semi")
+    own, every = F.pmod("uid", F.lit(PARTS)).alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))).alias("part")
+    hits = scanned.where("h is not null").select("uid", "h", "gram", "runs", own).join(grams.select("h", "gram").distinct().select("h", "gram", every), ["h", "gram", "part"], "left_semi")
     runs = hits.groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
-    items = hits.select("uid", "h", "gram").join(grams.select("h", "gram", "item").distinct(), ["h", "gram"]).select("uid", "item").distinct()
+    items = hits.select("uid", "h", "gram", "part").join(grams.select("h", "gram", "item").distinct().select("h", "gram", "item", every), ["h", "gram", "part"]).select("uid", "item").distinct()
     items = items.groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
     out = scanned.where("h is null").select("uid", "n_words").join(runs, "uid", "left").join(items, "uid", "left")
     out = out.withColumn("runs", _merged_runs(F.coalesce("runs", _none("struct<s:bigint,e:bigint>")))).withColumn("items", F.coalesce("items", _none("string")))
