@@ -19,12 +19,14 @@ Defined cases: null and empty texts have an empty set and are linked with nothin
 documents with equal sets are one component; a component is named by its smallest doc_id, of any type that can be ordered; a
 null doc_id never names a component that has another id; repeated rows each give a row; rows that share a doc_id, or have
 none, are told apart by numbers of their own; empty tables give no rows; extra columns, whatever their names, are ignored by
-`groups` and kept by `deduplicate`. Sets are compared as sets of 64-bit hashes.
+`groups` and kept by `deduplicate`. Sets are compared as sets of 64-bit hashes; if
+two different ones had the same 64-bit name the job would fail instead of taking them for one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -44,6 +46,7 @@ BYTES_A_CELL = 64
 HOT_LEVEL = 14
 #: Different sets that a map task remembers, so that it gives out a repeated set's tokens once.
 REMEMBERED = 500_000
+_HALVES = struct.Struct("<qq")
 _ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A5A5A55A5A5A5B))
 
 
@@ -55,9 +58,9 @@ def tokens(text: str | None, k: int) -> np.ndarray:
     return np.unique(common.window_hashes(words, min(k, len(words))))
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def names_of(tokens: np.ndarray) -> tuple[int, int]:
+    """A set's 64-bit name, and another that tells whether two sets share the first."""
+    return _HALVES.unpack(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -71,19 +74,20 @@ def prefix(found: np.ndarray, levels: np.ndarray, size: int, order: int) -> np.n
 
 
 def _signatures(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
-    """Per row (uid, text): uid, node, n, and where the task meets the set first its prefix under the first order with its
+    """Per row (uid, text): uid, node, name, n, and where the task meets the set first its prefix under the first order with its
     tokens' levels."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = OrderedDict()
         for whole in batches:
             for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                nodes, sizes, a, hot = [], [], [], []
+                nodes, names, sizes, a, hot = [], [], [], [], []
                 for text in batch.column(1):
                     found = tokens(text.as_py(), k)
                     n = len(found)
                     sizes.append(n)
-                    node = node_of(found) if n else None
+                    node, name = names_of(found) if n else (None, None)
                     nodes.append(node)
+                    names.append(name)
                     if not n or node in seen:
                         a.append(None)
                         hot.append(None)
@@ -95,9 +99,9 @@ def _signatures(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
                     first = prefix(found, level, prefix_size(n, percent), 0)
                     a.append(found[first].view(np.int64))
                     hot.append(level[first].view(np.int8))
-                yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(a, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int8()))], names=["uid", "node", "n", "a", "hot"])
+                yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(a, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int8()))], names=["uid", "node", "name", "n", "a", "hot"])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid bigint, node bigint, n int, a array<bigint>, hot array<tinyint>")
+    return docs.select("uid", "text").mapInArrow(run, "uid bigint, node bigint, name bigint, n int, a array<bigint>, hot array<tinyint>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int, percent: int, levels) -> DataFrame:
@@ -143,9 +147,13 @@ def _admissible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def prefix_matcher(queries: pa.RecordBatch):
-    """The second order's condition between members of a bucket. Columns: key, block, node, size, comp, b, lb, query."""
-    count, need = _shared_with(queries.column(5)), queries.column(6).to_numpy()
-    return lambda members: count(members.column(5)) >= np.minimum(members.column(6).to_numpy()[:, None], need[None, :])
+    """The second and third order's conditions between members of a bucket. Columns: key, block, node, size, comp, b, lb, c, lc, query."""
+    def condition(at: int):
+        count, need = _shared_with(queries.column(at)), queries.column(at + 1).to_numpy()
+        return lambda members: count(members.column(at)) >= np.minimum(members.column(at + 1).to_numpy()[:, None], need[None, :])
+
+    second, third = condition(5), condition(7)
+    return lambda members: second(members) & third(members)
 
 
 def _shared_with(column: pa.Array):
@@ -263,15 +271,16 @@ def _placed(rows: DataFrame, k: int, percent: int, cells: int | None = None) ->
 
     pairs, members, found_path = linking.first_round(spark, linking.salted(keyed), compatible)
     nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).union(members.select("node")).distinct()
-    reps = signatures.where("node is not null").groupBy("node").agg(F.min("uid").alias("rep"))
+    reps = signatures.where("node is not null").groupBy("node").agg(F.min("uid").alias("rep"), (F.min("name") != F.max("name")).alias("shared"))
+    reps = reps.where(F.when(F.col("shared"), F.raise_error(F.lit("two different sets share a 64-bit name"))).otherwise(F.lit(True))).drop("shared")
     texts, texts_path = common.stage(spark, _texts(docs, reps.join(nodes, "node"), k, percent, levels), "jaccard-texts")
     pairs, pairs_path = common.stage(spark, _admissible(pairs, texts), "pairs")
     links, links_path = common.stage(spark, _similar(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), texts, k, percent), "links")
     comps, comps_paths = linking.components_of(spark, links)
     comps, comps_paths = linking.join_components(spark, comps, comps_paths, _similar(_apart(pairs, comps), texts, k, percent))
-    # members of open buckets that pass the second order's condition with some member of another component
+    # members of open buckets that pass the second and third order's conditions with some member of another component
     every, every_path = common.stage(spark, linking.open_members(members, comps), "open")
-    carried = common.likely(texts.select("node", "b", "lb"), "node", common.key_filter(every.select("node").distinct()))
+    carried = common.likely(texts.select("node", "b", "lb", "c", "lc"), "node", common.key_filter(every.select("node").distinct()))
     near = linking.against_outsiders(every, carried, ["node"], prefix_matcher, "members")
     rest, rest_path = common.stage(spark, every.join(near, ["key", "node"]), "near")
     ends = rest.select("node", "main").distinct()
