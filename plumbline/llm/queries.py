@@ -136,10 +136,11 @@ SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, s
 _OP4 = f"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-h0 AS (SELECT DISTINCT host, string_split(host, '.') AS a FROM p),
-h1 AS (SELECT host, CASE WHEN len(a) >= 3 AND length(a[-1]) = 2 AND a[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN array_to_string(a[-3:], '.') ELSE array_to_string(a[-2:], '.') END AS domain FROM h0),
-h2 AS (SELECT *, CASE WHEN contains(domain, '.') THEN domain[strpos(domain, '.') + 1 :] ELSE domain END AS suffix FROM h1),
-bh AS (SELECT host, domain, suffix, CAST(sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM p JOIN labels ON page_id = doc_id JOIN h2 USING (host) GROUP BY ALL),
+v AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS server FROM p),
+h0 AS (SELECT DISTINCT server AS host, string_split(server, '.') AS a, regexp_full_match(server, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}|\\[.*\\]') AS ip FROM v),
+h1 AS (SELECT host, ip, CASE WHEN ip THEN host WHEN len(a) >= 3 AND length(a[-1]) = 2 AND a[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN array_to_string(a[-3:], '.') ELSE array_to_string(a[-2:], '.') END AS domain FROM h0),
+h2 AS (SELECT *, CASE WHEN contains(domain, '.') AND NOT ip THEN domain[strpos(domain, '.') + 1 :] ELSE domain END AS suffix FROM h1),
+bh AS (SELECT h2.host, domain, suffix, CAST(sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM v JOIN labels ON page_id = doc_id JOIN h2 ON h2.host = server GROUP BY ALL),
 bd AS (SELECT domain, suffix, sum(s) AS ds, sum(n) AS dn FROM bh GROUP BY ALL),
 bs AS (SELECT suffix, sum(ds) AS ss, sum(dn) AS sn FROM bd GROUP BY ALL),
 g AS (SELECT *, (SELECT sum(ss) FROM bs) AS ts, (SELECT sum(sn) FROM bs) AS tn FROM bh JOIN bd USING (domain, suffix) JOIN bs USING (suffix)),
@@ -151,13 +152,13 @@ ks AS (SELECT rate, least(200.0, greatest(1.0, b1 / greatest(v1 - b1 * g1 / n, 1
   least(200.0, greatest(1.0, b3 / greatest(v3 - b3 * g3 / n, 1e-9) - 1)) AS k3 FROM k),
 m1 AS (SELECT h2.host, h2.domain, h2.suffix, (coalesce(ss, 0) + rate * k1) / (coalesce(sn, 0) + k1) AS ms, k2, k3 FROM h2 LEFT JOIN bs USING (suffix), ks),
 m2 AS (SELECT m1.*, (coalesce(ds, 0) + ms * k2) / (coalesce(dn, 0) + k2) AS md FROM m1 LEFT JOIN bd USING (domain)),
-m3 AS (SELECT m2.host, (coalesce(s, 0) + md * k3) / (coalesce(n, 0) + k3) AS m, coalesce(n, 0) + k3 + 1 AS seen FROM m2 LEFT JOIN bh USING (host)),
-r AS (SELECT page_id, p.host, p.path, m - {urlfilter.Z} * sqrt(m * (1 - m) / seen) AS bound,
-  CASE WHEN (p.host = 'example.org' OR p.host LIKE '%.example.org') AND p.path LIKE '/en/1%' THEN 'example.org/en/1'
-       WHEN (p.host = 'example.org' OR p.host LIKE '%.example.org') AND p.path LIKE '/es/%' THEN 'example.org/es/'
-       WHEN (p.host = 'com' OR p.host LIKE '%.com') AND p.path LIKE '/fr/%' THEN 'com/fr/'
-       WHEN (p.host = 'com' OR p.host LIKE '%.com') AND p.path LIKE '/de/%' THEN 'com/de/'
-       WHEN (p.host = 'org' OR p.host LIKE '%.org') AND p.path LIKE '/%' THEN 'org/' END AS rule FROM p JOIN m3 USING (host))
+m3 AS (SELECT m2.host AS server, (coalesce(s, 0) + md * k3) / (coalesce(n, 0) + k3) AS m, coalesce(n, 0) + k3 + 1 AS seen FROM m2 LEFT JOIN bh USING (host)),
+r AS (SELECT page_id, v.host, v.path, m - {urlfilter.Z} * sqrt(m * (1 - m) / seen) AS bound,
+  CASE WHEN (v.host = 'example.org' OR v.host LIKE '%.example.org') AND v.path LIKE '/en/1%' THEN 'example.org/en/1'
+       WHEN (v.host = 'example.org' OR v.host LIKE '%.example.org') AND v.path LIKE '/es/%' THEN 'example.org/es/'
+       WHEN (v.host = 'com' OR v.host LIKE '%.com') AND v.path LIKE '/fr/%' THEN 'com/fr/'
+       WHEN (v.host = 'com' OR v.host LIKE '%.com') AND v.path LIKE '/de/%' THEN 'com/de/'
+       WHEN (v.host = 'org' OR v.host LIKE '%.org') AND v.path LIKE '/%' THEN 'org/' END AS rule FROM v JOIN m3 USING (server))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound >= {urlfilter.THRESHOLD} THEN 'allow' ELSE 'block' END AS verdict FROM r
 """
 

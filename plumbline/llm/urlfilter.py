@@ -7,6 +7,9 @@ groups; a page is allowed if the lower bound of its host's posterior reaches a t
 Rules may be many: up to INLINE of them are compared in one expression; a longer list is joined on the suffixes of each
 different host and the prefixes of its paths that have the length of some rule's.
 
+For its reputation a host is taken without user and port; addresses are domains and suffixes of their own. The domain is what
+stands before the longest of the public suffixes that are given as a table; without one a short rule takes its place.
+
 Defined cases: a null url, or one without "://", has empty host and path and falls to the global prior; urls of any length are
 looked at whole; hosts without labels fall to their domain's posterior, then the suffix's; repeated labels of a page all count,
 repeated pages each give a row; of rules as long as each other the last by (action, host, path) wins; without any label every
@@ -28,6 +31,8 @@ Z, THRESHOLD = 1.2816, 0.5
 WEAKEST, STRONGEST = 1.0, 200.0
 #: Rules that are compared in one expression, at most.
 INLINE = 256
+#: A host with more than this part of all pages is broadcast with its bound.
+HEAVY = 1000
 
 
 def ascii_lower(c: Column) -> Column:
@@ -42,16 +47,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def server_of(host: Column) -> Column:
+    """A host without user and port, to which outcomes are put down."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":\d*$", "")
+
+
+def is_address(host: Column) -> Column:
+    return host.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$")
+
+
 def domain_of(host: Column) -> Column:
-    """Last two labels of a host; three where the second is one of SECOND_LEVEL below a two-letter country."""
+    """Last two labels of a host; three where the second is one of SECOND_LEVEL below a two-letter country; an address as it is."""
     parts = F.split(host, r"\.")
     n = F.size(parts)
     country = (n >= 3) & (F.length(F.element_at(parts, -1)) == 2) & F.try_element_at(parts, F.lit(-2)).isin(*SECOND_LEVEL)
-    return F.when(country, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return F.when(is_address(host), host).when(country, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def suffix_of(domain: Column) -> Column:
-    return F.when(F.instr(domain, ".") > 0, F.expr("substring(domain, instr(domain, '.') + 1)")).otherwise(domain)
+    return F.when((F.instr(domain, ".") > 0) & ~is_address(domain), F.expr("substring(domain, instr(domain, '.') + 1)")).otherwise(domain)
 
 
 def endings(host: Column) -> Column:
@@ -123,7 +137,7 @@ def _strengths(groups: DataFrame) -> tuple[float, float, float, float]:
 
 
 def host_posteriors(hosts: DataFrame, outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
-    """(host, mean, bound) for every host of `hosts`. outcomes: (host, good 0/1)."""
+    """(host, mean, bound, pages) for every host of `hosts` (host), pages being its rows there. outcomes: (host, good 0/1)."""
     # One row a host, before anything else moves: a host with a third of all pages is summed where it is read.
     by_host = _domains(outcomes.groupBy("host").agg(F.sum("good").cast("double").alias("s"), F.count("good").cast("double").alias("n")), suffixes).where("n > 0")
     by_domain = by_host.groupBy("domain", "suffix").agg(F.sum("s").alias("domain_s"), F.sum("n").alias("domain_n"))
@@ -137,19 +151,29 @@ def host_posteriors(hosts: DataFrame, outcomes: DataFrame, suffixes: DataFrame |
     def shrink(s: str, n: str, mean: Column, k: float) -> Column:
         return (F.coalesce(F.col(s), F.lit(0.0)) + mean * k) / (F.coalesce(F.col(n), F.lit(0.0)) + k)
 
-    every = _domains(hosts.select("host").distinct(), suffixes)
+    every = _domains(hosts.groupBy("host").agg(F.count("*").alias("pages")), suffixes)
     joined = every.join(by_suffix, "suffix", "left").join(by_domain.drop("suffix"), "domain", "left").join(by_host.select("host", "s", "n"), "host", "left")
     joined = joined.withColumn("m_suffix", shrink("suffix_s", "suffix_n", F.lit(rate), k_suffix))
     joined = joined.withColumn("m_domain", shrink("domain_s", "domain_n", F.col("m_suffix"), k_domain))
     joined = joined.withColumn("mean", shrink("s", "n", F.col("m_domain"), k_host))
     seen = F.coalesce(F.col("n"), F.lit(0.0)) + k_host + 1
-    return joined.select("host", "mean", (F.col("mean") - Z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / seen)).alias("bound"))
+    return joined.select("host", "mean", (F.col("mean") - Z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / seen)).alias("bound"), "pages")
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, threshold: float = THRESHOLD, suffixes: DataFrame | None = None) -> DataFrame:
-    """(page_id, host, path, rule, verdict, bound) for every page. outcomes: (page_id, good 0/1), null good not counted."""
-    placed = pages.select(pages["page_id"].alias("page_id"), host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
-    labelled = placed.select("page_id", "host").join(outcomes.select("page_id", "good"), "page_id").select("host", "good")
-    out = with_rules(placed, rules).join(host_posteriors(placed, labelled, suffixes), "host", "left")
-    learned = F.when(F.col("bound") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
-    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.action"), learned).alias("verdict"), "bound")
+    """(page_id, host, path, rule, verdict, bound) for every page; bound is null where a rule decides. outcomes: (page_id, good
+    0/1), null good not counted."""
+    host = host_of(pages["url"])
+    placed = pages.select(pages["page_id"].alias("page_id"), host.alias("host"), path_of(pages["url"]).alias("path"), server_of(host).alias("server"))
+    labelled = placed.select("page_id", F.col("server").alias("host")).join(outcomes.select("page_id", "good"), "page_id").select("host", "good")
+    known = host_posteriors(placed.select(F.col("server").alias("host")), labelled, suffixes).withColumnRenamed("host", "server")
+    # pages of few hosts go by a rule or by a broadcast: hosts with over 1/HEAVY of all pages, of which there are fewer than HEAVY
+    heavy = known.where(F.col("pages") > placed.agg(F.count("*") / HEAVY).scalar()).select("server", F.col("bound").alias("heavy"))
+    ruled = with_rules(placed, rules).join(F.broadcast(heavy), "server", "left")
+    done = F.col("r").isNotNull() | F.col("heavy").isNotNull()
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("page_id", "path"), F.lit(1 << 20)).cast("string"))  # no host's key, so none waits for another
+    light = known.select(F.col("server").alias("key"), F.col("bound").alias("light"))
+    out = ruled.withColumn("key", F.when(done, spread).otherwise(F.col("server"))).join(light, "key", "left")
+    bound = F.when(F.col("r").isNull(), F.coalesce("heavy", "light"))
+    learned = F.when(bound >= threshold, F.lit("allow")).otherwise(F.lit("block"))
+    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.action"), learned).alias("verdict"), bound.alias("bound"))
