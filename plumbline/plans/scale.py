@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import coverage, graphs, testevents
-from ..sources import text
+from ..operators import coverage, graphs, testevents, versions
+from ..sources import scratch, text
 from .catalogue import _query, table
 from .recorded import _DIFF, _ITEM_ORDER
 
@@ -96,3 +96,26 @@ def q105(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("name"), F.lead("c_custkey").over(w).alias("up"), F.first("c_custkey").over(w).alias("first"))
     ring = F.col("up").isNull() & (F.col("c_nationkey") % 2 == 0) & (F.col("first") != F.col("name"))
     return graphs.reachable(c.select("name", F.when(ring, F.col("first")).otherwise(F.col("up")).alias("embedded"))).groupBy("root").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.sum(F.col("name") * F.col("depth")).alias("weight"))
+
+
+# --- versions, endings -------------------------------------------------------------------------------------------------
+
+
+@_query("q109_changes_by_digest", """WITH base AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN text || '.' ELSE text END AS b FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) l USING (doc_id) WHERE d.lang <> 'de')
+    SELECT d.doc_id, CASE WHEN base.doc_id IS NULL THEN 'new' ELSE 'changed' END AS status, md5(text) AS body_md5 FROM documents d LEFT JOIN base USING (doc_id) WHERE base.doc_id IS NULL OR b <> text""")
+def q109(spark: SparkSession, d: str) -> DataFrame:
+    """Two stored versions of the documents, of which one lacks a language and differs in documents of low quality."""
+    docs, where = table(spark, d, "documents").withColumn("pos", F.lit(1)), scratch.folder(spark, "versions")
+    low = table(spark, d, "labels").where("quality = 0").select("doc_id").distinct().withColumn("low", F.lit(True))
+    old = docs.where("lang <> 'de'").join(low, "doc_id", "left").withColumn("text", F.when(F.col("low"), F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    versions.write_version(old, f"{where}/old", ["doc_id"], "text", buckets=64)
+    versions.write_version(docs, f"{where}/new", ["doc_id"], "text", buckets=64)
+    return versions.changes(spark, f"{where}/old", f"{where}/new", ["doc_id"]).select("doc_id", "status", F.md5("body").alias("body_md5"))
+
+
+@_query("q110_endings", """WITH t AS (SELECT DISTINCT c_name AS text FROM customer), e AS (SELECT DISTINCT s_suppkey::VARCHAR AS e FROM supplier)
+    SELECT text, e AS "end" FROM t JOIN e ON ends_with(text, e)""")
+def q110(spark: SparkSession, d: str) -> DataFrame:
+    """Customers whose names end with a supplier's number, and each such number."""
+    names, numbers = table(spark, d, "customer").select(F.col("c_name").alias("text")), table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("end"))
+    return coverage.ending_with(names, numbers)

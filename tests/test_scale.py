@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import coverage, graphs, scans, testevents
+from plumbline.operators import coverage, graphs, scans, testevents, versions
 from plumbline.sources import text
 
 # --- scans over ordered parts ------------------------------------------------------------------------------------------
@@ -203,3 +203,45 @@ def test_closure_of_random_graphs(spark):
                 depth += 1
         df = spark.createDataFrame(sorted(edges, key=str), "name int, embedded int")
         assert {tuple(x) for x in graphs.reachable(df).collect()} == want
+
+
+# --- endings, versions -------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_endings_equal_brute_force(spark, parts):
+    r = random.Random(6)
+    word = lambda n: "".join(r.choices("ab", k=n))
+    texts = [word(r.randint(0, 12)) for _ in range(400)] + ["main.go"] * 5 + ["é", None]
+    ends = [word(r.randint(0, 9)) for _ in range(150)] + ["main.go", "o", "", "é", None, "zmain.go"]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(tuple(x) for x in coverage.ending_with(spark.createDataFrame([(x,) for x in texts], "text string"), spark.createDataFrame([(x,) for x in ends], "end string")).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted((t, e) for t in {x for x in texts if x is not None} for e in {x for x in ends if x is not None} if t.endswith(e))
+
+
+def test_changes_read_only_buckets_that_differ(spark, tmp_path):
+    """One of a hundred files changed: a bucket or two of 512 are read, of bodies only those that are listed."""
+    rows = spark.range(20_000).select(F.concat(F.lit("f"), F.floor(F.col("id") / 200)).alias("file"), F.concat(F.lit("n"), F.col("id") % 200).alias("name"), F.concat(F.lit("body "), "id").alias("body"), F.lit(1).alias("pos"))
+    late = rows.where("file = 'f3' and name like 'n1%'").withColumns({"body": F.lit("new body"), "pos": F.lit(2)})
+    added = rows.where("file = 'f3' and name = 'n5'").withColumns({"name": F.lit("n999"), "body": F.lit(None).cast("string")})
+    gone = (F.col("file") == "f3") & (F.col("name") == "n7")
+    versions.write_version(rows, f"{tmp_path}/old", ["file", "name"], together="file", buckets=512)
+    versions.write_version(rows.where(~gone).unionByName(late).unionByName(added), f"{tmp_path}/new", ["file", "name"], together="file", buckets=512)
+    assert len(versions.differing(spark, f"{tmp_path}/old", f"{tmp_path}/new")) == 1
+    got = versions.changes(spark, f"{tmp_path}/old", f"{tmp_path}/new", ["file", "name"], removed=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scans_of = re.findall(r"PartitionFilters: \[[^\]]*bucket[^\]]*\].*?ReadSchema: (struct<[^>]*>)", plan)
+    assert len(scans_of) == 3 and sum("body" in x for x in scans_of) == 1  # bodies only to list what differs
+    by = {r.name: (r.status, r.body) for r in got.collect()}
+    assert by.pop("n999") == ("new", None) and by.pop("n7") == ("removed", None)
+    assert set(by.values()) == {("changed", "new body")} and set(by) == {f"n{i}" for i in range(200) if str(i).startswith("1")}
+    assert versions.changes(spark, f"{tmp_path}/new", f"{tmp_path}/new", ["file", "name"]).count() == 0
+    versions.write_version(rows.limit(0), f"{tmp_path}/none", ["file", "name"], together="file", buckets=512)
+    assert versions.changes(spark, f"{tmp_path}/none", f"{tmp_path}/old", ["file", "name"]).where("status = 'new'").count() == 20_000
+    assert versions.changes(spark, f"{tmp_path}/old", f"{tmp_path}/none", ["file", "name"]).count() == 0
