@@ -8,14 +8,11 @@ to source files: `suffix` (the profile's path ends with the file's name, as base
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent
-from ..sources import scratch
+from . import affixes
 
 
 def covered_lines(blocks: DataFrame) -> DataFrame:
@@ -27,54 +24,17 @@ def covered_lines(blocks: DataFrame) -> DataFrame:
 def match_files(blocks: DataFrame, files: DataFrame, mode: str = "suffix") -> DataFrame:
     """Blocks under the names of `files` (file). suffix: a block's path ends with the file's base name, on any boundary.
 
-    Each different base name of the profile is matched once, by `ending_with`; paths are joined on whole base names then."""
+    Each different base name of the profile is matched once, by `affixes.ending_with`; paths are joined on whole base names then."""
     if mode == "exact":
         return blocks.join(files.select("file").distinct(), "file")
     base = lambda c: F.substring_index(c, "/", -1)
     names = files.select(F.col("file").alias("wanted"), base("file").alias("end")).distinct()
     profile = blocks.withColumnRenamed("file", "profile").withColumn("own", base("profile"))
-    pairs = ending_with(profile.select(F.col("own").alias("text")), names.select("end")).withColumnRenamed("text", "own")
+    pairs = affixes.ending_with(profile.select(F.col("own").alias("text")), names.select("end")).withColumnRenamed("text", "own")
     wanted = pairs.join(names, "end").select("own", F.col("wanted").alias("file"))
     return profile.join(wanted, "own").drop("profile", "own")
 
 
-def ending_with(texts: DataFrame, ends: DataFrame) -> DataFrame:
-    """(text, end) of each different text (text) with each of the ends (end) that it ends with.
-
-    Both are turned round and sorted as one; the ends of a text are then among those that stand before it and that are still
-    open, each the beginning of the next. A partition of the sort starts with those that its first row has in earlier ones, so
-    what has to be looked up are the beginnings of one row a partition.
-    """
-    spark = texts.sparkSession
-    turned = texts.where("text is not null").select(F.reverse("text").alias("r"), F.lit(True).alias("is_text")).distinct()
-    marked = ends.where("end is not null").select(F.reverse("end").alias("r"), F.lit(False).alias("is_text")).distinct()
-    rows = scratch.stage(turned.unionByName(marked).orderBy("r", "is_text").select("r", "is_text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "ends")
-    first = rows.groupBy("part").agg(F.min_by("r", "at").alias("r"))
-    starts = first.select("part", F.explode(F.transform(F.sequence(F.lit(0), F.length("r")), lambda n: F.left("r", n))).alias("open"))
-    before = starts.join(marked.select(F.col("r").alias("open")), "open").groupBy("part").agg(F.array_sort(F.collect_set(F.struct(F.length("open").alias("n"), "open"))).alias("opened"))
-    opened = {r.part: [x.open for x in r.opened] for r in before.collect()}  # the beginnings of one row a partition
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, stack = None, []
-        for batch in batches:
-            texts, found = [], []
-            for r, is_text, now in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if now != part:
-                    part, stack = now, list(opened.get(now, ()))
-                while stack and not r.startswith(stack[-1]):
-                    stack.pop()
-                if not is_text:
-                    if not stack or stack[-1] != r:
-                        stack.append(r)
-                    continue
-                texts += [r[::-1]] * len(stack)
-                found += [x[::-1] for x in stack]
-            yield pa.record_batch([pa.array(texts, pa.string()), pa.array(found, pa.string())], names=["text", "end"])
-
-    dealt = rows.repartition("part").sortWithinPartitions("part", "at").select("r", "is_text", "part")
-    return dealt.mapInArrow(walk, "text string, end string")
-
-
 def diff_coverage(changed: DataFrame, covered: DataFrame) -> DataFrame:
     """(file, changed, covered, uncovered, total, hit, pct) by file; changed: (file, line)."""
     hit = covered.select("file", "line").distinct().withColumn("hit", F.lit(True))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import coverage, graphs, testevents, versions
+from ..functions import globs
+from ..operators import affixes, coverage, graphs, testevents, versions
 from ..sources import scratch, text
 from .catalogue import _query, table
 from .recorded import _DIFF, _ITEM_ORDER
@@ -118,4 +119,16 @@ def q109(spark: SparkSession, d: str) -> DataFrame:
 def q110(spark: SparkSession, d: str) -> DataFrame:
     """Customers whose names end with a supplier's number, and each such number."""
     names, numbers = table(spark, d, "customer").select(F.col("c_name").alias("text")), table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("end"))
-    return coverage.ending_with(names, numbers)
+    return affixes.ending_with(names, numbers)
+
+
+@_query("q111_many_patterns", r"""WITH p AS (SELECT page_id, p, regexp_extract(p, '[^/]*$') AS base FROM (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS p FROM pages))
+    SELECT page_id, (SELECT count(*) FROM customer WHERE starts_with(base, c_custkey::VARCHAR)) + (SELECT count(*) FROM supplier WHERE starts_with(p, 'fr') AND starts_with(base, s_suppkey::VARCHAR) AND length(base) = length(s_suppkey::VARCHAR) + 1)
+      + (SELECT count(*) FROM supplier WHERE starts_with(p, 'en/') AND regexp_full_match(p, 'en/[^/]*' || s_suppkey)) AS n FROM p""")
+def q111(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern for each customer and two for each supplier, and how many of them match a page's path."""
+    c, s = F.col("c_custkey").cast("string"), F.col("s_suppkey").cast("string")
+    patterns = table(spark, d, "customer").select(F.concat(c, F.lit("*")).alias("pattern")).unionByName(table(spark, d, "supplier").select(F.explode(F.array(F.concat(F.lit("fr/**/"), s, F.lit("?")), F.concat(F.lit("en/*"), s))).alias("pattern")))
+    pages = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"://[^/]*/([^?#]*)", 1).alias("path"))
+    found = globs.matching(pages.select("path"), patterns).groupBy("path").agg(F.count("*").alias("n"))
+    return pages.join(found, "path", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n"))

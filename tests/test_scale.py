@@ -8,7 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import coverage, graphs, scans, testevents, versions
+from plumbline.functions import globs
+from plumbline.operators import affixes, coverage, graphs, scans, testevents, versions
 from plumbline.sources import text
 
 # --- scans over ordered parts ------------------------------------------------------------------------------------------
@@ -218,7 +219,7 @@ def test_endings_equal_brute_force(spark, parts):
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = sorted(tuple(x) for x in coverage.ending_with(spark.createDataFrame([(x,) for x in texts], "text string"), spark.createDataFrame([(x,) for x in ends], "end string")).collect())
+        got = sorted(tuple(x) for x in affixes.ending_with(spark.createDataFrame([(x,) for x in texts], "text string"), spark.createDataFrame([(x,) for x in ends], "end string")).collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -245,3 +246,15 @@ def test_changes_read_only_buckets_that_differ(spark, tmp_path):
     versions.write_version(rows.limit(0), f"{tmp_path}/none", ["file", "name"], together="file", buckets=512)
     assert versions.changes(spark, f"{tmp_path}/none", f"{tmp_path}/old", ["file", "name"]).where("status = 'new'").count() == 20_000
     assert versions.changes(spark, f"{tmp_path}/old", f"{tmp_path}/none", ["file", "name"]).count() == 0
+
+
+def test_many_patterns_equal_one_by_one(spark):
+    r = random.Random(8)
+    piece = lambda: "".join(r.choices("ab*?.", k=r.randint(1, 4)))
+    patterns = [r.choice([piece(), f"a/{piece()}", f"b/**/{piece()}", f"{piece()}/**", f"**/{piece()}", f"a/b/{piece()}.go"]) for _ in range(120)] + ["*", "**", "[a-b].go", "a[", "\\*x", "a/**/b/**", "", "vendor/**", "*_gen.go", "x[*].go"]
+    paths = ["/".join("".join(r.choices("ab.", k=r.randint(1, 4))) for _ in range(r.randint(1, 3))) + r.choice(["", ".go"]) for _ in range(150)] + ["a.go", "*x", "vendor/a/b.go", "x_gen.go", "x*.go", ""]
+    got = {tuple(x) for x in globs.matching(spark.createDataFrame([(p,) for p in paths + [None]], "path string"), spark.createDataFrame([(p,) for p in patterns + [None]], "pattern string")).collect()}
+    rows = spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string")
+    matched = rows.select("path", *[globs.matches(F.col("path"), p).alias(str(i)) for i, p in enumerate(patterns)]).collect()
+    want = {(x.path, p) for x in matched for i, p in enumerate(patterns) if x[str(i)]}
+    assert got == want and len(got) > 500
