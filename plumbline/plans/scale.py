@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import globs
-from ..operators import affixes, coverage, graphs, testevents, versions
+from ..operators import affixes, bucketed, coverage, graphs, testevents, versions
 from ..sources import scratch, text
 from .catalogue import _query, table
 from .recorded import _DIFF, _ITEM_ORDER
@@ -132,3 +132,17 @@ def q111(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"://[^/]*/([^?#]*)", 1).alias("path"))
     found = globs.matching(pages.select("path"), patterns).groupBy("path").agg(F.count("*").alias("n"))
     return pages.join(found, "path", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@_query("q112_bucketed_store", """WITH old AS (SELECT user_id AS key, arg_max(event_type, event_id) AS hash, max(ts) AS ts FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
+    new AS (SELECT user_id AS key, arg_max(event_type, event_id) AS hash, max(ts) AS ts FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0 GROUP BY ALL),
+    now AS (SELECT * FROM old WHERE key NOT IN (SELECT key FROM new) AND ts >= TIMESTAMP '2024-01-20' UNION ALL SELECT * FROM new)
+    SELECT c_custkey AS key, coalesce(hash = 'view', false) AS hit FROM customer LEFT JOIN now ON key = c_custkey""")
+def q112(spark: SparkSession, d: str) -> DataFrame:
+    """Users' events as a cache in buckets: put and prune in one, then every customer is looked up."""
+    e, where = table(spark, d, "events"), scratch.folder(spark, "store")
+    entries = lambda rows: rows.groupBy(F.col("user_id").alias("key")).agg(F.max_by("event_type", "event_id").alias("hash"), F.max("ts").alias("timestamp"))
+    store = bucketed.Store(spark, f"store_{where[-32:]}", where, 16)
+    store.create(entries(e.where("event_id % 2 = 0")))
+    store.put(entries(e.where("event_id % 2 = 1 and user_id % 3 = 0")), F.col("timestamp") >= F.lit("2024-01-20").cast("timestamp"))
+    return store.lookup(table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.lit("view").alias("hash"))).select("key", "hit")

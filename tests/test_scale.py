@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import globs
-from plumbline.operators import affixes, coverage, graphs, scans, testevents, versions
+from plumbline.operators import affixes, bucketed, coverage, graphs, scans, testevents, versions
 from plumbline.sources import text
 
 # --- scans over ordered parts ------------------------------------------------------------------------------------------
@@ -258,3 +258,21 @@ def test_many_patterns_equal_one_by_one(spark):
     matched = rows.select("path", *[globs.matches(F.col("path"), p).alias(str(i)) for i, p in enumerate(patterns)]).collect()
     want = {(x.path, p) for x in matched for i, p in enumerate(patterns) if x[str(i)]}
     assert got == want and len(got) > 500
+
+
+def test_bucketed_store(spark, tmp_path):
+    """Put and look up against dictionaries; the store's side has no exchange."""
+    store = bucketed.Store(spark, "cache_of_test", str(tmp_path / "store"), 8)
+    rows = lambda r: spark.createDataFrame([(f"k{i}", h, t) for i, h, t in r], "key string, hash string, t int").withColumn("timestamp", F.timestamp_seconds("t")).drop("t")
+    store.create(rows([(i, "a", i) for i in range(300)] + [(5, "b", 900)]))
+    store.put(rows([(i, "c", i) for i in range(0, 500, 2)]), F.col("timestamp") >= F.timestamp_seconds(F.lit(100)))
+    want = {f"k{i}": "a" for i in range(100, 300)} | {"k5": "b"} | {f"k{i}": "c" for i in range(0, 500, 2)}
+    assert {r.key: r.hash for r in store.read().collect()} == want
+    asked = rows([(i, h, 0) for i in range(0, 600, 7) for h in "abc"])
+    found = store.lookup(asked)
+    assert {(r.key, r.hash): r.hit for r in found.collect()} == {(k, h): want.get(k) == h for i in range(0, 600, 7) for k in [f"k{i}"] for h in "abc"}
+    for q in (found, store.read().join(asked.hint("merge"), "key", "full")):
+        plan = q._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert store.vacuum() == 1 and store.read().count() == len(want)
+    spark.sql("DROP TABLE cache_of_test_v1")
