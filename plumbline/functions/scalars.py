@@ -59,6 +59,10 @@ BUILTIN_TYPES = ("bool", "byte", "complex64", "complex128", "error", "float32",
                  "uint", "uint8", "uint16", "uint32", "uint64", "uintptr", "any", "comparable", "interface{}")
 
 
+def is_builtin(type_name: Column) -> Column:
+    return type_name.isin(*BUILTIN_TYPES)
+
+
 def camel_split(name: Column) -> Column:
     """Words of a camel-case name: cut before each upper-case letter that follows another kind of character."""
     return F.filter(F.split(name, r"(?<=[^\p{Lu}])(?=\p{Lu})"), lambda w: w != "")
@@ -99,7 +103,7 @@ def base_receiver(receiver: Column) -> Column:
 def exported_type_names(type_text: Column) -> Column:
     """Exported type names inside a type expression, packages left out."""
     found = F.regexp_extract_all(type_text, F.lit(r"(?<![\w.])(\p{Lu}\w*)"), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda n: ~n.isin(*BUILTIN_TYPES)))
+    return F.array_distinct(F.filter(found, lambda n: ~is_builtin(n)))
 
 
 def call_arguments(parameters: Column) -> Column:

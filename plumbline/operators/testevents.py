@@ -82,6 +82,19 @@ def count_status_lines(text: Column, status: str) -> Column:
     return F.size(F.filter(F.split(text, "\n", -1), lambda x: x.contains(f"--- {status}:")))
 
 
+def is_valid(compiled: Column, passed: Column) -> Column:
+    return compiled & passed
+
+
+def validation_summary(r: DataFrame) -> Column:
+    """One text a validation result (compile_ok, tests_ok, has_races, passed, failed, duration, compile_error, test_error, races)."""
+    many = lambda c: r[c].cast("string")
+    raced = F.concat(F.lit("⚠️  Tests passed but DATA RACE detected ("), many("passed"), F.lit(" passed, "), r["duration"], F.lit("):\n"), r["races"])
+    failed = F.concat(F.lit("⚠️  Tests failed ("), many("passed"), F.lit(" passed, "), many("failed"), F.lit(" failed):\n"), r["test_error"])
+    good = F.concat(F.lit("✅ All tests passed ("), many("passed"), F.lit(" passed, "), r["duration"], F.lit(")"))
+    return F.when(~r["compile_ok"], F.concat(F.lit("❌ Compilation error:\n"), r["compile_error"])).when(~r["tests_ok"], failed).when(r["has_races"], raced).otherwise(good)
+
+
 # --- feedback ----------------------------------------------------------------------------------------------------------
 
 

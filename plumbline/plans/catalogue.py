@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import gosources, recorded, scale, streams  # noqa: F401  (they add their queries to these)
+    from . import gosources, recorded, rest, scale, streams  # noqa: F401  (they add their queries to these)
 
     return dict(_QUERIES)
 

@@ -42,6 +42,17 @@ def files_of(raw: DataFrame) -> DataFrame:
     return raw.select("repo", F.explode("files").alias("f")).select("repo", "f.*").where("file <> ''")
 
 
+def report_texts(runs: DataFrame, folder: str) -> DataFrame:
+    """(path, value): each run (the columns of schemas.RUN) as JSON below folder, named by its timestamp to the second, UTC."""
+    name = F.concat(F.lit(f"{folder}/testgen-report-"), F.date_format(F.to_utc_timestamp("timestamp", F.current_timezone()), "yyyy-MM-dd-HHmmss"), F.lit(".json"))
+    return runs.select(name.alias("path"), F.to_json(F.struct(*runs.columns)).alias("value"))
+
+
+def repo_manifests(results: DataFrame, out: str) -> DataFrame:
+    """(path, value): the result of each repository (repo with a name, clone_dir, agent_dir, runs, error, duration) as JSON."""
+    return results.select(F.concat(F.lit(f"{out}/"), "repo.name", F.lit("/repo.json")).alias("path"), F.to_json(F.struct(*results.columns)).alias("value"))
+
+
 def _reports(spark: SparkSession, pattern: str) -> DataFrame:
     raw = spark.read.schema(schemas.RUN).option("multiLine", True).json(pattern)
     raw = raw.withColumn("file_name", F.col("_metadata.file_name")).withColumn("seq", F.col("_metadata.file_path"))
@@ -131,6 +142,15 @@ def dataset_errors(repos: DataFrame) -> Column | DataFrame:
     return rows.select("place", error.alias("error")).where("error is not null").orderBy("place")
 
 
+def config_errors(configs: DataFrame) -> DataFrame:
+    """(place, errors) of every configuration (place, max_retries, coverage_threshold, timeout_seconds, report_format), in the
+    order of checks; errors is empty for good ones."""
+    formats = F.coalesce("report_format", F.lit("")).isin("", "text", "html", "json")
+    checks = ((F.col("max_retries") < 1, "max_retries must be >= 1"), (~F.col("coverage_threshold").between(0, 100), "coverage_threshold must be 0-100"),
+              (F.col("timeout_seconds") < 10, "timeout_seconds must be >= 10"), (~formats, "report_format must be one of: text, html, json"))
+    return configs.select("place", F.array_compact(F.array(*[F.when(bad, F.lit(text)) for bad, text in checks])).alias("errors"))
+
+
 def load_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """(repos, workdir) of a YAML dataset; a relative workdir is below the file's folder. Raises on the first broken constraint."""
     data = read_yaml(Path(path).read_text())

@@ -130,6 +130,12 @@ def events(texts: DataFrame) -> DataFrame:
     return _decoded(texts).where("ok").select("path", "seq", "e.Time", "e.Action", "e.Package", "e.Test", "e.Elapsed", "e.Output")
 
 
+def has_tests(texts: DataFrame) -> DataFrame:
+    """(path, has_tests) of every path with a line: whether some event belongs to a test."""
+    of = F.col("ok") & (F.coalesce("e.Test", F.lit("")) != "")
+    return _decoded(texts).groupBy("path").agg(F.bool_or(F.coalesce(of, F.lit(False))).alias("has_tests"))
+
+
 def side_output(texts: DataFrame) -> DataFrame:
     """(path, seq, line) of the other lines: compiler messages and broken JSON."""
     return _decoded(texts).where("not ok").select("path", "seq", "line")
