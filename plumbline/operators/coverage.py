@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent
-from . import affixes
 
 
 def covered_lines(blocks: DataFrame) -> DataFrame:
@@ -24,14 +23,16 @@ def covered_lines(blocks: DataFrame) -> DataFrame:
 def match_files(blocks: DataFrame, files: DataFrame, mode: str = "suffix") -> DataFrame:
     """Blocks under the names of `files` (file). suffix: a block's path ends with the file's base name, on any boundary.
 
-    Each different base name of the profile is matched once, by `affixes.ending_with`; paths are joined on whole base names then."""
+    Each different base name of the profile is matched once: cut to the lengths that wanted names have, it meets them in an
+    equi-join (`affixes.ending_with` does the same for names of any length by one sort); paths are joined on whole names then."""
     if mode == "exact":
         return blocks.join(files.select("file").distinct(), "file")
     base = lambda c: F.substring_index(c, "/", -1)
     names = files.select(F.col("file").alias("wanted"), base("file").alias("end")).distinct()
     profile = blocks.withColumnRenamed("file", "profile").withColumn("own", base("profile"))
-    pairs = affixes.ending_with(profile.select(F.col("own").alias("text")), names.select("end")).withColumnRenamed("text", "own")
-    wanted = pairs.join(names, "end").select("own", F.col("wanted").alias("file"))
+    lengths = F.coalesce(names.agg(F.collect_set(F.length("end"))).scalar(), F.expr("cast(array() as array<int>)"))  # few
+    cut = profile.select("own").distinct().select("own", F.explode(lengths).alias("n")).where(F.col("n") <= F.length("own")).select("own", F.right("own", F.col("n")).alias("end"))
+    wanted = cut.join(names, "end").select("own", F.col("wanted").alias("file"))
     return profile.join(wanted, "own").drop("profile", "own")
 
 
@@ -86,27 +87,26 @@ def _pieces(start: Column, end: Column) -> Column:
     return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(after - first)) - 1), of)))
 
 
-def _dyadic(functions: DataFrame, lines: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(file, piece, names) of functions and (file, piece, line) of lines: a line is in a function if and only if they meet in one
-    piece, and they meet in one only. So the interval becomes part of an equi-key, and a file that holds most functions and
-    lines is dealt by piece. Lines have a piece for each level that functions of their file have, 32 at most."""
-    cut = functions.where("start_line <= end_line").select("file", *names, F.explode(_pieces(F.col("start_line"), F.col("end_line"))).alias("p")).select("file", *names, "p.level", "p.piece")
-    levels = cut.groupBy("file").agg(F.collect_set("level").alias("levels"))
-    around = F.transform("levels", lambda k: _piece(k, F.call_function("shiftright", F.col("line").cast("bigint"), k)))
-    return cut.drop("level"), lines.select("file", "line").distinct().join(levels, "file").select("file", "line", F.explode(around).alias("piece"))
+def _dyadic(functions: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """functions with a row for each `piece` of theirs, and (file, piece, line) of lines: a line is in a function if and only if
+    they meet in one piece, and they meet in one only. So the interval becomes part of an equi-key, and a file that holds most
+    functions and lines is dealt by piece. Lines have a piece for each level that functions have, 32 at most."""
+    cut = functions.where("start_line <= end_line").withColumn("_p", F.explode(_pieces(F.col("start_line"), F.col("end_line")))).select(*functions.columns, F.col("_p.level").alias("level"), F.col("_p.piece").alias("piece"))
+    levels = F.coalesce(cut.agg(F.collect_set("level")).scalar(), F.expr("cast(array() as array<int>)"))
+    near = lines.select("file", "line", F.explode(levels).alias("level"))
+    return cut.drop("level"), near.select("file", "line", _piece(F.col("level"), F.call_function("shiftright", F.col("line").cast("bigint"), F.col("level"))).alias("piece"))
 
 
 def functions_by_lines(functions: DataFrame, changed: DataFrame) -> DataFrame:
     """Functions that hold a changed line, by dyadic pieces of their intervals."""
-    ends = ["start_line", "end_line"]
-    pieces, lines = _dyadic(functions.select("file", *ends).distinct(), changed, ends)
-    held = pieces.join(lines.select("file", "piece").distinct(), ["file", "piece"], "left_semi").select("file", *ends).distinct()
-    return functions.join(held, ["file", *ends], "left_semi")
+    own = functions.withColumn("_own", F.monotonically_increasing_id())  # repeated functions are rows of their own
+    pieces, lines = _dyadic(own, changed)
+    return pieces.join(lines.select("file", "piece"), ["file", "piece"], "left_semi").select(*own.columns).dropDuplicates(["_own"]).drop("_own")
 
 
 def coverage_gaps(functions: DataFrame, uncovered: DataFrame) -> DataFrame:
     """(file, name, lines) of functions with uncovered lines, by dyadic pieces; uncovered: (file, line)."""
-    pieces, lines = _dyadic(functions, uncovered, ["name"])
+    pieces, lines = _dyadic(functions.select("file", "name", "start_line", "end_line"), uncovered.select("file", "line").distinct())
     return pieces.join(lines, ["file", "piece"]).groupBy("file", "name").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 

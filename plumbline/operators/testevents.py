@@ -124,10 +124,9 @@ def error_context(logs: DataFrame) -> DataFrame:
     A test's messages are the lines between its RUN marker and its result: islands numbered by a running count of markers, by
     a scan over the parts of a log, so that many tasks work on one log.
     """
-    rows = logs if "line" in logs.columns else logs.select("path", F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"))
-    rows = ordered(rows).withColumn("t", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    rows = ordered(logs).withColumn("t", F.regexp_replace("line", r"^\s+|\s+$", ""))
     run, result = F.col("t").startswith("=== RUN"), F.col("t").rlike(r"^--- (FAIL|PASS):")
-    rows = rows.where(run | (F.col("t") != "") & ~F.col("t").startswith("===")).select("path", "part", "row", "t")
+    rows = rows.where(run | (F.col("t") != "") & ~F.col("t").startswith("===")).select("path", "part", "row", "single", "t")
     rows = running(rows, {"started": run, "marks": run | result}).withColumn("island", F.col("marks") - result.cast("int"))
     is_message = (F.col("started") > 0) & ~F.col("t").startswith("===") & ~result
     closes, place = F.when(result, F.col("t")), F.struct("part", "row")

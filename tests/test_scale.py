@@ -146,7 +146,7 @@ def test_one_file_with_most_functions_and_lines(spark):
     n = 100_000
     f = spark.range(n).select(F.lit("hot").alias("file"), F.concat(F.lit("n"), "id").alias("name"), (F.col("id") * 10).alias("start_line"), (F.col("id") * 10 + 6).alias("end_line"))
     c = spark.range(n).select(F.lit("hot").alias("file"), (F.col("id") * 10 + F.col("id") % 10).alias("line"))
-    pieces, lines = coverage._dyadic(f, c, ["name"])
+    pieces, lines = coverage._dyadic(f, c)
     assert pieces.join(lines, ["file", "piece"]).count() == n * 7 // 10
     assert coverage.functions_by_lines(f, c).count() == n * 7 // 10
     sizes = [x["count"] for x in pieces.groupBy("file", "piece").count().orderBy(F.desc("count")).limit(1).collect()]
