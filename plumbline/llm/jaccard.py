@@ -5,7 +5,8 @@ two sets reach the similarity, each shares a token with the other inside its pre
 under *every* total order of tokens. Three orders are used. All put frequent tokens last, as told by a sketch of counts
 over all documents, so prefixes hold rare tokens and buckets stay small; below that each order is a different hash.
 Candidates share a prefix token under the first order; the second, with longer prefixes of which more must be shared, and
-the third are intersected with that before the texts are read and the sets compared exactly.
+the third are intersected with that before the texts are read and the sets compared exactly. Members of large buckets are
+compared by the first two only, as the third beside them takes more memory than an executor has to spare.
 
 The sketch is broadcast, so its size is bounded: up to 2^31 bytes of text it has a counter for each 64 bytes, beyond that
 2^25 counters. A counter's mean is taken off it, so at any size it tells by how much a token stands out of the others: those
